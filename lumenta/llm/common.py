@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call looks at; a longer document is taken alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Stands for a null document id inside operators; sorts after every other id.
 NULL_ID = 2**63 - 1
 
@@ -52,6 +52,11 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold few texts at once between the JVM and Python; texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
 def doc_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 

@@ -24,45 +24,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WHITE, Bytes, doc_key, durable, from_key, grams, mix, signed, table, text_slices
+from .common import NOT_WHITE, Bytes, doc_key, durable, from_key, grams, mix, signed, small_batches, table, text_slices
 from .components import connected
 
 SHINGLE = 5
 PERCENT = 75
 #: A shingle goes to the end of the order when at least one document in so many has it ...
 COMMON_SHARE = 1000
-#: ... as counted from the batches in which it occurs this often.
+#: ... as counted from the runs of documents in which it occurs this often.
 COMMON_IN_BATCH = 4
+#: Shingles that one task holds together to count them.
+COUNTED_TOGETHER = 2_000_000
 #: Members of a tile; a larger group is dealt to several tiles, each pair of blocks to one.
 TILE = 2048
 #: Bits of the signature for each shingle, and the largest signature in 64-bit words.
 BITS_PER_SHINGLE, MAX_SIGNATURE_WORDS = 4, 64
 
 
-def shingle_sets(batch: pa.RecordBatch, column: str, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of every row; null is an empty text."""
+def shingle_sets(batch: pa.RecordBatch, column: str, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, shingle hashes, offsets) of bounded slices: each row's distinct shingles,
+    sorted, between its offsets.  Null is an empty text."""
     for lo, hi, data, offsets in text_slices(batch, column):
         text = Bytes(data, offsets, fold_case=True)
         starts, ends, first = text.words(NOT_WHITE)
         hashed = text.hash(starts, ends)
         whole, at = grams(hashed, first, n)
         cut = np.searchsorted(at, first)
-        for i in range(hi - lo):
-            if cut[i] < cut[i + 1]:
-                yield lo + i, np.unique(whole[cut[i] : cut[i + 1]])
-            elif first[i] < first[i + 1]:
+        short = np.flatnonzero((np.diff(cut) == 0) & (np.diff(first) > 0))
+        if len(short):  # fewer than n words: the whole sequence is one shingle
+            only = []
+            for i in short:
                 few = hashed[first[i] : first[i + 1]]
-                yield lo + i, mix(np.bitwise_xor.reduce(mix(few + np.arange(len(few), dtype=np.uint64))) + np.array([len(few)], np.uint64))
-            else:
-                yield lo + i, np.zeros(0, np.uint64)
-
-
-def node_of(shingles: np.ndarray) -> int:
-    """The class of a set: 64 bits from two independent sums over its members."""
-    if not len(shingles):
-        return 0
-    pair = np.array([np.add.reduce(mix(shingles)), np.bitwise_xor.reduce(mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)))], np.uint64)
-    return int((mix(pair[:1]) ^ (pair[1:] * np.uint64(0x9E3779B97F4A7C15)))[0].view(np.int64))
+                only.append(mix(np.bitwise_xor.reduce(mix(few + np.arange(len(few), dtype=np.uint64))) + np.array([len(few)], np.uint64)))
+            whole = np.insert(whole, cut[short], np.concatenate(only))
+            extra = np.zeros(len(cut), np.int64)
+            extra[short + 1] = 1
+            cut = cut + np.cumsum(extra)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            whole[a:b].sort()
+        keep = np.ones(len(whole), bool)
+        keep[1:] = whole[1:] != whole[:-1]
+        keep[cut[:-1][np.diff(cut) > 0]] = True
+        kept = np.zeros(len(whole) + 1, np.int64)
+        np.cumsum(keep, out=kept[1:])
+        yield lo, whole[keep], kept[cut]
+
+
+def nodes_of(shingles: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The class of each set: 64 bits from two independent sums over its members."""
+    full = np.flatnonzero(np.diff(cut))
+    out = np.zeros(len(cut) - 1, np.int64)
+    if len(full):
+        one = np.add.reduceat(mix(shingles), cut[full])
+        two = np.bitwise_xor.reduceat(mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)), cut[full])
+        out[full] = (mix(one) ^ (two * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+    return out
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -83,32 +99,32 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _summaries(column: str):
     """Per document its class and size; per batch the shingles that many documents hold."""
 
+    def common(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        everything = np.concatenate(held)
+        everything.sort()
+        edges = np.flatnonzero(np.r_[True, everything[1:] != everything[:-1]])
+        counts = np.diff(np.r_[edges, len(everything)])
+        often = counts >= COMMON_IN_BATCH
+        if n := int(often.sum()):
+            hot = everything[edges[often]]
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), signed(hot), pa.array(counts[often]), pa.array(np.ones(n, bool)), pa.nulls(n, pa.binary())], names=names)
+
+    names = ["doc", "node", "n", "common", "mark"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            ids, rows, many = batch.column("_lm_doc"), [], []
-            for row, shingles in shingle_sets(batch, column):
-                rows.append((row, node_of(shingles), len(shingles), signature(shingles).tobytes()))
-                many.append(shingles)
-            if not rows:
-                continue
-            at, nodes, sizes, marks = zip(*rows, strict=True)
-            n = len(rows)
-            everything = np.sort(np.concatenate(many))
-            del many
-            edges = np.flatnonzero(np.r_[True, everything[1:] != everything[:-1]]) if len(everything) else np.zeros(0, np.int64)
-            counts = np.diff(np.r_[edges, len(everything)])
-            often = counts >= COMMON_IN_BATCH
-            hot, hot_n = everything[edges[often]], counts[often]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([ids.take(pa.array(at)).cast(pa.int64()), pa.nulls(len(hot), pa.int64())]),
-                    pa.concat_arrays([pa.array(nodes, pa.int64()), signed(hot)]),
-                    pa.concat_arrays([pa.array(sizes, pa.int64()), pa.array(hot_n, pa.int64())]),
-                    pa.array(np.r_[np.zeros(n, bool), np.ones(len(hot), bool)]),
-                    pa.concat_arrays([pa.array(marks, pa.binary()), pa.nulls(len(hot), pa.binary())]),
-                ],
-                names=["doc", "node", "n", "common", "mark"],
-            )
+            ids = batch.column("_lm_doc").cast(pa.int64())
+            for lo, shingles, cut in shingle_sets(batch, column):
+                n = len(cut) - 1
+                marks = [signature(shingles[a:b]).tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, n), pa.array(nodes_of(shingles, cut)), pa.array(np.diff(cut)), pa.array(np.zeros(n, bool)), pa.array(marks, pa.binary())], names=names)
+                held.append(shingles)
+                if sum(map(len, held)) >= COUNTED_TOGETHER:
+                    yield from common(held)
+                    held = []
+        if held:
+            yield from common(held)
 
     return run
 
@@ -119,23 +135,22 @@ def _prefixes(column: str, common, percent: int):
         filter_bits = np.zeros(1 << 22, bool)
         filter_bits[last & np.uint64((1 << 22) - 1)] = True
         for batch in batches:
-            tokens, nodes, lengths = [], [], []
-            for _, shingles in shingle_sets(batch, column):
-                if not (n := len(shingles)):
-                    continue
-                keep = prefix_length(n, percent)
+            for _, shingles, cut in shingle_sets(batch, column):
+                nodes = nodes_of(shingles, cut)
                 late = filter_bits[shingles & np.uint64((1 << 22) - 1)]
-                if late.any():
+                if len(last) and late.any():
                     maybe = np.flatnonzero(late)
-                    late[maybe] = np.isin(shingles[maybe], last, assume_unique=True)
-                    shingles = np.concatenate([shingles[~late], shingles[late]])
-                tokens.append(shingles[:keep])
-                nodes.append(node_of(shingles))
-                lengths.append(keep)
-            if tokens:
-                out = pa.RecordBatch.from_arrays([signed(np.concatenate(tokens)), pa.array(np.repeat(np.array(nodes, np.int64), lengths))], names=["token", "node"])
-                for i in range(0, out.num_rows, 100_000):
-                    yield out.slice(i, 100_000)
+                    late[maybe] = last[np.minimum(np.searchsorted(last, shingles[maybe]), len(last) - 1)] == shingles[maybe]
+                size = np.diff(cut)
+                keep = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+                row = np.repeat(np.arange(len(size)), size)
+                before = np.zeros(len(late) + 1, np.int64)
+                np.cumsum(late, out=before[1:])
+                late_before = before[:-1] - before[cut[:-1]][row]
+                early = size - (before[cut[1:]] - before[cut[:-1]])
+                place = np.where(late, early[row] + late_before, np.arange(len(late)) - cut[:-1][row] - late_before)
+                chosen = place < keep[row]
+                yield pa.RecordBatch.from_arrays([signed(shingles[chosen]), pa.array(nodes[row[chosen]])], names=["token", "node"])
 
     return run
 
@@ -145,10 +160,11 @@ def _sets(column: str):
         for batch in batches:
             wanted = batch.column("node").to_pylist()
             nodes, arrays = [], []
-            for row, shingles in shingle_sets(batch, column):
-                if node_of(shingles) == wanted[row]:
-                    nodes.append(wanted[row])
-                    arrays.append(shingles.tobytes())
+            for lo, shingles, cut in shingle_sets(batch, column):
+                for i, node in enumerate(nodes_of(shingles, cut).tolist()):
+                    if node == wanted[lo + i]:
+                        nodes.append(node)
+                        arrays.append(shingles[cut[i] : cut[i + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(arrays, pa.binary())], names=["node", "shingles"])
 
     return run
@@ -250,6 +266,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(doc_key(id_col).alias("_lm_doc"), F.col(text_col).alias("_lm_text"))
     seen = durable(base.mapInArrow(_summaries("_lm_text"), "doc long, node long, n long, common boolean, mark binary"), "jaccard-sets")
     members = seen.filter("not common").select("doc", "node", "n")
