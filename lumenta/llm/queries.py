@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from . import ngram_jaccard
+from . import line_dedup, ngram_jaccard, quality_rules, source_mixing
 
 QUERIES = {
+    "op4_quality_rules": quality_rules.query,
+    "op7_line_dedup": line_dedup.query,
     "op8_ngram_jaccard": ngram_jaccard.query,
+    "op9_source_mixing": source_mixing.query,
+}
+ORACLE_SQL = {
+    "op7_line_dedup": line_dedup.ORACLE,
+    "op9_source_mixing": source_mixing.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
