@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, ngram_jaccard, quality_rules, source_mixing
+from . import line_dedup, ngram_jaccard, quality_rules, source_mixing, suffix_dedup
 
 QUERIES = {
     "op4_quality_rules": quality_rules.query,
     "op7_line_dedup": line_dedup.query,
     "op8_ngram_jaccard": ngram_jaccard.query,
     "op9_source_mixing": source_mixing.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 ORACLE_SQL = {
     "op7_line_dedup": line_dedup.ORACLE,
