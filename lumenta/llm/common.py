@@ -45,11 +45,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 def durable(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost
-    executor costs its own tasks only."""
+    executor costs its own tasks only.  The shuffle files behind it go when it is written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lm_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that durable() wrote and nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._lm_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -70,6 +85,8 @@ def from_key(name: str) -> Column:
 _MULT = 0x9E3779B97F4A7C15 | 5  # 5 modulo 8: the powers have the longest period
 _MASK = (1 << 64) - 1
 _BYTE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _powers = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -101,7 +118,7 @@ class Bytes:
         self.offsets = offsets
         self.raw = data
         if fold_case:
-            data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+            data = _FOLD[data]
         self.data = data
         self._sums: np.ndarray | None = None
 
@@ -197,10 +214,10 @@ def grams(word_hash: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of bounded slices of a batch; null is empty."""
     values = batch.column(column)
-    if not pa.types.is_large_string(values.type):
-        values = values.cast(pa.large_string())
+    if not pa.types.is_large_binary(values.type):
+        values = values.cast(pa.large_binary())
     if values.null_count:
-        values = values.fill_null("")
+        values = values.fill_null(b"")
     n = len(values)
     if not n:
         return

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WHITE, Bytes, doc_key, durable, from_key, grams, mix, signed, small_batches, table, text_slices
+from .common import NOT_WHITE, Bytes, discard, doc_key, durable, from_key, grams, mix, signed, small_batches, table, text_slices
 from .components import connected
 
 SHINGLE = 5
@@ -277,9 +277,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ]  # at most COMMON_SHARE times the mean set size
     last = spark.sparkContext.broadcast(np.sort(np.array(common, np.int64).view(np.uint64)))
 
-    rows = base.mapInArrow(_prefixes("_lm_text", last, percent), "token long, node long")
+    rows = durable(base.mapInArrow(_prefixes("_lm_text", last, percent), "token long, node long"), "jaccard-prefixes")
     meeting = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("token")
     meets = durable(rows.join(meeting, "token").distinct(), "jaccard-meets")
+    discard(rows)
 
     classes = members.filter("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"))
     central = meets.groupBy("node").agg(F.count(F.lit(1)).alias("shared")).join(classes, "node")
@@ -294,7 +295,9 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = durable(found.dropDuplicates(["node"]), f"{tag}-arrays")
         x = found.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         y = found.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return durable(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), tag)
+        linked = durable(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), tag)
+        discard(found)
+        return linked
 
     ranked = meets.join(central.select("node", "n", "q"), "node")
     hub = ranked.groupBy("token").agg(F.max(F.struct("q", "node", "n")).alias("hub"))
@@ -311,7 +314,17 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = connected(links, "jaccard-roots")
 
     open_rows = ranked.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_tokens = open_rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo != hi")
+    open_tokens = (
+        open_rows.groupBy("token")
+        .agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"),
+            F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"), F.min("node").alias("first"), F.max("node").alias("last"),
+        )
+        .filter("lo != hi")
+        .filter((F.col("members") > 2) | (100 * F.col("least") >= percent * F.col("most")))
+        .groupBy("members", "one", "two", "first", "last")  # shingles that the same classes share are one tile
+        .agg(F.min("token").alias("token"))
+    )
     marks = seen.filter("not common").select("node", "mark").dropDuplicates(["node"])
     blocks = F.ceil(F.col("members") / TILE).cast("long")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
