@@ -11,10 +11,11 @@ fingerprints (any total order gives the same intervals):
   a window is its anchor; consecutive windows with one anchor form a phrase, so phrases
   overlap and each is at least LENGTH bytes long.  Equal windows have equal anchor grams.
 * Round 1 interleaves all phrases by their anchor gram; grams of one phrase only are done.
-* Round 2 refines by the whole phrase.  A phrase that is not the first of its interval
-  repeats in every window.
-* Round 3 refines by the single window, only for the first phrases of intervals whose anchor
-  gram has different phrases.  A window that is not the first of its interval repeats.
+* Each further round refines the intervals left open.  A string that is not the first of
+  its interval repeats in every window; the first strings of intervals that agree on the
+  context of the round but not on the whole string are split into ranges of fewer windows,
+  which share a longer context: a range of w windows has LENGTH - w + 1 bytes in common.
+  The last round has single windows, whose context is the window itself.
 
 No suffix is sorted again.  The covered bytes are the union of the repeated windows.
 """
@@ -35,8 +36,11 @@ GRAM = 32
 #: Windows that one kernel call looks at; a longer document is taken in pieces.
 CHUNK = 1 << 20
 _POSITION_BITS = 24
-#: A phrase is packed as start * PACK + number of windows.
-PACK = 128
+#: A string of windows is packed as (start * SIDE + anchor - start) * SIDE + windows.
+SIDE = 128
+PACK = SIDE * SIDE
+#: Windows in a range, by round.
+RANGES = (18, 1)
 
 
 def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, int, int, Bytes]]:
@@ -61,11 +65,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(text: Bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, windows, anchor gram's hash) of each phrase."""
+    """(document, start, windows, anchor) of each phrase."""
     n = len(text.data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none.view(np.uint64)
+        return none, none, none, none
     at = np.arange(n - gram + 1)
     hashed = text.hash(at, at + gram)
     low = np.uint64((1 << _POSITION_BITS) - 1)
@@ -82,7 +86,7 @@ def phrases(text: Bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     # a phrase ends before the next start, or where windows stop fitting
     doc = np.searchsorted(text.offsets, start, side="right") - 1
     end = np.minimum(np.r_[start[1:], len(valid)], text.offsets[doc + 1] - length + 1)
-    return doc, start, end - start, hashed[anchor[start]]
+    return doc, start, end - start, anchor[start]
 
 
 def _phrases(length: int, gram: int):
@@ -90,35 +94,62 @@ def _phrases(length: int, gram: int):
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             for lo, hi, base, text in _pieces(batch, length):
-                doc, start, windows, key = phrases(text, length, gram)
+                doc, start, windows, anchor = phrases(text, length, gram)
+                key = text.hash(anchor, anchor + gram)
                 body = text.hash(start, start + windows + (length - 1))
-                place = (start - text.offsets[doc] + base) * PACK + windows
+                place = ((start - text.offsets[doc] + base) * SIDE + anchor - start) * SIDE + windows
                 yield pa.RecordBatch.from_arrays([signed(key), signed(body), pa.array(ids[lo:hi][doc]), pa.array(place)], names=["key", "body", "doc", "place"])
 
     return run
 
 
-def _windows(length: int):
+def _strings(length: int):
+    """The bytes of the places that each document's row names."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc").to_numpy()
-            places = batch.column("places")
-            for lo, hi, base, text in _pieces(batch, length):
-                starts, docs = [], []
+            ids, places = batch.column("doc").to_numpy(), batch.column("places")
+            for lo, hi, data, offsets in text_slices(batch, "_lm_text"):
+                docs, named, found = [], [], []
                 for i in range(lo, hi):
-                    packed = np.array(places[i].as_py(), np.int64)
-                    first, count = packed // PACK - base, packed % PACK
-                    inside = (first >= 0) & (first + count + length - 1 <= text.offsets[i - lo + 1] - text.offsets[i - lo])
-                    first, count = first[inside], count[inside]
-                    steps = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    starts.append(np.repeat(first, count) + steps + text.offsets[i - lo])
-                    docs.append(np.full(len(steps), i))
-                if starts:
-                    at, doc = np.concatenate(starts), np.concatenate(docs)
-                    place = at - text.offsets[doc - lo] + base
-                    for k in range(0, len(at), 50_000):
-                        s = slice(k, k + 50_000)
-                        yield pa.RecordBatch.from_arrays([signed(text.hash(at[s], at[s] + length)), pa.array(ids[doc[s]]), pa.array(place[s])], names=["window", "doc", "at"])
+                    for place in places[i].as_py():
+                        start = place // PACK
+                        end = start + place % SIDE + length - 1
+                        if end <= offsets[i - lo + 1] - offsets[i - lo]:  # else of a repeated id with other text
+                            docs.append(ids[i])
+                            named.append(place)
+                            found.append(data[offsets[i - lo] + start : offsets[i - lo] + end].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(named, pa.int64()), pa.array(found, pa.binary())], names=["doc", "parent", "string"])
+
+    return run
+
+
+def _split(length: int, width: int):
+    """Strings to ranges of windows.  Ranges are cut by the distance from window to anchor, so
+    equal windows fall in ranges of equal context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, parents, places = (batch.column(c).to_numpy() for c in ("doc", "parent", "place"))
+            for lo, hi, data, offsets in text_slices(batch, "string"):
+                text = Bytes(data, offsets)
+                start, back, windows = places[lo:hi] // PACK, places[lo:hi] // SIDE % SIDE, places[lo:hi] % SIDE
+                shift = start - parents[lo:hi] // PACK  # of the part in its string
+                least = back - windows + 1  # distance of the last window
+                low, high = least // width, back // width
+                count = high - low + 1
+                row = np.repeat(np.arange(hi - lo), count)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
+                far, near = np.minimum(step * width + width - 1, back[row]), np.maximum(step * width, least[row])
+                zero = offsets[row] + shift[row] + back[row]  # the anchor
+                # the context is that of the whole range, as far as the string reaches
+                context = text.hash(zero - np.maximum(step * width, 0), zero - (step * width + width - 1) + length)
+                key = context + step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                body = text.hash(zero - far, zero - near + length)
+                place = ((start[row] + back[row] - far) * SIDE + far) * SIDE + far - near + 1
+                for k in range(0, len(row), 50_000):
+                    s = slice(k, k + 50_000)
+                    yield pa.RecordBatch.from_arrays([signed(key[s]), signed(body[s]), pa.array(docs[lo:hi][row[s]]), pa.array(place[s]), pa.array(parents[lo:hi][row[s]])], names=["key", "body", "doc", "place", "parent"])
 
     return run
 
@@ -144,7 +175,7 @@ def _cut(length: int):
                         spans.append([])
                         continue
                     packed = np.array(hits[i].as_py(), np.int64)
-                    cut = merged(np.stack([packed // PACK, np.minimum(packed // PACK + packed % PACK + length - 1, len(own))], axis=1))
+                    cut = merged(np.stack([packed // PACK, np.minimum(packed // PACK + packed % SIDE + length - 1, len(own))], axis=1))
                     cut = cut[cut[:, 0] < cut[:, 1]]
                     edge = np.zeros(len(own) + 1, np.int8)
                     edge[cut[:, 0]] += 1
@@ -167,22 +198,33 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sorts last.  Rows that repeat an id are one document seen again and do not remove each
     other's bytes.  Other columns of docs are not read.
     """
-    if not 0 < gram <= length < gram + PACK:
-        raise ValueError("gram must be at most length, and length - gram under PACK")
+    if not 0 < gram <= length < gram + SIDE:
+        raise ValueError("gram must be at most length, and length - gram under SIDE")
     small_batches(docs.sparkSession)
     base = docs.select(doc_key(id_col).alias("doc"), F.col(text_col).alias("_lm_text"))
-    parsed = base.mapInArrow(_phrases(length, gram), "key long, body long, doc long, place long")
-    shared = parsed.groupBy("key").agg(F.min("body").alias("lo"), F.max("body").alias("hi"), F.count(F.lit(1)).alias("found")).filter("found > 1")
-    again = durable(parsed.join(shared.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "key").select("body", "doc", "place", "mixed"), "suffix-phrases")
-    first = durable(again.groupBy("body").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("found"), F.bool_or("mixed").alias("mixed")), "suffix-first")
-    repeated = again.join(first.filter("found > 1").select("body", "first"), "body").filter("doc != first.doc or place != first.place").select("doc", "place")
 
-    open_phrases = first.filter("mixed").groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list("first.place").alias("places"))
-    windows = durable(base.join(open_phrases, "doc").mapInArrow(_windows(length), "window long, doc long, at long"), "suffix-windows")
-    origin = windows.groupBy("window").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("found")).filter("found > 1")
-    single = windows.join(origin.select("window", "first"), "window").filter("doc != first.doc or at != first.at").select("doc", (F.col("at") * PACK + 1).alias("place"))
+    def settle(parts: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+        """Of strings (key, body, doc, place, parent): the places that repeat, and the first
+        places of bodies that share their key with other bodies."""
+        shared = parts.groupBy("key").agg(F.min("body").alias("lo"), F.max("body").alias("hi"), F.count(F.lit(1)).alias("found")).filter("found > 1")
+        again = parts.join(shared.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "key").drop("key")
+        again = durable(again, f"{tag}-again")
+        first = again.groupBy("body").agg(F.min(F.struct("doc", "place", "parent")).alias("first"), F.count(F.lit(1)).alias("found"), F.bool_or("mixed").alias("mixed"))
+        first = durable(first, f"{tag}-first")
+        later = again.join(first.filter("found > 1").select("body", "first"), "body").filter("doc != first.doc or place != first.place")
+        return later.select("doc", "place"), first.filter("mixed").select("first.*")
 
-    hits = durable(repeated.unionByName(single).groupBy("doc").agg(F.collect_set("place").alias("places")), "suffix-hits")
+    parsed = base.mapInArrow(_phrases(length, gram), "key long, body long, doc long, place long")
+    repeated, left = settle(parsed.withColumn("parent", F.lit(0).cast("long")), "suffix-0")
+    wanted = left.groupBy("doc").agg(F.collect_set("place").alias("places"))
+    strings = durable(base.join(wanted, "doc").mapInArrow(_strings(length), "doc long, parent long, string binary").dropDuplicates(["doc", "parent"]), "suffix-strings")
+    left = strings.select("doc", "parent", F.col("parent").alias("place"), "string")
+    for k, width in enumerate(RANGES, 1):
+        later, left = settle(left.mapInArrow(_split(length, width), "key long, body long, doc long, place long, parent long"), f"suffix-{k}")
+        repeated = repeated.unionByName(later)
+        left = left.join(strings, ["doc", "parent"]).select("doc", "parent", "place", "string")
+
+    hits = durable(repeated.groupBy("doc").agg(F.collect_set("place").alias("places")), "suffix-hits")
     out = base.join(hits, "doc", "left").mapInArrow(_cut(length), "doc long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     return out.select(from_key("doc").alias("doc_id"), "n_bytes", "spans", "kept")
 
