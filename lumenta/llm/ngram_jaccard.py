@@ -38,7 +38,7 @@ COUNTED_TOGETHER = 2_000_000
 #: Members of a tile; a larger group is dealt to several tiles, each pair of blocks to one.
 TILE = 2048
 #: Bits of the signature for each shingle, and the largest signature in 64-bit words.
-BITS_PER_SHINGLE, MAX_SIGNATURE_WORDS = 4, 64
+BITS_PER_SHINGLE, MAX_SIGNATURE_WORDS = 4, 1024
 
 
 def shingle_sets(batch: pa.RecordBatch, column: str, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -279,6 +279,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = durable(base.mapInArrow(_prefixes("_lm_text", last, percent), "token long, node long"), "jaccard-prefixes")
     meeting = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("token")
+    meeting = durable(meeting, "jaccard-meeting")  # with an exchange on either side, hot shingles are split when joined
     meets = durable(rows.join(meeting, "token").distinct(), "jaccard-meets")
     discard(rows)
 
