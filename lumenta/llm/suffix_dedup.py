@@ -207,8 +207,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """Of strings (key, body, doc, place, parent): the places that repeat, and the first
         places of bodies that share their key with other bodies."""
         shared = parts.groupBy("key").agg(F.min("body").alias("lo"), F.max("body").alias("hi"), F.count(F.lit(1)).alias("found")).filter("found > 1")
-        again = parts.join(shared.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "key").drop("key")
-        again = durable(again, f"{tag}-again")
+        shared = durable(shared.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), f"{tag}-shared")
+        again = durable(parts.join(shared, "key").drop("key"), f"{tag}-again")  # hot keys are split
         first = again.groupBy("body").agg(F.min(F.struct("doc", "place", "parent")).alias("first"), F.count(F.lit(1)).alias("found"), F.bool_or("mixed").alias("mixed"))
         first = durable(first, f"{tag}-first")
         later = again.join(first.filter("found > 1").select("body", "first"), "body").filter("doc != first.doc or place != first.place")
