@@ -1,8 +1,68 @@
-"""Filter, deduplicate, decontaminate and mix a corpus, in stages."""
+"""From raw documents to a training mix, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on everything that the one before kept; its
+result is written and read again before the next.  All but the last return the columns of
+documents; the last returns them too, each row as often as the mix takes it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenta.llm import decontaminate, line_dedup, ngram_jaccard, quality_rules, source_mixing
+from lumenta.llm.common import doc_key, durable, table
+
+
+def _own(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the learned rules reject go."""
+    return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated three-line windows go; so does a document of which nothing is left."""
+    cut = line_dedup.line_dedup(docs)
+    left = (F.col("_lm_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return cut.filter(left).select(*_own(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays.  Rows without
+    an id stay; rows that repeat an id stay or go together."""
+    found = ngram_jaccard.ngram_jaccard(docs)
+    gone = found.filter("doc_id is not null and component_id <> doc_id").select(doc_key().alias("_lm_doc")).distinct()
+    return docs.withColumn("_lm_doc", doc_key()).join(gone, "_lm_doc", "left_anti").select(*_own(docs))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target asks for."""
+    return source_mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark),
+    ("mixing sources", mix),
+]
+
+#: Learned rules and connected components have no SQL twin; the tests hold run() against a
+#: brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
