@@ -38,7 +38,7 @@ COUNTED_TOGETHER = 2_000_000
 #: Members of a tile; a larger group is dealt to several tiles, each pair of blocks to one.
 TILE = 2048
 #: Bits of the signature for each shingle, and the largest signature in 64-bit words.
-BITS_PER_SHINGLE, MAX_SIGNATURE_WORDS = 4, 1024
+BITS_PER_SHINGLE, MAX_SIGNATURE_WORDS = 12, 2048
 
 
 def shingle_sets(batch: pa.RecordBatch, column: str, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
