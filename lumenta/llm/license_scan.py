@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that count only as a whole, word for word.
@@ -64,6 +64,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     votes = df.join(_templates(spark), "hash").select("row", "doc_id", "phrase", "p", "at", (F.col("p") - F.col("at")).alias("diagonal"))
     diagonals = votes.groupBy("row", "doc_id", "phrase", "diagonal").agg(F.count_distinct("at").alias("n"), F.min("p").alias("start"), (F.max("p") + 2).alias("end"))
+    diagonals = durable(diagonals, "license-diagonals")
     phrases = BASE + NOTICES
     sizes = F.array(*[F.lit(len(p.split()) - 1) for p, _ in phrases])
     labels = F.array(*[F.lit(label) for _, label in phrases])
