@@ -85,9 +85,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     windows = durable(base.mapInArrow(_windows(n), "window long, doc long, line long"), "line-windows")
     first = windows.groupBy("window").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("found")).filter("found > 1").select("window", "first")
     first = durable(first, "line-first")  # with an exchange on either side, hot windows are split when joined
-    later = windows.join(first, "window").filter((F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line")))
+    later = windows.join(first.hint("merge"), "window").filter((F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line")))
     hits = durable(later.groupBy("doc").agg(F.collect_set("line").alias("_lm_hits")), "line-hits")
-    whole = docs.withColumn("_lm_doc", doc_key(id_col)).join(hits.withColumnRenamed("doc", "_lm_doc"), "_lm_doc", "left")
+    whole = docs.withColumn("_lm_doc", doc_key(id_col)).join(hits.withColumnRenamed("doc", "_lm_doc").hint("merge"), "_lm_doc", "left")
     schema = T.StructType([*docs.schema.fields, T.StructField("_lm_lines", T.LongType()), T.StructField("_lm_removed", T.LongType())])
     order = [F.col(f"`{c}`") for c in docs.columns]
     return whole.select(*order, "_lm_doc", "_lm_hits").mapInArrow(_cut(n, text_col), schema)
