@@ -38,7 +38,7 @@ COUNTED_TOGETHER = 2_000_000
 #: Members of a tile; a larger group is dealt to several tiles, each pair of blocks to one.
 TILE = 2048
 #: Bits of the signature for each shingle, and the largest signature in 64-bit words.
-BITS_PER_SHINGLE, MAX_SIGNATURE_WORDS = 12, 2048
+BITS_PER_SHINGLE, MAX_SIGNATURE_WORDS = 8, 2048
 
 
 def shingle_sets(batch: pa.RecordBatch, column: str, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -292,7 +292,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = durable(pairs, f"{tag}-pairs")
         named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = named.join(classes, "node").select("node", F.col("doc").alias("_lm_doc"))
-        found = base.join(wanted, "_lm_doc").select("node", "_lm_text").mapInArrow(_sets("_lm_text"), "node long, shingles binary")
+        found = base.join(wanted.hint("merge"), "_lm_doc").select("node", "_lm_text").mapInArrow(_sets("_lm_text"), "node long, shingles binary")
         found = durable(found.dropDuplicates(["node"]), f"{tag}-arrays")
         x = found.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         y = found.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
@@ -331,16 +331,16 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = (
         open_rows.join(open_tokens.select("token", blocks.alias("blocks")), "token")
-        .join(marks, "node")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select(
             "token",
             (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("tile"),
-            "node", "n", "root", "mark",
+            "node", "n", "root",
             F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("long").alias("side"),
         )
     )
+    dealt = durable(dealt, "jaccard-tiles").join(marks.hint("merge"), "node")
     rest = dealt.repartition("token", "tile").sortWithinPartitions("token", "tile").mapInArrow(_tiles(percent), "a long, b long")
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.unionByName(settled(rest, "jaccard-rest"))
