@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     an id stay; rows that repeat an id stay or go together."""
     found = ngram_jaccard.ngram_jaccard(docs)
     gone = found.filter("doc_id is not null and component_id <> doc_id").select(doc_key().alias("_lm_doc")).distinct()
-    return docs.withColumn("_lm_doc", doc_key()).join(gone, "_lm_doc", "left_anti").select(*_own(docs))
+    return docs.withColumn("_lm_doc", doc_key()).join(gone.hint("merge"), "_lm_doc", "left_anti").select(*_own(docs))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,7 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows, with its own columns only."""
     leaks = durable(contaminated(docs, benchmark).select(doc_key().alias("_lm_doc")).distinct(), "leaks")
-    return docs.withColumn("_lm_doc", doc_key()).join(leaks, "_lm_doc", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumn("_lm_doc", doc_key()).join(leaks.hint("merge"), "_lm_doc", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -246,7 +246,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the rules reject, with its own columns only."""
     verdict = quality_rules(docs, labels).select(doc_key().alias("_lm_doc"), "kept").groupBy("_lm_doc").agg(F.bool_or("kept").alias("_lm_kept"))
     keep = verdict.filter("_lm_kept").select("_lm_doc")
-    return docs.withColumn("_lm_doc", doc_key()).join(keep, "_lm_doc", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumn("_lm_doc", doc_key()).join(keep.hint("merge"), "_lm_doc", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
