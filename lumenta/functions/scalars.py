@@ -120,36 +120,12 @@ def folder_name(c: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(dims.UNKNOWN_MODEL))
 
 
-def device_label(make: Column, model: Column, app: Column | None = None) -> Column:
-    """F12 steps 1-5, F13, J15: the folder label of a device."""
-    app = F.lower(F.coalesce(app, F.lit(""))) if app is not None else F.lit("")
-    make, model = F.trim(F.coalesce(make, F.lit(""))), F.trim(F.coalesce(model, F.lit("")))
-    make = F.coalesce(lookup(F.lower(make), dims.MAKE_NAMES), make)
-    low = F.lower(make)
-    model = F.when((low != "") & F.startswith(F.lower(model), low), F.trim(F.substring(model, F.length(make) + 1, F.length(model)))).otherwise(model)
-    model = F.coalesce(lookup(F.lower(model), dims.MODEL_ALIASES), model)
-    key = F.lower(model)
+def first_codes() -> dict[str, str]:
+    """lower-case marketing name to its first model code."""
     codes: dict[str, str] = {}
     for code, name in dims.XIAOMI_NAMES.items():
         codes.setdefault(name.lower(), code.upper())
-    drone = F.coalesce(lookup(key, dims.DRONE_MODELS), *[F.when(F.contains(app, F.lit(k)), F.lit(v)) for k, v in dims.DRONE_APPS.items()])
-    own = any_of(low, ("xiaomi", "redmi", "poco"))
-    name = (
-        F.when(F.contains(low, F.lit("dji")), F.lit(None).cast("string"))
-        .when(own, lookup(key, dims.XIAOMI_NAMES))
-        .when(F.contains(low, F.lit("huawei")), lookup(key, dims.HUAWEI_NAMES))
-        .when(F.contains(low, F.lit("samsung")), lookup(key, dims.SAMSUNG_NAMES))
-    )
-    code = F.when(own & name.isNull(), lookup(F.trim(F.concat_ws(" ", low, key)), codes))
-    plain = F.concat_ws(" ", filled(make), filled(model))
-    return (
-        F.when((make == "") & (model == ""), F.lit(dims.UNKNOWN_MODEL))
-        .when(F.contains(low, F.lit("dji")) & drone.isNotNull(), drone)
-        .when(code.isNotNull(), folder_name(F.concat_ws(" ", make, model, code)))
-        .when(name.isNotNull() & F.startswith(F.lower(name), low), folder_name(F.concat_ws(" ", name, model)))
-        .when(name.isNotNull(), folder_name(F.concat_ws(" ", make, name, model)))
-        .otherwise(folder_name(plain))
-    )
+    return codes
 
 
 def fast_hash(text: Column) -> Column:

@@ -1,10 +1,946 @@
-"""Queries over the driver's tables, by name, and the SQL that must agree with them."""
+"""Queries over the driver's tables, by name, and the SQL that must agree with them.
+
+Views stand for media catalogs: both engines read the same view text, and the queries
+themselves are written twice, as DataFrame operators here and as plain SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import dims
+from .functions import scalars as S
+from .operators import catalog as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _pick(key: str, *values: str) -> str:
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+
+
+_NAME = _pick("doc_id", "IMG_", "Screenshot_", "C360_", "_DSC", "DJI_", "pic ") + " || CAST(doc_id AS STRING) || " + _pick("doc_id", ".jpg", ".JPG", ".png", ".mp4", ".mov", ".dng", ".txt", ".srt")
+_HASH = "md5(concat_ws('|', CAST(length(text) AS STRING), substring(text, 1, 16384), CASE WHEN length(text) > 32768 THEN right(text, 16384) END))"
+VIEWS = {
+    "files": f"""SELECT doc_id AS id, doc_id AS ord, text, source, lang, '/src/' || source || '/' || lang AS dir, {_NAME} AS name,
+        '/src/' || source || '/' || lang || '/' || {_NAME} AS path, n_chars * 64 AS size, {_HASH} AS hash,
+        CASE WHEN doc_id % 8 IN (3, 4) THEN 'video' WHEN doc_id % 8 IN (6, 7) THEN 'companion' ELSE 'photo' END AS media,
+        1704067200 + doc_id * 60 AS mtime_s FROM documents""",
+    "devices": f"""SELECT p_partkey AS id, '/d' || CAST(p_partkey % 97 AS STRING) AS dir,
+        {_pick("p_partkey", "Canon", "NIKON CORPORATION", "SONY", "Sony Corporation", "Apple", "HUAWEI", "samsung", "Xiaomi", "DJI", "", "Sony Ericsson", "Acme")} AS make,
+        {_pick("(p_partkey * 7)", "EOS 700D", "NIKON D90", "ILCE-7RM2", "Xperia Z", "iPhone 8", "MT7-CL00", "GT-I9100", "23127PN0CC", "FC8582", "", "iphone10,3", "Canon EOS RP", "14")} AS model,
+        CASE WHEN p_partkey % 3 = 0 THEN 'video' ELSE 'photo' END AS media_type,
+        CAST(p_size AS BIGINT) * 4096 AS size, CAST(p_size * 20 AS INT) AS width, CAST((p_partkey % 50) * 20 AS INT) AS height,
+        {_pick("p_partkey", "", "DJI Flip 1.0", "other", "dji fly")} AS app FROM part""",
+    "scores": """SELECT doc_id AS id, CAST(doc_id * 37 % 101 AS DOUBLE) / 100 AS coarse, CAST(doc_id * 53 % 101 AS DOUBLE) / 100 AS fine,
+        CAST(doc_id * 29 % 101 AS DOUBLE) / 100 AS a, CAST(doc_id * 71 % 101 AS DOUBLE) / 100 AS b, quality, toxic FROM labels""",
+    "cache": """SELECT event_id AS id, user_id, event_type, '/c/' || CAST(user_id AS STRING) || '/' || CAST(event_id % 40 AS STRING) AS path,
+        event_id % 7 AS size, props, CAST(event_id % 1000 AS DOUBLE) / 100 AS mtime FROM events""",
+    "tree": """SELECT page_id AS id, split_part(split_part(url, '://', 2), '?', 1) AS p FROM pages""",
+    "faces": """SELECT vec_id AS id, embedding, label FROM embeddings""",
+}
+_TABLES = {"files": "documents", "devices": "part", "scores": "labels", "cache": "events", "tree": "pages", "faces": "embeddings"}
+
+
+class Views:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in VIEWS:
+            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = _TABLES[name]
+        return self.spark.sql(VIEWS[name].replace(f"FROM {table}", "FROM {t}").replace("\n", " "), t=self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet"))
+
+
+def query(sql: str | None = None, *views: str):
+    """Register a query under its function's name; sql sees the views named."""
+
+    def add(f: Callable[[Views], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql is not None:
+            head = ", ".join(f"{v} AS ({VIEWS[v]})" for v in views)
+            own = sql.strip()
+            ORACLE_SQL[f.__name__] = (f"WITH {head}, {own[5:]}" if own[:5].upper() == "WITH " else f"WITH {head} {own}") if head else own
+        return f
+
+    return add
+
+
+def _list(words) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+def _any(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+_DEVICE_TYPE = f"""CASE WHEN lower(make) = '' THEN 'unknown'
+  WHEN lower(make) IN {_list(dims.AMBIGUOUS_BRANDS)} THEN CASE WHEN {_any("lower(model)", dims.SONY_PHONE_KEYWORDS)} THEN 'phone'
+    WHEN {_any("lower(model)", dims.SONY_CAMERA_KEYWORDS)} THEN 'camera' ELSE 'unknown' END
+  WHEN {_any("lower(make)", dims.CAMERA_BRANDS)} THEN 'camera' WHEN {_any("lower(make)", dims.PHONE_BRANDS)} THEN 'phone' ELSE 'unknown' END"""
+_TARGET = f"""(make <> '' AND lower(model) NOT IN {_list(dims.EXCLUDED_TARGETS)}
+  AND ({_any("lower(make)", dims.TARGET_BRANDS)} OR {_any("lower(make) || ' ' || lower(model)", dims.TARGET_MODELS)}))"""
+_SMALL = f"(media_type = 'photo' AND ((size > 0 AND size < {dims.MIN_FILE_BYTES}) OR (width BETWEEN 1 AND 299 AND height BETWEEN 1 AND 299)))"
+_EXT = "lower(regexp_extract(name, '.(\\.[^./]*)$', 1))"
+_QUARTER = """'Q' || quarter(d) || '-M' || (quarter(d) * 3 - 2) || '-' || (quarter(d) * 3 - 1) || '-' || (quarter(d) * 3)"""
+
+
+# ---------------------------------------------------------------- deduplication
+
+
+@query(f"""SELECT path, dup_of, CASE WHEN dup_of IS NULL THEN 'ok' ELSE 'skipped_dup' END AS status,
+  CASE WHEN dup_of IS NULL THEN 'out/' || folder || '/' || name END AS destination
+  FROM (SELECT path, name, CASE WHEN row_number() OVER w > 1 THEN first_value(path) OVER w END AS dup_of,
+    year(d) || '-' || {_QUARTER} AS folder FROM (SELECT *, make_timestamp(mtime_s * 1000000) AS d FROM files) WINDOW w AS (PARTITION BY hash ORDER BY ord))""", "files")
+def dedup_organize(v):
+    """F14 W01 F09 F10 R02"""
+    found = C.deduplicate(v.files.withColumn("hash", S.fast_hash(F.col("text"))))
+    folder = S.date_folder(F.timestamp_seconds("mtime_s"))
+    return found.select("path", "dup_of", "status", F.when(F.col("dup_of").isNull(), F.concat_ws("/", F.lit("out"), folder, "name")).alias("destination"))
+
+
+@query("SELECT id, hash FROM files", "files")
+def fast_hash(v):
+    return v.files.select("id", S.fast_hash(F.col("text")).alias("hash"))
+
+
+@query("SELECT path, o AS dup_of FROM (SELECT path, first_value(path) OVER w AS o, row_number() OVER w AS n FROM files WINDOW w AS (PARTITION BY hash ORDER BY ord)) WHERE n > 1", "files")
+def dedup_dup_pairs(v):
+    """W01 G10"""
+    return C.deduplicate(v.files).filter("dup_of is not null").select("path", "dup_of")
+
+
+@query("""WITH i AS (SELECT hash, min(path) AS p FROM files WHERE id % 3 = 0 GROUP BY hash)
+  SELECT path FROM files f WHERE id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM i WHERE i.hash = f.hash)""", "files")
+def existing_anti_join(v):
+    """J05"""
+    return v.files.filter("id % 3 <> 0").join(v.files.filter("id % 3 = 0").select("hash"), "hash", "left_anti").select("path")
+
+
+@query("""SELECT path, status, coalesce(dup_of, '') AS dup_of FROM (SELECT path, 'ok' AS status, NULL AS dup_of FROM (
+  SELECT path, row_number() OVER (PARTITION BY hash, explicit ORDER BY ord) AS n, explicit, EXISTS (SELECT 1 FROM x WHERE x.hash = t.hash) AS known
+  FROM (SELECT *, id % 5 = 0 AS explicit FROM files) t) WHERE n = 1 AND (explicit OR NOT known))"""
+  .replace("SELECT path, status", "WITH x AS (SELECT DISTINCT hash FROM files WHERE id % 7 = 0) SELECT path, status", 1), "files")
+def explicit_override_dedup(v):
+    """A known hash outside the special folder does not stop an explicit file."""
+    index = v.files.filter("id % 7 = 0").select("hash").distinct().withColumn("known", F.lit(True))
+    t = C.ranked(v.files.withColumn("explicit", F.col("id") % 5 == 0), ["hash", "explicit"], [F.col("ord")], "n").join(index, "hash", "left")
+    return t.filter((F.col("n") == 1) & (F.col("explicit") | F.col("known").isNull())).select("path", F.lit("ok").alias("status"), F.lit("").alias("dup_of"))
+
+
+@query("SELECT hash, coalesce(min(path) FILTER (WHERE contains(path, 'src1')), min(path)) AS path, count(*) AS copies FROM files GROUP BY hash", "files")
+def best_representative(v):
+    """G09"""
+    return C.best_representative(v.files, album="src1")
+
+
+@query("SELECT a.path, b.path AS reuse FROM (SELECT path, hash, row_number() OVER (PARTITION BY hash ORDER BY ord) AS n FROM files WHERE id % 2 = 0) a JOIN (SELECT hash, min(path) AS path FROM files WHERE id % 2 = 1 GROUP BY hash) b USING (hash) WHERE n = 1", "files")
+def reuse_lookup(v):
+    """An entry is used once, by the first file of its hash."""
+    index = C.best_representative(v.files.filter("id % 2 = 1")).select("hash", F.col("path").alias("reuse"))
+    return C.ranked(v.files.filter("id % 2 = 0"), ["hash"], [F.col("ord")]).filter("rn = 1").join(index, "hash").select("path", "reuse")
+
+
+@query("SELECT count(*) AS files, (sum(size) - sum(size) FILTER (WHERE n = 1))::BIGINT AS freed_bytes FROM (SELECT size, row_number() OVER (PARTITION BY hash ORDER BY ord) AS n FROM files)", "files")
+def freed_bytes(v):
+    """G11"""
+    t = C.ranked(v.files, ["hash"], [F.col("ord")])
+    return t.agg(F.count(F.lit(1)).alias("files"), F.sum(F.when(F.col("rn") > 1, F.col("size")).otherwise(0)).alias("freed_bytes"))
+
+
+# ----------------------------------------------------------------- cache joins
+
+_CACHE_HIT = "f.size = c.size AND abs(f.mtime - c.mtime) < 0.01 AND f.mtime > 0 AND c.mtime > 0"
+
+
+@query(f"WITH f AS (SELECT * FROM cache WHERE id % 2 = 0), c AS (SELECT path, max(size) AS size, max(mtime) AS mtime FROM cache WHERE id % 2 = 1 OR id % 6 = 0 GROUP BY path) SELECT f.id, c.path IS NOT NULL AND {_CACHE_HIT} IS TRUE AS hit FROM f LEFT JOIN c ON f.path = c.path", "cache")
+def incremental_cache_hits(v):
+    """J01 F39"""
+    c = v.cache.filter("id % 2 = 1 or id % 6 = 0").groupBy("path").agg(F.max("size").alias("c_size"), F.max("mtime").alias("c_mtime"))
+    zero = F.lit(0.0)
+    hit = (F.col("size") == F.col("c_size")) & S.same_time(F.col("mtime"), zero, F.col("c_mtime"), zero)
+    return v.cache.filter("id % 2 = 0").join(c, "path", "left").select("id", F.coalesce(hit, F.lit(False)).alias("hit"))
+
+
+@query("WITH n AS (SELECT path, max(id) AS value FROM cache WHERE id % 2 = 0 GROUP BY path), o AS (SELECT path, max(id) AS value FROM cache WHERE id % 3 = 0 GROUP BY path) SELECT path, coalesce(n.value, o.value) AS value FROM n FULL JOIN o USING (path)", "cache")
+def cache_merge_precedence(v):
+    """J02 S03"""
+    new, old = (v.cache.filter(f"id % {k} = 0").groupBy("path").agg(F.max("id").alias("value")) for k in (2, 3))
+    return C.upsert(new, old, ["path"])
+
+
+@query("SELECT id, coalesce(s.coarse, -1) AS score FROM files LEFT JOIN scores s USING (id)", "files", "scores")
+def score_cache_left_join(v):
+    """J08 S06"""
+    return v.files.join(v.scores, "id", "left").select("id", F.coalesce("coarse", F.lit(-1.0)).alias("score"))
+
+
+@query("SELECT id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM cache WHERE json_extract(props, '$.k') IS NOT NULL", "cache")
+def json_cache_explode(v):
+    """A18"""
+    entries = F.from_json("props", "map<string, bigint>")
+    return v.cache.select("id", F.explode(entries).alias("key", "k")).filter("key = 'k' and k is not null").select("id", "k")
+
+
+@query("SELECT id, id AS back, event_type FROM cache", "cache")
+def cache_roundtrip(v):
+    """F40 K10"""
+    text = F.to_json(F.struct("id", "event_type"))
+    return v.cache.select("id", F.from_json(text, "id bigint, event_type string").alias("j")).select("id", F.col("j.id").alias("back"), "j.event_type")
+
+
+@query("SELECT id, coarse FROM scores WHERE coarse <> 1.0", "scores")
+def cache_clean(v):
+    """K15"""
+    return v.scores.filter(F.col("coarse") != 1.0).select("id", "coarse")
+
+
+# ------------------------------------------------------- cleanup and restoring
+
+
+@query("SELECT path, hash, size FROM files f WHERE id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM files g WHERE g.id % 8 = 0 AND g.path = f.path)", "files")
+def restore_missing(v):
+    """J11"""
+    return v.files.filter("id % 4 = 0").join(v.files.filter("id % 8 = 0").select("path"), "path", "left_anti").select("path", "hash", "size")
+
+
+@query("WITH m AS (SELECT path, hash, size FROM files WHERE id % 4 = 0), o AS (SELECT hash, min(path) AS found FROM files WHERE id % 4 <> 0 AND size IN (SELECT size FROM m) GROUP BY hash) SELECT path, found FROM m LEFT JOIN o USING (hash)", "files")
+def restore_match(v):
+    """J12"""
+    return C.restore_matches(v.files.filter("id % 4 = 0").select("path", "hash", "size"), v.files.filter("id % 4 <> 0")).select("path", "found")
+
+
+@query("WITH t AS (SELECT hash, min(path) AS target FROM files WHERE id % 5 = 0 GROUP BY hash) SELECT path, target, CASE WHEN target IS NULL THEN 'unique' ELSE 'matched' END AS kind FROM files LEFT JOIN t USING (hash) WHERE id % 5 <> 0", "files")
+def cleanup_hash_match(v):
+    """J09"""
+    t = v.files.filter("id % 5 = 0").groupBy("hash").agg(F.min("path").alias("target"))
+    return v.files.filter("id % 5 <> 0").join(t, "hash", "left").select("path", "target", F.when(F.col("target").isNull(), "unique").otherwise("matched").alias("kind"))
+
+
+_PAIRS = "p AS (SELECT a.path AS source, b.path AS dest FROM files a JOIN (SELECT id - 1 AS id, path || CASE WHEN id % 9 = 0 THEN 'x' ELSE '' END AS path FROM files) b USING (id))"
+
+
+@query(f"""WITH {_PAIRS} SELECT p.source, dest, CASE WHEN d.size IS NULL THEN 'dest_missing' WHEN s.size <> d.size THEN 'size_mismatch'
+  WHEN s.hash <> d.hash THEN 'hash_mismatch' ELSE 'verified' END AS outcome FROM p JOIN files s ON s.path = p.source LEFT JOIN files d ON d.path = dest""", "files")
+def cleanup_verify_ladder(v):
+    """J10"""
+    b = v.files.select((F.col("id") - 1).alias("id"), F.concat("path", F.when(F.col("id") % 9 == 0, "x").otherwise("")).alias("dest"))
+    return C.verify_pairs(v.files.select("id", F.col("path").alias("source")).join(b, "id").select("source", "dest"), v.files)
+
+
+@query("WITH t AS (SELECT DISTINCT hash FROM files WHERE id % 5 = 0) SELECT source, count(*) AS files, count(t.hash) AS matched, sum(CASE WHEN t.hash IS NULL THEN 0 ELSE size END)::BIGINT AS matched_bytes FROM files LEFT JOIN t USING (hash) WHERE id % 5 <> 0 GROUP BY source", "files")
+def cleanup_stats(v):
+    """G12"""
+    t = v.files.filter("id % 5 = 0").select("hash").distinct().withColumn("m", F.lit(1))
+    j = v.files.filter("id % 5 <> 0").join(t, "hash", "left")
+    return j.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.count("m").alias("matched"), F.sum(F.when(F.col("m") == 1, F.col("size")).otherwise(0)).alias("matched_bytes"))
+
+
+@query("WITH m AS (SELECT path, hash, size FROM files WHERE id % 4 = 0), o AS (SELECT hash, min(path) AS found FROM files WHERE id % 4 <> 0 GROUP BY hash) SELECT count(*) AS missing, count(found) AS restorable, sum(CASE WHEN found IS NOT NULL THEN size ELSE 0 END)::BIGINT AS bytes FROM m LEFT JOIN o USING (hash)", "files")
+def restore_stats(v):
+    """G13"""
+    m = C.restore_matches(v.files.filter("id % 4 = 0").select("path", "hash", "size"), v.files.filter("id % 4 <> 0"))
+    return m.agg(F.count(F.lit(1)).alias("missing"), F.count("found").alias("restorable"), F.sum(F.when(F.col("found").isNotNull(), F.col("size")).otherwise(0)).alias("bytes"))
+
+
+@query("SELECT coalesce(path, '[hash=' || s.id || ', path not found]') AS path, coarse, row_number() OVER (ORDER BY coarse DESC, s.id) AS rank FROM scores s LEFT JOIN (SELECT * FROM files WHERE id % 3 <> 0) f ON s.id = f.id", "files", "scores")
+def score_paths(v):
+    """J13"""
+    lost = F.concat(F.lit("[hash="), F.col("id").cast("string"), F.lit(", path not found]"))
+    t = v.scores.join(v.files.filter("id % 3 <> 0").select("id", "path"), "id", "left")
+    # a report in one order: the rank is the feature
+    return t.select(F.coalesce("path", lost).alias("path"), "coarse", F.row_number().over(Window.orderBy(F.desc("coarse"), "id")).cast("long").alias("rank"))
+
+
+@query("WITH w AS (SELECT id, path, lower(name) AS n FROM files WHERE id % 3 = 0), k AS (SELECT path, lower(name) AS n, id FROM files WHERE id % 2 = 0), b AS (SELECT n, max_by(path, id) AS path FROM k GROUP BY n) SELECT w.id, coalesce(k.path, b.path) AS found FROM w LEFT JOIN k ON w.path = k.path LEFT JOIN b ON w.n = b.n", "files")
+def fuzzy_name_match(v):
+    """J14"""
+    k = v.files.filter("id % 2 = 0").select("path", F.lower("name").alias("n"), "id")
+    by_path, by_name = k.select("path", F.col("path").alias("same")), k.groupBy("n").agg(F.max_by("path", "id").alias("like"))
+    w = v.files.filter("id % 3 = 0").select("id", "path", F.lower("name").alias("n"))
+    return w.join(by_path, "path", "left").join(by_name, "n", "left").select("id", F.coalesce("same", "like").alias("found"))
+
+
+# --------------------------------------------------------------- classification
+
+
+@query(f"SELECT id, {_DEVICE_TYPE} AS device_type FROM devices", "devices")
+def classify_device(v):
+    """P01"""
+    return v.devices.select("id", S.device_type(F.col("make"), F.col("model")).alias("device_type"))
+
+
+@query(f"SELECT id, {_TARGET} AS target FROM devices", "devices")
+def target_device(v):
+    """P02"""
+    return v.devices.select("id", S.target_device(F.col("make"), F.col("model")).alias("target"))
+
+
+_STATUS = f"CASE WHEN t = 'unknown' AND media_type <> 'photo' THEN CASE WHEN make <> '' THEN 'skipped_not_target' ELSE 'skipped_no_device' END WHEN t <> 'unknown' AND NOT target THEN 'skipped_not_target' WHEN t = 'unknown' AND {_SMALL} THEN 'skipped_filtered' ELSE 'ok' END"
+
+
+def _status(d: DataFrame) -> DataFrame:
+    """P03 P04 P05, with unknown photos taken."""
+    make, model = F.col("make"), F.col("model")
+    t, small = S.device_type(make, model), S.small_image(F.col("media_type"), F.col("size"), F.col("width"), F.col("height"))
+    lost = F.when(make != "", "skipped_not_target").otherwise("skipped_no_device")
+    status = (
+        F.when((t == "unknown") & (F.col("media_type") != "photo"), lost)
+        .when((t != "unknown") & ~S.target_device(make, model), "skipped_not_target")
+        .when((t == "unknown") & small, "skipped_filtered")
+        .otherwise("ok")
+    )
+    return d.withColumn("device_type", t).withColumn("target", S.target_device(make, model)).withColumn("status", status)
+
+
+_STATUS_CTE = f"WITH s AS (SELECT *, {_STATUS} AS status FROM (SELECT *, {_DEVICE_TYPE} AS t, {_TARGET} AS target FROM devices))"
+
+
+@query(f"{_STATUS_CTE} SELECT id, status FROM s", "devices")
+def unknown_policy(v):
+    return _status(v.devices).select("id", "status")
+
+
+@query(f"{_STATUS_CTE} SELECT status, media_type, count(*) AS n FROM s GROUP BY ALL", "devices")
+def status_ladder(v):
+    """P03-P05 G01"""
+    return _status(v.devices).groupBy("status", "media_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_STATUS_CTE} SELECT status, count(*) AS n, count(*) FILTER (WHERE media_type = 'video') AS videos FROM s GROUP BY status", "devices")
+def status_counts(v):
+    """G02"""
+    return _status(v.devices).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("media_type") == "video").alias("videos"))
+
+
+@query(f"SELECT id, make <> '' AND {_any('lower(make)', dims.TARGET_BRANDS)} AS target FROM devices", "devices")
+def reporter_target(v):
+    """P14"""
+    return v.devices.select("id", ((F.col("make") != "") & S.any_of(F.lower("make"), dims.TARGET_BRANDS)).alias("target"))
+
+
+@query("""WITH votes AS (SELECT dir, make, model, count(*) AS n, min(id) AS f FROM devices WHERE media_type = 'photo' AND make <> '' GROUP BY ALL),
+  best AS (SELECT dir, make, model FROM votes QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, f) = 1),
+  j AS (SELECT d.*, b.make AS bm, b.model AS bo, media_type = 'video' AND d.make = '' AND b.make IS NOT NULL AS whole,
+    coalesce(media_type = 'video' AND d.make <> '' AND d.model = '' AND lower(d.make) = lower(b.make), false) AS part FROM devices d LEFT JOIN best b USING (dir))
+  SELECT id, CASE WHEN whole THEN bm ELSE make END AS make, CASE WHEN whole OR part THEN bo ELSE model END AS model, whole OR part AS inferred FROM j""", "devices")
+def majority_vote_infer(v):
+    """G06 J03"""
+    return C.infer_video_device(v.devices).select("id", "make", "model", "inferred")
+
+
+@query("WITH votes AS (SELECT dir, make, model, count(*) AS n, min(id) AS f FROM devices WHERE media_type = 'photo' AND make <> '' GROUP BY ALL) SELECT count(*) AS folders, sum(n)::BIGINT AS votes FROM (SELECT dir, n FROM votes QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, f) = 1)", "devices")
+def infer_counts(v):
+    """G22"""
+    return C.majority(v.devices.filter("media_type = 'photo' and make <> ''"), ["dir"], ["make", "model"], "id").agg(F.count(F.lit(1)).alias("folders"), F.sum("votes").alias("votes"))
+
+
+@query("SELECT id, coalesce(bool_or(contains(lower(make), 'dji') OR starts_with(lower(app), 'dji')) OVER (PARTITION BY dir), false) AS in_folder FROM devices", "devices")
+def folder_flag_propagate(v):
+    """J04"""
+    return C.spread_flag(v.devices, S.drone_flag(F.col("make"), F.col("app"))).select("id", "in_folder")
+
+
+@query("SELECT dir, first(app ORDER BY id) AS label FROM devices WHERE contains(lower(make), 'dji') OR starts_with(lower(app), 'dji') GROUP BY dir", "devices")
+def first_label(v):
+    """W07"""
+    return v.devices.filter(S.drone_flag(F.col("make"), F.col("app"))).groupBy("dir").agg(F.min_by("app", "id").alias("label"))
+
+
+@query("SELECT id, contains(lower(make), 'dji') OR starts_with(lower(app), 'dji') AS drone FROM devices", "devices")
+def drone_flag(v):
+    """F26"""
+    return v.devices.select("id", S.drone_flag(F.col("make"), F.col("app")).alias("drone"))
+
+
+def _map_sql(key: str, names: dict[str, str]) -> str:
+    return "CASE " + key + " " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in names.items()) + " END"
+
+
+@query(f"""WITH a AS (SELECT id, app, coalesce({_map_sql("lower(make)", dims.MAKE_NAMES)}, make) AS mk, model FROM devices),
+  b AS (SELECT id, app, mk, CASE WHEN mk <> '' AND starts_with(lower(model), lower(mk)) THEN trim(substr(model, length(mk) + 1)) ELSE model END AS md FROM a),
+  c AS (SELECT id, app, mk, coalesce({_map_sql("lower(md)", dims.MODEL_ALIASES)}, md) AS md FROM b),
+  e AS (SELECT id, mk, md, lower(mk) AS lo, CASE WHEN contains(lower(mk), 'dji') THEN NULL WHEN lower(mk) IN ('xiaomi') THEN {_map_sql("lower(md)", dims.XIAOMI_NAMES)}
+    WHEN contains(lower(mk), 'huawei') THEN {_map_sql("lower(md)", dims.HUAWEI_NAMES)} WHEN contains(lower(mk), 'samsung') THEN {_map_sql("lower(md)", dims.SAMSUNG_NAMES)} END AS nm,
+    {_map_sql("lower(md)", dims.DRONE_MODELS)} AS dm, CASE WHEN contains(lower(app), 'dji flip') THEN 'DJI_FLIP_FC8582' END AS da,
+    CASE WHEN lower(mk) = 'xiaomi' AND lower(md) = '14' THEN '23127PN0CC' END AS code FROM c)
+  SELECT id, CASE WHEN mk = '' AND md = '' THEN '{dims.UNKNOWN_MODEL}' WHEN contains(lo, 'dji') AND coalesce(dm, da) IS NOT NULL THEN coalesce(dm, da)
+    WHEN code IS NOT NULL THEN mk || ' ' || md || ' ' || code WHEN nm IS NOT NULL AND starts_with(lower(nm), lo) THEN nm || ' ' || md
+    WHEN nm IS NOT NULL THEN mk || ' ' || nm || ' ' || md ELSE trim(mk || ' ' || md) END AS label FROM e""", "devices")
+def device_label(v):
+    """F11 F12 F13 J15"""
+    return C.label_devices(v.devices, "make", "model", "app").select("id", "label")
+
+
+@query(f"{_STATUS_CTE} SELECT make, model, t AS device_type, count(*) AS count, count(*) FILTER (WHERE media_type = 'video') AS videos, count(*) FILTER (WHERE media_type <> 'video') AS photos FROM s GROUP BY ALL", "devices")
+def device_stats(v):
+    """G03"""
+    video = F.col("media_type") == "video"
+    return _status(v.devices).groupBy("make", "model", "device_type").agg(F.count(F.lit(1)).alias("count"), F.count_if(video).alias("videos"), F.count_if(~video).alias("photos"))
+
+
+@query(f"{_STATUS_CTE} SELECT dir, count(*) AS total, count(*) FILTER (WHERE t = 'camera') AS camera, count(*) FILTER (WHERE t = 'phone') AS phone, count(*) FILTER (WHERE t = 'unknown') AS unknown, count(*) FILTER (WHERE status = 'ok') AS copied, count(*) FILTER (WHERE status = 'skipped_filtered') AS filtered FROM s GROUP BY dir", "devices")
+def folder_stats(v):
+    """G04"""
+    n = lambda c: F.count_if(c)
+    t, s = F.col("device_type"), F.col("status")
+    return _status(v.devices).groupBy("dir").agg(
+        F.count(F.lit(1)).alias("total"), n(t == "camera").alias("camera"), n(t == "phone").alias("phone"), n(t == "unknown").alias("unknown"),
+        n(s == "ok").alias("copied"), n(s == "skipped_filtered").alias("filtered"),
+    )
+
+
+@query("SELECT make, model, n, row_number() OVER (ORDER BY n DESC, make, model) AS rank FROM (SELECT make, model, count(*) AS n FROM devices GROUP BY ALL)", "devices")
+def ranked_devices(v):
+    """T02 W06"""
+    t = v.devices.groupBy("make", "model").agg(F.count(F.lit(1)).alias("n"))
+    return t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "make", "model")).cast("long"))
+
+
+@query("SELECT id FROM devices WHERE contains(lower(make), 'so') AND contains(lower(model), 'x')", "devices")
+def report_filter(v):
+    """P15"""
+    wanted = {"make": "SO", "model": "x"}
+    out = v.devices
+    for c, text in wanted.items():
+        out = out.filter(F.contains(F.lower(c), F.lit(text.lower())))
+    return out.select("id")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE media_type = 'video') AS videos, count(*) FILTER (WHERE make = '') AS no_device FROM devices", "devices")
+def run_counts(v):
+    """G01 G07"""
+    return v.devices.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("media_type") == "video").alias("videos"), F.count_if(F.col("make") == "").alias("no_device"))
+
+
+# ---------------------------------------------------------------------- scalars
+
+
+@query(f"SELECT o_orderkey AS id, year(d) || '-' || {_QUARTER} AS folder FROM (SELECT o_orderkey, o_orderdate AS d FROM orders)")
+def quarter_folder(v):
+    """F09 F10"""
+    return v.orders.select(F.col("o_orderkey").alias("id"), S.date_folder(F.col("o_orderdate")).alias("folder"))
+
+
+@query("SELECT o_orderkey AS id, o_orderdate AS parsed FROM orders")
+def exif_dates(v):
+    """F01, over the layouts."""
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")).when(k == 1, F.date_format("o_orderdate", "yyyy-M-d H:m:s")).otherwise(F.date_format("o_orderdate", "yyyy年MM月dd日 HH时mm分ss"))
+    return v.orders.select(F.col("o_orderkey").alias("id"), S.exif_datetime(text).alias("parsed"))
+
+
+@query("SELECT o_orderkey AS id, o_orderdate AS parsed FROM orders")
+def iso_dates(v):
+    """F02"""
+    k = F.col("o_orderkey") % 2
+    text = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
+    return v.orders.select(F.col("o_orderkey").alias("id"), S.iso_datetime(text).alias("parsed"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 3 THEN date_trunc('day', o_orderdate)::TIMESTAMP WHEN o_orderkey % 4 = 2 THEN o_orderdate + INTERVAL 600000000 SECOND ELSE o_orderdate END AS parsed FROM orders")
+def filename_dates(v):
+    """F03-F06"""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    seconds = (F.unix_timestamp(d.cast("timestamp")) + 600_000_000).cast("string")
+    name = (
+        F.when(k == 0, F.concat(F.lit("IMG_"), F.date_format(d, "yyyyMMdd_HHmmss"), F.lit(".jpg")))
+        .when(k == 1, F.concat(F.date_format(d, "yyyy-MM-dd HH.mm.ss"), F.lit(".png")))
+        .when(k == 2, F.concat(F.lit("mmexport"), seconds, F.lit("000.jpg")))
+        .otherwise(F.concat(F.lit("DSC_"), F.date_format(d, "yyyyMMdd"), F.lit(".jpg")))
+    )
+    return v.orders.select(F.col("o_orderkey").alias("id"), S.name_datetime(name, F.lit("2026-01-01").cast("timestamp")).alias("parsed"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate WHEN o_orderdate <= TIMESTAMP '2000-01-02' THEN o_orderdate END AS taken FROM orders")
+def effective_date(v):
+    """F07 F08"""
+    d = F.col("o_orderdate")
+    return v.orders.select(F.col("o_orderkey").alias("id"), S.effective_date(d, F.col("o_orderkey") % 3 == 0, d, F.lit("x.jpg"), F.lit("2000-01-01").cast("timestamp_ntz")).alias("taken"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = 1 THEN '1' ELSE '1/' || l_quantity::BIGINT END AS shown FROM lineitem")
+def fraction_format(v):
+    """F16"""
+    text = F.concat(F.lit("1/"), F.col("l_quantity").cast("long").cast("string"))
+    return v.lineitem.select("l_orderkey", "l_linenumber", S.fraction(text).alias("shown"))
+
+
+_SIZE = "CASE WHEN s < 1024 THEN s || '{b}' WHEN s < 1048576 THEN printf('%.1f{g}KB', s / 1024) ELSE printf('%.1f{g}MB', s / 1048576) END"
+
+
+@query(f"SELECT id, {_SIZE.format(b='B', g='')} AS shown FROM (SELECT id, id % 1000 * 1024 AS s FROM files)", "files")
+def human_size(v):
+    """F17"""
+    return v.files.select("id", S.human_size(F.col("id") % 1000 * 1024).alias("shown"))
+
+
+@query(f"SELECT id, {_SIZE.format(b='.0 B', g=' ')} AS shown FROM (SELECT id, id % 1000 * 512 AS s FROM files)", "files")
+def report_size(v):
+    """F18"""
+    return v.files.select("id", S.human_size(F.col("id") % 1000 * 512, spaced=True).alias("shown"))
+
+
+@query("SELECT p_partkey AS id, trim('ISO' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ' f/' || p_size ELSE '' END || CASE WHEN p_size = 1 THEN ' 1s' ELSE ' 1/' || p_size || 's' END) AS shown FROM part")
+def exposure_params(v):
+    """F19"""
+    size = F.col("p_size").cast("string")
+    return v.part.select(F.col("p_partkey").alias("id"), S.exposure(size, F.when(F.col("p_partkey") % 2 == 0, size), F.concat(F.lit("1/"), size), F.lit("")).alias("shown"))
+
+
+@query("SELECT p_partkey AS id, round(CASE WHEN p_partkey % 2 = 0 THEN -1 ELSE 1 END * (p_partkey % 90 + CAST(p_size AS DOUBLE) / 60 + 0.5 / 3600), 6) AS degrees FROM part")
+def gps_decimal(v):
+    """F20"""
+    ref = F.when(F.col("p_partkey") % 2 == 0, "S").otherwise("N")
+    return v.part.select(F.col("p_partkey").alias("id"), F.round(S.gps_decimal(F.col("p_partkey") % 90, F.col("p_size").cast("double"), F.lit(0.5), ref), 6).alias("degrees"))
+
+
+@query("SELECT id FROM files WHERE contains(lower(name), 'screenshot')", "files")
+def screenshot_filter(v):
+    """F24"""
+    return v.files.filter(S.screenshot(F.col("name"))).select("id")
+
+
+@query(f"SELECT id, CASE WHEN {_EXT} IN {_list(dims.VIDEO_EXTENSIONS)} THEN 'video' ELSE 'photo' END AS kind FROM files WHERE {_EXT} IN {_list(dims.VIDEO_EXTENSIONS + dims.IMAGE_EXTENSIONS)}", "files")
+def ext_filter(v):
+    """A05 S02"""
+    return v.files.select("id", S.media_type(F.col("name")).alias("kind")).filter("kind is not null")
+
+
+@query(f"SELECT id FROM tree WHERE len(list_filter(string_split(p, '/')[:-2], lambda x: lower(x) IN {_list((*dims.EXCLUDED_DIRS, 'en'))} OR x LIKE '.%' OR x LIKE '$%')) = 0", "tree")
+def dir_prune(v):
+    """A04, with one more excluded name."""
+    names = (*dims.EXCLUDED_DIRS, "en")
+    parts = F.split("p", "/")
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    bad = F.exists(folders, lambda x: F.lower(x).isin(*names) | x.startswith(".") | x.startswith("$"))
+    return v.tree.filter(~bad).select("id")
+
+
+@query("SELECT id, starts_with(lower(name), 'c360_') AS own, CASE WHEN starts_with(lower(name), 'c360_') THEN 'Xiaomi' END AS make FROM files", "files")
+def prefix_infer(v):
+    """F41"""
+    make = S.named_device(F.col("name"))
+    return v.files.select("id", make.isNotNull().alias("own"), make.alias("make"))
+
+
+@query("SELECT id, name FROM files", "files")
+def po_strip(v):
+    """F42"""
+    with_suffix = F.regexp_replace("name", r"(\.[^.]+)$", "_PO12$1")
+    return v.files.select("id", S.natural_name(with_suffix).alias("name"))
+
+
+@query("SELECT id, regexp_extract(path, '[^/]*$') AS base, dir, regexp_extract(name, '(\\.[^.]*)$', 1) AS ext FROM files", "files")
+def path_parts(v):
+    """F23"""
+    path = F.col("path")
+    base = F.substring_index(path, "/", -1)
+    return v.files.select("id", base.alias("base"), F.regexp_replace(path, "/[^/]*$", "").alias("dir"), F.regexp_extract(base, r"(\.[^.]*)$", 1).alias("ext"))
+
+
+@query("SELECT id, round(exp(a) / (exp(a) + exp(b)), 9) AS p FROM scores", "scores")
+def softmax_pick(v):
+    """F27"""
+    return v.scores.select("id", F.round(F.element_at(S.softmax(F.array("a", "b")), 1), 9).alias("p"))
+
+
+@query("SELECT p_partkey AS id, CAST((p_partkey % 3) * 3600 + p_size * 60 + 7 AS DOUBLE) + 0.5 AS seconds FROM part")
+def duration_parse(v):
+    """F32"""
+    text = F.format_string("  Duration: %02d:%02d:07.50, start: 0", (F.col("p_partkey") % 3).cast("int"), F.col("p_size"))
+    return v.part.select(F.col("p_partkey").alias("id"), S.duration(text).alias("seconds"))
+
+
+@query("SELECT p_partkey AS id, u.i AS frame, round(u.i * greatest(s / 4, 1.0), 6) AS at FROM (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 30.0 ELSE CAST(p_size AS DOUBLE) / 3 END AS s FROM part), (SELECT unnest([1, 2, 3]) AS i) u WHERE u.i * greatest(s / 4, 1.0) < s")
+def frame_timestamps(v):
+    """F31"""
+    seconds = F.when(F.col("p_size") % 7 != 0, F.col("p_size").cast("double") / 3)
+    t = v.part.select(F.col("p_partkey").alias("id"), F.posexplode(S.frame_times(seconds)).alias("frame", "at"))
+    return t.select("id", (F.col("frame") + 1).alias("frame"), F.round("at", 6).alias("at"))
+
+
+# ----------------------------------------------------------------------- scores
+
+
+@query("SELECT id, round(CASE WHEN a < 0.15 THEN 0.15 * greatest(a, b) WHEN greatest(a, b) >= 0.8 THEN greatest(a, b) WHEN a >= 0.4 AND b >= 0.4 THEN greatest(a, b) ELSE 0.3 * greatest(a, b) END, 9) AS score FROM scores", "scores")
+def fuse_scores(v):
+    """F29 L05"""
+    return v.scores.select("id", F.round(S.fuse(F.col("a"), F.col("b")), 9).alias("score"))
+
+
+@query("SELECT id, CASE WHEN coarse >= 0.3 THEN fine ELSE 0 END AS score FROM scores", "scores")
+def cascade_scores(v):
+    """The second scorer sees only what the first one suspects."""
+    suspects = v.scores.filter("coarse >= 0.3").select("id", F.col("fine").alias("score"))
+    return v.scores.select("id").join(suspects, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+@query("SELECT id, greatest(CASE WHEN a >= 0.5 THEN a ELSE 0 END, CASE WHEN b >= 0.5 THEN b ELSE 0 END) AS score FROM scores", "scores")
+def detection_max(v):
+    """F30"""
+    parts = F.array(F.struct(F.lit("A").alias("class"), F.col("a").alias("score")), F.struct(F.lit("B").alias("class"), F.col("b").alias("score")), F.struct(F.lit("C").alias("class"), F.col("fine").alias("score")))
+    return v.scores.select("id", S.detection_score(parts, ("A", "B")).alias("score"))
+
+
+@query("SELECT id % 50 AS clip, max(CASE WHEN coarse >= 0.3 THEN fine ELSE 0 END) AS score FROM scores GROUP BY ALL", "scores")
+def frame_max_score(v):
+    """G21 L03"""
+    return v.scores.groupBy((F.col("id") % 50).alias("clip")).agg(F.max(F.when(F.col("coarse") >= 0.3, F.col("fine")).otherwise(0.0)).alias("score"))
+
+
+@query("SELECT least(floor(coarse * 10 + 1e-9), 9)::BIGINT AS bin, count(*) AS n FROM scores GROUP BY ALL", "scores")
+def score_histogram(v):
+    """G14"""
+    return v.scores.groupBy(F.least(F.floor(F.col("coarse") * 10 + 1e-9), F.lit(9)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CASE WHEN coarse = 1 THEN 'fake' WHEN coarse >= 0.8 THEN 'high' WHEN coarse >= 0.5 THEN 'mid' WHEN coarse >= 0.3 THEN 'low' ELSE 'none' END AS bucket, count(*) AS n FROM scores GROUP BY ALL", "scores")
+def score_buckets(v):
+    """G15"""
+    c = F.col("coarse")
+    return v.scores.groupBy(F.when(c == 1, "fake").when(c >= 0.8, "high").when(c >= 0.5, "mid").when(c >= 0.3, "low").otherwise("none").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT t.t AS threshold, count(*) FILTER (WHERE coarse >= t.t) AS n FROM scores, (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS t) t GROUP BY ALL", "scores")
+def threshold_curve(v):
+    """One pass, one counter per threshold."""
+    steps = (0.1, 0.3, 0.5, 0.7, 0.9)
+    row = v.scores.agg(*[F.count_if(F.col("coarse") >= t).alias(str(k)) for k, t in enumerate(steps)])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(str(k)).alias("n")) for k, t in enumerate(steps)])).alias("s")).select("s.*")
+
+
+@query("SELECT id, fine, row_number() OVER (ORDER BY fine DESC, id) AS rank FROM scores WHERE fine BETWEEN 0.4 AND 0.6 ORDER BY fine DESC, id LIMIT 20", "scores")
+def score_band_topk(v):
+    """T07"""
+    top = v.scores.filter(F.col("fine").between(0.4, 0.6)).orderBy(F.desc("fine"), "id").limit(20)
+    return top.select("id", "fine", F.row_number().over(Window.orderBy(F.desc("fine"), "id")).cast("long").alias("rank"))
+
+
+@query("SELECT id, coarse FROM scores ORDER BY coarse DESC, id LIMIT 50", "scores")
+def top_scores(v):
+    """T04"""
+    return v.scores.orderBy(F.desc("coarse"), "id").limit(50).select("id", "coarse")
+
+
+@query("SELECT id, coarse FROM scores ORDER BY id LIMIT 500", "scores")
+def first_n(v):
+    """T05"""
+    return v.scores.orderBy("id").limit(500).select("id", "coarse")
+
+
+@query("SELECT dir, count(*) AS n FROM files GROUP BY dir ORDER BY n DESC, dir LIMIT 30", "files")
+def top_groups(v):
+    """T06 G19"""
+    return v.files.groupBy("dir").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dir").limit(30)
+
+
+@query("SELECT dir, count(*) AS n, sum(size)::BIGINT AS bytes FROM files GROUP BY dir", "files")
+def dir_counts(v):
+    """G19"""
+    return v.files.groupBy("dir").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("SELECT c AS class, count(*) AS n FROM (SELECT unnest([CASE WHEN a >= 0.5 THEN 'A' END, CASE WHEN b >= 0.5 THEN 'B' END, CASE WHEN fine >= 0.5 THEN 'C' END]) AS c FROM scores) WHERE c IS NOT NULL GROUP BY ALL", "scores")
+def class_frequency(v):
+    """G17"""
+    named = F.array_compact(F.array(*[F.when(F.col(c) >= 0.5, k) for c, k in (("a", "A"), ("b", "B"), ("fine", "C"))]))
+    return v.scores.select(F.explode(named).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE '2' END AS label FROM scores", "scores")
+def label_lookup(v):
+    """The code itself where no label is known."""
+    code = F.when(F.col("toxic") == 1, "0").when(F.col("quality") == 1, "1").otherwise("2")
+    return v.scores.select("id", F.coalesce(S.lookup(code, {"0": "toxic", "1": "good"}), code).alias("label"))
+
+
+@query("SELECT id, (a >= 0.45)::INT + (b >= 0.45)::INT AS loose, (a >= 0.6)::INT + (b >= 0.6)::INT AS strict FROM scores", "scores")
+def two_tier_parts(v):
+    """L13"""
+    parts = F.array("a", "b")
+    return v.scores.select("id", F.size(F.filter(parts, lambda x: x >= 0.45)).alias("loose"), F.size(F.filter(parts, lambda x: x >= 0.6)).alias("strict"))
+
+
+@query("SELECT id, a AS first, b AS second FROM scores", "scores")
+def detail_map(v):
+    """L06"""
+    m = F.map_from_arrays(F.array(F.lit("x"), F.lit("y")), F.array("a", "b"))
+    return v.scores.select("id", F.element_at(m, "x").alias("first"), F.element_at(m, "y").alias("second"))
+
+
+@query("SELECT id, printf('%.2f', coarse) AS score, '/p ' || id || ' | x' AS path FROM scores", "scores")
+def score_list_parse(v):
+    """A19"""
+    line = F.format_string("%.2f | /p %d | x", "coarse", "id")
+    parts = F.split(line, r" \| ", 2)
+    return v.scores.select("id", F.get(parts, F.lit(0)).alias("score"), F.get(parts, F.lit(1)).alias("path"))
+
+
+@query("SELECT id, coarse, greatest(a, b) AS top, '/x/' || id AS path FROM scores", "scores")
+def detection_parse(v):
+    """A20"""
+    line = F.format_string("[ NSFW] falcon=%.4f nudenet_parts=[AA:%.2f, BB:%.2f] /x/%d", "coarse", "a", "b", "id")
+    parts = F.split(F.regexp_extract(line, r"nudenet_parts=\[([^\]]*)\]", 1), ", ")
+    top = F.array_max(F.transform(parts, lambda p: F.element_at(F.split(p, ":"), -1).cast("double")))
+    return v.scores.select("id", F.regexp_extract(line, r"falcon=([0-9.]+)", 1).cast("double").alias("coarse"), top.alias("top"), F.regexp_extract(line, r"\] (\S+)$", 1).alias("path"))
+
+
+# ------------------------------------------------------------- eligibility, routes
+
+_RAW = _list(dims.RAW_EXTENSIONS)
+
+
+@query(f"SELECT id FROM files WHERE media <> 'companion' AND {_EXT} NOT IN {_RAW}", "files")
+def eligible_explicit(v):
+    """P09 F25"""
+    return v.files.filter(S.media_type(F.col("name")).isNotNull() & ~S.raw_image(F.col("name"))).select("id")
+
+
+@query(f"SELECT id FROM files WHERE media = 'photo' AND {_EXT} NOT IN {_RAW} AND NOT contains(lower(name), 'screenshot') AND NOT starts_with(name, 'DJI')", "files")
+def eligible_document(v):
+    """P10"""
+    name = F.col("name")
+    return v.files.filter((S.media_type(name) == "photo") & ~S.raw_image(name) & ~S.screenshot(name) & ~name.startswith("DJI")).select("id")
+
+
+@query("SELECT hash, max_by(path, ord) AS path FROM files WHERE media = 'photo' AND size >= 10000 GROUP BY hash", "files")
+def eligible_face(v):
+    """The last record of a hash counts."""
+    return v.files.filter((F.col("media") == "photo") & (F.col("size") >= 10_000)).groupBy("hash").agg(F.max_by("path", "ord").alias("path"))
+
+
+@query("SELECT id, embedding[1] >= 0 AND id % 90 >= 40 AS good FROM faces", "faces")
+def face_quality(v):
+    """P12"""
+    face = F.struct((F.col("id") % 90).alias("w"), F.get("embedding", F.lit(0)).alias("s"))
+    kept = F.filter(F.array(face), lambda f: (f["w"] >= 40) & (f["s"] >= 0))
+    return v.faces.select("id", (F.size(kept) > 0).alias("good"))
+
+
+@query("SELECT id, id % 5 IN (0, 1, 3, 4) AS classified, id % 5 = 3 OR id % 5 = 4 AS frozen, id % 5 <> 2 AS protected FROM devices", "devices")
+def already_classified(v):
+    """P06 P07 P13"""
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("All_1_x", "ALL_5_y", "misc", "All_7_d", "all_999_e")]), (F.col("id") % 5 + 1).cast("int"))
+    path = F.concat_ws("/", F.lit("/Out"), folder, F.lit("a.jpg"))
+    return v.devices.select("id", S.classified(path, "/out").alias("classified"), S.frozen(path, "/out").alias("frozen"), (~path.startswith("/Out/misc")).alias("protected"))
+
+
+@query(f"SELECT id, CASE WHEN {_DEVICE_TYPE} = 'unknown' AND id % 4 = 0 THEN 'stay' ELSE 'move' END AS action FROM devices", "devices")
+def no_downgrade(v):
+    """P08"""
+    t = S.device_type(F.col("make"), F.col("model"))
+    return v.devices.select("id", F.when((t == "unknown") & (F.col("id") % 4 == 0), "stay").otherwise("move").alias("action"))
+
+
+@query(f"""SELECT f.id, CASE WHEN coarse >= 0.5 THEN '{dims.ROOTS["explicit"]}/' ELSE '' END ||
+  CASE WHEN starts_with(name, 'DJI') THEN '{dims.ROOTS["drone"]}' WHEN a >= 0.5 THEN '{dims.ROOTS["document"]}' WHEN contains(lower(name), 'screenshot') THEN '{dims.ROOTS["document"]}/{dims.ROOTS["screenshot"]}' ELSE '{dims.ROOTS["unknown"]}' END || '/' || name AS dest
+  FROM files f JOIN scores USING (id)""", "files", "scores")
+def route_precedence(v):
+    """Later rules override earlier ones, so they are asked in reverse."""
+    r, name = dims.ROOTS, F.col("name")
+    root = F.when(name.startswith("DJI"), r["drone"]).when(F.col("a") >= 0.5, r["document"]).when(S.screenshot(name), f"{r['document']}/{r['screenshot']}").otherwise(r["unknown"])
+    dest = F.concat_ws("/", F.when(F.col("coarse") >= 0.5, r["explicit"]), root, name)
+    return v.files.join(v.scores, "id").select("id", dest.alias("dest"))
+
+
+@query(f"SELECT id, '{dims.ROOTS['document']}/' || substr(path, 6) AS document, 'drone/label/' || name AS drone, printf('%.3f', CAST(id % 101 AS DOUBLE) / 100) AS tag FROM files", "files")
+def dest_variants(v):
+    """R03-R06"""
+    return v.files.select(
+        "id", F.concat_ws("/", F.lit(dims.ROOTS["document"]), F.expr("substring(path, 6)")).alias("document"),
+        F.concat_ws("/", F.lit("drone"), F.lit("label"), "name").alias("drone"), F.format_string("%.3f", (F.col("id") % 101).cast("double") / 100).alias("tag"),
+    )
+
+
+@query("SELECT id, CASE WHEN n = 0 THEN dest ELSE regexp_replace(dest, '\\.jpg$', '') || '_po' || n || '.jpg' END AS final FROM (SELECT id, '/o/' || id % 60 || '.jpg' AS dest, row_number() OVER (PARTITION BY id % 60 ORDER BY id) - 1 AS n FROM files)", "files")
+def conflict_names(v):
+    """W03"""
+    plan = v.files.select("id", "ord", F.concat(F.lit("/o/"), (F.col("id") % 60).cast("string"), F.lit(".jpg")).alias("dest"))
+    return C.resolve_names(plan).select("id", "final")
+
+
+@query("SELECT label, id, row_number() OVER (PARTITION BY label, id % 9 ORDER BY id) - 1 AS f FROM faces", "faces")
+def link_names(v):
+    """W04"""
+    t = C.ranked(v.faces.withColumn("k", F.col("id") % 9), ["label", "k"], [F.col("id")])
+    return t.select("label", "id", (F.col("rn") - 1).cast("long").alias("f"))
+
+
+@query("SELECT c.path AS companion, min(m.path) AS owner FROM (SELECT path, dir, id // 8 AS stem FROM files WHERE media = 'companion') c JOIN (SELECT path, dir, id // 8 AS stem FROM files WHERE media = 'video') m USING (dir, stem) GROUP BY c.path", "files")
+def companion_join(v):
+    """J07 W05"""
+    stem = F.floor(F.col("id") / 8).alias("stem")
+    c = v.files.filter("media = 'companion'").select(F.col("path").alias("companion"), "dir", stem)
+    m = v.files.filter("media = 'video'").select(F.col("path").alias("owner"), "dir", stem)
+    return c.join(m, ["dir", "stem"]).groupBy("companion").agg(F.min("owner").alias("owner"))
+
+
+@query("SELECT id, CASE WHEN media = 'video' THEN 'unknown video' ELSE 'unknown device' END AS note, 'x; ' || media AS appended FROM files WHERE media <> 'companion'", "files")
+def notes_and_labels(v):
+    """F35 F36"""
+    t = v.files.filter("media <> 'companion'")
+    return t.select("id", S.note(F.lit(""), F.col("media"), F.lit(""), F.lit(True), F.col("mtime_s")).alias("note"), F.concat_ws("; ", F.lit("x"), "media").alias("appended"))
+
+
+@query(f"{_STATUS_CTE} SELECT id, {_map_sql('status', dims.STATUS_LABELS)} AS shown, {_map_sql('t', dims.DEVICE_LABELS)} AS kind, make || CASE WHEN model <> '' THEN ' / ' || model ELSE '' END AS device FROM s", "devices")
+def status_labels(v):
+    """F37 F38"""
+    device = F.concat_ws(" / ", "make", S.filled(F.col("model")))
+    return _status(v.devices).select("id", S.lookup(F.col("status"), dims.STATUS_LABELS).alias("shown"), S.lookup(F.col("device_type"), dims.DEVICE_LABELS).alias("kind"), device.alias("device"))
+
+
+# ------------------------------------------------------------ trees, lists, sets
+
+
+@query("SELECT prefix, len(string_split(prefix, '/')) - 1 AS depth, count(*) FILTER (WHERE own) AS own_count, count(*) AS total_count FROM (SELECT dir AS prefix, true AS own FROM files UNION ALL SELECT '/src/' || source, false FROM files UNION ALL SELECT '/src', false FROM files) GROUP BY ALL", "files")
+def path_rollup(v):
+    """G05"""
+    return C.path_rollup(v.files).withColumn("depth", F.col("depth").cast("long"))
+
+
+@query("SELECT split_part(p, '/', 1) AS top, count(*) AS n, sum(length(p))::BIGINT AS chars FROM tree GROUP BY ALL", "tree")
+def top_component_counts(v):
+    """G18"""
+    return v.tree.groupBy(F.substring_index("p", "/", 1).alias("top")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("p")).alias("chars"))
+
+
+@query("SELECT dir, count(*) AS files, string_agg(name, '|' ORDER BY name) AS names FROM files GROUP BY dir", "files")
+def filelist_rows(v):
+    """G23 T03"""
+    return v.files.groupBy("dir").agg(F.count(F.lit(1)).alias("files"), F.array_join(F.array_sort(F.collect_list("name")), "|").alias("names"))
+
+
+@query("SELECT id, name, path AS source FROM files WHERE NOT starts_with(name, 'pic')", "files")
+def filelist_parse(v):
+    """Lines of eight columns; others are skipped."""
+    line = F.when(F.col("name").startswith("pic"), F.concat(F.lit("# "), "name")).otherwise(F.concat_ws(" | ", "name", *[F.lit("x")] * 6, "path"))
+    parts = F.split(line, r" \| ")
+    t = v.files.select("id", line.alias("l"), parts.alias("p")).filter(~F.col("l").rlike(r"^(?:\s*$|#|-|Filename)") & (F.size("p") >= 8))
+    return t.select("id", F.get("p", F.lit(0)).alias("name"), F.element_at("p", -1).alias("source"))
+
+
+@query("SELECT hash FROM files WHERE id % 2 = 0 EXCEPT SELECT hash FROM files WHERE id % 3 = 0", "files")
+def outlier_except(v):
+    """S04"""
+    return v.files.filter("id % 2 = 0").select("hash").subtract(v.files.filter("id % 3 = 0").select("hash"))
+
+
+@query("SELECT dir, bool_and(name LIKE '%.txt' OR name LIKE '%.srt') AS junk FROM files GROUP BY dir", "files")
+def junk_folder(v):
+    """S05"""
+    kinds = v.files.groupBy("dir").agg(F.collect_set(S.extension(F.col("name"))).alias("k"))
+    return kinds.select("dir", (F.size(F.array_except("k", F.array(F.lit(".txt"), F.lit(".srt")))) == 0).alias("junk"))
+
+
+@query("SELECT path, 'item' AS kind FROM files WHERE media <> 'companion' UNION ALL SELECT path, 'companion' FROM files WHERE media = 'companion'", "files")
+def union_records(v):
+    """S01 S07"""
+    items, rest = v.files.filter("media <> 'companion'"), v.files.filter("media = 'companion'")
+    return items.select("path", F.lit("item").alias("kind")).unionByName(rest.select("path", F.lit("companion").alias("kind")))
+
+
+@query("SELECT source, count(*) AS files, count(*) FILTER (WHERE media = 'photo') AS photos, count(*) FILTER (WHERE media = 'video') AS videos, count(DISTINCT dir) AS dirs FROM files GROUP BY source", "files")
+def scan_stats(v):
+    """G08"""
+    m = F.col("media")
+    return v.files.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.count_if(m == "photo").alias("photos"), F.count_if(m == "video").alias("videos"), F.count_distinct("dir").alias("dirs"))
+
+
+# ------------------------------------------------------------------------- faces
+
+
+@query("SELECT id, list_transform(embedding, lambda x: round(x / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 6))[1:3] AS head FROM faces", "faces")
+def l2_normalize(v):
+    """F33"""
+    return v.faces.select("id", F.transform(F.slice(S.normalised(F.col("embedding")), 1, 3), lambda x: F.round(x, 6)).alias("head"))
+
+
+@query("SELECT label, i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM faces) GROUP BY ALL", "faces")
+def centroids(v):
+    """G20"""
+    t = v.faces.select("label", F.posexplode("embedding").alias("i", "x"))
+    return t.groupBy("label", (F.col("i") + 1).cast("long").alias("i")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
+
+
+@query("SELECT substring(sha256(string_agg(hash, chr(10) ORDER BY hash)), 1, 32) AS fingerprint FROM files", "files")
+def fingerprint(v):
+    """Of a whole set, so in one value; a hash of sorted partial digests would scale."""
+    return v.files.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), "\n"), 256), 1, 32).alias("fingerprint"))
+
+
+@query("SELECT '人物_' || printf('%03d', label + 1) AS person_id, count(*) AS face_count, count(DISTINCT id // 2) AS files FROM faces GROUP BY label", "faces")
+def face_index_rows(v):
+    """L09 L11 J16 W08 K11"""
+    return v.faces.groupBy(F.format_string("人物_%03d", F.col("label") + 1).alias("person_id")).agg(F.count(F.lit(1)).alias("face_count"), F.count_distinct(F.floor(F.col("id") / 2)).alias("files"))
+
+
+@query("SELECT DISTINCT label, 1 AS first FROM faces", "faces")
+def ordered_distinct(v):
+    """W08"""
+    return v.faces.select("label").distinct().withColumn("first", F.get(F.array_distinct(F.array(F.lit(1), F.lit(2), F.lit(1))), F.lit(0)))
+
+
+# ------------------------------------------------------------------------- plans
+
+
+@query("SELECT CASE WHEN n = 1 THEN CASE WHEN id % 2 = 0 THEN 'rename' ELSE 'copy' END ELSE 'skip' END AS action, path AS src FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY ord) AS n FROM files)", "files")
+def copy_plan(v):
+    """Actions as rows; nothing is moved."""
+    t = C.ranked(v.files, ["hash"], [F.col("ord")])
+    return t.select(F.when(F.col("rn") > 1, "skip").when(F.col("id") % 2 == 0, "rename").otherwise("copy").alias("action"), F.col("path").alias("src"))
+
+
+@query("SELECT 'delete_dup' AS action, path FROM (SELECT path, row_number() OVER (PARTITION BY hash ORDER BY NOT contains(path, 'src1'), path) AS n FROM files) WHERE n > 1", "files")
+def dup_delete_plan(v):
+    """K02"""
+    t = C.ranked(v.files, ["hash"], [~F.contains(F.col("path"), F.lit("src1")), F.col("path")])
+    return t.filter("rn > 1").select(F.lit("delete_dup").alias("action"), "path")
+
+
+@query("SELECT dir FROM files WHERE id % 3 = 0 EXCEPT SELECT dir FROM files WHERE id % 3 = 1 AND media = 'photo' AND id < 400", "files")
+def empty_dir_plan(v):
+    """K03"""
+    left = v.files.filter("id % 3 = 1 and media = 'photo' and id < 400").select("dir")
+    return v.files.filter("id % 3 = 0").select("dir").distinct().join(left, "dir", "left_anti")
+
+
+@query("SELECT f.id, CASE WHEN g.path IS NULL THEN 'rename' WHEN f.size = g.size AND f.hash = g.hash THEN 'delete' ELSE 'skip' END AS action FROM files f LEFT JOIN (SELECT id + 1 AS id, path, size, hash FROM files WHERE id % 4 <> 0) g USING (id)", "files")
+def po_repair_plan(v):
+    """K12"""
+    g = v.files.filter("id % 4 <> 0").select((F.col("id") + 1).alias("id"), F.col("path").alias("g"), F.col("size").alias("gs"), F.col("hash").alias("gh"))
+    action = F.when(F.col("g").isNull(), "rename").when((F.col("size") == F.col("gs")) & (F.col("hash") == F.col("gh")), "delete").otherwise("skip")
+    return v.files.join(g, "id", "left").select("id", action.alias("action"))
+
+
+@query("SELECT path FROM files WHERE media = 'photo' AND id NOT IN (SELECT id FROM files WHERE id % 7 = 0)", "files")
+def link_plan(v):
+    """K13"""
+    return v.files.filter("media = 'photo'").join(v.files.filter("id % 7 = 0").select("id"), "id", "left_anti").select("path")
+
+
+@query("SELECT DISTINCT dir FROM files f WHERE NOT EXISTS (SELECT 1 FROM files g WHERE g.dir = f.dir AND g.id % 11 = 0)", "files")
+def filelist_backfill(v):
+    """K05"""
+    return v.files.select("dir").distinct().join(v.files.filter("id % 11 = 0").select("dir"), "dir", "left_anti")
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'fm' WHEN id % 3 = 0 THEN 'st' ELSE '' END AS make, 640 AS width FROM devices", "devices")
+def ffprobe_merge(v):
+    """Format tags win over stream tags; empty ones are filled."""
+    fmt = F.when(F.col("id") % 2 == 0, "fm").otherwise("")
+    stream = F.when(F.col("id") % 3 == 0, "st").otherwise("")
+    text = F.to_json(F.struct(F.struct(F.create_map(F.lit("MAKE"), fmt).alias("tags")).alias("format"), F.array(F.struct(F.lit("video").alias("codec_type"), F.lit(640).alias("width"), F.create_map(F.lit("make"), stream).alias("tags"))).alias("streams")))
+    j = F.from_json(text, "format struct<tags: map<string, string>>, streams array<struct<codec_type: string, width: int, tags: map<string, string>>>")
+
+    def low(m):
+        return F.transform_keys(m, lambda k, _: F.lower(k))
+
+    t = v.devices.select("id", j.alias("j")).withColumn("s", F.get(F.filter("j.streams", lambda s: s["codec_type"] == "video"), F.lit(0)))
+    make = F.coalesce(F.nullif(F.try_element_at(low(F.col("j.format.tags")), F.lit("make")), F.lit("")), F.try_element_at(low(F.col("s.tags")), F.lit("make")), F.lit(""))
+    return t.select("id", make.alias("make"), F.col("s.width").alias("width"))

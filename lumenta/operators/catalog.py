@@ -5,6 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import dims
+from ..functions import scalars as S
+
+
+def label_devices(df: DataFrame, make: str, model: str, app: str | None = None) -> DataFrame:
+    """F12 steps 1-5, F13, J15: df with the folder label of its device.  Each step is a
+    column of its own, so that no expression is repeated in the generated code."""
+    make_col, low, key = F.col("_mk"), F.col("_lo"), F.col("_key")
+    df = df.withColumn("_mk", F.trim(F.coalesce(make, F.lit("")))).withColumn("_md", F.trim(F.coalesce(model, F.lit(""))))
+    df = df.withColumn("_app", F.lower(F.coalesce(app, F.lit(""))) if app else F.lit(""))
+    df = df.withColumn("_mk", F.coalesce(S.lookup(F.lower("_mk"), dims.MAKE_NAMES), make_col)).withColumn("_lo", F.lower("_mk"))
+    doubled = (low != "") & F.startswith(F.lower("_md"), low)
+    df = df.withColumn("_md", F.when(doubled, F.trim(F.substring(F.col("_md"), F.length(make_col) + 1, F.length("_md")))).otherwise(F.col("_md")))
+    df = df.withColumn("_md", F.coalesce(S.lookup(F.lower("_md"), dims.MODEL_ALIASES), F.col("_md"))).withColumn("_key", F.lower("_md"))
+    by_app = [F.when(F.contains(F.col("_app"), F.lit(k)), F.lit(v)) for k, v in dims.DRONE_APPS.items()]
+    own = S.any_of(low, ("xiaomi", "redmi", "poco"))
+    df = df.withColumn("_drone", F.when(F.contains(low, F.lit("dji")), F.coalesce(S.lookup(key, dims.DRONE_MODELS), *by_app)))
+    df = df.withColumn(
+        "_name",
+        F.when(F.contains(low, F.lit("dji")), F.lit(None).cast("string"))
+        .when(own, S.lookup(key, dims.XIAOMI_NAMES))
+        .when(F.contains(low, F.lit("huawei")), S.lookup(key, dims.HUAWEI_NAMES))
+        .when(F.contains(low, F.lit("samsung")), S.lookup(key, dims.SAMSUNG_NAMES)),
+    )
+    df = df.withColumn("_code", F.when(own & F.col("_name").isNull(), S.lookup(F.trim(F.concat_ws(" ", low, key)), S.first_codes())))
+    parts = (
+        F.when(F.col("_code").isNotNull(), F.concat_ws(" ", "_mk", "_md", "_code"))
+        .when(F.startswith(F.lower("_name"), low), F.concat_ws(" ", "_name", "_md"))
+        .when(F.col("_name").isNotNull(), F.concat_ws(" ", "_mk", "_name", "_md"))
+        .otherwise(F.concat_ws(" ", S.filled(make_col), S.filled(F.col("_md"))))
+    )
+    df = df.withColumn("_parts", parts).withColumn("label", F.coalesce("_drone", S.folder_name(F.col("_parts"))))
+    return df.drop("_mk", "_md", "_app", "_lo", "_key", "_drone", "_name", "_code", "_parts")
+
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rn") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
