@@ -3,8 +3,8 @@
 A seed is a fixed mask over consecutive words; the masked words' hash ignores the other
 positions, so a seed survives substitutions there.  All seeds of the test items are joined
 with all seeds of the documents; a hit names a document, an item and a diagonal.  The
-diagonal is verified word by word: the best-scoring stretch must agree in three of four
-words and be long enough.
+diagonal is verified word by word: the stretch with the most agreeing words, of those that
+agree in three of four words, must be long enough.
 
 The items are the query set; they go to the tasks in blocks of bounded size, one pass over
 the documents per block.
@@ -23,9 +23,8 @@ from .common import ALNUM, Bytes, doc_key, durable, from_key, mix, small_batches
 
 #: Weight five each: five words in a row, and three masks that ignore some.
 MASKS = ("11111", "1101011", "11100101", "110010101")
-#: A stretch counts if it agrees in this share of its words and in so many words, or in
-#: that share of an item which is shorter.
-SHARE, MIN_WORDS = 0.75, 13
+#: A stretch counts if it agrees in so many words, or in three quarters of a shorter item.
+MIN_WORDS = 13
 #: Words of the items that one broadcast holds.
 BLOCK_WORDS = 250_000
 _FILTER_BITS = 22
@@ -97,13 +96,18 @@ class Items:
         own = self.words[self.first[item] : self.first[item + 1]]
         lo, hi = max(0, -diagonal), min(len(own), len(words) - diagonal)
         same = own[lo:hi] == words[lo + diagonal : hi + diagonal]
-        score = np.r_[0, np.cumsum(np.where(same, 1 - SHARE, -SHARE))]
-        low = np.minimum.accumulate(score)
-        end = int(np.argmax(score - low))
-        start = int(np.argmin(score[: end + 1]))
-        matched = int(same[start:end].sum())
-        if matched < min(MIN_WORDS, -(-len(own) * 3 // 4)) or matched < SHARE * (end - start):
+        # a stretch agrees in three of four words if its score, +1 or -3 a word, is not negative;
+        # for each end the longest one starts where the running minimum first is as low
+        score = np.r_[0, np.cumsum(np.where(same, 1, -3))]
+        begin = np.searchsorted(-np.minimum.accumulate(score), -score, side="left")
+        agree = np.r_[0, np.cumsum(same)]
+        end = int(np.argmax(agree - agree[begin]))
+        start = int(begin[end])
+        matched = int(agree[end] - agree[start])
+        if not matched or matched < min(MIN_WORDS, -(-len(own) * 3 // 4)):
             return None
+        inside = np.flatnonzero(same[start:end])
+        start, end = start + int(inside[0]), start + int(inside[-1]) + 1
         return matched, lo + diagonal + start, lo + diagonal + end
 
 

@@ -1,0 +1,445 @@
+"""Every operator of lumenta.llm: odd inputs, and results against brute force or SQL."""
+
+import collections
+import hashlib
+import itertools
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lumenta.llm import (
+    chat_format, common, components, decontaminate, license_scan, line_dedup, ngram_jaccard, private_data, quality_rules, queries, source_mixing, suffix_dedup, url_filter,
+)
+
+DATA = "/root/testdata/sf0.001"
+WHITE = r"[^\x20\x09-\x0D]+"
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return sorted(duckdb.sql(f"select doc_id, text, source from '{DATA}/documents.parquet'").fetchall())
+
+
+# ------------------------------------------------------------------ odd inputs
+
+LONG = " ".join(f"word{k % 977} zz{k}" for k in range(30_000))
+ODD = [
+    (1, "a b c d e f g h i j", "s"), (2, None, "s"), (3, "", None), (None, "a b c d e f g h i j", "s"), (4, " \n\t ", "s"),
+    (5, "a b c d e f g h i j", "s"), (5, "a b c d e f g h i j", "s"), (6, LONG, "t"), (7, LONG + " end", "t"), (8, "one\ntwo\nthree\n\nfour", None),
+    (9, "one \ntwo\n three", "u"), (10, "x" * 300, "u"), (11, "y" + "x" * 300, "u"), (12, "é" * 120, "u"),
+]
+CLASH = "node long, token long, key long, n_words long, doc string, spans string, kept boolean, size long, place long, row long, hash long, target double"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame(ODD, "doc_id long, text string, source string").repartition(3)
+    for c in CLASH.split(", "):
+        name, kind = c.split()
+        df = df.withColumn(name, F.lit(None).cast(kind))
+    return df
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+def test_odd_documents(spark, odd, none):
+    labels = spark.createDataFrame([(1, None), (None, 1), (6, 1), (6, 0)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "A b, c d e f g!"), (2, None), (None, "a b c d e f"), (3, "four words are few"), (4, "")], "item_id long, text string")
+    for make in (
+        ngram_jaccard.ngram_jaccard, suffix_dedup.suffix_dedup, line_dedup.line_dedup, private_data.private_data, license_scan.license_scan,
+        lambda d: quality_rules.quality_rules(d, labels), source_mixing.plan,
+    ):
+        assert make(odd).count() == len(ODD)
+        assert make(none).count() == 0
+    assert quality_rules.kept_documents(odd, labels).columns == odd.columns
+    assert source_mixing.mix_sources(odd).columns == odd.columns
+    assert decontaminate.contaminated(none, bench).count() == 0
+    assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
+    found = {(r.doc_id, r.item_id, r.matched) for r in decontaminate.contaminated(odd, bench).collect()}
+    assert found == {(1, 1, 7), (None, 1, 7), (5, 1, 7)}
+
+
+def test_odd_jaccard(odd):
+    got = collections.defaultdict(set)
+    for r in ngram_jaccard.ngram_jaccard(odd).collect():
+        got[r.doc_id].add((r.n_shingles > 0, r.component_id))
+    assert got[1] == got[5] == got[None] == {(True, 1)}
+    assert got[2] == {(False, 2)} and got[3] == {(False, 3)} and got[4] == {(False, 4)}
+    assert got[6] == got[7] == {(True, 6)}
+
+
+def test_odd_suffix(odd):
+    got = {r.doc_id: (r.n_bytes, [tuple(s) for s in r.spans]) for r in suffix_dedup.suffix_dedup(odd).collect()}
+    assert got[10] == (300, [(1, 300)]) and got[11] == (301, [(1, 301)]) and got[12] == (240, [(2, 240)])
+    n = len(LONG)
+    assert got[6] == (n, []) and got[7] == (n + 4, [(0, n)]) and got[2] == (0, []) and got[5] == (19, [])
+
+
+def test_odd_lines(odd):
+    got = {(r.doc_id, r.text, r._lm_lines, r._lm_removed) for r in line_dedup.line_dedup(odd).filter("doc_id in (2, 3, 8, 9)").collect()}
+    assert got == {(2, None, 1, 0), (3, "", 1, 0), (8, "one\ntwo\nthree\n\nfour", 5, 0), (9, "", 3, 3)}
+
+
+# ------------------------------------------------------------------ brute force
+
+
+def as_dict(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def test_quality_statistics(spark, rows):
+    got = as_dict(quality_rules.query(spark, DATA))
+    for d, t, _ in rows:
+        w = re.findall(WHITE, t)
+        seen = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        cover = {i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        lines = [x for x in t.split("\n") if re.search(WHITE, x)]
+        failed = len(w) < 50 or 100 * len(cover) > 50 * len(w)
+        r = got[d]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (
+            len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover), failed,
+        )
+        assert not (r.base_failed and r.kept)
+
+
+def test_learned_rules_hold_out(spark):
+    """Trained on two thirds of sf0.01's labels; judged on sf0.1's."""
+    big = DATA.replace("0.001", "0.1")
+    small = DATA.replace("0.001", "0.01")
+    rules = quality_rules.learn_from(quality_rules.statistics(common.table(spark, small, "documents")), common.table(spark, small, "labels"))
+    stats = quality_rules.statistics(common.table(spark, big, "documents")).filter(~quality_rules.base_failed())
+    marks = common.table(spark, big, "labels").select(F.col("doc_id").alias("doc"), "quality")
+    r = stats.join(marks, "doc").groupBy("quality").agg(F.avg((quality_rules.rule_column(rules) > 0).cast("double")).alias("rejected")).collect()
+    rejected = {x.quality: x.rejected for x in r}
+    assert rejected[0] > 0.9 and rejected[1] < 0.02
+
+
+def shingles(t):
+    w = re.findall(WHITE, (t or "").translate(LOW))
+    return frozenset(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
+
+
+def brute_components(texts):
+    sets = {d: shingles(t) for d, t in texts.items()}
+    root = {d: d for d in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)) and find(a) != find(b):
+            n = len(x & y)
+            if 100 * n >= 75 * (len(x) + len(y) - n):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def test_jaccard(spark, rows):
+    rng = np.random.default_rng(5)
+    texts = {d: t for d, t, _ in rows}
+    words = rows[0][1].split()[:120] or ["w"] * 120
+    for k in range(150):  # a group whose members link through others only
+        own = list(words)
+        for at in rng.choice(len(own), int(rng.integers(0, 8)), replace=False):
+            own[at] = f"edit{k}x{at}"
+        texts[10_000 + k] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard(df).collect()}
+    assert got == brute_components(texts)
+
+
+def test_tiles_split(spark, monkeypatch):
+    """Small tiles find what one tile finds."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [(k, " ".join(words[: 60 - k % 20] + [f"t{k}x{j}" for j in range(k % 20)])) for k in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute_components(dict(texts))
+    for size in (2048, 7):
+        monkeypatch.setattr(ngram_jaccard, "TILE", size)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard(df).collect()} == want
+
+
+def test_signature_bound():
+    rng = np.random.default_rng(1)
+    for n, m in ((10, 12), (300, 280), (2000, 1500)):
+        base = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64))
+        x, y = np.sort(base[:n]), np.sort(np.concatenate([base[: m // 2], base[-(m - m // 2) :]]))
+        a, b = ngram_jaccard.signature(x), ngram_jaccard.signature(y)
+        words = min(len(a), len(b))
+        fold = ngram_jaccard._fold([a, b], words)
+        assert int(np.bitwise_count(fold[0] ^ fold[1]).sum()) <= len(set(x) ^ set(y))
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (5, 4), (9, 9), (None, 7), (3, 1)] + [(100 + k, 101 + k) for k in range(40)]
+    got = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} | {k: 100 for k in range(100, 141)}
+    assert components.connected(spark.createDataFrame([], "a long, b long"), "t").count() == 0
+
+
+def brute_repeats(texts, length):
+    seen, out = set(), {}
+    for d in sorted(texts):
+        b = texts[d]
+        cover = np.zeros(len(b), bool)
+        for p in range(len(b) - length + 1):
+            if b[p : p + length] in seen:
+                cover[p : p + length] = True
+            seen.add(b[p : p + length])
+        out[d] = cover
+    return out
+
+
+def test_suffix(spark, rows):
+    want = brute_repeats({d: t.encode() for d, t, _ in rows}, 100)
+    got = as_dict(suffix_dedup.query(spark, DATA))
+    for d, t, _ in rows:
+        cover, b = want[d], np.frombuffer(t.encode(), np.uint8)
+        runs = int((np.diff(np.r_[0, cover.astype(int)]) == 1).sum())
+        assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == (len(b), int(cover.sum()), runs, hashlib.sha256(b[~cover].tobytes()).hexdigest())
+
+
+def test_suffix_periodic_and_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = {k: "".join(rng.choice(list("ab"), 40)) * int(rng.integers(1, 8)) + "".join(rng.choice(list("abc"), 60)) for k in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_repeats({d: t.encode() for d, t in texts.items()}, 100)
+    for r in suffix_dedup.suffix_dedup(df).collect():
+        cover = np.zeros(r.n_bytes, bool)
+        for s in r.spans:
+            cover[s["start"] : s["end"]] = True
+        assert (cover == want[r.doc_id]).all()
+    text = common.Bytes(np.frombuffer(b"".join(t.encode() for t in texts.values()), np.uint8), np.cumsum([0, *(len(t) for t in texts.values())]))
+    _, start, windows, anchor = suffix_dedup.phrases(text, 100, 32)
+    assert (anchor >= start + windows - 1).all() and (anchor + 32 <= start + 100).all()
+
+
+def brute_lines(texts):
+    def key(x):
+        return x.strip(" \t\n\v\f\r")
+
+    seen, out = set(), {}
+    for d in sorted(texts):
+        lines = (texts[d] or "").split("\n")
+        at = [i for i, x in enumerate(lines) if key(x)]
+        gone = set()
+        for j in range(len(at) - 2):
+            w = tuple(key(lines[i]) for i in at[j : j + 3])
+            if w in seen:
+                gone |= set(at[j : j + 3])
+            seen.add(w)
+        out[d] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone))
+    return out
+
+
+def brute_leak(text, items):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOW))
+    for t in items:
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOW))
+        need = min(13, -(-3 * len(own) // 4))
+        for d in range(-len(own) + 5, len(w) - 4):
+            same = [own[i] == w[i + d] for i in range(max(0, -d), min(len(own), len(w) - d))]
+            if sum(same) < need:
+                continue
+            agree = np.r_[0, np.cumsum(same)]
+            for i in range(len(same)):
+                n = agree[i + 1 :] - agree[i]
+                if ((n >= need) & (4 * n >= 3 * np.arange(1, len(n) + 1))).any():
+                    return True
+    return False
+
+
+def test_decontaminate_substitutions(spark, rows):
+    items = [(i, t) for i, t in duckdb.sql(f"select item_id, text from '{DATA}/benchmark.parquet'").fetchall()]
+    rng = np.random.default_rng(4)
+    docs, planted = [(d, t) for d, t, _ in rows], set()
+    for i, t in items:
+        w = t.split()
+        for k in range(2, len(w), 7):  # every seventh word is another
+            w[k] = f"other{k}"
+        docs.append((50_000 + i, f"{rows[int(rng.integers(len(rows)))][1][:200]} {' '.join(w)} tail"))
+        planted.add((50_000 + i, i))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert planted <= found
+    texts = [t for _, t in items]
+    assert {d for d, _ in found if d < 50_000} == {d for d, t, _ in rows if brute_leak(t, texts)}
+
+
+def test_private_data(spark, rows):
+    odd = ["a@b.c_d@e.f.g x@y", "1.2.3.4.5 256.1.1.1 007.0.0.1", "4111 1111-1111 1111", "4111111111111111 2", "+1 (743) 555-3824 +12", "@@a@b.c", "é a.b@c-d.e-f. +9" + "0-" * 9, "a\x01b@c.d", " ".join("1" * 9000)]
+    texts = {d: t for d, t, _ in rows} | {90_000 + k: t for k, t in enumerate(odd)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.spans if s["kind"] in ("email", "ip", "card", "phone")] for r in private_data.private_data(df).collect()}
+
+    def luhn(z):
+        return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(z))) % 10 == 0
+
+    def digits(m):
+        return re.sub("[^0-9]", "", m[0])
+
+    tests = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) < 256 for x in m[0].split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    )
+    for d, t in texts.items():
+        assert got[d] == [(k, *m.span()) for k, p, ok in tests for m in re.finditer(p, t) if ok(m)], t[:80]
+
+
+def test_private_extras(spark):
+    text = 'pay DE89 3704 0044 0532 0130 00 or DE89 3704 0044 0532 0130 01; ssn 123-45-6789 but 123-45-6780; token = "0123456789abcdef"'
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in private_data.private_data(df).first().spans] == [
+        ("iban", "DE89 3704 0044 0532 0130 00"), ("secret", 'token = "0123456789abcdef"'), ("ssn", "123-45-6789"),
+    ]
+
+
+def test_licenses(spark, rows):
+    got = as_dict(license_scan.query(spark, DATA))
+    for d, t, _ in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOW))
+        at = [(i, label) for p, label in license_scan.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        r = got[d]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(at), ",".join(sorted({x for _, x in at})))
+        assert (r.first_word, r.last_word) == (min((i for i, _ in at), default=None), max((i for i, _ in at), default=None))
+        assert 0 <= r.score <= 1
+    texts = ["Permission is hereby granted, free of any charge, to any person obtaining a copy of this software", "permission is granted to any reader"]
+    out = [license_scan.license_scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().spans for t in texts]
+    assert [s["label"] for s in out[0]] == ["mit"] and 0.75 <= out[0][0]["cover"] < 1 and out[1] == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["system", "user", "assistant", "tool", None]), max_size=5))
+def test_role_repair_is_cheapest(roles):
+    def cheapest(k, state):
+        if k == len(roles):
+            return chat_format.INSERT if state == "system" else 0
+        known = roles[k] if roles[k] in chat_format.ROLES else None
+        best = 10**6
+        for role in chat_format.ROLES:
+            price = 0 if role == known else chat_format.RELABEL if known else chat_format.NAME
+            for empty in itertools.chain([()], itertools.permutations(chat_format.ROLES, 1), itertools.permutations(chat_format.ROLES, 2)):
+                chain = (state, *empty, role)
+                if all(b in chat_format.NEXT[a] for a, b in itertools.pairwise(chain)):
+                    best = min(best, price + chat_format.INSERT * len(empty) + cheapest(k + 1, role))
+            if role == state:
+                best = min(best, price + chat_format.MERGE + cheapest(k + 1, role))
+        return best
+
+    cost, ops, repaired, _ = chat_format.render([(r, "x") for r in roles])
+    assert cost == cheapest(0, chat_format.START) and len(ops) == len(roles)
+    assert all(b in chat_format.NEXT[a] for a, b in itertools.pairwise([chat_format.START, *(r for r, _ in repaired)]))
+    assert "".join(t for _, t in repaired).count("x") == len(roles)
+
+
+def test_chat_odd(spark):
+    rows = [(1, 0, "User", "a"), (1, 1, "user", "b"), (1, 2, None, None), (None, None, "assistant", "c"), (2, 0, "system", "")]
+    got = {r.conv_id: r for r in chat_format.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1].roles, got[1].n_merged, got[1].n_relabelled) == ("user,assistant", 1, 1) and "a\nb" in got[1].rendered
+    assert got[None].roles == "user" and got[None].cost == chat_format.RELABEL and got[2].roles == "system,user"
+    assert chat_format.chat_format(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_urls(spark):
+    urls = ["https://WWW.Example.COM/en/x?q#z", "http://a.example.com/en/1", "http://a.example.com/de", "http://example.com", "x://b.net/es/", "nothing", None, "http://m.spam-farm.example.org/en", ""]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(df).collect()}
+    assert got[0] == ("www.example.com", "/en/x", "www.example.com/en/", "allow") and got[1][2:] == ("example.com/en/", "block")
+    assert got[2][2:] == ("com/", "allow") and got[3] == ("example.com", "", None, "allow") and got[4][2:] == ("net/es/", "block")
+    assert got[5] == got[6] == got[8] == ("", "", None, "allow") and got[7][2:] == (None, "block")
+    assert url_filter.url_filter(df.limit(0)).count() == 0
+
+
+@given(st.sets(st.integers(0, 3000), max_size=400))
+@settings(max_examples=20, deadline=None)
+def test_cascade_is_exact(listed):
+    import pyarrow as pa
+
+    c = url_filter.Cascade(map(str, listed))
+    c.start(3001)
+    hashes = url_filter._hashes(pa.array([str(k) for k in range(3001)]))
+    c.finish(hashes[c.levels[0].holds(hashes)])
+    assert set(np.flatnonzero(c.holds(hashes)).tolist()) == listed
+
+
+def test_mix(spark, rows):
+    got = as_dict(source_mixing.query(spark, DATA.replace("0.001", "0.1")))
+    by = collections.defaultdict(list)
+    for d, s in duckdb.sql(f"select doc_id, source from '{DATA.replace('0.001', '0.1')}/documents.parquet'").fetchall():
+        by[s].append(got[d])
+    total = sum(r.size for r in got.values())
+    assert abs(sum(v[0].target for v in by.values()) - total) < 1
+    for own in by.values():
+        assert own[0].source_size == sum(r.size for r in own) and own[0].target <= 3 * own[0].source_size
+        assert abs(sum(r.taken for r in own) / own[0].target - 1) < 0.25
+        assert all(r.taken <= 3 * r.size for r in own)
+    caps = spark.createDataFrame([("a", 1), ("b", 100), ("c", 0), (None, 50)], "source string, size long")
+    assert {r.source: r.target for r in source_mixing.targets(caps).collect()} == {"a": 3.0, "c": 0.0, "b": 2 * 148 / 3, None: 148 / 3}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    rel = c.execute(queries.ORACLE_SQL[name])
+    cols = [d[0] for d in rel.description]
+    want = sorted(map(str, rel.fetchall()))
+    assert sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, DATA).select(*cols).collect()) == want
+
+
+def test_pipeline(spark, rows):
+    """run() against the stages done one by one in plain Python."""
+    stats = quality_rules.statistics(common.table(spark, DATA, "documents"))
+    rules = quality_rules.learn_from(stats, common.table(spark, DATA, "labels"))
+    text = {d: t for d, t, _ in rows}
+    table = {s: np.array([r[s] for r in stats.collect()]) for s in ("doc", *quality_rules.STATS)}
+    x = quality_rules.features(table)
+    poor = (table["n_words"] < 50) | (100 * table["n_repeat_words"] > 50 * table["n_words"])
+    for rule in rules:
+        poor |= quality_rules._covers(rule, x)
+    text = {d: text[d] for d in table["doc"][~poor].tolist()}
+    cut = brute_lines(text)
+    text = {d: t for d, (t, n) in cut.items() if not n or re.search(WHITE, t)}
+    groups = brute_components(text)
+    text = {d: t for d, t in text.items() if groups[d][1] == d}
+    items = [t for (t,) in duckdb.sql(f"select text from '{DATA}/benchmark.parquet'").fetchall()]
+    text = {d: t for d, t in text.items() if not brute_leak(t, items)}
+    source = {d: s for d, _, s in rows}
+    size = {d: len(re.findall(WHITE, t)) for d, t in text.items()}
+    per = collections.Counter()
+    for d, n in size.items():
+        per[source[d]] += n
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(sorted(per))}
+    open_, left, target = set(per), sum(per.values()), {}
+    while True:
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 3 * per[s]}
+        if not full:
+            target |= share
+            break
+        target |= {s: 3 * per[s] for s in full}
+        left -= sum(3 * per[s] for s in full)
+        open_ -= full
+    want = collections.Counter()
+    for d, t in text.items():
+        rate = target[source[d]] / per[source[d]]
+        u = int(hashlib.md5(f"{source_mixing.SEED}:{d}".encode()).hexdigest()[:12], 16) / 2**48
+        want[d, t] += int(rate) + (u < rate - int(rate))
+    out = corpus_pipeline.run(spark, DATA)
+    assert out.columns == common.table(spark, DATA, "documents").columns
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == +want
