@@ -350,7 +350,7 @@ def test_chat_odd(spark):
     rows = [(1, 0, "User", "a"), (1, 1, "user", "b"), (1, 2, None, None), (None, None, "assistant", "c"), (2, 0, "system", "")]
     got = {r.conv_id: r for r in chat_format.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert (got[1].roles, got[1].n_merged, got[1].n_relabelled) == ("user,assistant", 1, 1) and "a\nb" in got[1].rendered
-    assert got[None].roles == "user" and got[None].cost == chat_format.RELABEL and got[2].roles == "system,user"
+    assert got[None].roles == "user" and got[None].cost == chat_format.RELABEL and got[2].roles == "user"
     assert chat_format.chat_format(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
