@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ def lookup(c: Column, names: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*pairs), c)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def filled(c: Column) -> Column:
     """Empty strings count as missing."""
     return F.nullif(F.trim(c), F.lit(""))
@@ -56,15 +62,16 @@ def iso_datetime(c: Column) -> Column:
     return F.when(~c.startswith("0000"), F.coalesce(*zoned, *plain))
 
 
-#: The layouts of dates in file names, in order of trust.
+#: The layouts of dates in file names, in order of trust; the group holds the
+#: date and time, whose digits have fixed places.
 NAME_DATES = (
-    r"(?:IMG|VID|C360|Screenshot|PANO|MVIMG)_([0-9]{4})([0-9]{2})([0-9]{2})_([0-9]{2})([0-9]{2})([0-9]{2})",
-    r"^([0-9]{4})([0-9]{2})([0-9]{2})_([0-9]{2})([0-9]{2})([0-9]{2})",
-    r"^([0-9]{4})_([0-9]{2})_([0-9]{2})_([0-9]{2})_([0-9]{2})(?:_([0-9]{2}))?",
-    r"([0-9]{4})-([0-9]{2})-([0-9]{2})[\s_T]([0-9]{2})[:\-.]?([0-9]{2})[:\-.]?([0-9]{2})",
-    r"(?:IMG|VID|C360|Screenshot|PANO|DSC|DSCN|DSCF|SAM)_([0-9]{4})([0-9]{2})([0-9]{2})(?![0-9])",
-    r"(?<![0-9])([0-9]{4})[-_]([0-9]{2})[-_]([0-9]{2})(?![0-9])",
-    r"(?<![0-9])([0-9]{4})([0-9]{2})([0-9]{2})(?![0-9])",
+    r"(?:IMG|VID|C360|Screenshot|PANO|MVIMG)_([0-9]{8}_[0-9]{6})",
+    r"^([0-9]{8}_[0-9]{6})",
+    r"^([0-9]{4}_[0-9]{2}_[0-9]{2}_[0-9]{2}_[0-9]{2}(?:_[0-9]{2})?)",
+    r"([0-9]{4}-[0-9]{2}-[0-9]{2}[\s_T][0-9]{2}[:\-.]?[0-9]{2}[:\-.]?[0-9]{2})",
+    r"(?:IMG|VID|C360|Screenshot|PANO|DSC|DSCN|DSCF|SAM)_([0-9]{8})(?![0-9])",
+    r"(?<![0-9])([0-9]{4}[-_][0-9]{2}[-_][0-9]{2})(?![0-9])",
+    r"(?<![0-9])([0-9]{8})(?![0-9])",
 )
 OLDEST_SECOND, OLDEST_YEAR = 738892800, 1993
 
@@ -78,12 +85,15 @@ def name_datetime(name: Column, now: Column | None = None) -> Column:
     """A date in a file name, then a Unix time with a known prefix, then a bare one."""
     now = F.current_timestamp() if now is None else now
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+
+    def stamp(digits: Column) -> Column:
+        y, *rest = (F.substring(digits, at, n).cast("int") for at, n in ((1, 4), (5, 2), (7, 2), (9, 2), (11, 2), (13, 2)))
+        return F.when(y.between(OLDEST_YEAR, F.year(now)), _stamp(y, *rest))
+
     found = []
     for p in NAME_DATES:
-        groups = p.count("(") - p.count("(?")
-        y, mo, d, *time = (_group(stem, p, k) for k in range(1, groups + 1))
-        h, mi, s = [*map(_or_zero, time), *[F.lit(0)] * 3][:3]
-        found.append(F.when(y.between(OLDEST_YEAR, F.year(now)), _stamp(y, mo, d, h, mi, s)))
+        digits = F.regexp_replace(F.nullif(F.regexp_extract(stem, p, 1), F.lit("")), "[^0-9]", "")
+        found.append(let(F.rpad(digits, 14, "0"), stamp))
     for p in (r"(?:mmexport|wx_camera|wx)_?([0-9]{10,13})", r"(?<![0-9])([0-9]{10}|[0-9]{13})(?![0-9])"):
         digits = F.nullif(F.regexp_extract(stem, p, 1), F.lit(""))
         value = digits.cast("long")
@@ -136,11 +146,14 @@ def fast_hash(text: Column) -> Column:
 
 def fraction(c: Column) -> Column:
     """F16: EXIF rationals for people."""
-    n, d = (F.regexp_extract(c, r"^\s*([0-9]+)\s*/\s*([0-9]+)\s*$", k) for k in (1, 2))
-    n, d = F.nullif(n, F.lit("")).cast("double"), F.nullif(d, F.lit("")).cast("double")
-    value = F.when((d != 0) & (n != 0), n / d)
-    part = F.concat(F.lit("1/"), F.bround(1 / value).cast("long").cast("string"))
-    return F.when(value < 1, part).when(value == F.floor(value), value.cast("long").cast("string")).when(value.isNotNull(), F.format_string("%.1f", value)).otherwise(c)
+    n, d = (F.nullif(F.regexp_extract(c, r"^\s*([0-9]+)\s*/\s*([0-9]+)\s*$", k), F.lit("")).cast("double") for k in (1, 2))
+
+    def shown(x: Column) -> Column:
+        whole = F.when(x < 1, F.concat(F.lit("1/"), F.bround(1 / x).cast("long").cast("string"))).when(x == F.floor(x), x.cast("long").cast("string"))
+        return whole.otherwise(F.when(x.isNotNull(), F.format_string("%.1f", x)))
+
+    value = let(F.struct(n.alias("n"), d.alias("d")), lambda r: F.when((r["d"] != 0) & (r["n"] != 0), r["n"] / r["d"]))
+    return F.coalesce(let(value, shown), c)
 
 
 def human_size(size: Column, spaced: bool = False) -> Column:
