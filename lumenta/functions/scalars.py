@@ -314,3 +314,19 @@ def classified(path: Column, root: str) -> Column:
 def frozen(path: Column, root: str) -> Column:
     """P07"""
     return F.coalesce(reduce(lambda a, b: a | b, [F.startswith(first_folder(path, root), F.lit(p)) for p in dims.FROZEN_PREFIXES]), F.lit(False))
+
+
+def device_suffix(label: Column, path: Column, suffixes: dict[str, str], output: str | None = None) -> Column:
+    """F12, the last two steps: "label (suffix)" by the first of the source folders that holds
+    the path; else, below output, the label of the device folder the file already stands in,
+    if that is this label with a suffix."""
+    named = F.when(F.lit(False), label)
+    for folder, suffix in suffixes.items():
+        named = named.when(F.startswith(path, F.lit(f"{folder}/")), F.concat(label, F.lit(f" ({suffix})")))
+    if output is None:
+        return named.otherwise(label)
+    parts = F.split(F.substring(path, F.lit(len(output) + 2), F.length(path)), "/")
+    folder = F.get(parts, F.lit(1))
+    own = F.trim(F.regexp_extract(folder, r"(?U)^(.+?)\s*\(\w+\)$", 1))
+    inherits = F.startswith(path, F.lit(f"{output}/")) & (F.size(parts) >= 3) & F.lower(F.get(parts, F.lit(0))).rlike("^all_[1-5]_")
+    return named.when(inherits & (own != "") & (F.lower(own) == F.lower(label)), folder).otherwise(label)

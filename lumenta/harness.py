@@ -377,6 +377,18 @@ def device_label(v):
     return C.label_devices(v.devices, "make", "model", "app").select("id", "label")
 
 
+@query(r"""WITH p AS (SELECT id, make || ' ' || model AS label, CASE WHEN id % 3 = 0 THEN '/out/All_3_' || dir[2:] || '/' || lower(make) || ' ' || model || ' (second)/f' ELSE dir || '/f' END AS path FROM devices)
+  SELECT id, CASE WHEN starts_with(path, '/d1/') THEN label || ' (one)' WHEN starts_with(path, '/d2/') THEN label || ' (two)'
+    WHEN starts_with(path, '/out/') AND trim(label) = label AND lower(trim(replace(split_part(path, '/', 4), ' (second)', ''))) = lower(label) THEN split_part(path, '/', 4)
+    ELSE label END AS label FROM p""", "devices")
+def device_suffixes(v):
+    """F12"""
+    label = F.concat_ws(" ", "make", "model")
+    below = F.concat(F.lit("/out/All_3_"), F.expr("substring(dir, 2)"), F.lit("/"), F.lower("make"), F.lit(" "), F.col("model"), F.lit(" (second)/f"))
+    path = F.when(F.col("id") % 3 == 0, below).otherwise(F.concat("dir", F.lit("/f")))
+    return v.devices.select("id", S.device_suffix(label, path, {"/d1": "one", "/d2": "two"}, "/out").alias("label"))
+
+
 @query(f"{_STATUS_CTE} SELECT make, model, t AS device_type, count(*) AS count, count(*) FILTER (WHERE media_type = 'video') AS videos, count(*) FILTER (WHERE media_type <> 'video') AS photos FROM s GROUP BY ALL", "devices")
 def device_stats(v):
     """G03"""

@@ -152,3 +152,10 @@ def test_stream(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
         q.awaitTermination(60)
         assert spark.table(name).count() == want
+
+
+def test_device_suffix(spark):
+    rows = [("Mi 14", "/a/x/f", "Mi 14 (wz)"), ("Mi 14", "/a/xy/f", "Mi 14"), ("Mi 14", "/o/All_2_p/mi 14 (b)/f", "mi 14 (b)"), ("Mi 14", "/o/All_2_p/mi 14 (b)", "Mi 14"), ("Mi 14", "/o/All_9_p/mi 14 (b)/f", "Mi 14"), ("Mi 14", "/o/all_1_p/mi 15 (b)/f", "Mi 14"), ("Mi 14", None, "Mi 14")]
+    df = spark.createDataFrame(rows, "label string, path string, want string")
+    got = df.select("want", S.device_suffix(F.col("label"), F.col("path"), {"/a/x": "wz"}, "/o").alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
