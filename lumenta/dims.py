@@ -98,6 +98,8 @@ STATUS_LABELS = {
     "ok": "已复制", "skipped_dup": "重复跳过", "skipped_exists": "已存在", "skipped_filtered": "小图过滤", "skipped_not_target": "非目标设备",
     "skipped_no_device": "无设备信息", "dry_run": "试运行", "error": "错误",
 }
+#: What a record says of a file that lacks something.
+NOTES = {"video": "无法识别视频设备信息", "device": "无EXIF设备信息", "mtime": "无EXIF日期，使用文件修改时间", "date": "无任何日期信息"}
 DEVICE_LABELS = {"camera": "相机", "phone": "手机", "unknown": "未识别"}
 CLASSIFIED_PREFIXES = ("all_1_", "all_2_", "all_3_", "all_4_", "all_5_", "all_7_", "all_999_")
 FROZEN_PREFIXES = ("all_999_", "all_7_")

@@ -243,15 +243,15 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
 
 
-def note(source: Column, media: Column, make: Column, has_date: Column, mtime: Column) -> Column:
-    """F35, first that holds."""
+def note(source: Column, media: Column, make: Column, device: Column, has_date: Column, taken: Column, mtime: Column) -> Column:
+    """F35, first that holds; an unknown device with a maker has no note, whatever its date."""
     return (
         F.when(filled(source).isNotNull(), source)
-        .when(filled(make).isNull() & (media == "video"), "unknown video")
-        .when(filled(make).isNull(), "unknown device")
-        .when(~has_date & mtime.isNotNull(), "date from file")
-        .when(~has_date, "no date")
-        .otherwise("")
+        .when((device == "unknown") & filled(make).isNotNull(), "")
+        .when((device == "unknown") & (media == "video"), dims.NOTES["video"])
+        .when(device == "unknown", dims.NOTES["device"])
+        .when(has_date | taken.isNotNull(), "")
+        .otherwise(F.when(mtime.isNotNull(), dims.NOTES["mtime"]).otherwise(dims.NOTES["date"]))
     )
 
 

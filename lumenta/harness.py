@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import dims
 from .functions import scalars as S
 from .operators import catalog as C
+from .sources import filelists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -652,6 +653,19 @@ def top_groups(v):
     return v.files.groupBy("dir").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dir").limit(30)
 
 
+@query("SELECT id, path FROM files ORDER BY md5('7:' || path), path LIMIT 200", "files")
+def random_sample(v):
+    """T08"""
+    return C.random_sample(v.files.select("id", "path"), 200, "path", 7)
+
+
+@query("""SELECT media, count(*) AS files, CASE WHEN s > 0 THEN b / 1048576 / s ELSE 0 END AS mb_per_s, CASE WHEN s > 0 THEN count(*) / s ELSE 0 END AS files_per_s
+  FROM (SELECT media, sum(size) OVER w::DOUBLE AS b, (max(mtime_s) OVER w - min(mtime_s) OVER w)::DOUBLE AS s FROM files WINDOW w AS (PARTITION BY media)) GROUP BY media, b, s""", "files")
+def copy_throughput(v):
+    """G24"""
+    return C.throughput(v.files.withColumn("at", F.timestamp_seconds("mtime_s")), "media")
+
+
 @query("SELECT dir, count(*) AS n, sum(size)::BIGINT AS bytes FROM files GROUP BY dir", "files")
 def dir_counts(v):
     """G19"""
@@ -793,11 +807,11 @@ def companion_join(v):
     return c.join(m, ["dir", "stem"]).groupBy("companion").agg(F.min("owner").alias("owner"))
 
 
-@query("SELECT id, CASE WHEN media = 'video' THEN 'unknown video' ELSE 'unknown device' END AS note, 'x; ' || media AS appended FROM files WHERE media <> 'companion'", "files")
+@query(f"SELECT id, CASE WHEN media = 'video' THEN '{dims.NOTES["video"]}' ELSE '{dims.NOTES["device"]}' END AS note, 'x; ' || media AS appended FROM files WHERE media <> 'companion'", "files")
 def notes_and_labels(v):
     """F35 F36"""
     t = v.files.filter("media <> 'companion'")
-    return t.select("id", S.note(F.lit(""), F.col("media"), F.lit(""), F.lit(True), F.col("mtime_s")).alias("note"), F.concat_ws("; ", F.lit("x"), "media").alias("appended"))
+    return t.select("id", S.note(F.lit(""), F.col("media"), F.lit(""), F.lit("unknown"), F.lit(True), F.col("mtime_s"), F.col("mtime_s")).alias("note"), F.concat_ws("; ", F.lit("x"), "media").alias("appended"))
 
 
 @query(f"{_STATUS_CTE} SELECT id, {_map_sql('status', dims.STATUS_LABELS)} AS shown, {_map_sql('t', dims.DEVICE_LABELS)} AS kind, make || CASE WHEN model <> '' THEN ' / ' || model ELSE '' END AS device FROM s", "devices")
@@ -832,9 +846,7 @@ def filelist_rows(v):
 def filelist_parse(v):
     """Lines of eight columns; others are skipped."""
     line = F.when(F.col("name").startswith("pic"), F.concat(F.lit("# "), "name")).otherwise(F.concat_ws(" | ", "name", *[F.lit("x")] * 6, "path"))
-    parts = F.split(line, r" \| ")
-    t = v.files.select("id", line.alias("l"), parts.alias("p")).filter(~F.col("l").rlike(r"^(?:\s*$|#|-|Filename)") & (F.size("p") >= 8))
-    return t.select("id", F.get("p", F.lit(0)).alias("name"), F.element_at("p", -1).alias("source"))
+    return v.files.select("id", filelists.pair(line).alias("p")).filter("p is not null").select("id", "p.name", "p.source")
 
 
 @query("SELECT hash FROM files WHERE id % 2 = 0 EXCEPT SELECT hash FROM files WHERE id % 3 = 0", "files")
@@ -908,6 +920,22 @@ def copy_plan(v):
     return t.select(F.when(F.col("rn") > 1, "skip").when(F.col("id") % 2 == 0, "rename").otherwise("copy").alias("action"), F.col("path").alias("src"))
 
 
+@query(f"""SELECT dir || '/' || id AS source, CASE WHEN t <> 'unknown' OR has OR m IS NOT NULL THEN 'out/' || t || '/' || coalesce(year(d) || '-' || {_QUARTER}, '{dims.UNKNOWN_DATE}') ELSE '' END AS destination,
+  t AS device_type, media_type, make, model, coalesce(strftime(d, '%Y-%m-%d %H:%M:%S'), '') AS date_taken, has AS has_exif_date, size AS file_size,
+  CASE WHEN t = 'unknown' AND make <> '' THEN '' WHEN t = 'unknown' AND media_type = 'video' THEN '{dims.NOTES["video"]}' WHEN t = 'unknown' THEN '{dims.NOTES["device"]}'
+    WHEN has THEN '' WHEN m IS NOT NULL THEN '{dims.NOTES["mtime"]}' ELSE '{dims.NOTES["date"]}' END AS note
+  FROM (SELECT *, CASE WHEN has THEN e ELSE m END AS d, {_DEVICE_TYPE} AS t FROM (SELECT *, id % 2 = 0 AS has, CASE WHEN id % 2 = 0 THEN make_timestamp((1704067200 + id * 3600) * 1000000) END AS e,
+    CASE WHEN id % 5 <> 0 THEN make_timestamp((1609459200 + id * 3600) * 1000000) END AS m FROM devices))""", "devices")
+def copy_records(v):
+    """R08"""
+    t = v.devices.withColumn("has_exif_date", F.col("id") % 2 == 0).withColumn("source", F.concat_ws("/", "dir", "id"))
+    t = t.withColumn("date_taken", F.when(F.col("has_exif_date"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600)))
+    t = t.withColumn("mtime", F.when(F.col("id") % 5 != 0, F.timestamp_seconds(F.lit(1609459200) + F.col("id") * 3600)))
+    t = t.withColumn("device_type", S.device_type(F.col("make"), F.col("model"))).withColumn("effective_date", F.coalesce("date_taken", "mtime"))
+    dest = F.concat_ws("/", F.lit("out"), "device_type", S.date_folder(F.col("effective_date")))
+    return C.records(t.withColumn("destination", dest))
+
+
 @query("SELECT 'delete_dup' AS action, path FROM (SELECT path, row_number() OVER (PARTITION BY hash ORDER BY NOT contains(path, 'src1'), path) AS n FROM files) WHERE n > 1", "files")
 def dup_delete_plan(v):
     """K02"""

@@ -141,3 +141,39 @@ def path_rollup(files: DataFrame, path_col: str = "dir") -> DataFrame:
     parts = F.split(F.col(path_col), "/")
     prefixes = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("prefix"), (k - 1).alias("depth"), (k == F.size(parts)).alias("own")))
     return files.select(F.explode(prefixes).alias("p")).groupBy("p.prefix", "p.depth").agg(F.count_if("p.own").alias("own_count"), F.count(F.lit(1)).alias("total_count"))
+
+
+def random_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """N rows at random.  The order is a hash of the key, so that a rerun gives the same
+    rows; each task keeps its own first n, and only those are merged."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def throughput(done: DataFrame, *by: str) -> DataFrame:
+    """Files and megabytes a second between the first and the last time (at) of each
+    group; 0 where no time passed."""
+    seconds = F.max("at").cast("double") - F.min("at").cast("double")
+    t = done.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.sum("size").cast("double").alias("b"), seconds.alias("s"))
+
+    def rate(of: Column) -> Column:
+        return F.when(F.col("s") > 0, of / F.col("s")).otherwise(0.0)
+
+    return t.select(*by, "files", rate(F.col("b") / 1048576).alias("mb_per_s"), rate(F.col("files")).alias("files_per_s"))
+
+
+def records(files: DataFrame) -> DataFrame:
+    """What a report keeps of a file.  A file without a device type, an EXIF date or a
+    modification time has nowhere to go: its destination is empty.  Needs source, destination,
+    device_type, media_type, make, model, date_taken, mtime, effective_date, has_exif_date and
+    size; an optional device_source comes first among the notes."""
+    source = F.col("device_source") if "device_source" in files.columns else F.lit("")
+    lost = (F.col("device_type") == "unknown") & ~F.col("has_exif_date") & F.col("mtime").isNull()
+    return files.select(
+        "source",
+        F.when(lost, "").otherwise(F.col("destination")).alias("destination"),
+        *("device_type", "media_type", "make", "model"),
+        F.coalesce(F.date_format("effective_date", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("date_taken"),
+        "has_exif_date",
+        F.col("size").alias("file_size"),
+        S.note(source, F.col("media_type"), F.col("make"), F.col("device_type"), F.col("has_exif_date"), F.col("date_taken"), F.col("mtime")).alias("note"),
+    )

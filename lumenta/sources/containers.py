@@ -1,4 +1,4 @@
-"""What must be read byte by byte, as functions for Arrow batches."""
+"""What must be read byte by byte, as functions for Arrow batches."""
 
 from __future__ import annotations
 
@@ -66,8 +66,85 @@ _TAGS = {0x010F: "make", 0x0110: "model", 0x0131: "software", 0x0132: "date_time
 _WIDTHS = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 
 
+def _children(data: bytes, at: int, end: int):
+    """(kind, body) of the boxes in a range; a malformed size ends it."""
+    while at + 8 <= end:
+        size, kind, head = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8], 8
+        if size == 1:
+            size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+        elif size == 0:
+            size = end - at
+        if size < head or at + size > end:
+            return
+        yield kind, data[at + head : at + size]
+        at += size
+
+
+class _Fields:
+    """Big-endian numbers, one after the other; 0 past the end."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def take(self, width: int) -> int:
+        self.at += width
+        return int.from_bytes(self.data[self.at - width : self.at], "big")
+
+
+def _exif_items(body: bytes) -> set[int]:
+    """Ids of the items of kind Exif in an item information box."""
+    head = 6 if body[:1] == b"\0" else 8
+    found = set()
+    for kind, entry in _children(body, head, len(body)):
+        if kind == b"infe" and entry[:1] in (b"\2", b"\3"):
+            width = 2 if entry[0] == 2 else 4
+            if entry[6 + width : 10 + width] == b"Exif":
+                found.add(int.from_bytes(entry[4 : 4 + width], "big"))
+    return found
+
+
+def _item_bytes(body: bytes, wanted: set[int], data: bytes, own: bytes) -> bytes:
+    """The first wanted item, by an item location box: from the file or the box of own data."""
+    f = _Fields(body)
+    version = f.take(1)
+    f.take(3)
+    sizes = f.take(2)
+    offset_size, length_size, base_size, index_size = (sizes >> s & 15 for s in (12, 8, 4, 0))
+    wide = 4 if version == 2 else 2
+    for _ in range(f.take(wide)):
+        if f.at >= len(body):
+            break
+        item, method = f.take(wide), f.take(2) & 15 if version else 0
+        f.take(2)
+        base, parts = f.take(base_size), []
+        for _ in range(f.take(2)):
+            f.take(index_size if version else 0)
+            start, length = base + f.take(offset_size), f.take(length_size)
+            if item in wanted and method in (0, 1):
+                of = own if method else data
+                parts.append(of[start : start + length] if length else of[start:])
+            if f.at > len(body):
+                break
+        if parts:
+            return b"".join(parts)
+    return b""
+
+
+def heif_exif(data: bytes) -> bytes:
+    """A10: the TIFF block of a HEIF file's Exif item, which begins with its own offset."""
+    for kind, body in _children(data, 0, len(data)):
+        if kind == b"meta":
+            inner = dict(_children(body, 4, len(body)))
+            item = _item_bytes(inner.get(b"iloc", b""), _exif_items(inner.get(b"iinf", b"")), data, inner.get(b"idat", b""))
+            return item[4 + int.from_bytes(item[:4], "big") :]
+    return b""
+
+
 def parse_exif(data: bytes) -> dict[str, str]:
-    """The tags of a TIFF block, bare or inside a JPEG; unreadable data give none."""
+    """The tags of a TIFF block, bare or inside a JPEG or HEIF file; unreadable data
+    give none."""
+    if data[4:8] == b"ftyp":
+        data = heif_exif(data)
     at = data.find(b"Exif\x00\x00")
     tiff = data[at + 6 :] if at >= 0 else data
     if tiff[:4] not in (b"II*\x00", b"MM\x00*"):

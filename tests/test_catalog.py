@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenta import harness
 from lumenta.functions import scalars as S
 from lumenta.operators import catalog, people
-from lumenta.sources import containers, media
+from lumenta.sources import containers, filelists, media
 from lumenta.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
@@ -128,6 +128,50 @@ def test_containers():
     assert (containers.text_vector(containers.vector_text(v)) == v).all()
 
 
+@pytest.mark.parametrize("stored", ["file", "idat"])
+def test_heif(stored):
+    tiff = (b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 1) + struct.pack("<HHII", 0x010F, 2, 6, 40)).ljust(40, b"\0") + b"Canon\0"
+    item = struct.pack(">I", 6) + b"Exif\0\0" + tiff
+    infe = b"".join(box(b"infe", b"\2\0\0\0" + struct.pack(">HH", k, 0) + kind + b"\0") for k, kind in ((1, b"hvc1"), (2, b"Exif")))
+
+    def file(at):
+        locations = b"".join(struct.pack(">HHHHII", k, stored == "idat", 0, 1, at, n) for k, n in ((1, 3), (2, len(item))))
+        inner = box(b"iinf", b"\0\0\0\0\0\2" + infe) + box(b"iloc", b"\1\0\0\0\x44\0\0\2" + locations)
+        return box(b"ftyp", b"heic") + box(b"meta", b"\0\0\0\0" + inner + (box(b"idat", item) if stored == "idat" else b""))
+
+    data = file(0 if stored == "idat" else len(file(0)) + 8)
+    data += box(b"mdat", item) if stored == "file" else b""
+    assert containers.parse_exif(data) == {"make": "Canon"}
+    for cut in range(len(data)):
+        containers.parse_exif(data[:cut])  # a broken file gives what it can
+    assert containers.parse_exif(box(b"ftyp", b"heic")) == {}
+
+
+def test_filelists(spark, tmp_path):
+    row = lambda *cells: " | ".join([*cells[:1], *["x"] * 6, *cells[1:]])
+    texts = {"_a/filelist.txt": ["# comment", "", "Filename | x", "-----", row(" a.jpg", "/s/a.jpg  "), "b.jpg | short", row("c.jpg", "/keep/c.jpg")], "b/.c/filelist.txt": [row("d.jpg", "/s/d.jpg")], "b/other.txt": [row("e", "/s/e")]}
+    for p, lines in texts.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("\n".join(lines))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "filelist.txt").write_bytes(b"\xff\xfe | x")
+    found = filelists.collect_pairs(spark, str(tmp_path), "/missing", protected=F.col("source").startswith("/keep"))
+    assert sorted(map(tuple, found.collect())) == [(f"{tmp_path}/_a/a.jpg", "/s/a.jpg"), (f"{tmp_path}/b/.c/d.jpg", "/s/d.jpg")]
+
+
+def test_notes(spark):
+    when = D(2024, 1, 1)
+    rows = [
+        ("folder vote", "photo", "Canon", "camera", True, when, when, "folder vote"), ("", "video", "", "unknown", False, None, when, "无法识别视频设备信息"),
+        ("", "photo", None, "unknown", True, when, when, "无EXIF设备信息"), ("", "photo", "Acme", "unknown", False, None, None, ""),
+        ("", "photo", "Canon", "camera", False, None, when, "无EXIF日期，使用文件修改时间"), ("", "photo", "Canon", "camera", False, None, None, "无任何日期信息"),
+        ("", "photo", "Canon", "camera", False, when, None, ""), (None, "video", "DJI", "camera", True, when, None, ""),
+    ]
+    df = spark.createDataFrame(rows, "s string, media string, make string, device string, has boolean, taken timestamp, mtime timestamp, want string")
+    got = df.select("want", S.note(*[F.col(c) for c in df.columns[:-1]]).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
 def test_clusters(spark):
     rng = np.random.default_rng(3)
     centres = np.eye(8)[:3]
