@@ -84,21 +84,24 @@ def _plausible(seconds: Column, now: Column) -> Column:
 def name_datetime(name: Column, now: Column | None = None) -> Column:
     """A date in a file name, then a Unix time with a known prefix, then a bare one."""
     now = F.current_timestamp() if now is None else now
-    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
     def stamp(digits: Column) -> Column:
         y, *rest = (F.substring(digits, at, n).cast("int") for at, n in ((1, 4), (5, 2), (7, 2), (9, 2), (11, 2), (13, 2)))
         return F.when(y.between(OLDEST_YEAR, F.year(now)), _stamp(y, *rest))
 
-    found = []
-    for p in NAME_DATES:
-        digits = F.regexp_replace(F.nullif(F.regexp_extract(stem, p, 1), F.lit("")), "[^0-9]", "")
-        found.append(let(F.rpad(digits, 14, "0"), stamp))
-    for p in (r"(?:mmexport|wx_camera|wx)_?([0-9]{10,13})", r"(?<![0-9])([0-9]{10}|[0-9]{13})(?![0-9])"):
-        digits = F.nullif(F.regexp_extract(stem, p, 1), F.lit(""))
-        value = digits.cast("long")
-        found.append(_plausible(F.when(F.length(digits) == 13, F.floor(value / 1000)).otherwise(value), now))
-    return F.coalesce(*found)
+    def search(stem: Column) -> Column:
+        found = []
+        for p in NAME_DATES:
+            digits = F.regexp_replace(F.nullif(F.regexp_extract(stem, p, 1), F.lit("")), "[^0-9]", "")
+            found.append(let(F.rpad(digits, 14, "0"), stamp))
+        for p in (r"(?:mmexport|wx_camera|wx)_?([0-9]{10,13})", r"(?<![0-9])([0-9]{10}|[0-9]{13})(?![0-9])"):
+            digits = F.nullif(F.regexp_extract(stem, p, 1), F.lit(""))
+            value = digits.cast("long")
+            found.append(_plausible(F.when(F.length(digits) == 13, F.floor(value / 1000)).otherwise(value), now))
+        # every layout has eight digits, with single characters between them at most
+        return F.when(stem.rlike(r"[0-9]{4}[^0-9]?[0-9]{2}[^0-9]?[0-9]{2}"), F.coalesce(*found))
+
+    return let(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), search)
 
 
 def plausible_mtime(mtime: Column, now: Column) -> Column:
