@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Bytes, doc_key, durable, from_key, mix, small_batches, table, text_slices
+from .common import ALNUM, Bytes, discard, doc_key, durable, from_key, mix, small_batches, table, text_slices
 
 #: Weight five each: five words in a row, and three masks that ignore some.
 MASKS = ("11111", "1101011", "11100101", "110010101")
@@ -163,10 +163,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
+def _without(items):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: Items = items.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for lo, _, data, offsets in text_slices(batch, "text"):
+                words, first = _hash_words(data, offsets)
+                for doc, item, diagonal in block.hits(words, first).tolist():
+                    if keep[lo + doc] and block.best(words[first[doc] : first[doc + 1]], item, diagonal):
+                        keep[lo + doc] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated rows, with its own columns only."""
-    leaks = durable(contaminated(docs, benchmark).select(doc_key().alias("_lm_doc")).distinct(), "leaks")
-    return docs.withColumn("_lm_doc", doc_key()).join(leaks.hint("merge"), "_lm_doc", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the contaminated rows, with its own columns only.
+
+    Each row is judged by its own text: rows without an id, or with the id of a row that
+    overlaps, stay if their text overlaps with no item.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    written = None
+    for k, block in enumerate(_blocks(benchmark, "item_id", "text")):
+        if k:  # one block in a task at a time
+            docs = durable(docs, "clean")
+            if written is not None:
+                discard(written)
+            written = docs
+        docs = docs.mapInArrow(_without(spark.sparkContext.broadcast(block)), docs.schema)
+    return docs
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -278,6 +278,19 @@ def test_decontaminate_substitutions(spark, rows):
     assert {d for d, _ in found if d < 50_000} == {d for d, t, _ in rows if brute_leak(t, texts)}
 
 
+def test_clean_documents_by_row(spark, monkeypatch):
+    """Rows that share an id, or have none, are judged one by one; so they are over several blocks."""
+    items = ["a b c d e f g h", "k l m n o p q r"]
+    docs = [(None, "x " + items[0]), (None, "clean one"), (None, "clean two"), (None, None), (7, items[1] + " y"), (7, "clean three"), (8, "clean four")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for words in (250_000, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
+        got = decontaminate.clean_documents(df, bench)
+        assert got.columns == df.columns
+        assert collections.Counter(map(tuple, got.collect())) == collections.Counter([*docs[1:4], *docs[5:]])
+
+
 def test_private_data(spark, rows):
     odd = ["a@b.c_d@e.f.g x@y", "1.2.3.4.5 256.1.1.1 007.0.0.1", "4111 1111-1111 1111", "4111111111111111 2", "+1 (743) 555-3824 +12", "@@a@b.c", "é a.b@c-d.e-f. +9" + "0-" * 9, "a\x01b@c.d", " ".join("1" * 9000)]
     texts = {d: t for d, t, _ in rows} | {90_000 + k: t for k, t in enumerate(odd)}
