@@ -76,6 +76,18 @@ def doc_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 
 
+def row_keyed(docs: DataFrame, id_col: str, text_col: str, tag: str) -> DataFrame:
+    """docs with _lm_doc and _lm_row added, which together name a document.
+
+    Rows with an id are one document if their texts agree too (_lm_row is a hash of the
+    text).  A row without an id is a document of its own: _lm_row is its number, written with
+    the row so that it does not change when the table is read again.
+    """
+    known = docs.filter(F.col(id_col).isNotNull()).withColumn("_lm_row", F.xxhash64(text_col))
+    unknown = durable(docs.filter(F.col(id_col).isNull()).withColumn("_lm_row", F.monotonically_increasing_id()), tag)
+    return known.unionByName(unknown).withColumn("_lm_doc", doc_key(id_col))
+
+
 def from_key(name: str) -> Column:
     return F.when(F.col(name) != NULL_ID, F.col(name))
 

@@ -2,7 +2,7 @@
 
 A line's key is the line without white space at its ends; blank lines take no part.  Three
 consecutive lines of a document are a window.  A window whose keys also stand earlier
-(smaller id, or the same document and an earlier line) covers its three lines; all covered
+(smaller id, of one id or none another row, or the same document and an earlier line) covers its three lines; all covered
 lines go.  Windows are judged on the input, not on what is left.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_WHITE, Bytes, doc_key, durable, grams, signed, small_batches, table, text_slices
+from .common import NOT_WHITE, Bytes, durable, grams, row_keyed, signed, small_batches, table, text_slices
 
 WINDOW = 3
 
@@ -33,13 +33,13 @@ def _worded_lines(text: Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def _windows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("_lm_doc").to_numpy()
+            ids, rows = batch.column("_lm_doc").to_numpy(), batch.column("_lm_row").to_numpy()
             for lo, hi, data, offsets in text_slices(batch, "_lm_text"):
                 text = Bytes(data, offsets)
                 start, end, first, _ = _worded_lines(text)
                 whole, at = grams(text.hash(start, end), first, n)
                 doc_of = np.repeat(np.arange(hi - lo), np.diff(first))[at]
-                yield pa.RecordBatch.from_arrays([signed(whole), pa.array(ids[lo:hi][doc_of]), pa.array(at - first[doc_of])], names=["window", "doc", "line"])
+                yield pa.RecordBatch.from_arrays([signed(whole), pa.array(ids[lo:hi][doc_of]), pa.array(rows[lo:hi][doc_of]), pa.array(at - first[doc_of])], names=["window", "doc", "row", "line"])
 
     return run
 
@@ -61,13 +61,12 @@ def _cut(n: int, text_col: str):
                     if begin is None:
                         begin, _, _ = text.lines()
                     at = np.unique(np.add.outer(np.array(hits[i].as_py(), np.int64), np.arange(n)).ravel())
-                    at = at[at < first[i - lo + 1] - first[i - lo]]  # of a repeated id with other text
                     drop = np.searchsorted(begin, start[first[i - lo] + at], side="right") - 1 - line_first[i - lo]
                     kept = np.delete(np.array(out[i].split("\n"), dtype=object), drop)
                     out[i] = "\n".join(kept)
                     removed[i] = len(drop)
-            columns = [batch.column(c) if c != text_col else pa.array(out, texts.type) for c in batch.schema.names if c not in ("_lm_hits", "_lm_doc")]
-            names = [c for c in batch.schema.names if c not in ("_lm_hits", "_lm_doc")]
+            columns = [batch.column(c) if c != text_col else pa.array(out, texts.type) for c in batch.schema.names if c not in ("_lm_hits", "_lm_doc", "_lm_row")]
+            names = [c for c in batch.schema.names if c not in ("_lm_hits", "_lm_doc", "_lm_row")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines), pa.array(removed)], names=[*names, "_lm_lines", "_lm_removed"])
 
     return run
@@ -77,20 +76,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the text cut, and _lm_lines (lines before) and _lm_removed added.
 
     A null text stays null and has one (empty) line; a text whose lines all go becomes
-    empty.  A null id sorts last.  Rows that repeat an id and text are the same document:
-    one row does not remove another's lines.
+    empty.  Rows that repeat an id and text are the same document: one row does not remove
+    another's lines.  Rows that repeat an id with other text are documents of their own, in
+    the order of a hash; so is each row without an id, and those sort last.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(doc_key(id_col).alias("_lm_doc"), F.col(text_col).alias("_lm_text"))
-    windows = durable(base.mapInArrow(_windows(n), "window long, doc long, line long"), "line-windows")
-    first = windows.groupBy("window").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("found")).filter("found > 1").select("window", "first")
+    keyed = row_keyed(docs, id_col, text_col, "line-rows")
+    base = keyed.select("_lm_doc", "_lm_row", F.col(text_col).alias("_lm_text"))
+    windows = durable(base.mapInArrow(_windows(n), "window long, doc long, row long, line long"), "line-windows")
+    first = windows.groupBy("window").agg(F.min(F.struct("doc", "row", "line")).alias("first"), F.count(F.lit(1)).alias("found")).filter("found > 1").select("window", "first")
     first = durable(first, "line-first")  # with an exchange on either side, hot windows are split when joined
-    later = windows.join(first.hint("merge"), "window").filter((F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line")))
-    hits = durable(later.groupBy("doc").agg(F.collect_set("line").alias("_lm_hits")), "line-hits")
-    whole = docs.withColumn("_lm_doc", doc_key(id_col)).join(hits.withColumnRenamed("doc", "_lm_doc").hint("merge"), "_lm_doc", "left")
+    later = windows.join(first.hint("merge"), "window").filter("doc != first.doc or row != first.row or line != first.line")
+    hits = durable(later.groupBy(F.col("doc").alias("_lm_doc"), F.col("row").alias("_lm_row")).agg(F.collect_set("line").alias("_lm_hits")), "line-hits")
+    whole = keyed.join(hits.hint("merge"), ["_lm_doc", "_lm_row"], "left")
     schema = T.StructType([*docs.schema.fields, T.StructField("_lm_lines", T.LongType()), T.StructField("_lm_removed", T.LongType())])
     order = [F.col(f"`{c}`") for c in docs.columns]
-    return whole.select(*order, "_lm_doc", "_lm_hits").mapInArrow(_cut(n, text_col), schema)
+    return whole.select(*order, "_lm_doc", "_lm_row", "_lm_hits").mapInArrow(_cut(n, text_col), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

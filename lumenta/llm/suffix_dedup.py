@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bytes, doc_key, durable, from_key, signed, small_batches, table, text_slices
+from .common import Bytes, durable, from_key, row_keyed, signed, small_batches, table, text_slices
 
 LENGTH = 100
 GRAM = 32
@@ -92,13 +92,13 @@ def phrases(text: Bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
 def _phrases(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc").to_numpy()
+            ids, rows = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
             for lo, hi, base, text in _pieces(batch, length):
                 doc, start, windows, anchor = phrases(text, length, gram)
                 key = text.hash(anchor, anchor + gram)
                 body = text.hash(start, start + windows + (length - 1))
                 place = ((start - text.offsets[doc] + base) * SIDE + anchor - start) * SIDE + windows
-                yield pa.RecordBatch.from_arrays([signed(key), signed(body), pa.array(ids[lo:hi][doc]), pa.array(place)], names=["key", "body", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([signed(key), signed(body), pa.array(ids[lo:hi][doc]), pa.array(rows[lo:hi][doc]), pa.array(place)], names=["key", "body", "doc", "row", "place"])
 
     return run
 
@@ -108,18 +108,18 @@ def _strings(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places = batch.column("doc").to_numpy(), batch.column("places")
+            ids, rows, places = batch.column("doc").to_numpy(), batch.column("row").to_numpy(), batch.column("places")
             for lo, hi, data, offsets in text_slices(batch, "_lm_text"):
-                docs, named, found = [], [], []
+                docs, own, named, found = [], [], [], []
                 for i in range(lo, hi):
                     for place in places[i].as_py():
                         start = place // PACK
                         end = start + place % SIDE + length - 1
-                        if end <= offsets[i - lo + 1] - offsets[i - lo]:  # else of a repeated id with other text
-                            docs.append(ids[i])
-                            named.append(place)
-                            found.append(data[offsets[i - lo] + start : offsets[i - lo] + end].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(named, pa.int64()), pa.array(found, pa.binary())], names=["doc", "parent", "string"])
+                        docs.append(ids[i])
+                        own.append(rows[i])
+                        named.append(place)
+                        found.append(data[offsets[i - lo] + start : offsets[i - lo] + end].tobytes())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (docs, own, named)), pa.array(found, pa.binary())], names=["doc", "row", "parent", "string"])
 
     return run
 
@@ -130,7 +130,7 @@ def _split(length: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, parents, places = (batch.column(c).to_numpy() for c in ("doc", "parent", "place"))
+            docs, rows, parents, places = (batch.column(c).to_numpy() for c in ("doc", "row", "parent", "place"))
             for lo, hi, data, offsets in text_slices(batch, "string"):
                 text = Bytes(data, offsets)
                 start, back, windows = places[lo:hi] // PACK, places[lo:hi] // SIDE % SIDE, places[lo:hi] % SIDE
@@ -149,7 +149,7 @@ def _split(length: int, width: int):
                 place = ((start[row] + back[row] - far) * SIDE + far) * SIDE + far - near + 1
                 for k in range(0, len(row), 50_000):
                     s = slice(k, k + 50_000)
-                    yield pa.RecordBatch.from_arrays([signed(key[s]), signed(body[s]), pa.array(docs[lo:hi][row[s]]), pa.array(place[s]), pa.array(parents[lo:hi][row[s]])], names=["key", "body", "doc", "place", "parent"])
+                    yield pa.RecordBatch.from_arrays([signed(key[s]), signed(body[s]), pa.array(docs[lo:hi][row[s]]), pa.array(rows[lo:hi][row[s]]), pa.array(place[s]), pa.array(parents[lo:hi][row[s]])], names=["key", "body", "doc", "row", "place", "parent"])
 
     return run
 
@@ -194,38 +194,41 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_bytes, spans (maximal removed byte runs) and kept
     (the bytes left, which may end inside a code point).
 
-    A null or empty text has no bytes; texts under `length` bytes lose nothing.  A null id
-    sorts last.  Rows that repeat an id are one document seen again and do not remove each
-    other's bytes.  Other columns of docs are not read.
+    A null or empty text has no bytes; texts under `length` bytes lose nothing.  Rows that
+    repeat an id and text are one document seen again and do not remove each other's bytes.
+    Rows that repeat an id with other text are documents of their own, in the order of a
+    hash; so is each row without an id, and those sort last.  Other columns of docs are not
+    read.
     """
     if not 0 < gram <= length < gram + SIDE:
         raise ValueError("gram must be at most length, and length - gram under SIDE")
     small_batches(docs.sparkSession)
-    base = docs.select(doc_key(id_col).alias("doc"), F.col(text_col).alias("_lm_text"))
+    keyed = row_keyed(docs.select(id_col, text_col), id_col, text_col, "suffix-rows")
+    base = keyed.select(F.col("_lm_doc").alias("doc"), F.col("_lm_row").alias("row"), F.col(text_col).alias("_lm_text"))
 
     def settle(parts: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
-        """Of strings (key, body, doc, place, parent): the places that repeat, and the first
+        """Of strings (key, body, doc, row, place, parent): the places that repeat, and the first
         places of bodies that share their key with other bodies."""
         shared = parts.groupBy("key").agg(F.min("body").alias("lo"), F.max("body").alias("hi"), F.count(F.lit(1)).alias("found")).filter("found > 1")
         shared = durable(shared.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), f"{tag}-shared")
         again = durable(parts.join(shared, "key").drop("key"), f"{tag}-again")  # hot keys are split
-        first = again.groupBy("body").agg(F.min(F.struct("doc", "place", "parent")).alias("first"), F.count(F.lit(1)).alias("found"), F.bool_or("mixed").alias("mixed"))
+        first = again.groupBy("body").agg(F.min(F.struct("doc", "row", "place", "parent")).alias("first"), F.count(F.lit(1)).alias("found"), F.bool_or("mixed").alias("mixed"))
         first = durable(first, f"{tag}-first")
-        later = again.join(first.filter("found > 1").select("body", "first"), "body").filter("doc != first.doc or place != first.place")
-        return later.select("doc", "place"), first.filter("mixed").select("first.*")
+        later = again.join(first.filter("found > 1").select("body", "first"), "body").filter("doc != first.doc or row != first.row or place != first.place")
+        return later.select("doc", "row", "place"), first.filter("mixed").select("first.*")
 
-    parsed = base.mapInArrow(_phrases(length, gram), "key long, body long, doc long, place long")
+    parsed = base.mapInArrow(_phrases(length, gram), "key long, body long, doc long, row long, place long")
     repeated, left = settle(parsed.withColumn("parent", F.lit(0).cast("long")), "suffix-0")
-    wanted = left.groupBy("doc").agg(F.collect_set("place").alias("places"))
-    strings = durable(base.join(wanted, "doc").mapInArrow(_strings(length), "doc long, parent long, string binary").dropDuplicates(["doc", "parent"]), "suffix-strings")
-    left = strings.select("doc", "parent", F.col("parent").alias("place"), "string")
+    wanted = left.groupBy("doc", "row").agg(F.collect_set("place").alias("places"))
+    strings = durable(base.join(wanted, ["doc", "row"]).mapInArrow(_strings(length), "doc long, row long, parent long, string binary").dropDuplicates(["doc", "row", "parent"]), "suffix-strings")
+    left = strings.select("doc", "row", "parent", F.col("parent").alias("place"), "string")
     for k, width in enumerate(RANGES, 1):
-        later, left = settle(left.mapInArrow(_split(length, width), "key long, body long, doc long, place long, parent long"), f"suffix-{k}")
+        later, left = settle(left.mapInArrow(_split(length, width), "key long, body long, doc long, row long, place long, parent long"), f"suffix-{k}")
         repeated = repeated.unionByName(later)
-        left = left.join(strings, ["doc", "parent"]).select("doc", "parent", "place", "string")
+        left = left.join(strings, ["doc", "row", "parent"]).select("doc", "row", "parent", "place", "string")
 
-    hits = durable(repeated.groupBy("doc").agg(F.collect_set("place").alias("places")), "suffix-hits")
-    out = base.join(hits, "doc", "left").mapInArrow(_cut(length), "doc long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    hits = durable(repeated.groupBy("doc", "row").agg(F.collect_set("place").alias("places")), "suffix-hits")
+    out = base.join(hits, ["doc", "row"], "left").mapInArrow(_cut(length), "doc long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     return out.select(from_key("doc").alias("doc_id"), "n_bytes", "spans", "kept")
 
 

@@ -245,6 +245,24 @@ def brute_lines(texts):
     return out
 
 
+def test_rows_that_share_an_id(spark):
+    """Rows without an id, and an id's texts, lose what repeats in them and nothing else."""
+    head = [f"head line {k} of the first document, some forty bytes long" for k in range(3)]
+    own = {c: [f"{c} has line {k} for itself, and it is forty bytes long" for k in range(5)] for c in "ABCDE"}
+    a, b = head + own["A"], own["B"]
+    c, d = head + own["C"], own["D"]
+    copy = own["E"]
+    docs = [(1, head), (None, a), (None, b), (5, c), (5, d), (None, copy), (None, copy)]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in docs], "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in line_dedup.line_dedup(df).collect())
+    want = [(1, head), (None, own["A"]), (None, b), (5, own["C"]), (5, d), (None, copy), (None, [])]
+    assert got == collections.Counter((i, "\n".join(t)) for i, t in want)
+    cut = collections.Counter((r.doc_id, r.n_bytes, sum(s["end"] - s["start"] for s in r.spans)) for r in suffix_dedup.suffix_dedup(df).collect())
+    shared, n = len("\n".join(head)) + 1, {k: len("\n".join(t)) for k, t in (("1", head), ("a", a), ("b", b), ("copy", copy))}
+    # the newline after the head is new in the first of the texts that go on after it
+    assert cut == collections.Counter([(1, n["1"], 0), (None, n["a"], shared), (None, n["b"], 0), (5, n["a"], shared - 1), (5, n["b"], 0), (None, n["copy"], 0), (None, n["copy"], n["copy"])])
+
+
 def brute_leak(text, items):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOW))
     for t in items:
