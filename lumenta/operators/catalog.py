@@ -91,22 +91,31 @@ def upsert(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
 
 
 def resolve_names(plan: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """The n-th file that wants a (case-folded) name gets _po<n-1>, past names that are
-    wanted by others or taken.  Candidates that fall on such a name move on in rounds; each
-    folder is independent, and a round shuffles by name only."""
+    """The first file that wants a (case-folded) name gets it unless it is taken; the
+    others get _po<n> with the smallest free n, in order, past every name that is wanted by
+    others or taken.  Two groups never generate one name, so each group is numbered alone."""
     parts = r"^(.*/)?([^/]*?)(\.[^./]*)?$"
     stem = F.concat(F.regexp_extract("dest", parts, 1), F.regexp_extract("dest", parts, 2))
     ext = F.regexp_extract("dest", parts, 3)
-    out = plan.withColumn("n", F.row_number().over(Window.partitionBy(F.lower("dest")).orderBy("ord")) - 1)
+    key = F.lower("dest")
+    out = plan.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("ord")) - 1)
+    used = plan.select("dest")
     if taken is not None:
-        known = taken.select(F.lower("dest").alias("_d")).distinct().withColumn("_t", F.lit(1))
-        out = out.join(known, F.lower("dest") == F.col("_d"), "left").withColumn("n", F.col("n") + F.coalesce("_t", F.lit(0))).drop("_d", "_t")
-    natural = plan.select(F.lower("dest").alias("_d")).distinct()
+        known = taken.select(key.alias("_d")).distinct().withColumn("_t", F.lit(1))
+        out = out.join(known, key == F.col("_d"), "left").withColumn("n", F.col("n") + F.coalesce("_t", F.lit(0))).drop("_d", "_t")
+        used = used.union(taken.select("dest"))
+    # a used name that is <stem>_po<k><ext> blocks k in the group of <stem><ext>
+    number = r"(?s)^(.*)_po([1-9][0-9]{0,17})$"
+    blocked = used.select(key.alias("dest")).distinct().filter(stem.rlike(number))
+    blocked = blocked.select(F.concat(F.regexp_extract(stem, number, 1), ext).alias("_k"), F.regexp_extract(stem, number, 2).cast("long").alias("_b"))
+    # below the j-th blocked number b there are b - j free ones: it moves every n above that
+    free = F.col("_b") - F.row_number().over(Window.partitionBy("_k").orderBy("_b"))
+    blocked = blocked.select("_k", free.alias("_at"), F.lit(1).alias("_block"))
+    both = out.withColumns({"_k": key, "_at": F.col("n").cast("long"), "_block": F.lit(0)}).unionByName(blocked, allowMissingColumns=True)
+    before = Window.partitionBy("_k").orderBy("_at", "_block").rowsBetween(Window.unboundedPreceding, 0)
     named = F.when(F.col("n") == 0, F.col("dest")).otherwise(F.concat(stem, F.lit("_po"), F.col("n").cast("string"), ext))
-    hit = out.filter("n > 0").select(F.lower("dest").alias("_k"), "n", F.lower(named).alias("_d")).join(natural, "_d", "left_semi").select("_k", F.col("n").alias("_at"))
-    # a generated name that someone wants by nature pushes its group's later numbers up
-    shift = out.join(hit, (F.lower("dest") == F.col("_k")) & (F.col("n") >= F.col("_at")), "left").groupBy(*plan.columns, "n").agg(F.count("_at").alias("_s"))
-    return shift.withColumn("n", F.col("n") + F.col("_s")).withColumn("final", named).drop("_s")
+    out = both.withColumn("n", F.col("n") + F.sum("_block").over(before)).filter("_block = 0")
+    return out.select(*[F.col(f"`{c}`") for c in plan.columns], "n").withColumn("final", named)
 
 
 def best_representative(files: DataFrame, hash_col: str = "hash", album: str = "All_相册") -> DataFrame:

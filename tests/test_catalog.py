@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import re
 import struct
 
 import duckdb
@@ -103,6 +104,35 @@ def test_resolved_names_are_unique(spark):
     assert len({x.lower() for x in out}) == 5 and out[0] == "/o/a.jpg" and out[3] == "/o/a_po1.jpg"
 
 
+def test_conflict_chains(spark):
+    """Against a loop that tries one number after the other."""
+
+    def loop(wants, taken):
+        names, seen = {x.lower() for x in [*wants, *taken]}, set()
+        gone = {x.lower() for x in taken}
+        for w in wants:
+            new, n = w, 0
+            while (n or w.lower() in seen | gone) and (not n or new.lower() in names):
+                n += 1
+                new = re.sub(r"(\.[^./]*)?$", lambda m: f"_po{n}{m[1] or ''}", w, count=1)
+            seen.add(w.lower())
+            names.add(new.lower())
+            yield new
+
+    cases = [
+        (["/o/a.jpg", "/o/a.jpg", "/o/a_po1.jpg", "/o/a_po2.jpg"], []),
+        (["/o/a.jpg", "/o/a.jpg"], ["/o/A_po1.JPG"]),
+        (["/o/a.jpg"] * 6 + ["/o/A_po2.jpg", "/o/a_po2.jpg", "/o/a_po5.jpg"], ["/o/a.jpg", "/o/a_po3.jpg", "/o/a_po4.jpg", "/o/a_po2_po1.jpg", "/o/a_po07.jpg"]),
+        (["/o.d/a", "/o.d/a", "/o.d/a_po1", "/o.d/a.b", "/o.d/a.b", "/o.d/a.b_po1"], ["/o.d/a_po2"]),
+    ]
+    for wants, taken in cases:
+        plan = spark.createDataFrame(list(enumerate(wants)), "ord int, dest string")
+        on_disk = spark.createDataFrame([(t,) for t in taken], "dest string") if taken else None
+        out = [r.final for r in catalog.resolve_names(plan, on_disk).orderBy("ord").collect()]
+        assert out == list(loop(wants, taken))
+        assert len({x.lower() for x in [*out, *taken]}) == len(out) + len({x.lower() for x in taken})
+
+
 def test_scan(spark, tmp_path):
     for p in ("_DSC1.JPG", "x/.a.jpg", "x/b.txt", ".git/c.jpg", "Windows/d.jpg", "x/y/e.mp4"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
