@@ -1,4 +1,4 @@
-"""Scorers and the clustering of faces into people."""
+"""Scorers and the clustering of faces into people."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Reports as text.  Lines are made in Spark; files are written one
+"""K04, K06, K07 (one table), K11, K14: reports as text.  Lines are made in Spark; files are written one
 folder per destination, so that no task holds a whole report."""
 
 from __future__ import annotations
@@ -47,8 +47,10 @@ def people_index(members: DataFrame) -> DataFrame:
 
 
 def html_table(summary: DataFrame, title: str, limit: int = 1000) -> str:
-    """A bounded summary as a page; larger results belong in a table."""
-    rows = summary.limit(limit).collect()
+    """A bounded summary as a page; one of more than limit rows is an error, not cut."""
+    rows = summary.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows: write them as a table")
     escape = lambda v: "" if v is None else str(v).replace("&", "&amp;").replace("<", "&lt;")
     head = "".join(f"<th>{escape(c)}</th>" for c in summary.columns)
     body = "".join("<tr>" + "".join(f"<td>{escape(v)}</td>" for v in r) + "</tr>" for r in rows)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lumenta import harness
 from lumenta.functions import scalars as S
 from lumenta.operators import catalog, people
+from lumenta.plans import sinks
 from lumenta.sources import containers, filelists, media
 from lumenta.streaming import ingest
 
@@ -133,6 +134,12 @@ def test_conflict_chains(spark):
         assert len({x.lower() for x in [*out, *taken]}) == len(out) + len({x.lower() for x in taken})
 
 
+def test_html_table_is_whole(spark):
+    assert sinks.html_table(spark.range(3), "t", 3).count("<td>") == 3
+    with pytest.raises(ValueError):
+        sinks.html_table(spark.range(4), "t", 3)
+
+
 def test_scan(spark, tmp_path):
     for p in ("_DSC1.JPG", "x/.a.jpg", "x/b.txt", ".git/c.jpg", "Windows/d.jpg", "x/y/e.mp4"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
