@@ -5,36 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def connected(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, tag: str) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches.
 
     edges has long columns a and b.  Nulls and self links are dropped; repeated and
-    reversed links count once; no edges give no rows.  Every round is written to the
-    shared folder, and only three numbers a round come to the driver.
+    reversed links count once; no edges give no rows.  Rounds go on until one changes
+    nothing, which takes about the square of the logarithm of the longest chain.  Every
+    round is written to the shared folder, and only three numbers a round come to the driver.
     """
     state = durable(
         edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag
     )
-    seen = None
-    for _ in range(max_rounds):
+    seen, digest = None, ()
+    while digest != seen:
+        seen, before = digest, state
         pairs = _both_ways(state)
         low = pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = pairs.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         state = durable(small.filter("a != b").distinct(), tag)
+        discard(before)
         digest = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
-        if digest == seen:
-            break
-        seen = digest
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = state.select(F.col("b").alias("node")).distinct()
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

@@ -9,10 +9,13 @@ line that a third of the corpus repeats is no meeting point.
 Each meeting shingle is one or more size-banded tiles.  A tile's members are sorted by
 set size; for each, only the band of sizes that the threshold allows is compared, by
 hashed bitmap signatures: differing bits bound the difference from below, and with the
-sizes the overlap from above.  Pairs that survive are settled by intersection of the exact
-sorted arrays.  Links are found in two passes: first from every tile's most central
-member, then, only between classes that are not yet connected, over whole tiles.  A pair
-inside a component cannot change it and is not looked at, so no group emits all its pairs.
+sizes the overlap from above.  What survives is settled by intersection of the exact sorted
+arrays.  Links are found in two passes: first from every tile's most central member, then,
+only between classes that are not yet connected, over whole tiles.
+
+No group emits its pairs.  A tile gives the clusters of members that the signatures cannot
+tell apart, one row a member; a cluster's arrays then meet in one task, which grows
+components from member to member and gives at most one link less than it has members.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WHITE, Bytes, discard, doc_key, durable, from_key, grams, mix, signed, small_batches, table, text_slices
+from .common import NOT_WHITE, Bytes, discard, durable, from_key, grams, mix, row_keyed, signed, small_batches, table, text_slices
 from .components import connected
 
 SHINGLE = 5
@@ -35,8 +38,8 @@ COMMON_SHARE = 1000
 COMMON_IN_BATCH = 4
 #: Shingles that one task holds together to count them.
 COUNTED_TOGETHER = 2_000_000
-#: Members of a tile; a larger group is dealt to several tiles, each pair of blocks to one.
-TILE = 2048
+#: Members of a block and shingles in their sets; a larger group is dealt to several tiles.
+TILE, TILE_SHINGLES = 2048, 2_000_000
 #: Bits of the signature for each shingle, and the largest signature in 64-bit words.
 BITS_PER_SHINGLE, MAX_SIGNATURE_WORDS = 8, 2048
 
@@ -107,18 +110,20 @@ def _summaries(column: str):
         often = counts >= COMMON_IN_BATCH
         if n := int(often.sum()):
             hot = everything[edges[often]]
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), signed(hot), pa.array(counts[often]), pa.array(np.ones(n, bool)), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), signed(hot), pa.array(counts[often]), pa.array(np.ones(n, bool)), pa.nulls(n, pa.binary())], names=names)
 
-    names = ["doc", "node", "n", "common", "mark"]
+    names = ["doc", "row", "node", "n", "common", "mark"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            ids = batch.column("_lm_doc").cast(pa.int64())
+            ids, rows = batch.column("_lm_doc"), batch.column("_lm_row")
             for lo, shingles, cut in shingle_sets(batch, column):
                 n = len(cut) - 1
                 marks = [signature(shingles[a:b]).tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, n), pa.array(nodes_of(shingles, cut)), pa.array(np.diff(cut)), pa.array(np.zeros(n, bool)), pa.array(marks, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(lo, n), rows.slice(lo, n), pa.array(nodes_of(shingles, cut)), pa.array(np.diff(cut)), pa.array(np.zeros(n, bool)), pa.array(marks, pa.binary())], names=names
+                )
                 held.append(shingles)
                 if sum(map(len, held)) >= COUNTED_TOGETHER:
                     yield from common(held)
@@ -158,18 +163,27 @@ def _prefixes(column: str, common, percent: int):
 def _sets(column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column("node").to_pylist()
-            nodes, arrays = [], []
+            wanted = batch.column("node").to_numpy()
             for lo, shingles, cut in shingle_sets(batch, column):
-                for i, node in enumerate(nodes_of(shingles, cut).tolist()):
-                    if node == wanted[lo + i]:
-                        nodes.append(node)
-                        arrays.append(shingles[cut[i] : cut[i + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(arrays, pa.binary())], names=["node", "shingles"])
+                found = nodes_of(shingles, cut)
+                own = np.flatnonzero(found == wanted[lo : lo + len(found)]).tolist()
+                arrays = [shingles[cut[i] : cut[i + 1]] for i in own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found[own]), pa.array([a.tobytes() for a in arrays], pa.binary()), pa.array([signature(a).tobytes() for a in arrays], pa.binary())], names=["node", "shingles", "mark"]
+                )
 
     return run
 
 
+def most_shared(one: bytes, two: bytes, n: int, m: int) -> int:
+    """A bound from above on what sets of n and m members share, from their signatures."""
+    a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    words = min(len(a), len(b))
+    a, b = (x if len(x) == words else np.bitwise_or.reduce(x.reshape(-1, words), axis=0) for x in (a, b))
+    differ = int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+    return (n + m - max(differ, abs(n - m))) // 2
+
+
 def overlap_at_least(a: bytes, b: bytes, percent: int) -> bool:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
@@ -181,11 +195,88 @@ def overlap_at_least(a: bytes, b: bytes, percent: int) -> bool:
 
 
 def _verify(percent: int):
+    def links(x: bytes, y: bytes, one: bytes, two: bytes) -> bool:
+        n, m = len(x) // 8, len(y) // 8
+        most = most_shared(one, two, n, m)
+        return 100 * most >= percent * (n + m - most) and overlap_at_least(x, y, percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            keep = [overlap_at_least(x[i].as_py(), y[i].as_py(), percent) for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            given = zip(*(batch.column(c).to_pylist() for c in ("x", "y", "one", "two")), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([links(*g) for g in given], pa.bool_()))
+
+    return run
+
+
+def grow(arrays: list[np.ndarray], root: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join what of the sets reaches each other, given what has one root already.
+
+    A component grows from member to member; each is compared with the sets outside it only,
+    all in one pass over their shingles.
+    """
+    size = np.array([len(a) for a in arrays])
+    ids = np.unique(np.concatenate(arrays), return_inverse=True)[1].astype(np.int32)
+    first = np.r_[0, np.cumsum(size)]
+    has = np.zeros(int(ids.max()) + 1, bool)
+    out: list[tuple[int, int]] = []
+    outside = np.ones(len(arrays), bool)
+    for seed in range(len(arrays)):
+        if not outside[seed]:
+            continue
+        queue = np.flatnonzero(outside & (root == root[seed])).tolist()
+        outside[queue] = False
+        while queue:
+            i = queue.pop()
+            near = np.flatnonzero(outside & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+            if not len(near):
+                continue
+            own = ids[first[i] : first[i + 1]]
+            has[own] = True
+            at = np.concatenate([ids[first[j] : first[j + 1]] for j in near])
+            shared = np.add.reduceat(has[at], np.r_[0, np.cumsum(size[near])[:-1]], dtype=np.int64)
+            has[own] = False
+            for j in near[100 * shared >= percent * (size[near] + size[i] - shared)].tolist():
+                if outside[j]:
+                    out.append((i, j))
+                    joined = np.flatnonzero(outside & (root == root[j])).tolist()
+                    outside[joined] = False
+                    queue += joined
+    return out
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows sorted by keys as one table a key; a key may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows - 1, bool)
+        for v in values:
+            new |= v[1:] != v[:-1]
+        cuts = np.r_[0, np.flatnonzero(new) + 1, batch.num_rows].tolist()
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(v[start] for v in values)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _links(percent: int):
+    """Rows (cluster, node, root, shingles) sorted by cluster to links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_key(batches, ("cluster",)):
+            node = t.column("node").to_numpy()
+            found = grow([np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()], t.column("root").to_numpy(), percent)
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     return run
 
@@ -194,19 +285,22 @@ def _fold(marks: list[np.ndarray], words: int) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(m.reshape(-1, words), axis=0) for m in marks])
 
 
-def _compare(group: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a tile that the signatures cannot rule out, between different components."""
+def _clusters(group: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """A label for each member of a tile: those that pairs of different components, which the
+    signatures cannot rule out, connect have one label; -1 for a member of no such pair."""
     order = np.lexsort((group["node"], group["n"]))
-    node, n, root, side = (group[k][order] for k in ("node", "n", "root", "side"))
+    n, root, side = (group[k][order] for k in ("n", "root", "side"))
     marks = [np.frombuffer(group["mark"][i], np.uint64) for i in order]
     split = bool(side.min() != side.max())
+    label = np.arange(len(n))
+    alone = np.ones(len(n), bool)
     folded: dict[int, np.ndarray] = {}
-    for i in range(len(node) - 1):
+    for i in range(len(n) - 1):
         top = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
         if top <= i + 1:
             continue
         band = np.arange(i + 1, top)
-        band = band[root[band] != root[i]]
+        band = band[(root[band] != root[i]) & (label[band] != label[i])]
         if split:
             band = band[side[band] != side[i]]
         if not len(band):
@@ -218,58 +312,70 @@ def _compare(group: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.nd
         most = (n[band] + n[i] - np.maximum(differ, n[band] - n[i])) // 2
         band = band[100 * most >= percent * (n[band] + n[i] - most)]
         if len(band):
-            yield np.full(len(band), node[i]), node[band]
+            met = np.unique(label[np.r_[i, band]])
+            label[np.isin(label, met)] = met[0]
+            alone[i] = alone[band] = False
+    out = np.empty(len(n), np.int64)
+    out[order] = np.where(alone, -1, label)
+    return out
 
 
 def _tiles(percent: int):
-    """Streams rows sorted by tile; a tile may span batches."""
-    names = ("node", "n", "root", "side")
-
-    def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(parts)
-        if t.num_rows < 2:
-            return
-        group = {k: t.column(k).to_numpy() for k in names} | {"mark": t.column("mark").to_pylist()}
-        found = list(_compare(group, percent))
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            for i in range(0, len(a), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000]), pa.array(b[i : i + 50_000])], names=["a", "b"])
+    """Rows sorted by tile to clusters (cluster, node, root); equal sets of members have one
+    cluster, so that tiles which find the same members can be told."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            if not batch.num_rows:
+        for t in _by_key(batches, ("token", "tile")):
+            if t.num_rows < 2:
                 continue
-            k1, k2 = batch.column("token").to_numpy(), batch.column("tile").to_numpy()
-            cuts = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
-            for start, end in zip(cuts, np.r_[cuts[1:], batch.num_rows], strict=True):
-                now = (k1[start], k2[start])
-                if now != key and held:
-                    yield from flush(held)
-                    held = []
-                key = now
-                held.append(batch.slice(start, end - start))
-        if held:
-            yield from flush(held)
+            group = {k: t.column(k).to_numpy() for k in ("node", "n", "root", "side")} | {"mark": t.column("mark").to_pylist()}
+            label = _clusters(group, percent)
+            order = np.flatnonzero(label >= 0)
+            if not len(order):
+                continue
+            order = order[np.lexsort((group["node"][order], label[order]))]
+            cut = np.flatnonzero(np.r_[True, np.diff(label[order]) > 0])
+            node = group["node"][order]
+            cluster = np.repeat(nodes_of(node.view(np.uint64), np.r_[cut, len(order)]), np.diff(np.r_[cut, len(order)]))
+            yield pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(node), pa.array(group["root"][order])], names=["cluster", "node", "root"])
 
     return run
 
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id and the class of its set.
+def _dealt(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Rows (token, node, n, root) with their tiles.  A group of several blocks is dealt by its
+    largest component: its own members need not meet each other, so each block of them is
+    one tile with each block of the others, and only those are paired among themselves."""
+    rows = rows.join(tokens.select("token", F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).alias("blocks")), "token")
+    shares = rows.filter("blocks > 1").groupBy("token", "root", "blocks").agg(F.count(F.lit(1)).alias("c"))
+    shares = shares.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("members"), F.first("blocks").alias("blocks"))
+    part = F.ceil(F.col("blocks") * F.col("most") / F.col("members"))
+    split = shares.select("token", "major", part.alias("mine"), (F.col("blocks") - part + 1).alias("others"))
+    rows = rows.drop("blocks").join(split, "token", "left")
+    of_major = F.col("root") == F.col("major")
+    own = F.pmod(F.xxhash64("node"), F.when(of_major, F.col("mine")).otherwise(F.col("others")))
+    copies = F.when(F.col("major").isNull(), 1).when(of_major, F.col("others")).otherwise(F.col("others") + F.col("mine"))
+    rows = rows.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    first = F.col("others") * F.col("others")
+    among = F.col("k") < F.col("others")
+    tile = (
+        F.when(F.col("major").isNull(), 0)
+        .when(of_major, first + F.col("k") * F.col("mine") + F.col("own"))
+        .when(among, F.least("own", "k") * F.col("others") + F.greatest("own", "k"))
+        .otherwise(first + F.col("own") * F.col("mine") + F.col("k") - F.col("others"))
+    )
+    side = F.when(F.col("major").isNull() | (~of_major & among & (F.col("own") == F.col("k"))), 0).when(of_major | (among & (F.col("own") < F.col("k"))), 1).otherwise(2)
+    return rows.select("token", tile.cast("long").alias("tile"), "node", "n", "root", side.cast("long").alias("side"))
 
-    Null or blank texts have empty sets and link with nothing; texts under five words are
-    one shingle; rows with equal sets always link.  A null id stays null and sorts last
-    within its component.  Rows that repeat an id keep a row each.  Other columns of docs
-    are not read.
-    """
-    spark = docs.sparkSession
+
+def linked(base: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc, row, node, n, first_doc, first_row) for rows (_lm_doc, _lm_row, _lm_text), where doc
+    and row name a document: its class and set size, and the smallest document that it
+    reaches by links, itself included."""
+    spark = base.sparkSession
     small_batches(spark)
-    base = docs.select(doc_key(id_col).alias("_lm_doc"), F.col(text_col).alias("_lm_text"))
-    seen = durable(base.mapInArrow(_summaries("_lm_text"), "doc long, node long, n long, common boolean, mark binary"), "jaccard-sets")
-    members = seen.filter("not common").select("doc", "node", "n")
+    seen = durable(base.mapInArrow(_summaries("_lm_text"), "doc long, row long, node long, n long, common boolean, mark binary"), "jaccard-sets")
+    members = seen.filter("not common").select("doc", "row", "node", "n")
     total = members.count()
     common = [
         r.node
@@ -281,24 +387,18 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     meeting = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("token")
     meeting = durable(meeting, "jaccard-meeting")  # with an exchange on either side, hot shingles are split when joined
     meets = durable(rows.join(meeting, "token").distinct(), "jaccard-meets")
-    discard(rows)
+    discard(rows, meeting)
 
-    classes = members.filter("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"))
+    classes = members.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc", "row")).alias("first"), F.max("n").alias("n"))
+    classes = durable(classes.select("node", F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), "n"), "jaccard-classes")
     central = meets.groupBy("node").agg(F.count(F.lit(1)).alias("shared")).join(classes, "node")
     central = durable(central.select("node", "n", (F.col("shared") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("q")), "jaccard-central")
 
-    def settled(pairs: DataFrame, tag: str) -> DataFrame:
-        """The pairs that link, by intersection of the exact arrays of the classes in them."""
-        pairs = durable(pairs, f"{tag}-pairs")
-        named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = named.join(classes, "node").select("node", F.col("doc").alias("_lm_doc"))
-        found = base.join(wanted.hint("merge"), "_lm_doc").select("node", "_lm_text").mapInArrow(_sets("_lm_text"), "node long, shingles binary")
-        found = durable(found.dropDuplicates(["node"]), f"{tag}-arrays")
-        x = found.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        y = found.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        linked = durable(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), tag)
-        discard(found)
-        return linked
+    def arrays_of(nodes: DataFrame, tag: str) -> DataFrame:
+        """(node, shingles, mark): the exact sorted arrays of some classes."""
+        wanted = nodes.distinct().join(classes, "node").select("node", F.col("doc").alias("_lm_doc"), F.col("row").alias("_lm_row"))
+        texts = base.join(wanted.hint("merge"), ["_lm_doc", "_lm_row"]).dropDuplicates(["_lm_doc", "_lm_row"])
+        return durable(texts.select("node", "_lm_text").mapInArrow(_sets("_lm_text"), "node long, shingles binary, mark binary"), tag)
 
     ranked = meets.join(central.select("node", "n", "q"), "node")
     hub = ranked.groupBy("token").agg(F.max(F.struct("q", "node", "n")).alias("hub"))
@@ -311,48 +411,82 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    links = settled(stars, "jaccard-links")
-    roots = connected(links, "jaccard-roots")
+    stars = durable(stars, "jaccard-stars")
+    arrays = arrays_of(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))), "jaccard-star-sets")
+    x, y = (arrays.select(F.col("node").alias(n), F.col("shingles").alias(s), F.col("mark").alias(m)) for n, s, m in (("a", "x", "one"), ("b", "y", "two")))
+    links = durable(stars.join(x, "a").join(y, "b").select("a", "b", "x", "y", "one", "two").mapInArrow(_verify(percent), "a long, b long"), "jaccard-links")
+    discard(stars, arrays)
+    roots = durable(connected(links, "jaccard-roots"), "jaccard-roots")
 
     open_rows = ranked.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
     open_tokens = (
         open_rows.groupBy("token")
         .agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"),
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.min("n").alias("least"), F.max("n").alias("most"),
             F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"), F.min("node").alias("first"), F.max("node").alias("last"),
         )
         .filter("lo != hi")
         .filter((F.col("members") > 2) | (100 * F.col("least") >= percent * F.col("most")))
-        .groupBy("members", "one", "two", "first", "last")  # shingles that the same classes share are one tile
+        .groupBy("members", "shingles", "one", "two", "first", "last")  # shingles that the same classes share are one tile
         .agg(F.min("token").alias("token"))
     )
+    open_rows, open_tokens = durable(open_rows, "jaccard-open"), durable(open_tokens, "jaccard-open-tokens")
+    discard(meets, central)
     marks = seen.filter("not common").select("node", "mark").dropDuplicates(["node"])
-    blocks = F.ceil(F.col("members") / TILE).cast("long")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = (
-        open_rows.join(open_tokens.select("token", blocks.alias("blocks")), "token")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select(
-            "token",
-            (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("tile"),
-            "node", "n", "root",
-            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("long").alias("side"),
-        )
-    )
-    dealt = durable(dealt, "jaccard-tiles").join(marks.hint("merge"), "node")
-    rest = dealt.repartition("token", "tile").sortWithinPartitions("token", "tile").mapInArrow(_tiles(percent), "a long, b long")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(settled(rest, "jaccard-rest"))
-    roots = durable(connected(links, "jaccard-roots"), "jaccard-roots")
+    tiles = durable(_dealt(open_rows, open_tokens), "jaccard-tiles")
+    discard(open_rows, open_tokens)
+    dealt = tiles.join(marks.hint("merge"), "node").repartition("token", "tile").sortWithinPartitions("token", "tile")
+    clusters = durable(dealt.mapInArrow(_tiles(percent), "cluster long, node long, root long").distinct(), "jaccard-clusters")
+    discard(tiles)
+    arrays = arrays_of(clusters.select("node"), "jaccard-cluster-sets")
+    met = clusters.join(arrays.select("node", "shingles"), "node").repartition("cluster").sortWithinPartitions("cluster")
+    more = durable(met.mapInArrow(_links(percent), "a long, b long"), "jaccard-more")
+    discard(clusters, arrays, roots)
+    roots = durable(connected(links.unionByName(more), "jaccard-roots"), "jaccard-roots")
+    discard(links, more)
+
+    grouped = classes.join(roots, "node", "left").select("node", "doc", "row", F.coalesce("root", "node").alias("root"))
+    first = grouped.groupBy("root").agg(F.min(F.struct("doc", "row")).alias("first"))
+    ids = durable(grouped.join(first, "root").select("node", F.col("first.doc").alias("first_doc"), F.col("first.row").alias("first_row")), "jaccard-ids")
+    discard(classes, roots)
+    none = F.col("n") == 0
+    return members.join(ids, "node", "left").withColumns({"first_doc": F.when(none, F.col("doc")).otherwise(F.col("first_doc")), "first_row": F.when(none, F.col("row")).otherwise(F.col("first_row"))})
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    keyed = row_keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_lm_text")), "doc_id", "_lm_text", "jaccard-rows")
+    return keyed.select("_lm_doc", "_lm_row", "_lm_text")
 
-    grouped = classes.select("node", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = grouped.groupBy("root").agg(F.min("doc").alias("first"))
-    ids = durable(grouped.join(first, "root").select("node", "first"), "jaccard-ids")
-    return members.join(ids, "node", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc"))).select(
-        from_key("doc").alias("doc_id"), F.col("n").alias("n_shingles"), from_key("component_id").alias("component_id"), F.col("node").alias("class_id")
+
+def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id and the class of its set.
+
+    Null or blank texts have empty sets and link with nothing; texts under five words are
+    one shingle; a text of any length is one set, whole; rows with equal sets always link.  A
+    null id stays null and sorts last within its component.  Rows that repeat an id keep a
+    row each, judged by its own text.  No rows give no rows.  Other columns of docs are not
+    read, whatever their names.
+    """
+    return linked(_base(docs, id_col, text_col), percent).select(
+        from_key("doc").alias("doc_id"), F.col("n").alias("n_shingles"), from_key("first_doc").alias("component_id"), F.col("node").alias("class_id")
     )
 
 
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each group of linked ones, that of the smallest id, and its
+    own columns only.
+
+    Rows are judged by their own text: rows with one id and different texts are documents of
+    their own, in the order of a hash; so is each row without an id, and those sort last.
+    Rows that repeat an id and its text are one document, of which one row stays.  Null and
+    blank texts link with nothing, so each such document stays.
+    """
+    keyed = row_keyed(docs, id_col, text_col, "distinct-rows")
+    found = linked(keyed.select("_lm_doc", "_lm_row", F.col(text_col).alias("_lm_text")), percent)
+    gone = found.filter("doc != first_doc or row != first_row").select(F.col("doc").alias("_lm_doc"), F.col("row").alias("_lm_row"))
+    kept = keyed.join(gone.hint("merge"), ["_lm_doc", "_lm_row"], "left_anti").dropDuplicates(["_lm_doc", "_lm_row"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"))

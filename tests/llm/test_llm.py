@@ -167,8 +167,9 @@ def test_tiles_split(spark, monkeypatch):
     texts = [(k, " ".join(words[: 60 - k % 20] + [f"t{k}x{j}" for j in range(k % 20)])) for k in range(60)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     want = brute_components(dict(texts))
-    for size in (2048, 7):
+    for size, shingles in ((2048, 2_000_000), (7, 2_000_000), (2048, 300)):
         monkeypatch.setattr(ngram_jaccard, "TILE", size)
+        monkeypatch.setattr(ngram_jaccard, "TILE_SHINGLES", shingles)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard(df).collect()} == want
 
 
