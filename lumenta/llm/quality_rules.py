@@ -15,13 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import NOT_WHITE, Bytes, doc_key, durable, from_key, grams, lookup, mix, small_batches, table, text_slices
+from .common import NOT_WHITE, Bytes, doc_key, from_key, grams, lookup, mix, small_batches, table, text_slices
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: At most so many labelled rows go to the driver to learn from, those of the smallest hashes.
+#: At most so many labelled documents are learned from, those of the smallest hashes.
 TRAIN_ROWS = 20_000
 #: A rule must be this precise on the rows held out for pruning, and cover so many there.
 MIN_PRECISION, MIN_COVER = 0.9, 3
@@ -87,6 +88,28 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *(pa.array(found[s]) for s in STATS)], names=["doc", *STATS])
 
 
+def _statistics_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, _lm_text, good, _lm_o) to (doc, statistics, good, _lm_o)."""
+    for batch in batches:
+        for lo, hi, data, offsets in text_slices(batch, "_lm_text"):
+            found = slice_statistics(data, offsets)
+            doc, good, order = (batch.column(c).slice(lo, hi - lo) for c in ("doc", "good", "_lm_o"))
+            yield pa.RecordBatch.from_arrays([doc, *(pa.array(found[s]) for s in STATS), good, order], names=["doc", *STATS, "good", "_lm_o"])
+
+
+def _beside(column: str):
+    """Each row's statistics beside its own columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [slice_statistics(data, offsets) for _, _, data, offsets in text_slices(batch, column)]
+            if parts:
+                own = pa.StructArray.from_arrays([pa.array(np.concatenate([p[s] for p in parts])) for s in STATS], names=STATS)
+                yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, "_lm_stats"])
+
+    return run
+
+
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, statistics of STATS) of each row's whole text; a null text counts as empty."""
     small_batches(docs.sparkSession)
@@ -118,9 +141,11 @@ class Condition:
     def holds(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return x[self.feature] > self.value if self.above else x[self.feature] <= self.value
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         top, below = RATIOS[self.feature]
-        value = F.col(top).cast("double") / F.greatest(F.col(below), F.lit(1)) if below else F.col(top).cast("double")
+        value = F.col(prefix + top).cast("double")
+        if below:
+            value = value / F.greatest(F.col(prefix + below), F.lit(1))
         return value > F.lit(self.value) if self.above else value <= F.lit(self.value)
 
     def __str__(self) -> str:
@@ -202,29 +227,37 @@ def learn(stats: dict[str, np.ndarray], poor: np.ndarray, held_out: np.ndarray)
     return rules
 
 
-def rule_column(rules: list[Rule]) -> Column:
+def rule_column(rules: list[Rule], prefix: str = "") -> Column:
     """The place of the first rule that fires, from 1; 0 where none does."""
     out = F.lit(0)
     for k, rule in reversed(list(enumerate(rules, 1))):
-        holds = rule[0].column()
+        holds = rule[0].column(prefix)
         for c in rule[1:]:
-            holds = holds & c.column()
+            holds = holds & c.column(prefix)
         out = F.when(holds, F.lit(k)).otherwise(out)
     return out
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+def base_failed(prefix: str = "") -> Column:
+    words, repeated = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
+    return (words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * words)
+
 
+def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", train_rows: int = TRAIN_ROWS) -> list[Rule]:
+    """Rules from labelled documents that pass the base checks.
 
-def learn_from(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> list[Rule]:
-    """Rules from the labelled rows of stats that pass the base checks.  Rows without an id
-    or a quality are no labels; of an id labelled twice the lower quality counts."""
-    marks = labels.select(F.col(id_col).cast("long").alias("doc"), F.col(quality_col).alias("_lm_q")).filter("doc is not null and _lm_q is not null")
-    marks = marks.groupBy("doc").agg((F.min("_lm_q") > 0).alias("good"))
-    order = F.xxhash64("doc")
-    rows = stats.join(marks, "doc").filter(~base_failed()).withColumn("_lm_o", order).orderBy("_lm_o", "doc").limit(TRAIN_ROWS)
-    got = rows.select("good", "_lm_o", *STATS).toPandas()
+    Rows of labels without an id or a quality are no labels; of an id labelled twice the
+    lower quality counts, of one with several texts one text.  Where more than train_rows ids are labelled,
+    the ids whose hash lies below a threshold are taken, so a task or the driver holds
+    train_rows at most.
+    """
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc"), F.col(quality_col).alias("_lm_q")).filter("doc is not null and _lm_q is not null")
+    marks = marks.groupBy("doc").agg((F.min("_lm_q") > 0).alias("good")).withColumn("_lm_o", F.xxhash64("doc"))
+    share = min(1.0, 1.1 * train_rows / max(1, marks.count()))  # a little more, for the limit to cut
+    chosen = marks.filter(F.shiftrightunsigned("_lm_o", 32) < int(share * (1 << 32))).orderBy(F.shiftrightunsigned("_lm_o", 32), "doc").limit(train_rows)
+    texts = docs.select(doc_key(id_col).alias("doc"), F.col(text_col).alias("_lm_text")).join(F.broadcast(chosen), "doc")  # train_rows at most
+    rows = texts.mapInArrow(_statistics_beside, f"{SCHEMA}, good boolean, _lm_o long").filter(~base_failed())
+    got = rows.groupBy("doc").agg(F.min(F.struct("good", "_lm_o", *STATS)).alias("r")).select("r.*").toPandas()
     held_out = (got["_lm_o"].to_numpy(np.int64).view(np.uint64) >> np.uint64(40)) % np.uint64(3) == 0
     return learn({s: got[s].to_numpy(np.int64) for s in STATS}, ~got["good"].to_numpy(bool), held_out)
 
@@ -232,21 +265,27 @@ def learn_from(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", qual
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, statistics, base_failed, rule and kept.
 
-    A null or empty text has no words and fails the base check.  Without usable labels no
-    rule is learned and the base check decides.  Rows that repeat an id keep a row each.
-    Other columns of docs are not read.
+    A null or empty text has no words and fails the base check; a text of any length is
+    judged whole.  Without usable labels no rule is learned and the base check decides.  Rows
+    that repeat an id keep a row each, judged by its own text; a null id stays null.  No rows
+    give no rows.  Other columns of docs are not read, whatever their names.
     """
-    stats = durable(statistics(docs, id_col, text_col), "quality-stats")
-    rules = learn_from(stats, labels)
-    out = stats.withColumn("base_failed", base_failed()).withColumn("rule", rule_column(rules))
+    rules = learn_from(docs, labels, id_col, text_col)
+    out = statistics(docs, id_col, text_col).withColumn("base_failed", base_failed()).withColumn("rule", rule_column(rules))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).withColumn("doc_id", from_key("doc")).select("doc_id", *STATS, "base_failed", "kept", "rule")
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the rules reject, with its own columns only."""
-    verdict = quality_rules(docs, labels).select(doc_key().alias("_lm_doc"), "kept").groupBy("_lm_doc").agg(F.bool_or("kept").alias("_lm_kept"))
-    keep = verdict.filter("_lm_kept").select("_lm_doc")
-    return docs.withColumn("_lm_doc", doc_key()).join(keep.hint("merge"), "_lm_doc", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that the rules reject, with its own columns only.
+
+    Each row is judged by its own text, so rows without an id, or that repeat one, neither
+    save nor doom each other.  Other cases as in quality_rules.
+    """
+    rules = learn_from(docs, labels, id_col, text_col)
+    kind = T.StructType([T.StructField(s, T.LongType()) for s in STATS])
+    rows = docs.mapInArrow(_beside(text_col), T.StructType([*docs.schema.fields, T.StructField("_lm_stats", kind)]))
+    kept = rows.filter(~base_failed("_lm_stats.") & (rule_column(rules, "_lm_stats.") == 0))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -116,7 +116,7 @@ def test_learned_rules_hold_out(spark):
     """Trained on two thirds of sf0.01's labels; judged on sf0.1's."""
     big = DATA.replace("0.001", "0.1")
     small = DATA.replace("0.001", "0.01")
-    rules = quality_rules.learn_from(quality_rules.statistics(common.table(spark, small, "documents")), common.table(spark, small, "labels"))
+    rules = quality_rules.learn_from(common.table(spark, small, "documents"), common.table(spark, small, "labels"))
     stats = quality_rules.statistics(common.table(spark, big, "documents")).filter(~quality_rules.base_failed())
     marks = common.table(spark, big, "labels").select(F.col("doc_id").alias("doc"), "quality")
     r = stats.join(marks, "doc").groupBy("quality").agg(F.avg((quality_rules.rule_column(rules) > 0).cast("double")).alias("rejected")).collect()
@@ -124,6 +124,21 @@ def test_learned_rules_hold_out(spark):
     assert rejected[0] > 0.9 and rejected[1] < 0.02
 
 
+def test_kept_by_row(spark):
+    """Rows of one id, and rows without an id, are judged one by one; few rows are learned from."""
+    good = " ".join(f"word{k} stands here" for k in range(60))
+    docs = [(None, good, 1), (None, "too short", 2), (3, good + " x", 3), (3, "too short", 4), (4, None, 5), (5, "again and again " * 50, 6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_words long")
+    labels = spark.createDataFrame([(3, 1), (5, 0)], "doc_id long, quality int")
+    got = quality_rules.kept_documents(df, labels)
+    assert got.columns == df.columns and sorted(r.n_words for r in got.collect()) == [1, 3]
+    assert quality_rules.kept_documents(df.limit(0), labels).count() == 0
+    many = common.table(spark, DATA.replace("0.001", "0.01"), "labels")
+    docs = common.table(spark, DATA.replace("0.001", "0.01"), "documents")
+    for rows in (100, 20_000):
+        assert len(quality_rules.learn_from(docs, many, train_rows=rows)) <= quality_rules.MAX_RULES
+
+
 def shingles(t):
     w = re.findall(WHITE, (t or "").translate(LOW))
     return frozenset(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
@@ -173,6 +188,53 @@ def test_tiles_split(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard(df).collect()} == want
 
 
+def test_grow():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        base = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+        sets = [np.sort(rng.choice(base[a : a + 60], int(rng.integers(40, 60)), replace=False)) for a in rng.integers(0, 60, 25)]
+        root = rng.integers(0, 18, 25)
+        want = list(range(25))
+
+        def find(a, want=want):
+            while want[a] != a:
+                a = want[a]
+            return a
+
+        for a, b in itertools.combinations(range(25), 2):
+            n = len(set(sets[a]) & set(sets[b]))
+            if root[a] == root[b] or 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                want[find(a)] = find(b)
+        links = ngram_jaccard.grow(sets, root, 75)
+        assert len(links) < 25
+        for a, b in links:
+            n = len(set(sets[a]) & set(sets[b]))
+            assert 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)
+        got = list(range(25))
+        for a, b in [*links, *((int(np.flatnonzero(root == r)[0]), int(k)) for r in set(root.tolist()) for k in np.flatnonzero(root == r))]:
+            x, y = (find(z, got) for z in (a, b))
+            got[x] = y
+        assert len({find(k, got) for k in range(25)}) == len({find(k) for k in range(25)})
+
+
+def test_large_group_without_a_hub(spark):
+    """Thousands of near copies in a chain that no one of them links: rows stay linear."""
+    words = [f"w{k}" for k in range(5400)]
+    texts = [(k, " ".join(words[k : k + 200])) for k in range(0, 5000, 2)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    assert {r.component_id for r in ngram_jaccard.ngram_jaccard(df).collect()} == {0}
+
+
+def test_distinct_documents(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    docs = [(1, one), (2, one + " x"), (2, two), (None, one + " y"), (None, two + " z"), (None, None), (3, ""), (7, "few words"), (7, "few words"), (None, "none at all"), (None, "none at all")]
+    df = spark.createDataFrame([(*d, k) for k, d in enumerate(docs)], "doc_id long, text string, node long").repartition(3)
+    got = ngram_jaccard.distinct_documents(df)
+    assert got.columns == df.columns
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([docs[0], docs[2], docs[5], docs[6], docs[7], docs[9]])
+    assert ngram_jaccard.distinct_documents(df.limit(0)).count() == 0
+
+
 def test_signature_bound():
     rng = np.random.default_rng(1)
     for n, m in ((10, 12), (300, 280), (2000, 1500)):
@@ -437,7 +499,7 @@ def test_sql(spark, name):
 def test_pipeline(spark, rows):
     """run() against the stages done one by one in plain Python."""
     stats = quality_rules.statistics(common.table(spark, DATA, "documents"))
-    rules = quality_rules.learn_from(stats, common.table(spark, DATA, "labels"))
+    rules = quality_rules.learn_from(common.table(spark, DATA, "documents"), common.table(spark, DATA, "labels"))
     text = {d: t for d, t, _ in rows}
     table = {s: np.array([r[s] for r in stats.collect()]) for s in ("doc", *quality_rules.STATS)}
     x = quality_rules.features(table)
