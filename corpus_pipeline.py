@@ -1,5 +1,9 @@
 """From raw documents to a training mix, in five stages.
 
+Every stage judges a row by its own text: rows without an id, or rows that repeat an id with
+another text, neither save nor doom each other.  A null or blank text has no words, so the
+first stage drops it.  No rows give no rows, and columns beyond documents' own are passed on.
+
 Each stage takes (spark, docs, sf_dir) and works on everything that the one before kept; its
 result is written and read again before the next.  All but the last return the columns of
 documents; the last returns them too, each row as often as the mix takes it.
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenta.llm import decontaminate, line_dedup, ngram_jaccard, quality_rules, source_mixing
-from lumenta.llm.common import doc_key, durable, table
+from lumenta.llm.common import durable, table
 
 
 def _own(docs: DataFrame) -> list:
@@ -31,11 +35,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays.  Rows without
-    an id stay; rows that repeat an id stay or go together."""
-    found = ngram_jaccard.ngram_jaccard(docs)
-    gone = found.filter("doc_id is not null and component_id <> doc_id").select(doc_key().alias("_lm_doc")).distinct()
-    return docs.withColumn("_lm_doc", doc_key()).join(gone.hint("merge"), "_lm_doc", "left_anti").select(*_own(docs))
+    """Of each group of linked documents the one with the smallest id stays, in one row."""
+    return ngram_jaccard.distinct_documents(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
