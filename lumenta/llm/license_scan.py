@@ -3,8 +3,8 @@
 Rolling hashes of word pairs are joined to the positions of known phrases.  A hit at word p
 for position t of a phrase votes for the diagonal p - t; a phrase that stands in the text
 puts all its hits on one diagonal, and one with a word more or less on neighbouring ones.
-Diagonals that are close and follow each other are merged, and a span is verified by the
-share of the phrase that it covers.  Everything is DataFrame functions.
+Diagonals that are close and follow each other, in the text and in the phrase, are merged,
+and a span is verified by the share of the phrase that it covers in order.  Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -52,18 +52,26 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_words, spans (phrase's label, base, start, end,
     cover), in words from 0, end exclusive.
 
-    A null or empty text has no words and no spans.  Rows that repeat an id keep a row each.
-    Other columns of docs are not read.
+    A null or empty text has no words and no spans; a text of any length is read whole.
+    Rows that repeat an id keep a row each, a null id stays null, and no rows give no rows.
+    Other columns of docs are not read, whatever their names.
     """
     spark = docs.sparkSession
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    templates = _templates(spark)
+    known = sorted({r.hash for r in templates.collect()} - {0})
     words = F.regexp_extract_all(F.translate(F.coalesce(text_col, F.lit("")), upper, upper.lower()), F.lit(WORD), F.lit(0))
     df = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words.alias("words"))
-    pairs = F.transform("words", lambda w, i: F.xxhash64(w, F.get(F.col("words"), i + 1)))
-    df = df.select("row", "doc_id", F.posexplode(F.concat(pairs, F.array(F.lit(0).cast("long")))).alias("p", "hash"))
-
-    votes = df.join(_templates(spark), "hash").select("row", "doc_id", "phrase", "p", "at", (F.col("p") - F.col("at")).alias("diagonal"))
-    diagonals = votes.groupBy("row", "doc_id", "phrase", "diagonal").agg(F.count_distinct("at").alias("n"), F.min("p").alias("start"), (F.max("p") + 2).alias("end"))
+    # only pairs that some phrase has become rows, and one row for the number of words
+    pairs = F.transform("words", lambda w, i: F.struct(i.alias("p"), F.xxhash64(w, F.get(F.col("words"), i + 1)).alias("hash")))
+    end = F.struct(F.size("words").alias("p"), F.lit(0).cast("long").alias("hash"))
+    df = df.select("row", "doc_id", F.explode(F.concat(F.filter(pairs, lambda x: x["hash"].isin(known)), F.array(end))).alias("x")).select("row", "doc_id", "x.p", "x.hash")
+
+    votes = df.join(templates, "hash").select("row", "doc_id", "phrase", "p", "at", (F.col("p") - F.col("at")).alias("diagonal"))
+    seen = F.bit_or(F.expr("shiftleft(1L, at)"))  # a diagonal's pairs of the phrase; its places follow
+    diagonals = votes.groupBy("row", "doc_id", "phrase", "diagonal").agg(
+        F.bit_count(seen).alias("n"), F.min("at").alias("low"), F.max("at").alias("high"), F.min("p").alias("start"), (F.max("p") + 2).alias("end")
+    )
     diagonals = durable(diagonals, "license-diagonals")
     phrases = BASE + NOTICES
     sizes = F.array(*[F.lit(len(p.split()) - 1) for p, _ in phrases])
@@ -76,11 +84,17 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     loose = diagonals.filter(F.col("phrase") >= len(BASE))
     ordered = Window.partitionBy("row", "phrase").orderBy("start", "diagonal")
-    apart = (F.col("start") - F.lag("end").over(ordered) > GAP) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(ordered)) > NEAR)
+    # a span goes on in the order of its phrase: pairs that stood in it already begin another
+    apart = (
+        (F.col("start") - F.lag("end").over(ordered) > GAP)
+        | (F.abs(F.col("diagonal") - F.lag("diagonal").over(ordered)) > NEAR)
+        | (F.col("low") <= F.lag("high").over(ordered))
+    )
     loose = loose.withColumn("span", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0))
     loose = loose.withColumn("span", F.sum("span").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    # so each pair of the phrase counts once in n
     merged = loose.groupBy("row", "doc_id", "phrase", "span").agg(F.sum("n").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"), F.first("size").alias("size"))
-    merged = merged.withColumn("cover", F.least(F.col("n") / F.col("size"), F.lit(1.0)))
+    merged = merged.withColumn("cover", F.col("n") / F.col("size"))
     # a span far longer than its phrase is the phrase's words at random
     verified = merged.filter((F.col("cover") >= MIN_COVER) & (F.col("end") - F.col("start") <= 2 * (F.col("size") + 1)))
     spans = exact.unionByName(verified.select("row", "doc_id", "phrase", "start", "end", "cover"))
