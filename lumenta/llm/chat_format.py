@@ -8,6 +8,7 @@ repaired turns are then rendered.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,16 @@ START = "start"
 NEXT = {START: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
 MERGE, RELABEL, NAME, INSERT = 2, 3, 1, 4  # NAME: give an unknown role a known one
 TEMPLATE = "<|{role}|>\n{text}\n<|end|>\n"
+#: What opens a marker; in a text it gets one backslash more, so that no turn can forge another.
+OPENING = re.compile(r"<(\\*)\|")
+
+
+def escaped(text: str) -> str:
+    return OPENING.sub(r"<\1\\|", text)
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<(\\*)\\\|", r"<\1|", text)
 
 
 @dataclass(frozen=True)
@@ -85,7 +96,7 @@ def render(turns: list[tuple[str | None, str | None]]) -> tuple[int, list[str],
     if out and out[-1][0] == "system":
         out.append(("user", []))
     repaired = [(r, "\n".join(t)) for r, t in out]
-    return cost, [m.op for m in moves], repaired, "".join(TEMPLATE.format(role=r, text=t) for r, t in repaired)
+    return cost, [m.op for m in moves], repaired, "".join(TEMPLATE.format(role=r, text=escaped(t)) for r, t in repaired)
 
 
 SCHEMA = "conv_id long, n_turns long, n_out long, cost long, n_merged long, n_relabelled long, n_inserted long, roles string, rendered string"
@@ -108,16 +119,16 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     open_conv, turns = None, []
     for got in batches:
-        for conv, role, text in zip(*(got.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+        for *conv, role, text in zip(*(got.column(c).to_pylist() for c in ("conv_id", "solo", "role", "text")), strict=True):
             if turns and conv != open_conv:
-                close(open_conv, turns)
+                close(open_conv[0], turns)
                 turns = []
                 if len(done) >= 512:
                     yield batch()
             open_conv = conv
             turns.append((role, text))
     if turns:
-        close(open_conv, turns)
+        close(open_conv[0], turns)
     if done:
         yield batch()
 
@@ -126,14 +137,18 @@ def chat_format(turns: DataFrame) -> DataFrame:
     """One row per conversation: counts, cost, repaired roles and the rendered text.
 
     Turns are ordered by turn (null first), then role and text, so ties have one order.  A
-    null or unknown role takes the cheapest known one; a null text counts as empty; turns
-    without a conv_id are one conversation.  Repeated rows are turns of their own.  A
-    conversation is rendered in one task, since its text is one value.
+    null or unknown role takes the cheapest known one; a null text counts as empty; a turn
+    without a conv_id belongs with no other and is a conversation of its own, so such turns
+    spread over all tasks.  Repeated rows are turns of their own.  No rows give no rows.  Texts
+    of any length are rendered whole, with what would open a marker in them escaped.  A
+    conversation is rendered in one task, since its text is one value, which must fit into
+    2 GB.  Other columns of turns are not read, whatever their names.
     """
     small_batches(turns.sparkSession)
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.trim(F.lower("role")).alias("role"), "text")
-    sorted_rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return sorted_rows.select("conv_id", "role", "text").mapInArrow(_conversations, SCHEMA)
+    solo = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), solo.alias("solo"), F.col("turn").cast("long").alias("turn"), F.trim(F.lower("role")).alias("role"), "text")
+    sorted_rows = rows.repartition("conv_id", "solo").sortWithinPartitions("conv_id", "solo", "turn", "role", "text")
+    return sorted_rows.select("conv_id", "solo", "role", "text").mapInArrow(_conversations, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
