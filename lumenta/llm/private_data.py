@@ -69,8 +69,21 @@ class Kind:
     pattern: str
     confirm: Callable[[Column], Column]
     score: float  # of a confirmed span, without context
-    context: str  # words before it that raise the score
+    context: str  # words near it that raise the score
     joint: str | None = None
+    weak: Callable[[Column], Column] | None = None  # spans that count only with context
+
+
+#: Names that stand before a secret, and secrets that are known by their form.
+SECRET_NAMES = "(?:auth[_-]?)?token|(?:client[_-]?)?secret|password|passwd|pwd|api[_-]?key|access[_-]?key"
+SECRET_FORMS = (
+    r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+"
+    r"|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+)
+
+
+def _value(match: Column) -> Column:
+    return F.regexp_replace(match, r"^[^:=]*(?::=|=>|[:=])[\x20]*", "")
 
 
 #: In the order of the output.  Scores of base kinds stay at MIN_SCORE or above.
@@ -85,9 +98,10 @@ KINDS = (
     Kind("phone", True, lambda t: F.contains(t, F.lit("+")), r"\+[0-9][\x20().0-9-]+[0-9]", _phone, 0.7, "phone|call|tel|mobile|fax"),
     Kind("iban", False, lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _mod97, 0.8, "iban|account|bank"),
     Kind(
-        "secret", False, lambda t: t.rlike("(?i)token|secret|passw|key"),
-        r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\x20]{0,2}[:=][\x20]{0,2}[\"'][A-Za-z0-9+/_=.-]{8,}+[\"']",
-        lambda m: F.lit(True), 0.6, "auth|login|credential",
+        "secret", False, lambda t: t.rlike("(?i)token|secret|passw|pwd|key|akia|gh[pousr]_|github_pat_|sk-|xox|aiza|eyj"),
+        rf"(?i)(?<![a-z0-9])(?:{SECRET_NAMES})[\"']?[\x20]{{0,2}}(?::=|=>|[:=])[\x20]{{0,2}}(?:\"[^\"\s]{{8,}}+\"|'[^'\s]{{8,}}+'|[A-Za-z0-9+/_=.~!@$%^&*-]{{8,}}+)|(?<![A-Za-z0-9])(?-i:{SECRET_FORMS})",
+        lambda m: F.lit(True), 0.6, "auth|login|credential|secret|private", None,
+        lambda m: m.rlike("(?i)^(?:" + SECRET_NAMES + ")") & ~m.rlike("[\"']$") & ~_value(m).rlike("[0-9]"),
     ),
     Kind("ssn", False, lambda t: t.rlike("[0-9]-[0-9]{2}-[0-9]"), r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, "ssn|social security|tax id"),
 )
@@ -114,8 +128,10 @@ def _found(df: DataFrame, kind: Kind, text: str) -> DataFrame:
         block = (i / BLOCK).cast("int")
         piece = F.get(F.col(f"{n}_p"), i)
         start = F.get(F.col(f"{n}_b"), block) + total(block * BLOCK + 1, i - block * BLOCK, f"{n}_l") + F.length(piece)
-        near = F.lower(F.substring(piece, -CONTEXT_CHARS, CONTEXT_CHARS)).rlike(rf"\b(?:{kind.context})")
-        score = F.when(near, F.lit(min(1.0, kind.score + CONTEXT_BONUS))).otherwise(F.lit(kind.score))
+        before, after = F.substring(piece, -CONTEXT_CHARS, CONTEXT_CHARS), F.substring(F.get(F.col(f"{n}_p"), i + 1), 1, CONTEXT_CHARS)
+        near = F.lower(F.concat(before, F.lit(" "), after)).rlike(rf"\b(?:{kind.context})")
+        alone = F.when(kind.weak(m), F.lit(kind.score - CONTEXT_BONUS)).otherwise(F.lit(kind.score)) if kind.weak else F.lit(kind.score)
+        score = F.least(alone + F.when(near, CONTEXT_BONUS).otherwise(0.0), F.lit(1.0))
         return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), score.alias("score"), kind.confirm(m).alias("ok"))
 
     spans = F.filter(F.transform(f"{n}_m", span), lambda s: s["ok"] & (s["score"] >= MIN_SCORE))
@@ -136,8 +152,10 @@ def private_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id and spans, an array of (kind, start, end, score) by the
     order of KINDS, then start; positions are code points, end exclusive.
 
-    A null or empty text has no spans.  Rows that repeat an id keep a row each.  Other
-    columns of docs are not read.
+    A null or empty text has no spans; a text of any length is searched whole.  Context is
+    the CONTEXT_CHARS on either side, up to the next span of the same kind; it decides for spans that
+    are weak alone.  Rows that repeat an id keep a row each, a null id stays null, and no rows
+    give no rows.  Other columns of docs are not read, whatever their names.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_lm_text"))
     for kind in KINDS:
@@ -154,4 +172,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     found = private_data(table(spark, sf_dir, "documents"))
     base = [k.name for k in KINDS if k.base]
     counts = [F.size(_of(k)).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(_joined(_of(*base)), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    top = F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0))
+    return found.select(
+        "doc_id", *counts, F.sha2(_joined(_of(*base)), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), top.alias("top_score")
+    )
