@@ -1,23 +1,21 @@
-"""Repeated-substring dedup over whole byte strings.
+"""Repeated-substring dedup over whole byte strings, by anchor fingerprints.
 
-Named method: merge the Burrows-Wheeler transforms of shards by refining their interleave
-round by round, and read common prefixes and repeated intervals off the merged order.  At
-one byte a round this takes a hundred passes over every suffix of the corpus.  Here each
-round extends the compared context by a block of bytes instead of one byte, positions whose
-interval has become a singleton leave, and the order of the alphabet is the order of
-fingerprints (any total order gives the same intervals):
+The method named for this operator merges the Burrows-Wheeler transforms of shards by
+refining their interleave.  interleave.py does that, and its figures are beyond the budget
+(README), so this operator finds the same repeated intervals in another way.  It builds no
+transform and no suffix array:
 
 * Parse.  A window is the string of LENGTH bytes at a position.  The smallest-hash gram of
   a window is its anchor; consecutive windows with one anchor form a phrase, so phrases
   overlap and each is at least LENGTH bytes long.  Equal windows have equal anchor grams.
-* Round 1 interleaves all phrases by their anchor gram; grams of one phrase only are done.
-* Each further round refines the intervals left open.  A string that is not the first of
-  its interval repeats in every window; the first strings of intervals that agree on the
-  context of the round but not on the whole string are split into ranges of fewer windows,
-  which share a longer context: a range of w windows has LENGTH - w + 1 bytes in common.
-  The last round has single windows, whose context is the window itself.
-
-No suffix is sorted again.  The covered bytes are the union of the repeated windows.
+* Settle.  Strings are sorted by their key (of phrases, the anchor gram) and a fingerprint of
+  the whole.  A string that is not the first of its equals repeats in every window.  The first
+  of strings that share a key with other strings stay open.
+* Split.  Open strings are cut into ranges of fewer windows, which share a longer context: a
+  range of w windows has LENGTH - w + 1 bytes in common, which is its key.  The last ranges
+  have one window, whose key is the window itself, so none stays open.
+
+The removed bytes are the union of the repeated windows.
 """
 
 from __future__ import annotations
@@ -29,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bytes, durable, from_key, row_keyed, signed, small_batches, table, text_slices
+from .common import Bytes, discard, durable, from_key, mix, row_keyed, small_batches, table, text_slices
 
 LENGTH = 100
 GRAM = 32
@@ -41,6 +39,9 @@ SIDE = 128
 PACK = SIDE * SIDE
 #: Windows in a range, by round.
 RANGES = (18, 1)
+#: Strings of a task that are compared before they are dealt to others.
+TOGETHER = 400_000
+NAMES = ["key", "body", "doc", "row", "place", "parent", "stop"]
 
 
 def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, int, int, Bytes]]:
@@ -89,16 +90,116 @@ def phrases(text: Bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return doc, start, end - start, anchor[start]
 
 
+def spans_of(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop) of the maximal runs, where row is one of those with the run's doc."""
+    if not len(doc):
+        return np.zeros(0, np.int64), start, stop
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], stop[order]
+    base = np.cumsum(np.r_[False, doc[1:] != doc[:-1]]) << np.int64(40)  # a text has fewer bytes
+    reach = np.maximum.accumulate(stop + base)
+    new = np.flatnonzero(np.r_[True, (start + base)[1:] > reach[:-1]])
+    return order[new], start[new], (reach - base)[np.r_[new[1:], len(doc)] - 1]
+
+
+def _reduced(parts: Iterator[tuple[np.ndarray, ...]], length: int) -> Iterator[pa.RecordBatch]:
+    """Strings (key, body, doc, row, place, parent) without those that repeat among the many
+    taken together; these become spans, with a stop, and a key of their own that deals them
+    anywhere."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        key, body, doc, row, place, parent = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((place, row, doc, body, key))
+        same = (key[order][1:] == key[order][:-1]) & (body[order][1:] == body[order][:-1])
+        first, again = order[np.r_[True, ~same]], order[1:][same]
+        own = np.unique(np.stack([doc[again], row[again]]), axis=1, return_inverse=True)[1].ravel() if len(again) else again
+        start = place[again] // PACK
+        at, start, stop = spans_of(own, start, start + place[again] % SIDE + length - 1)
+        at = again[at]
+        spread = mix((doc[at] ^ row[at]).view(np.uint64) + start.view(np.uint64)).view(np.int64)
+        columns = [
+            np.r_[key[first], spread], np.r_[body[first], spread], np.r_[doc[first], doc[at]], np.r_[row[first], row[at]],
+            np.r_[place[first], start], np.r_[parent[first], np.zeros(len(at), np.int64)], np.r_[np.zeros(len(first), np.int64), stop],
+        ]
+        for k in range(0, len(columns[0]), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in columns], names=NAMES)
+
+    for part in parts:
+        if not len(part[0]):
+            continue
+        held.append(part)
+        if sum(len(p[0]) for p in held) >= TOGETHER:
+            yield from flush()
+    if held:
+        yield from flush()
+
+
 def _phrases(length: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             ids, rows = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
             for lo, hi, base, text in _pieces(batch, length):
                 doc, start, windows, anchor = phrases(text, length, gram)
-                key = text.hash(anchor, anchor + gram)
-                body = text.hash(start, start + windows + (length - 1))
+                key = text.hash(anchor, anchor + gram).view(np.int64)
+                body = text.hash(start, start + windows + (length - 1)).view(np.int64)
                 place = ((start - text.offsets[doc] + base) * SIDE + anchor - start) * SIDE + windows
-                yield pa.RecordBatch.from_arrays([signed(key), signed(body), pa.array(ids[lo:hi][doc]), pa.array(rows[lo:hi][doc]), pa.array(place)], names=["key", "body", "doc", "row", "place"])
+                yield key, body, ids[lo:hi][doc], rows[lo:hi][doc], place, np.zeros(len(doc), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _reduced(parsed(batches), length)
+
+    return run
+
+
+def _settled(length: int):
+    """Strings sorted by key, body and place to what repeats, as spans (doc, row, start, stop),
+    and what stays open, with its place in start and a stop of 0.  The keys at the ends of a
+    task may go on in another and stay open; so a key of any number of strings can be split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mixed, pending = None, False, None
+        for batch in batches:
+            key, body, doc, row, place, parent, stop = (batch.column(c).to_numpy() for c in NAMES)
+            sure, left = stop > 0, []
+            spans = [(doc[sure], row[sure], place[sure], stop[sure])]
+            key, body, doc, row, place, parent = (c[~sure] for c in (key, body, doc, row, place, parent))
+            n = len(key)
+            if n:
+                go_on = last is not None and key[0] == last[0]
+                new_key = np.r_[not go_on, key[1:] != key[:-1]]
+                new = new_key | np.r_[not go_on or body[0] != last[1], body[1:] != body[:-1]]
+                again = ~new
+                spans.append((doc[again], row[again], place[again] // PACK, place[again] // PACK + place[again] % SIDE + length - 1))
+                # which of the first strings share their key with another one
+                group = np.cumsum(new_key) - (not go_on)
+                bodies = np.bincount(group, weights=new).astype(np.int64)
+                shared = bodies > 1
+                if go_on:
+                    shared[0] = mixed or bodies[0] > 0
+                elif last is None:
+                    shared[0] = True  # it may have begun in another task
+                rows = (doc, row, place, parent)
+                opened = new & shared[group]
+                left.append(tuple(c[opened] for c in rows))
+                if pending is not None and go_on and shared[0]:
+                    left.append(pending)
+                if pending is not None and (not go_on or shared[0] or group[-1] > 0):
+                    pending = None
+                if not shared[-1] and bodies[-1]:
+                    pending = tuple(c[new & (group == group[-1])] for c in rows)
+                mixed, last = bool(shared[-1]), (key[-1], body[-1])
+            own = [np.concatenate(c) for c in zip(*spans, strict=True)]
+            if len(own[0]):
+                which = np.unique(np.stack(own[:2]), axis=1, return_inverse=True)[1].ravel()
+                at, start, end = spans_of(which, own[2], own[3])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (own[0][at], own[1][at], start, np.zeros(len(at), np.int64), end)], names=["doc", "row", "start", "parent", "stop"])
+            if left and sum(len(x[0]) for x in left):
+                got = [np.concatenate(c) for c in zip(*left, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*got, np.zeros(len(got[0]), np.int64))], names=["doc", "row", "start", "parent", "stop"])
+        if pending is not None:  # its key may go on in the next task
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*pending, np.zeros(len(pending[0]), np.int64))], names=["doc", "row", "start", "parent", "stop"])
 
     return run
 
@@ -110,16 +211,17 @@ def _strings(length: int):
         for batch in batches:
             ids, rows, places = batch.column("doc").to_numpy(), batch.column("row").to_numpy(), batch.column("places")
             for lo, hi, data, offsets in text_slices(batch, "_lm_text"):
-                docs, own, named, found = [], [], [], []
-                for i in range(lo, hi):
-                    for place in places[i].as_py():
-                        start = place // PACK
-                        end = start + place % SIDE + length - 1
-                        docs.append(ids[i])
-                        own.append(rows[i])
-                        named.append(place)
-                        found.append(data[offsets[i - lo] + start : offsets[i - lo] + end].tobytes())
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (docs, own, named)), pa.array(found, pa.binary())], names=["doc", "row", "parent", "string"])
+                own = places.slice(lo, hi - lo)
+                named = own.flatten().to_numpy()
+                of = np.repeat(np.arange(hi - lo), np.diff(own.offsets.to_numpy()))
+                start = offsets[of] + named // PACK
+                size = named % SIDE + length - 1
+                for k in range(0, len(named), 20_000):
+                    part = slice(k, k + 20_000)
+                    ends = np.cumsum(size[part])
+                    at = np.repeat(start[part] - np.r_[0, ends[:-1]], size[part]) + np.arange(ends[-1])
+                    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(data[at])])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][of[part]]), pa.array(rows[lo:hi][of[part]]), pa.array(named[part]), found.cast(pa.binary())], names=["doc", "row", "parent", "string"])
 
     return run
 
@@ -128,7 +230,7 @@ def _split(length: int, width: int):
     """Strings to ranges of windows.  Ranges are cut by the distance from window to anchor, so
     equal windows fall in ranges of equal context."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             docs, rows, parents, places = (batch.column(c).to_numpy() for c in ("doc", "row", "parent", "place"))
             for lo, hi, data, offsets in text_slices(batch, "string"):
@@ -147,45 +249,39 @@ def _split(length: int, width: int):
                 key = context + step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 body = text.hash(zero - far, zero - near + length)
                 place = ((start[row] + back[row] - far) * SIDE + far) * SIDE + far - near + 1
-                for k in range(0, len(row), 50_000):
-                    s = slice(k, k + 50_000)
-                    yield pa.RecordBatch.from_arrays([signed(key[s]), signed(body[s]), pa.array(docs[lo:hi][row[s]]), pa.array(rows[lo:hi][row[s]]), pa.array(place[s]), pa.array(parents[lo:hi][row[s]])], names=["key", "body", "doc", "row", "place", "parent"])
+                yield key.view(np.int64), body.view(np.int64), docs[lo:hi][row], rows[lo:hi][row], place, parents[lo:hi][row]
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _reduced(parts(batches), length)
 
+    return run
 
-def merged(intervals: np.ndarray) -> np.ndarray:
-    """The maximal runs that intervals (start, end) cover."""
-    intervals = intervals[np.argsort(intervals[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(intervals[:, 1])
-    new = np.r_[True, intervals[1:, 0] > reach[:-1]]
-    return np.stack([intervals[new, 0], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(reach) - 1]]], axis=1)
 
+def _cut() -> object:
+    """Texts with their spans (starts, stops) to the maximal runs removed and what is left."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hits = batch.column("doc"), batch.column("places")
+            ids = batch.column("doc")
+            hits = pa.array(batch.column("spans").to_pandas().map(lambda x: [] if x is None else x), batch.column("spans").type) if batch.column("spans").null_count else batch.column("spans")
             for lo, hi, data, offsets in text_slices(batch, "_lm_text"):
-                kept, spans = [], []
-                for i in range(lo, hi):
-                    own = data[offsets[i - lo] : offsets[i - lo + 1]]
-                    if not hits[i].is_valid:
-                        kept.append(own.tobytes())
-                        spans.append([])
-                        continue
-                    packed = np.array(hits[i].as_py(), np.int64)
-                    cut = merged(np.stack([packed // PACK, np.minimum(packed // PACK + packed % SIDE + length - 1, len(own))], axis=1))
-                    cut = cut[cut[:, 0] < cut[:, 1]]
-                    edge = np.zeros(len(own) + 1, np.int8)
-                    edge[cut[:, 0]] += 1
-                    edge[cut[:, 1]] -= 1
-                    kept.append(own[np.cumsum(edge)[:-1] == 0].tobytes())
-                    spans.append([{"start": a, "end": b} for a, b in cut.tolist()])
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "spans", "kept"]
-                )
+                own = hits.slice(lo, hi - lo)
+                of = np.repeat(np.arange(hi - lo), np.diff(own.offsets.to_numpy()))
+                flat = own.flatten()
+                start, stop = (flat.field(k).to_numpy() for k in (0, 1))
+                at, start, stop = spans_of(of, start, np.minimum(stop, np.diff(offsets)[of]))
+                of = of[at]
+                edge = np.zeros(len(data) + 1, np.int32)
+                np.add.at(edge, offsets[of] + start, 1)
+                np.add.at(edge, offsets[of] + stop, -1)
+                kept = np.cumsum(edge[:-1]) == 0
+                total = np.zeros(len(data) + 1, np.int64)
+                np.cumsum(kept, out=total[1:])
+                left = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(total[offsets]), pa.py_buffer(data[kept])])
+                cut = np.searchsorted(of, np.arange(hi - lo + 1)).astype(np.int32)
+                spans = pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], names=["start", "end"])).cast(kind)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(np.diff(offsets)), spans, left.cast(pa.binary())], names=["doc", "n_bytes", "spans", "kept"])
 
     return run
 
@@ -194,41 +290,42 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_bytes, spans (maximal removed byte runs) and kept
     (the bytes left, which may end inside a code point).
 
-    A null or empty text has no bytes; texts under `length` bytes lose nothing.  Rows that
-    repeat an id and text are one document seen again and do not remove each other's bytes.
-    Rows that repeat an id with other text are documents of their own, in the order of a
-    hash; so is each row without an id, and those sort last.  Other columns of docs are not
-    read.
+    A null or empty text has no bytes; texts under `length` bytes lose nothing; longer ones of
+    any length are read whole, in pieces.  Rows that repeat an id and text are one document
+    seen again and do not remove each other's bytes.  Rows that repeat an id with other text
+    are documents of their own, in the order of a hash; so is each row without an id, and
+    those sort last.  No rows give no rows.  Other columns of docs are not read, whatever
+    their names.
     """
     if not 0 < gram <= length < gram + SIDE:
         raise ValueError("gram must be at most length, and length - gram under SIDE")
     small_batches(docs.sparkSession)
-    keyed = row_keyed(docs.select(id_col, text_col), id_col, text_col, "suffix-rows")
-    base = keyed.select(F.col("_lm_doc").alias("doc"), F.col("_lm_row").alias("row"), F.col(text_col).alias("_lm_text"))
-
-    def settle(parts: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
-        """Of strings (key, body, doc, row, place, parent): the places that repeat, and the first
-        places of bodies that share their key with other bodies."""
-        shared = parts.groupBy("key").agg(F.min("body").alias("lo"), F.max("body").alias("hi"), F.count(F.lit(1)).alias("found")).filter("found > 1")
-        shared = durable(shared.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), f"{tag}-shared")
-        again = durable(parts.join(shared, "key").drop("key"), f"{tag}-again")  # hot keys are split
-        first = again.groupBy("body").agg(F.min(F.struct("doc", "row", "place", "parent")).alias("first"), F.count(F.lit(1)).alias("found"), F.bool_or("mixed").alias("mixed"))
-        first = durable(first, f"{tag}-first")
-        later = again.join(first.filter("found > 1").select("body", "first"), "body").filter("doc != first.doc or row != first.row or place != first.place")
-        return later.select("doc", "row", "place"), first.filter("mixed").select("first.*")
-
-    parsed = base.mapInArrow(_phrases(length, gram), "key long, body long, doc long, row long, place long")
-    repeated, left = settle(parsed.withColumn("parent", F.lit(0).cast("long")), "suffix-0")
+    keyed = row_keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_lm_text")), "doc_id", "_lm_text", "suffix-rows")
+    base = keyed.select(F.col("_lm_doc").alias("doc"), F.col("_lm_row").alias("row"), "_lm_text")
+    strings_of = "key long, body long, doc long, row long, place long, parent long, stop long"
+
+    def settle(parts: DataFrame, tag: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The written result, its spans that repeat, and the places that stay open."""
+        dealt = parts.repartitionByRange("key", "body").sortWithinPartitions("key", "body", "doc", "row", "place")
+        out = durable(dealt.mapInArrow(_settled(length), "doc long, row long, start long, parent long, stop long"), tag)
+        return out, out.filter("stop > 0").select("doc", "row", "start", "stop"), out.filter("stop = 0").select("doc", "row", "parent", F.col("start").alias("place"))
+
+    done, repeated, left = settle(base.mapInArrow(_phrases(length, gram), strings_of), "suffix-0")
     wanted = left.groupBy("doc", "row").agg(F.collect_set("place").alias("places"))
-    strings = durable(base.join(wanted, ["doc", "row"]).mapInArrow(_strings(length), "doc long, row long, parent long, string binary").dropDuplicates(["doc", "row", "parent"]), "suffix-strings")
-    left = strings.select("doc", "row", "parent", F.col("parent").alias("place"), "string")
+    texts = base.join(wanted.hint("merge"), ["doc", "row"]).dropDuplicates(["doc", "row"]).select("doc", "row", "_lm_text", "places")
+    strings = durable(texts.mapInArrow(_strings(length), "doc long, row long, parent long, string binary"), "suffix-strings")
+    left, over = strings.withColumn("place", F.col("parent")), [done, strings]
     for k, width in enumerate(RANGES, 1):
-        later, left = settle(left.mapInArrow(_split(length, width), "key long, body long, doc long, row long, place long, parent long"), f"suffix-{k}")
+        done, later, left = settle(left.mapInArrow(_split(length, width), strings_of), f"suffix-{k}")
+        over.append(done)
         repeated = repeated.unionByName(later)
-        left = left.join(strings, ["doc", "row", "parent"]).select("doc", "row", "parent", "place", "string")
+        left = left.join(strings.hint("merge"), ["doc", "row", "parent"])
 
-    hits = durable(repeated.groupBy("doc", "row").agg(F.collect_set("place").alias("places")), "suffix-hits")
-    out = base.join(hits, ["doc", "row"], "left").mapInArrow(_cut(length), "doc long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    spans = repeated.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    hits = durable(spans, "suffix-hits")
+    discard(*over)
+    out = base.join(hits.hint("merge"), ["doc", "row"], "left").select("doc", "_lm_text", "spans")
+    out = out.mapInArrow(_cut(), "doc long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     return out.select(from_key("doc").alias("doc_id"), "n_bytes", "spans", "kept")
 
 
