@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import discard, durable
 
 
+#: Links that a file of a round holds; their number does not grow from round to round.
+EDGES_A_FILE = 250_000
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -31,7 +35,7 @@ def connected(edges: DataFrame, tag: str) -> DataFrame:
         large = pairs.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        state = durable(small.filter("a != b").distinct(), tag)
+        state = durable(small.filter("a != b").distinct().coalesce(1 + (digest[0] // EDGES_A_FILE if digest else before.count() // EDGES_A_FILE)), tag)
         discard(before)
         digest = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
     roots = state.select(F.col("b").alias("node")).distinct()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, NULL_ID, Bytes, discard, doc_key, durable, from_key, mix, row_keyed, small_batches, table, text_slices
+from .common import ALNUM, NULL_ID, Bytes, doc_key, durable, from_key, mix, row_keyed, small_batches, table, text_slices
 
 #: Weight five each: five words in a row, and three masks that ignore some.
 MASKS = ("11111", "1101011", "11100101", "110010101")
@@ -193,13 +193,14 @@ def _overlaps(base: DataFrame, benchmark: DataFrame, item_col: str, item_text: s
     spark = base.sparkSession
     small_batches(spark)
     items = benchmark.select(doc_key(item_col).alias("item"), F.col(item_text).alias("_lm_text")).mapInArrow(_item_words, "item long, n long, words binary")
-    items = durable(items.filter(F.col("n") >= LEAST_WORDS).groupBy("words").agg(F.min("item").alias("item"), F.first("n").alias("n")).select(F.monotonically_increasing_id().alias("key"), "item", "n", "words"), "leak-items")
+    items = items.filter(F.col("n") >= LEAST_WORDS).groupBy(F.xxhash64("words").alias("key")).agg(F.min("item").alias("id"), F.first("n").alias("n"), F.first("words").alias("words"))
     keyed = items.select(F.col("key").alias("item"), "n", "words")
-    held = durable(keyed.mapInArrow(_item_seeds, "seed long, item long, n long, place long"), "leak-seeds")
+    held = keyed.mapInArrow(_item_seeds, "seed long, item long, n long, place long")
     reach = held.groupBy("seed").agg(F.max("place").alias("before"), F.max(F.col("n") - F.col("place")).alias("after"))
-    short = not items.filter(F.col("n") <= SHORT).isEmpty()
+    size = items.agg(F.count(F.lit(1)), F.sum("n"), F.min("n")).first()
+    short, most = (size[2] or 0) <= SHORT, (size[1] or 0) * len(MASKS + SHORT_MASKS)  # seeds are fewer than this
     known = None
-    if reach.count() <= BROADCAST_SEEDS:
+    if most <= BROADCAST_SEEDS or reach.count() <= BROADCAST_SEEDS:
         got = reach.toArrow()
         seed, before, after = (got.column(c).to_numpy() for c in ("seed", "before", "after"))
         known = spark.sparkContext.broadcast(Known(seed.view(np.uint64), before, after))
@@ -207,11 +208,8 @@ def _overlaps(base: DataFrame, benchmark: DataFrame, item_col: str, item_text: s
     pieces = durable(pieces, "leak-pieces")
     hits = pieces.select("doc", "row", "begin", F.explode("seeds").alias("s")).select("doc", "row", "begin", "s.seed", "s.at").join(held, "seed")
     hits = hits.groupBy("doc", "row", "begin", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))
-    found = hits.join(pieces.drop("seeds"), ["doc", "row", "begin"]).join(keyed, "item").mapInArrow(_verified, "doc long, row long, item long, n long, matched long, start long, end long")
-    found = found.join(items.select(F.col("key").alias("k"), F.col("item").alias("id")), F.col("item") == F.col("k")).select("doc", "row", F.col("id").alias("item"), "n", "matched", "start", "end")
-    found = durable(found, "leak-found")
-    discard(held, pieces)
-    return found
+    found = hits.join(pieces.drop("seeds"), ["doc", "row", "begin"]).join(items.select(F.col("key").alias("item"), "id", "n", "words"), "item")
+    return found.drop("item").withColumnRenamed("id", "item").mapInArrow(_verified, "doc long, row long, item long, n long, matched long, start long, end long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
