@@ -7,6 +7,7 @@ IMAGE_EXTENSIONS = (
     ".jpg", ".jpeg", ".png", ".tiff", ".tif", ".bmp", ".cr2", ".cr3", ".nef", ".arw", ".orf", ".rw2", ".dng", ".raf", ".pef", ".heic", ".heif", ".srw",
 )
 VIDEO_EXTENSIONS = (".mp4", ".mov", ".avi", ".mkv", ".mts", ".m2ts", ".m4v", ".wmv", ".flv", ".webm", ".3gp", ".mpg", ".mpeg")
+FACE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".tif", ".heic", ".heif")
 RAW_EXTENSIONS = (".cr2", ".cr3", ".nef", ".arw", ".orf", ".rw2", ".dng", ".raf", ".pef", ".srw")
 EXCLUDED_DIRS = (
     "$recycle.bin", "system volume information", "windows", "recovery", "boot", "msocache", "node_modules", ".git", "__pycache__", ".venv", "venv",
@@ -86,7 +87,8 @@ TARGET_MODELS = (
     "corelogic samsung", "doov s1",
 )
 SCREENSHOT_KEYWORDS = ("screenshot", "screen_shot", "screen-shot", "screen shot", "截图", "截屏")
-UNKNOWN_MODEL, UNKNOWN_DATE = "未知型号", "未知日期_无EXIF"
+UNKNOWN_MODEL, UNKNOWN_DATE, BY_FILE_TIME = "未知型号", "未知日期_无EXIF", "_按修改时间"
+JUNK_FILES = ("filelist.txt", "thumbs.db", "desktop.ini", ".ds_store")
 MIN_FILE_BYTES, MIN_DIMENSION = 100 * 1024, 300
 ROOTS = {
     "phone": "All_1_手机照片", "camera": "All_2_相机照片", "drone": "All_3_DJI_大疆", "unknown": "All_4_未识别设备照片",

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,12 +45,17 @@ def _or_zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0))
 
 
+#: The loose layout of a date in metadata, and time stamps in file names.
+LOOSE_DATE = r"([0-9]{4})[^0-9]+([0-9]{1,2})[^0-9]+([0-9]{1,2})(?:[^0-9]+([0-9]{1,2})[^0-9]+([0-9]{1,2})(?:[^0-9]+([0-9]{1,2}))?)?"
+NAME_STAMPS = (r"(?:mmexport|wx_camera|wx)_?([0-9]{10,13})", r"(?<![0-9])([0-9]{10}|[0-9]{13})(?![0-9])")
+
+
 def exif_datetime(c: Column) -> Column:
     """the five fixed layouts, then a loose one with a year from 1970 to 2099."""
     c = F.trim(F.regexp_replace(c, r"\x00+$", ""))
     dead = (c == "") | c.startswith("0000")
     fixed = [F.try_to_timestamp(c, F.lit(p)).cast("timestamp_ntz") for p in ("y:M:d H:m:s", "y-M-d H:m:s", "y/M/d H:m:s", "y:M:d", "y-M-d")]
-    p = r"([0-9]{4})[^0-9]+([0-9]{1,2})[^0-9]+([0-9]{1,2})(?:[^0-9]+([0-9]{1,2})[^0-9]+([0-9]{1,2})(?:[^0-9]+([0-9]{1,2}))?)?"
+    p = LOOSE_DATE
     y, mo, d, h, mi, s = (_group(c, p, k) for k in range(1, 7))
     loose = F.when(y.between(1970, 2099), _stamp(y, mo, d, _or_zero(h), _or_zero(mi), _or_zero(s)))
     return F.when(~dead, F.coalesce(*fixed, loose))
@@ -94,7 +101,7 @@ def name_datetime(name: Column, now: Column | None = None) -> Column:
         for p in NAME_DATES:
             digits = F.regexp_replace(F.nullif(F.regexp_extract(stem, p, 1), F.lit("")), "[^0-9]", "")
             found.append(let(F.rpad(digits, 14, "0"), stamp))
-        for p in (r"(?:mmexport|wx_camera|wx)_?([0-9]{10,13})", r"(?<![0-9])([0-9]{10}|[0-9]{13})(?![0-9])"):
+        for p in NAME_STAMPS:
             digits = F.nullif(F.regexp_extract(stem, p, 1), F.lit(""))
             value = digits.cast("long")
             found.append(_plausible(F.when(F.length(digits) == 13, F.floor(value / 1000)).otherwise(value), now))
@@ -182,6 +189,30 @@ def gps_decimal(d: Column, m: Column, s: Column, ref: Column) -> Column:
     return F.when(F.upper(ref).isin("S", "W"), -1).otherwise(1) * (d + m / 60 + s / 3600)
 
 
+@cache
+def wide_characters() -> str:
+    """A regex class of the characters that take two places, by the rule of Unicode's East Asian
+    width."""
+    ranges: list[list[int]] = []
+    for point in range(0x80, sys.maxunicode + 1):
+        if not 0xD800 <= point < 0xE000 and unicodedata.east_asian_width(chr(point)) in "FW":
+            if ranges and ranges[-1][1] == point - 1:
+                ranges[-1][1] = point
+            else:
+                ranges.append([point, point])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def display_width(c: Column) -> Column:
+    """East Asian wide characters take two places."""
+    return F.length(c) + F.regexp_count(c, F.lit(wide_characters()))
+
+
+def padded(c: Column, width: Column) -> Column:
+    """spaces to a display width."""
+    return F.concat(c, F.repeat(F.lit(" "), F.greatest(width - display_width(c), F.lit(0)).cast("int")))
+
+
 def screenshot(name: Column) -> Column:
     """F24"""
     return any_of(F.lower(name), dims.SCREENSHOT_KEYWORDS)
@@ -306,7 +337,7 @@ def small_image(media: Column, size: Column, width: Column, height: Column) -> C
 def first_folder(path: Column, root: str) -> Column:
     """The folder under root that a path lies in; null outside.  Case is ignored."""
     inside = F.startswith(F.lower(path), F.lit(root.lower() + "/"))
-    return F.when(inside, F.lower(F.substring_index(F.substring(path, len(root) + 2, 4096), "/", 1)))
+    return F.when(inside, F.lower(F.substring_index(F.substring(path, F.lit(len(root) + 2), F.length(path)), "/", 1)))
 
 
 def classified(path: Column, root: str) -> Column:

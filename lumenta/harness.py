@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from . import dims
 from .functions import scalars as S
 from .operators import catalog as C
-from .sources import filelists
+from .operators import people
+from .operators import planning as P
+from .plans import reports
+from .sources import containers, filelists, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,10 +44,20 @@ VIEWS = {
         CAST(doc_id * 29 % 101 AS DOUBLE) / 100 AS a, CAST(doc_id * 71 % 101 AS DOUBLE) / 100 AS b, quality, toxic FROM labels""",
     "cache": """SELECT event_id AS id, user_id, event_type, '/c/' || CAST(user_id AS STRING) || '/' || CAST(event_id % 40 AS STRING) AS path,
         event_id % 7 AS size, props, CAST(event_id % 1000 AS DOUBLE) / 100 AS mtime FROM events""",
+    "recs": f"""SELECT doc_id AS ord, '/src/' || source || '/' || lang || '/' || {_NAME} AS source, CASE WHEN doc_id % 10 < 8 THEN '/out/' || lang || '/' || CAST(doc_id % 3 AS STRING) || '/' || {_NAME} ELSE '' END AS destination,
+        {_pick("doc_id", "camera", "phone", "unknown")} AS device_type, CASE WHEN doc_id % 8 IN (3, 4) THEN 'video' ELSE 'photo' END AS media_type,
+        {_pick("doc_id", "Canon", "Xiaomi", "", "Apple")} AS make, {_pick("doc_id", "EOS 700D", "Mi 11", "", "iPhone, 8", "")} AS model,
+        CASE WHEN doc_id % 6 <> 0 THEN '2024-01-0' || CAST(doc_id % 9 + 1 AS STRING) || ' 10:30:00' END AS date_taken, doc_id % 2 = 0 AS has_exif_date, n_chars * 64 AS file_size,
+        {_pick("doc_id", "ok", "ok", "ok", "dry_run", "ok", "ok", "skipped_dup", "skipped_exists", "skipped_not_target", "error")} AS status,
+        CASE WHEN doc_id % 10 = 9 THEN 'can''t read "it"' ELSE '' END AS error_msg, md5(text) AS file_hash, CASE WHEN doc_id % 10 = 6 THEN '/src/first' END AS dup_of,
+        CASE WHEN doc_id % 2 = 0 THEN '100' ELSE '' END AS iso, CASE WHEN doc_id % 3 = 0 THEN '28/10' ELSE '' END AS aperture, '1/200' AS shutter, CASE WHEN doc_id % 5 <> 0 THEN '50/1' END AS focal_length,
+        CASE WHEN doc_id % 4 = 1 THEN '镜头 50ｍｍ' ELSE '' END AS lens, CASE WHEN doc_id % 7 = 0 THEN '1.5, 2.5' END AS gps FROM documents""",
+    "clips": f"""SELECT doc_id AS id, '/dji/' || CAST(CAST(floor(doc_id / 4) AS BIGINT) % 9 AS STRING) || '/' || CASE WHEN doc_id % 4 = 3 AND doc_id % 3 = 0 THEN 'dji_' ELSE 'DJI_' END || CAST(CAST(floor(doc_id / 4) AS BIGINT) AS STRING) ||
+        {_pick("doc_id", ".MP4", ".SRT", ".lrf", ".txt")} AS path, n_chars AS size FROM documents""",
     "tree": """SELECT page_id AS id, split_part(split_part(url, '://', 2), '?', 1) AS p FROM pages""",
     "faces": """SELECT vec_id AS id, embedding, label FROM embeddings""",
 }
-_TABLES = {"files": "documents", "devices": "part", "scores": "labels", "cache": "events", "tree": "pages", "faces": "embeddings"}
+_TABLES = {"files": "documents", "recs": "documents", "clips": "documents", "devices": "part", "scores": "labels", "cache": "events", "tree": "pages", "faces": "embeddings"}
 
 
 class Views:
@@ -120,18 +133,19 @@ def dedup_dup_pairs(v):
   SELECT path FROM files f WHERE id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM i WHERE i.hash = f.hash)""", "files")
 def existing_anti_join(v):
     """J05"""
-    return v.files.filter("id % 3 <> 0").join(v.files.filter("id % 3 = 0").select("hash"), "hash", "left_anti").select("path")
+    return P.not_existing(v.files.filter("id % 3 <> 0"), v.files.filter("id % 3 = 0")).select("path")
 
 
-@query("""SELECT path, status, coalesce(dup_of, '') AS dup_of FROM (SELECT path, 'ok' AS status, NULL AS dup_of FROM (
-  SELECT path, row_number() OVER (PARTITION BY hash, explicit ORDER BY ord) AS n, explicit, EXISTS (SELECT 1 FROM x WHERE x.hash = t.hash) AS known
-  FROM (SELECT *, id % 5 = 0 AS explicit FROM files) t) WHERE n = 1 AND (explicit OR NOT known))"""
-  .replace("SELECT path, status", "WITH x AS (SELECT DISTINCT hash FROM files WHERE id % 7 = 0) SELECT path, status", 1), "files")
+@query("""WITH x AS (SELECT hash, min(path) FILTER (WHERE id % 14 = 0) AS p, min(path) FILTER (WHERE id % 14 <> 0) AS q FROM files WHERE id % 7 = 0 GROUP BY hash),
+  t AS (SELECT *, id % 5 = 0 AS explicit FROM files),
+  r AS (SELECT t.path, row_number() OVER w AS n, first_value(t.path) OVER w AS f, CASE WHEN explicit THEN x.p ELSE x.q END AS known
+    FROM t LEFT JOIN x USING (hash) WINDOW w AS (PARTITION BY hash, explicit ORDER BY ord))
+  SELECT path, CASE WHEN o IS NULL THEN 'ok' ELSE 'skipped_dup' END AS status, coalesce(o, '') AS dup_of
+  FROM (SELECT path, coalesce(CASE WHEN known <> path THEN known END, CASE WHEN n > 1 THEN f END) AS o FROM r)""", "files")
 def explicit_override_dedup(v):
     """A known hash outside the special folder does not stop an explicit file."""
-    index = v.files.filter("id % 7 = 0").select("hash").distinct().withColumn("known", F.lit(True))
-    t = C.ranked(v.files.withColumn("explicit", F.col("id") % 5 == 0), ["hash", "explicit"], [F.col("ord")], "n").join(index, "hash", "left")
-    return t.filter((F.col("n") == 1) & (F.col("explicit") | F.col("known").isNull())).select("path", F.lit("ok").alias("status"), F.lit("").alias("dup_of"))
+    index = v.files.filter("id % 7 = 0").select("hash", F.col("path").alias("existing"), (F.col("id") % 14 == 0).alias("special"))
+    return C.deduplicate(v.files, index, special=F.col("id") % 5 == 0).select("path", "status", F.coalesce("dup_of", F.lit("")).alias("dup_of"))
 
 
 @query("SELECT hash, coalesce(min(path) FILTER (WHERE contains(path, 'src1')), min(path)) AS path, count(*) AS copies FROM files GROUP BY hash", "files")
@@ -140,18 +154,17 @@ def best_representative(v):
     return C.best_representative(v.files, album="src1")
 
 
-@query("SELECT a.path, b.path AS reuse FROM (SELECT path, hash, row_number() OVER (PARTITION BY hash ORDER BY ord) AS n FROM files WHERE id % 2 = 0) a JOIN (SELECT hash, min(path) AS path FROM files WHERE id % 2 = 1 GROUP BY hash) b USING (hash) WHERE n = 1", "files")
+@query("SELECT a.path, b.path AS reuse FROM (SELECT path, hash, row_number() OVER (PARTITION BY hash ORDER BY ord) AS n FROM files) a JOIN (SELECT hash, min(path) AS path FROM files WHERE id % 2 = 1 GROUP BY hash) b USING (hash) WHERE n = 1", "files")
 def reuse_lookup(v):
     """An entry is used once, by the first file of its hash."""
-    index = C.best_representative(v.files.filter("id % 2 = 1")).select("hash", F.col("path").alias("reuse"))
-    return C.ranked(v.files.filter("id % 2 = 0"), ["hash"], [F.col("ord")]).filter("rn = 1").join(index, "hash").select("path", "reuse")
+    return P.reused(v.files, v.files.filter("id % 2 = 1"))
 
 
 @query("SELECT count(*) AS files, (sum(size) - sum(size) FILTER (WHERE n = 1))::BIGINT AS freed_bytes FROM (SELECT size, row_number() OVER (PARTITION BY hash ORDER BY ord) AS n FROM files)", "files")
 def freed_bytes(v):
-    """G11"""
-    t = C.ranked(v.files, ["hash"], [F.col("ord")])
-    return t.agg(F.count(F.lit(1)).alias("files"), F.sum(F.when(F.col("rn") > 1, F.col("size")).otherwise(0)).alias("freed_bytes"))
+    """Duplicates go, so what is left is one file of each hash."""
+    t = C.deduplicate(v.files)
+    return t.agg(F.count(F.lit(1)).alias("files"), F.sum(F.when(F.col("status") == "skipped_dup", F.col("size")).otherwise(0)).alias("freed_bytes"))
 
 
 # ----------------------------------------------------------------- cache joins
@@ -159,13 +172,13 @@ def freed_bytes(v):
 _CACHE_HIT = "f.size = c.size AND abs(f.mtime - c.mtime) < 0.01 AND f.mtime > 0 AND c.mtime > 0"
 
 
-@query(f"WITH f AS (SELECT * FROM cache WHERE id % 2 = 0), c AS (SELECT path, max(size) AS size, max(mtime) AS mtime FROM cache WHERE id % 2 = 1 OR id % 6 = 0 GROUP BY path) SELECT f.id, c.path IS NOT NULL AND {_CACHE_HIT} IS TRUE AS hit FROM f LEFT JOIN c ON f.path = c.path", "cache")
+@query(f"WITH c AS (SELECT path, max(size) AS size, max(mtime) AS mtime FROM cache WHERE id % 2 = 1 OR id % 6 = 0 GROUP BY path) SELECT f.id, c.path IS NOT NULL AND {_CACHE_HIT} IS TRUE AS hit FROM cache f LEFT JOIN c ON f.path = c.path", "cache")
 def incremental_cache_hits(v):
     """J01 F39"""
     c = v.cache.filter("id % 2 = 1 or id % 6 = 0").groupBy("path").agg(F.max("size").alias("c_size"), F.max("mtime").alias("c_mtime"))
     zero = F.lit(0.0)
     hit = (F.col("size") == F.col("c_size")) & S.same_time(F.col("mtime"), zero, F.col("c_mtime"), zero)
-    return v.cache.filter("id % 2 = 0").join(c, "path", "left").select("id", F.coalesce(hit, F.lit(False)).alias("hit"))
+    return v.cache.join(c, "path", "left").select("id", F.coalesce(hit, F.lit(False)).alias("hit"))
 
 
 @query("WITH n AS (SELECT path, max(id) AS value FROM cache WHERE id % 2 = 0 GROUP BY path), o AS (SELECT path, max(id) AS value FROM cache WHERE id % 3 = 0 GROUP BY path) SELECT path, coalesce(n.value, o.value) AS value FROM n FULL JOIN o USING (path)", "cache")
@@ -184,15 +197,16 @@ def score_cache_left_join(v):
 @query("SELECT id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM cache WHERE json_extract(props, '$.k') IS NOT NULL", "cache")
 def json_cache_explode(v):
     """A18"""
-    entries = F.from_json("props", "map<string, bigint>")
-    return v.cache.select("id", F.explode(entries).alias("key", "k")).filter("key = 'k' and k is not null").select("id", "k")
+    return v.cache.select("id", F.explode(records.cache_entries(F.col("props"), "bigint")).alias("key", "k")).filter("key = 'k' and k is not null").select("id", "k")
 
 
-@query("SELECT id, id AS back, event_type FROM cache", "cache")
+@query(r"""SELECT id, id * 3 AS size, CAST(id AS DOUBLE) / 8 AS mtime, CASE WHEN id % 5 <> 0 THEN 'a"b \' || event_type || ' 相' END AS make, [event_type, ''] AS words FROM cache""", "cache")
 def cache_roundtrip(v):
-    """F40 K10"""
-    text = F.to_json(F.struct("id", "event_type"))
-    return v.cache.select("id", F.from_json(text, "id bigint, event_type string").alias("j")).select("id", F.col("j.id").alias("back"), "j.event_type")
+    """Quotes, backslashes, other scripts, nulls and lists survive."""
+    make = F.when(F.col("id") % 5 != 0, F.concat(F.lit('a"b \\'), "event_type", F.lit(" 相")))
+    entry = F.struct((F.col("id") * 3).alias("size"), (F.col("id").cast("double") / 8).alias("mtime"), make.alias("make"), F.array("event_type", F.lit("")).alias("words"))
+    text = F.to_json(F.struct(entry.alias("entry")))
+    return v.cache.select("id", F.from_json(text, "entry struct<size: bigint, mtime: double, make: string, words: array<string>>").alias("j")).select("id", "j.entry.*")
 
 
 @query("SELECT id, coarse FROM scores WHERE coarse <> 1.0", "scores")
@@ -204,23 +218,22 @@ def cache_clean(v):
 # ------------------------------------------------------- cleanup and restoring
 
 
-@query("SELECT path, hash, size FROM files f WHERE id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM files g WHERE g.id % 8 = 0 AND g.path = f.path)", "files")
+@query("SELECT path, hash, size FROM files f WHERE NOT EXISTS (SELECT 1 FROM files g WHERE g.id % 8 = 0 AND g.path = f.path)", "files")
 def restore_missing(v):
     """J11"""
-    return v.files.filter("id % 4 = 0").join(v.files.filter("id % 8 = 0").select("path"), "path", "left_anti").select("path", "hash", "size")
+    return P.missing(v.files, v.files.filter("id % 8 = 0")).select("path", "hash", "size")
 
 
-@query("WITH m AS (SELECT path, hash, size FROM files WHERE id % 4 = 0), o AS (SELECT hash, min(path) AS found FROM files WHERE id % 4 <> 0 AND size IN (SELECT size FROM m) GROUP BY hash) SELECT path, found FROM m LEFT JOIN o USING (hash)", "files")
+@query("WITH o AS (SELECT hash, min(path) AS found FROM files WHERE id % 4 <> 0 GROUP BY hash) SELECT path, found FROM files LEFT JOIN o USING (hash)", "files")
 def restore_match(v):
     """J12"""
-    return C.restore_matches(v.files.filter("id % 4 = 0").select("path", "hash", "size"), v.files.filter("id % 4 <> 0")).select("path", "found")
+    return C.restore_matches(v.files.select("path", "hash", "size"), v.files.filter("id % 4 <> 0")).select("path", "found")
 
 
-@query("WITH t AS (SELECT hash, min(path) AS target FROM files WHERE id % 5 = 0 GROUP BY hash) SELECT path, target, CASE WHEN target IS NULL THEN 'unique' ELSE 'matched' END AS kind FROM files LEFT JOIN t USING (hash) WHERE id % 5 <> 0", "files")
+@query("WITH t AS (SELECT hash, min(path) AS target FROM files WHERE id % 5 = 0 GROUP BY hash) SELECT path, target, CASE WHEN target IS NULL THEN 'unique' ELSE 'matched' END AS kind FROM files LEFT JOIN t USING (hash)", "files")
 def cleanup_hash_match(v):
     """J09"""
-    t = v.files.filter("id % 5 = 0").groupBy("hash").agg(F.min("path").alias("target"))
-    return v.files.filter("id % 5 <> 0").join(t, "hash", "left").select("path", "target", F.when(F.col("target").isNull(), "unique").otherwise("matched").alias("kind"))
+    return P.cleanup_matches(v.files, v.files.filter("id % 5 = 0")).select("path", "target", "kind")
 
 
 _PAIRS = "p AS (SELECT a.path AS source, b.path AS dest FROM files a JOIN (SELECT id - 1 AS id, path || CASE WHEN id % 9 = 0 THEN 'x' ELSE '' END AS path FROM files) b USING (id))"
@@ -242,29 +255,25 @@ def cleanup_stats(v):
     return j.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.count("m").alias("matched"), F.sum(F.when(F.col("m") == 1, F.col("size")).otherwise(0)).alias("matched_bytes"))
 
 
-@query("WITH m AS (SELECT path, hash, size FROM files WHERE id % 4 = 0), o AS (SELECT hash, min(path) AS found FROM files WHERE id % 4 <> 0 GROUP BY hash) SELECT count(*) AS missing, count(found) AS restorable, sum(CASE WHEN found IS NOT NULL THEN size ELSE 0 END)::BIGINT AS bytes FROM m LEFT JOIN o USING (hash)", "files")
+@query("WITH o AS (SELECT hash, min(path) AS found FROM files WHERE id % 4 <> 0 GROUP BY hash) SELECT count(*) AS missing, count(found) AS restorable, sum(CASE WHEN found IS NOT NULL THEN size ELSE 0 END)::BIGINT AS bytes FROM files LEFT JOIN o USING (hash)", "files")
 def restore_stats(v):
     """G13"""
-    m = C.restore_matches(v.files.filter("id % 4 = 0").select("path", "hash", "size"), v.files.filter("id % 4 <> 0"))
+    m = C.restore_matches(v.files.select("path", "hash", "size"), v.files.filter("id % 4 <> 0"))
     return m.agg(F.count(F.lit(1)).alias("missing"), F.count("found").alias("restorable"), F.sum(F.when(F.col("found").isNotNull(), F.col("size")).otherwise(0)).alias("bytes"))
 
 
 @query("SELECT coalesce(path, '[hash=' || s.id || ', path not found]') AS path, coarse, row_number() OVER (ORDER BY coarse DESC, s.id) AS rank FROM scores s LEFT JOIN (SELECT * FROM files WHERE id % 3 <> 0) f ON s.id = f.id", "files", "scores")
 def score_paths(v):
-    """J13"""
-    lost = F.concat(F.lit("[hash="), F.col("id").cast("string"), F.lit(", path not found]"))
-    t = v.scores.join(v.files.filter("id % 3 <> 0").select("id", "path"), "id", "left")
-    # a report in one order: the rank is the feature
-    return t.select(F.coalesce("path", lost).alias("path"), "coarse", F.row_number().over(Window.orderBy(F.desc("coarse"), "id")).cast("long").alias("rank"))
+    """A report in one order, numbered without a task that holds all."""
+    t = P.score_paths(v.scores.select(F.col("id").alias("hash"), F.struct("coarse", "id").alias("score")), v.files.filter("id % 3 <> 0").select(F.col("id").alias("hash"), "path"))
+    return C.numbered(t.select("path", "score.coarse", "score.id"), [-F.col("coarse"), F.col("id")], "rank").select("path", "coarse", "rank")
 
 
-@query("WITH w AS (SELECT id, path, lower(name) AS n FROM files WHERE id % 3 = 0), k AS (SELECT path, lower(name) AS n, id FROM files WHERE id % 2 = 0), b AS (SELECT n, max_by(path, id) AS path FROM k GROUP BY n) SELECT w.id, coalesce(k.path, b.path) AS found FROM w LEFT JOIN k ON w.path = k.path LEFT JOIN b ON w.n = b.n", "files")
+@query("WITH k AS (SELECT path, lower(name) AS n, id FROM files WHERE id % 2 = 0), b AS (SELECT n, max_by(path, id) AS path FROM k GROUP BY n) SELECT w.id, coalesce(k.path, b.path) AS found FROM (SELECT id, CASE WHEN id % 3 = 0 THEN '/else/' || upper(name) ELSE path END AS path, lower(name) AS n FROM files) w LEFT JOIN k ON w.path = k.path LEFT JOIN b ON w.n = b.n", "files")
 def fuzzy_name_match(v):
-    """J14"""
-    k = v.files.filter("id % 2 = 0").select("path", F.lower("name").alias("n"), "id")
-    by_path, by_name = k.select("path", F.col("path").alias("same")), k.groupBy("n").agg(F.max_by("path", "id").alias("like"))
-    w = v.files.filter("id % 3 = 0").select("id", "path", F.lower("name").alias("n"))
-    return w.join(by_path, "path", "left").join(by_name, "n", "left").select("id", F.coalesce("same", "like").alias("found"))
+    """A third of the files is looked for in another folder and case."""
+    moved = F.when(F.col("id") % 3 == 0, F.concat(F.lit("/else/"), F.upper("name"))).otherwise(F.col("path"))
+    return P.similar_names(v.files.select("id", moved.alias("path")), v.files.filter("id % 2 = 0").select("path", "id")).select("id", "found")
 
 
 # --------------------------------------------------------------- classification
@@ -425,10 +434,10 @@ def report_filter(v):
     return out.select("id")
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (WHERE media_type = 'video') AS videos, count(*) FILTER (WHERE make = '') AS no_device FROM devices", "devices")
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE media_type = 'photo') AS photos, count(*) FILTER (WHERE media_type = 'video') AS videos, count(*) FILTER (WHERE status IN ('ok', 'dry_run')) AS copied, count(*) FILTER (WHERE status IN ('skipped_dup', 'skipped_exists')) AS duplicates, count(*) FILTER (WHERE status = 'error') AS errors, count(*) FILTER (WHERE status IN ('ok', 'dry_run') AND starts_with(destination, '/out/en/')) AS explicit, count(*) FILTER (WHERE status IN ('ok', 'dry_run') AND starts_with(destination, '/out/de/')) AS documents FROM recs", "recs")
 def run_counts(v):
     """G01 G07"""
-    return v.devices.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("media_type") == "video").alias("videos"), F.count_if(F.col("make") == "").alias("no_device"))
+    return reports.run_summary(v.recs, "/OUT/en", "/out/de").select("total", "photos", "videos", "copied", "duplicates", "errors", "explicit", "documents")
 
 
 # ---------------------------------------------------------------------- scalars
@@ -456,47 +465,57 @@ def iso_dates(v):
     return v.orders.select(F.col("o_orderkey").alias("id"), S.iso_datetime(text).alias("parsed"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 3 THEN date_trunc('day', o_orderdate)::TIMESTAMP WHEN o_orderkey % 4 = 2 THEN o_orderdate + INTERVAL 600000000 SECOND ELSE o_orderdate END AS parsed FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 3 THEN date_trunc('day', o_orderdate)::TIMESTAMP WHEN o_orderkey % 5 IN (2, 4) THEN o_orderdate + INTERVAL 600000000 SECOND ELSE o_orderdate END AS parsed FROM orders")
 def filename_dates(v):
     """F03-F06"""
-    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
     seconds = (F.unix_timestamp(d.cast("timestamp")) + 600_000_000).cast("string")
     name = (
         F.when(k == 0, F.concat(F.lit("IMG_"), F.date_format(d, "yyyyMMdd_HHmmss"), F.lit(".jpg")))
         .when(k == 1, F.concat(F.date_format(d, "yyyy-MM-dd HH.mm.ss"), F.lit(".png")))
         .when(k == 2, F.concat(F.lit("mmexport"), seconds, F.lit("000.jpg")))
+        .when(k == 4, F.concat(seconds, F.lit(".jpg")))
         .otherwise(F.concat(F.lit("DSC_"), F.date_format(d, "yyyyMMdd"), F.lit(".jpg")))
     )
     return v.orders.select(F.col("o_orderkey").alias("id"), S.name_datetime(name, F.lit("2026-01-01").cast("timestamp")).alias("parsed"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate WHEN o_orderdate <= TIMESTAMP '2000-01-02' THEN o_orderdate END AS taken FROM orders")
+@query("""SELECT o_orderkey AS id, CASE WHEN k = 0 THEN o_orderdate WHEN o_orderdate <= TIMESTAMP '2000-01-02' AND k <> 3 THEN o_orderdate WHEN k >= 2 AND year(o_orderdate) <= 2000 THEN date_trunc('day', o_orderdate)::TIMESTAMP END AS taken
+  FROM (SELECT *, o_orderkey % 4 AS k FROM orders)""")
 def effective_date(v):
-    """F07 F08"""
-    d = F.col("o_orderdate")
-    return v.orders.select(F.col("o_orderkey").alias("id"), S.effective_date(d, F.col("o_orderkey") % 3 == 0, d, F.lit("x.jpg"), F.lit("2000-01-01").cast("timestamp_ntz")).alias("taken"))
+    """Metadata, a plausible file time, the name's date if its year is, none."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    name = F.when(k >= 2, F.concat(F.lit("DSC_"), F.date_format(d, "yyyyMMdd"), F.lit(".jpg"))).otherwise("x.jpg")
+    mtime = F.when(k != 3, d).otherwise(F.lit("1975-01-01").cast("timestamp_ntz"))
+    return v.orders.select(F.col("o_orderkey").alias("id"), S.effective_date(d, k == 0, mtime, name, F.lit("2000-01-01").cast("timestamp_ntz")).alias("taken"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = 1 THEN '1' ELSE '1/' || l_quantity::BIGINT END AS shown FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN k = 0 THEN CASE WHEN q = 1 THEN '1' ELSE '1/' || q END WHEN k = 1 THEN CASE WHEN q = 1 THEN '1/2' WHEN q % 2 = 0 THEN (q // 2)::VARCHAR ELSE (q // 2) || '.5' END WHEN k = 2 THEN q || '/0' ELSE 'f' || q END AS shown
+  FROM (SELECT *, l_orderkey % 4 AS k, l_quantity::BIGINT AS q FROM lineitem)""")
 def fraction_format(v):
-    """F16"""
-    text = F.concat(F.lit("1/"), F.col("l_quantity").cast("long").cast("string"))
+    """F16: parts of a second, halves, a division by zero and no fraction at all."""
+    q, k = F.col("l_quantity").cast("long").cast("string"), F.col("l_orderkey") % 4
+    text = F.when(k == 0, F.concat(F.lit("1/"), q)).when(k == 1, F.concat(q, F.lit("/2"))).when(k == 2, F.concat(q, F.lit("/0"))).otherwise(F.concat(F.lit("f"), q))
     return v.lineitem.select("l_orderkey", "l_linenumber", S.fraction(text).alias("shown"))
 
 
-_SIZE = "CASE WHEN s < 1024 THEN s || '{b}' WHEN s < 1048576 THEN printf('%.1f{g}KB', s / 1024) ELSE printf('%.1f{g}MB', s / 1048576) END"
+def _size(s: str, gap: str = "") -> str:
+    steps = [f"WHEN {s} < {1024 ** (k + 1)} THEN printf('%.1f{gap}{u}', {s}::DOUBLE / {1024**k})" for k, u in enumerate(("KB", "MB", "GB"), 1)]
+    return f"(CASE WHEN {s} < 1024 THEN {s} || '{'.0 ' if gap else ''}B' {' '.join(steps)} ELSE printf('%.1f{gap}TB', {s}::DOUBLE / {1024**4}) END)"
 
 
-@query(f"SELECT id, {_SIZE.format(b='B', g='')} AS shown FROM (SELECT id, id % 1000 * 1024 AS s FROM files)", "files")
+@query(f"SELECT id, {_size('s')} AS shown FROM (SELECT id, id % 1000 * 1024 * CASE id % 4 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 WHEN 3 THEN 2147483648 ELSE 1 END AS s FROM files)", "files")
 def human_size(v):
-    """F17"""
-    return v.files.select("id", S.human_size(F.col("id") % 1000 * 1024).alias("shown"))
+    """F17, from bytes to terabytes"""
+    k = F.col("id") % 4
+    scale = F.when(k == 1, F.lit(1024)).when(k == 2, F.lit(1048576)).when(k == 3, F.lit(2147483648)).otherwise(F.lit(1))
+    return v.files.select("id", S.human_size(F.col("id") % 1000 * 1024 * scale).alias("shown"))
 
 
-@query(f"SELECT id, {_SIZE.format(b='.0 B', g=' ')} AS shown FROM (SELECT id, id % 1000 * 512 AS s FROM files)", "files")
+@query(f"SELECT id, {_size('s', ' ')} AS shown FROM (SELECT id, id % 1000 * 512 * CASE WHEN id % 2 = 0 THEN 1 ELSE 524288 END AS s FROM files)", "files")
 def report_size(v):
     """F18"""
-    return v.files.select("id", S.human_size(F.col("id") % 1000 * 512, spaced=True).alias("shown"))
+    return v.files.select("id", S.human_size(F.col("id") % 1000 * 512 * F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.lit(524288)), spaced=True).alias("shown"))
 
 
 @query("SELECT p_partkey AS id, trim('ISO' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ' f/' || p_size ELSE '' END || CASE WHEN p_size = 1 THEN ' 1s' ELSE ' 1/' || p_size || 's' END) AS shown FROM part")
@@ -589,9 +608,11 @@ def fuse_scores(v):
 
 @query("SELECT id, CASE WHEN coarse >= 0.3 THEN fine ELSE 0 END AS score FROM scores", "scores")
 def cascade_scores(v):
-    """The second scorer sees only what the first one suspects."""
-    suspects = v.scores.filter("coarse >= 0.3").select("id", F.col("fine").alias("score"))
-    return v.scores.select("id").join(suspects, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    """The second scorer sees only what the first one suspects.  The scorers read
+    their number from the text that stands for a picture."""
+    pictures = v.scores.select("id", F.concat_ws(",", "coarse", "fine").alias("picture"))
+    first, second = (lambda k: lambda: lambda texts: texts.str.split(",").str[k].astype(float))(0), (lambda k: lambda: lambda texts: texts.str.split(",").str[k].astype(float))(1)
+    return people.cascade(pictures, "picture", first, second).select("id", "score")
 
 
 @query("SELECT id, greatest(CASE WHEN a >= 0.5 THEN a ELSE 0 END, CASE WHEN b >= 0.5 THEN b ELSE 0 END) AS score FROM scores", "scores")
@@ -689,32 +710,32 @@ def label_lookup(v):
 @query("SELECT id, (a >= 0.45)::INT + (b >= 0.45)::INT AS loose, (a >= 0.6)::INT + (b >= 0.6)::INT AS strict FROM scores", "scores")
 def two_tier_parts(v):
     """L13"""
-    parts = F.array("a", "b")
-    return v.scores.select("id", F.size(F.filter(parts, lambda x: x >= 0.45)).alias("loose"), F.size(F.filter(parts, lambda x: x >= 0.6)).alias("strict"))
+    parts = F.array(*[F.struct(F.lit(c).alias("class"), F.col(c).alias("score")) for c in ("a", "b")])
+    return v.scores.select("id", F.size(P.class_parts(parts, 0.45)).alias("loose"), F.size(P.class_parts(parts, 0.6)).alias("strict"))
 
 
-@query("SELECT id, a AS first, b AS second FROM scores", "scores")
+@query("SELECT id, a AS first, b AS second, CAST(NULL AS DOUBLE) AS other, a + b AS total FROM scores", "scores")
 def detail_map(v):
     """L06"""
-    m = F.map_from_arrays(F.array(F.lit("x"), F.lit("y")), F.array("a", "b"))
-    return v.scores.select("id", F.element_at(m, "x").alias("first"), F.element_at(m, "y").alias("second"))
+    m = P.detail(("x", "y"), F.array("a", "b"))
+    return v.scores.select("id", F.element_at(m, "x").alias("first"), F.element_at(m, "y").alias("second"), F.try_element_at(m, F.lit("z")).alias("other"), F.aggregate(F.map_values(m), F.lit(0.0), lambda x, y: x + y).alias("total"))
 
 
-@query("SELECT id, printf('%.2f', coarse) AS score, '/p ' || id || ' | x' AS path FROM scores", "scores")
+@query("SELECT id, round(coarse, 2) AS score, '/p ' || id || ' | x' AS path FROM scores WHERE id % 9 <> 0", "scores")
 def score_list_parse(v):
-    """A19"""
-    line = F.format_string("%.2f | /p %d | x", "coarse", "id")
-    parts = F.split(line, r" \| ", 2)
-    return v.scores.select("id", F.get(parts, F.lit(0)).alias("score"), F.get(parts, F.lit(1)).alias("path"))
+    """What K14 writes is read back; comments and blank lines are no rows."""
+    line = F.when(F.col("id") % 18 == 0, F.concat(F.lit("# "), F.col("id").cast("string"))).when(F.col("id") % 9 == 0, "").otherwise(F.format_string("%.2f | /p %d | x", "coarse", "id"))
+    return v.scores.select("id", records.score_line(line).alias("p")).filter("p is not null").select("id", "p.score", "p.path")
 
 
-@query("SELECT id, coarse, greatest(a, b) AS top, '/x/' || id AS path FROM scores", "scores")
+@query("SELECT id, round(coarse, 4) AS coarse, CASE WHEN id % 4 <> 0 THEN greatest(round(a, 2), round(b, 2)) END AS top, '/x/' || id || ' y.jpg' AS path, CASE WHEN id % 4 = 0 THEN 0 ELSE 2 END AS parts FROM scores", "scores")
 def detection_parse(v):
-    """A20"""
-    line = F.format_string("[ NSFW] falcon=%.4f nudenet_parts=[AA:%.2f, BB:%.2f] /x/%d", "coarse", "a", "b", "id")
-    parts = F.split(F.regexp_extract(line, r"nudenet_parts=\[([^\]]*)\]", 1), ", ")
-    top = F.array_max(F.transform(parts, lambda p: F.element_at(F.split(p, ":"), -1).cast("double")))
-    return v.scores.select("id", F.regexp_extract(line, r"falcon=([0-9.]+)", 1).cast("double").alias("coarse"), top.alias("top"), F.regexp_extract(line, r"\] (\S+)$", 1).alias("path"))
+    """What K14 writes is read back, with parts and without."""
+    part = F.array(*[F.struct(F.lit(c).alias("class"), F.col(x).alias("score")) for c, x in (("AA", "a"), ("BB", "b"))])
+    lines = reports.detection_lines(v.scores.select("coarse", F.when(F.col("id") % 4 != 0, part).otherwise(F.array().cast("array<struct<class:string,score:double>>")).alias("parts"), F.format_string("/x/%d y.jpg", "id").alias("path")))
+    t = lines.select(records.detection_line(F.col("line")).alias("d")).select("d.*")
+    found = F.array_max(F.transform("parts", lambda p: p["score"]))
+    return t.select(F.regexp_extract("path", "/x/([0-9]+)", 1).cast("long").alias("id"), "coarse", found.alias("top"), "path", F.size("parts").alias("parts"))
 
 
 # ------------------------------------------------------------- eligibility, routes
@@ -722,31 +743,34 @@ def detection_parse(v):
 _RAW = _list(dims.RAW_EXTENSIONS)
 
 
-@query(f"SELECT id FROM files WHERE media <> 'companion' AND {_EXT} NOT IN {_RAW}", "files")
+@query(f"SELECT id FROM files WHERE media <> 'companion' AND {_EXT} NOT IN {_RAW} AND id % 6 <> 5", "files")
 def eligible_explicit(v):
     """P09 F25"""
-    return v.files.filter(S.media_type(F.col("name")).isNotNull() & ~S.raw_image(F.col("name"))).select("id")
+    return v.files.filter(P.explicit_eligible(F.col("name"), F.col("id") % 6 != 5)).select("id")
 
 
-@query(f"SELECT id FROM files WHERE media = 'photo' AND {_EXT} NOT IN {_RAW} AND NOT contains(lower(name), 'screenshot') AND NOT starts_with(name, 'DJI')", "files")
+@query(f"SELECT id FROM files WHERE media = 'photo' AND {_EXT} NOT IN {_RAW} AND NOT contains(lower(name), 'screenshot') AND NOT starts_with(name, 'DJI') AND id % 7 <> 0 AND id % 6 <> 5", "files")
 def eligible_document(v):
     """P10"""
-    name = F.col("name")
-    return v.files.filter((S.media_type(name) == "photo") & ~S.raw_image(name) & ~S.screenshot(name) & ~name.startswith("DJI")).select("id")
+    device = F.when(F.col("id") % 7 == 0, "camera").otherwise("phone")
+    return v.files.filter(P.document_eligible(F.col("name"), F.col("id") % 6 != 5, F.startswith("name", F.lit("DJI")), device)).select("id")
 
 
-@query("SELECT hash, max_by(path, ord) AS path FROM files WHERE media = 'photo' AND size >= 10000 GROUP BY hash", "files")
+@query("SELECT file_hash AS hash, max_by(destination, ord) AS path FROM recs WHERE status IN ('ok', 'dry_run') AND destination <> '' AND NOT starts_with(lower(destination), '/out/en/1/') AND regexp_matches(lower(destination), '\\.(jpg|png)$') GROUP BY ALL", "recs")
 def eligible_face(v):
-    """The last record of a hash counts."""
-    return v.files.filter((F.col("media") == "photo") & (F.col("size") >= 10_000)).groupBy("hash").agg(F.max_by("path", "ord").alias("path"))
+    """The last record of a hash counts."""
+    return people.eligible_files(v.recs, "/out/EN/1")
 
 
-@query("SELECT id, embedding[1] >= 0 AND id % 90 >= 40 AS good FROM faces", "faces")
+@query("""SELECT id AS hash, f AS face FROM (SELECT id, unnest([0, 1]) AS f FROM faces) WHERE CASE WHEN f = 0 THEN id % 90 >= 40 AND id % 70 >= 40 AND CAST(id % 100 AS DOUBLE) / 100 >= 0.5 ELSE id % 11 <> 0 END""", "faces")
 def face_quality(v):
-    """P12"""
-    face = F.struct((F.col("id") % 90).alias("w"), F.get("embedding", F.lit(0)).alias("s"))
-    kept = F.filter(F.array(face), lambda f: (f["w"] >= 40) & (f["s"] >= 0))
-    return v.faces.select("id", (F.size(kept) > 0).alias("good"))
+    """Of two faces of a file, the sure and large ones that have a vector."""
+    def face(wide, high, score, vector):
+        return F.struct(F.array(F.lit(5), F.lit(7), (wide + 5).cast("int"), (high + 7).cast("int")).alias("bbox"), vector.alias("embedding"), score.alias("score"))
+
+    i, text = F.col("id"), F.lit("AAAA")
+    faces = F.array(face(i % 90, i % 70, (i % 100).cast("double") / 100, text), face(F.lit(40), F.lit(40), F.lit(0.5).cast("double"), F.when(i % 11 != 0, text)))
+    return people.good_faces(v.faces.select(i.alias("hash"), faces.alias("faces"))).select("hash", "face")
 
 
 @query("SELECT id, id % 5 IN (0, 1, 3, 4) AS classified, id % 5 = 3 OR id % 5 = 4 AS frozen, id % 5 <> 2 AS protected FROM devices", "devices")
@@ -757,22 +781,34 @@ def already_classified(v):
     return v.devices.select("id", S.classified(path, "/out").alias("classified"), S.frozen(path, "/out").alias("frozen"), (~path.startswith("/Out/misc")).alias("protected"))
 
 
-@query(f"SELECT id, CASE WHEN {_DEVICE_TYPE} = 'unknown' AND id % 4 = 0 THEN 'stay' ELSE 'move' END AS action FROM devices", "devices")
+@query(f"""SELECT path, CASE WHEN id % 3 = 0 THEN path WHEN id % 3 = 1 AND id % 4 <> 0 THEN path ELSE '/out/{dims.ROOTS["unknown"]}/{dims.UNKNOWN_DATE}/' || id || '.jpg' END AS destination, id % 3 = 0 OR id % 3 = 1 AND id % 4 <> 0 AS in_place
+  FROM (SELECT id, CASE id % 3 WHEN 0 THEN '/OUT/All_999_x/' WHEN 1 THEN CASE WHEN id % 4 = 0 THEN '/out/All_6_x/' ELSE '/out/all_1_x/' END ELSE '/in/' END || id || '.jpg' AS path FROM devices)""", "devices")
 def no_downgrade(v):
-    """P08"""
-    t = S.device_type(F.col("make"), F.col("model"))
-    return v.devices.select("id", F.when((t == "unknown") & (F.col("id") % 4 == 0), "stay").otherwise("move").alias("action"))
+    """Frozen files stay, and so do those of a device folder that would go to the unknown ones."""
+    i = F.col("id")
+    folder = F.when(i % 3 == 0, "/OUT/All_999_x/").when(i % 3 == 1, F.when(i % 4 == 0, "/out/All_6_x/").otherwise("/out/all_1_x/")).otherwise("/in/")
+    none = F.lit(None)
+    t = v.devices.select(
+        F.concat(folder, i.cast("string"), F.lit(".jpg")).alias("path"), F.lit("unknown").alias("device_type"), F.lit(False).alias("target"), F.lit("x").alias("label"), none.cast("timestamp").alias("date"),
+        F.lit(False).alias("has_exif"), F.lit(False).alias("drone"), none.cast("double").alias("explicit_score"), none.cast("double").alias("document_score"),
+    )
+    return P.routed(t, "/out").select("path", "destination", "in_place")
 
 
-@query(f"""SELECT f.id, CASE WHEN coarse >= 0.5 THEN '{dims.ROOTS["explicit"]}/' ELSE '' END ||
-  CASE WHEN starts_with(name, 'DJI') THEN '{dims.ROOTS["drone"]}' WHEN a >= 0.5 THEN '{dims.ROOTS["document"]}' WHEN contains(lower(name), 'screenshot') THEN '{dims.ROOTS["document"]}/{dims.ROOTS["screenshot"]}' ELSE '{dims.ROOTS["unknown"]}' END || '/' || name AS dest
-  FROM files f JOIN scores USING (id)""", "files", "scores")
+@query(f"""WITH t AS (SELECT f.id, name, path, coarse, a, s.id % 3 AS k, make_timestamp(mtime_s * 1000000) AS d, f.id % 2 = 0 AS exif FROM files f JOIN scores s USING (id)),
+  p AS (SELECT *, year(d) || '-' || {_QUARTER} AS folder, contains(lower(name), 'screenshot') AS shot, starts_with(name, 'DJI') AS drone FROM t),
+  b AS (SELECT *, CASE WHEN shot THEN '{dims.ROOTS["document"]}/{dims.ROOTS["screenshot"]}/' || CASE WHEN k < 2 THEN 'label/' ELSE '' END || folder
+    ELSE CASE k WHEN 0 THEN '{dims.ROOTS["camera"]}/label/' WHEN 1 THEN '{dims.ROOTS["phone"]}/label/' ELSE '{dims.ROOTS["unknown"]}/' END || folder || CASE WHEN k = 2 AND NOT exif THEN '{dims.BY_FILE_TIME}' ELSE '' END END || '/' || name AS base FROM p),
+  c AS (SELECT *, CASE WHEN drone THEN '{dims.ROOTS["drone"]}/label/' || folder || '/' || name WHEN NOT shot AND k <> 0 AND a >= 0.5 THEN '{dims.ROOTS["document"]}/' || base ELSE base END AS base2 FROM b)
+  SELECT id, '/out/' || CASE WHEN coarse >= 0.5 THEN '{dims.ROOTS["explicit"]}/' ELSE '' END || base2 AS dest, CASE WHEN coarse >= 0.5 THEN printf('%.3f', coarse) END AS tag FROM c""", "files", "scores")
 def route_precedence(v):
-    """Later rules override earlier ones, so they are asked in reverse."""
-    r, name = dims.ROOTS, F.col("name")
-    root = F.when(name.startswith("DJI"), r["drone"]).when(F.col("a") >= 0.5, r["document"]).when(S.screenshot(name), f"{r['document']}/{r['screenshot']}").otherwise(r["unknown"])
-    dest = F.concat_ws("/", F.when(F.col("coarse") >= 0.5, r["explicit"]), root, name)
-    return v.files.join(v.scores, "id").select("id", dest.alias("dest"))
+    """Later rules override earlier ones."""
+    k = F.col("id") % 3
+    t = v.files.join(v.scores, "id").select(
+        "id", "path", F.when(k == 0, "camera").when(k == 1, "phone").otherwise("unknown").alias("device_type"), F.lit(True).alias("target"), F.lit("label").alias("label"), F.timestamp_seconds("mtime_s").alias("date"),
+        (F.col("id") % 2 == 0).alias("has_exif"), F.startswith("name", F.lit("DJI")).alias("drone"), F.col("coarse").alias("explicit_score"), F.col("a").alias("document_score"),
+    )
+    return P.routed(t, "/out").select("id", F.col("destination").alias("dest"), F.col("explicit_tag").alias("tag"))
 
 
 @query(f"SELECT id, '{dims.ROOTS['document']}/' || substr(path, 6) AS document, 'drone/label/' || name AS drone, printf('%.3f', CAST(id % 101 AS DOUBLE) / 100) AS tag FROM files", "files")
@@ -784,27 +820,44 @@ def dest_variants(v):
     )
 
 
-@query("SELECT id, CASE WHEN n = 0 THEN dest ELSE regexp_replace(dest, '\\.jpg$', '') || '_po' || n || '.jpg' END AS final FROM (SELECT id, '/o/' || id % 60 || '.jpg' AS dest, row_number() OVER (PARTITION BY id % 60 ORDER BY id) - 1 AS n FROM files)", "files")
+@query(r"""WITH plan AS (SELECT id, '/o/' || CASE WHEN id % 2 = 0 THEN 'N' ELSE 'n' END || id % 60 || CASE WHEN id % 7 = 3 THEN '_po' || (id % 5 + 1) ELSE '' END || '.jpg' AS dest FROM files),
+  taken AS (SELECT DISTINCT '/O/n' || id % 60 || CASE WHEN id % 4 = 0 THEN '_PO2' WHEN id % 4 = 1 THEN '_po4' ELSE '' END || '.JPG' AS dest FROM files WHERE id % 60 < 30),
+  used AS (SELECT lower(dest) AS u FROM plan UNION SELECT lower(dest) FROM taken),
+  q AS (SELECT id, dest, lower(dest) AS k, row_number() OVER (PARTITION BY lower(dest) ORDER BY id) - 1 + CASE WHEN lower(dest) IN (SELECT lower(dest) FROM taken) THEN 1 ELSE 0 END AS n FROM plan),
+  g AS (SELECT k, max(n) AS m FROM q GROUP BY k),
+  free AS (SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY i) AS n FROM (SELECT k, unnest(generate_series(1, m + 10)) AS i FROM g) WHERE replace(k, '.jpg', '_po' || i || '.jpg') NOT IN (SELECT u FROM used))
+  SELECT q.id, CASE WHEN q.n = 0 THEN dest ELSE replace(dest, '.jpg', '_po' || free.i || '.jpg') END AS final FROM q LEFT JOIN free ON free.k = q.k AND free.n = q.n""", "files")
 def conflict_names(v):
-    """W03"""
-    plan = v.files.select("id", "ord", F.concat(F.lit("/o/"), (F.col("id") % 60).cast("string"), F.lit(".jpg")).alias("dest"))
-    return C.resolve_names(plan).select("id", "final")
-
-
-@query("SELECT label, id, row_number() OVER (PARTITION BY label, id % 9 ORDER BY id) - 1 AS f FROM faces", "faces")
+    """Names in both cases, natural names with the suffix, and names that are taken."""
+    i = F.col("id")
+    number = (i % 60).cast("string")
+    suffix = F.when(i % 7 == 3, F.concat(F.lit("_po"), (i % 5 + 1).cast("string"))).otherwise("")
+    plan = v.files.select("id", "ord", F.concat(F.lit("/o/"), F.when(i % 2 == 0, "N").otherwise("n"), number, suffix, F.lit(".jpg")).alias("dest"))
+    there = F.when(i % 4 == 0, "_PO2").when(i % 4 == 1, "_po4").otherwise("")
+    taken = v.files.filter(i % 60 < 30).select(F.concat(F.lit("/O/n"), number, there, F.lit(".JPG")).alias("dest"))
+    return C.resolve_names(plan, taken).select("id", "final")
+
+
+@query("""WITH m AS (SELECT DISTINCT label, CAST(floor(id / 2) AS BIGINT) AS hash FROM faces), p AS (SELECT *, '/p/' || hash % 50 || '.jpg' AS path FROM m WHERE hash % 13 <> 0),
+  n AS (SELECT *, row_number() OVER (PARTITION BY label, path ORDER BY hash) - 1 AS n FROM p)
+  SELECT '人物_' || printf('%03d', label + 1) AS person, hash, '/all/人物_' || printf('%03d', label + 1) || '/' || hash % 50 || CASE WHEN n > 0 THEN '_f' || n ELSE '' END || '.jpg' AS link FROM n""", "faces")
 def link_names(v):
-    """W04"""
-    t = C.ranked(v.faces.withColumn("k", F.col("id") % 9), ["label", "k"], [F.col("id")])
-    return t.select("label", "id", (F.col("rn") - 1).cast("long").alias("f"))
+    """One link for each file of a person, past the names of others."""
+    hash = F.floor(F.col("id") / 2).cast("long")
+    found = v.faces.select(F.format_string("人物_%03d", F.col("label") + 1).alias("person"), hash.alias("hash"))
+    files = v.faces.select(hash.alias("hash")).distinct().filter("hash % 13 <> 0").withColumn("path", F.concat(F.lit("/p/"), (F.col("hash") % 50).cast("string"), F.lit(".jpg")))
+    return people.album(found, files, "/all").select("person", "hash", "link")
 
 
-@query("SELECT c.path AS companion, min(m.path) AS owner FROM (SELECT path, dir, id // 8 AS stem FROM files WHERE media = 'companion') c JOIN (SELECT path, dir, id // 8 AS stem FROM files WHERE media = 'video') m USING (dir, stem) GROUP BY c.path", "files")
+@query(r"""WITH a AS (SELECT id, path, regexp_extract(path, '^(.*/)', 1) AS dir, regexp_extract(path, '([^/]*)\.[^.]*$', 1) AS stem FROM clips WHERE id % 4 = 0 AND id % 5 <> 0)
+  SELECT c.path AS source, '/out/' || a.id % 7 || '/' || regexp_extract(c.path, '[^/]*$') AS destination, a.id AS ord FROM clips c JOIN a ON a.dir = regexp_extract(c.path, '^(.*/)', 1) AND a.stem = regexp_extract(c.path, '([^/]*)\.[^.]*$', 1)
+  WHERE c.id % 4 <> 0""", "clips")
 def companion_join(v):
-    """J07 W05"""
-    stem = F.floor(F.col("id") / 8).alias("stem")
-    c = v.files.filter("media = 'companion'").select(F.col("path").alias("companion"), "dir", stem)
-    m = v.files.filter("media = 'video'").select(F.col("path").alias("owner"), "dir", stem)
-    return c.join(m, ["dir", "stem"]).groupBy("companion").agg(F.min("owner").alias("owner"))
+    """Files beside an accepted drone clip, with its very stem, that are no media."""
+    a = v.clips.filter("id % 4 = 0 and id % 5 <> 0")
+    dest = F.concat(F.lit("/out/"), (F.col("id") % 7).cast("string"), F.lit("/x.MP4"))
+    a = a.select(F.col("path").alias("source"), dest.alias("destination"), F.col("id").alias("ord"), F.lit("DJI").alias("make"), F.lit("").alias("model"))
+    return C.companions(a, v.clips.select("path", "size")).select("source", "destination", "ord")
 
 
 @query(f"SELECT id, CASE WHEN media = 'video' THEN '{dims.NOTES["video"]}' ELSE '{dims.NOTES["device"]}' END AS note, 'x; ' || media AS appended FROM files WHERE media <> 'companion'", "files")
@@ -836,10 +889,11 @@ def top_component_counts(v):
     return v.tree.groupBy(F.substring_index("p", "/", 1).alias("top")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("p")).alias("chars"))
 
 
-@query("SELECT dir, count(*) AS files, string_agg(name, '|' ORDER BY name) AS names FROM files GROUP BY dir", "files")
+@query("SELECT folder, n, min(line) AS first, max(line) AS last FROM (SELECT regexp_extract(destination, '^(.*)/[^/]*$', 1) AS folder, count(*) OVER (PARTITION BY regexp_extract(destination, '^(.*)/[^/]*$', 1)) AS n, regexp_extract(destination, '[^/]*$') AS line FROM recs WHERE status IN ('ok', 'dry_run') AND destination <> '') GROUP BY ALL", "recs")
 def filelist_rows(v):
-    """G23 T03"""
-    return v.files.groupBy("dir").agg(F.count(F.lit(1)).alias("files"), F.array_join(F.array_sort(F.collect_list("name")), "|").alias("names"))
+    """How many rows each list has, and which come first and last."""
+    body = reports.filelist_lines(v.recs).filter("part = 1").withColumn("name", F.trim(F.substring_index("line", " | ", 1)))
+    return body.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"), F.max("name").alias("last"))
 
 
 @query("SELECT id, name, path AS source FROM files WHERE NOT starts_with(name, 'pic')", "files")
@@ -879,10 +933,11 @@ def scan_stats(v):
 # ------------------------------------------------------------------------- faces
 
 
-@query("SELECT id, list_transform(embedding, lambda x: round(x / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 6))[1:3] AS head FROM faces", "faces")
+@query("SELECT id, i, round(embedding[i]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 6) AS x FROM (SELECT id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM faces)", "faces")
 def l2_normalize(v):
     """F33"""
-    return v.faces.select("id", F.transform(F.slice(S.normalised(F.col("embedding")), 1, 3), lambda x: F.round(x, 6)).alias("head"))
+    t = v.faces.select("id", F.posexplode(S.normalised(F.col("embedding"))).alias("i", "x"))
+    return t.select("id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 @query("SELECT label, i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM faces) GROUP BY ALL", "faces")
@@ -892,32 +947,177 @@ def centroids(v):
     return t.groupBy("label", (F.col("i") + 1).cast("long").alias("i")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
 
 
-@query("SELECT substring(sha256(string_agg(hash, chr(10) ORDER BY hash)), 1, 32) AS fingerprint FROM files", "files")
+@query("""WITH d AS (SELECT DISTINCT hash FROM files), g AS (SELECT substring(sha256(hash), 1, 4) AS h, sha256(string_agg(hash, chr(10) ORDER BY hash)) AS x FROM d GROUP BY ALL)
+  SELECT substring(sha256(string_agg(x, chr(10) ORDER BY h) || '|2'), 1, 32) AS fingerprint FROM g""", "files")
 def fingerprint(v):
-    """Of a whole set, so in one value; a hash of sorted partial digests would scale."""
-    return v.files.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), "\n"), 256), 1, 32).alias("fingerprint"))
+    """Of a whole set and a setting, from the digests of its parts."""
+    return people.fingerprint(v.files, "hash", 2)
 
 
-@query("SELECT '人物_' || printf('%03d', label + 1) AS person_id, count(*) AS face_count, count(DISTINCT id // 2) AS files FROM faces GROUP BY label", "faces")
+@query("SELECT '人物_' || printf('%03d', label + 1) AS person, count(*) AS face_count, count(DISTINCT CAST(floor(id / 2) AS BIGINT)) AS photo_count FROM faces GROUP BY label", "faces")
 def face_index_rows(v):
-    """L09 L11 J16 W08 K11"""
-    return v.faces.groupBy(F.format_string("人物_%03d", F.col("label") + 1).alias("person_id")).agg(F.count(F.lit(1)).alias("face_count"), F.count_distinct(F.floor(F.col("id") / 2)).alias("files"))
+    """L09 K11"""
+    found = v.faces.select(F.format_string("人物_%03d", F.col("label") + 1).alias("person"), F.concat(F.lit("/p/"), F.floor(F.col("id") / 2).cast("string")).alias("path"))
+    line = F.from_json("line", "person string, face_count bigint, photo_count bigint")
+    return reports.people_lines(found).select(line.alias("j")).select("j.*").distinct()
 
 
-@query("SELECT DISTINCT label, 1 AS first FROM faces", "faces")
+@query("SELECT '人物_' || printf('%03d', label + 1) AS person, '/p/' || CAST(floor(id / 2) AS BIGINT) AS path FROM faces GROUP BY ALL", "faces")
 def ordered_distinct(v):
-    """W08"""
-    return v.faces.select("label").distinct().withColumn("first", F.get(F.array_distinct(F.array(F.lit(1), F.lit(2), F.lit(1))), F.lit(0)))
+    """A file stands once in a person's index, however many of its faces are."""
+    found = v.faces.select(F.format_string("人物_%03d", F.col("label") + 1).alias("person"), F.concat(F.lit("/p/"), F.floor(F.col("id") / 2).cast("string")).alias("path"))
+    return reports.people_lines(found).select(F.from_json("line", "person string, path string").alias("j")).select("j.*")
+
+
+@query(None)
+def people_clusters(v):
+    """No SQL twin; tests hold it against planted clusters and against one task."""
+    return people.cluster_people(v.faces, min_size=4)
+
+
+@query("SELECT id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM faces", "faces")
+def vector_roundtrip(v):
+    """F34"""
+    back = containers.vectors(containers.vector_texts("embedding"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return v.faces.select("id", back.alias("v")).select("id", F.size("v").cast("long").alias("n"), F.round(total, 6).alias("total"))
+
+
+# ---------------------------------------------------------------- container bytes
+
+
+@query("SELECT id, CASE WHEN id % 5 <> 0 THEN strftime(make_timestamp((1600000000 + id * 60) * 1000000), '%Y-%m-%d %H:%M:%S') END AS created, 'Maker' || id % 7 AS make FROM files", "files")
+def movie_boxes(v):
+    """A movie box with its time, and a user box with its maker, built here byte by byte."""
+    stamp = F.hex(F.when(F.col("id") % 5 != 0, F.lit(1600000000 + 2082844800) + F.col("id") * 60).otherwise(F.lit(7)))
+    head = F.concat(F.lit("00000010"), F.hex(F.lit("mvhd")), F.lit("00000000"), F.lpad(stamp, 8, "0"))
+    text = F.concat(F.lit("Maker"), (F.col("id") % 7).cast("string"))
+    maker = F.concat(F.lit("00000012A96D616B00060000"), F.hex(text))
+    user = F.concat(F.lit("0000001A"), F.hex(F.lit("udta")), maker)
+    data = F.concat(F.lit("0000000C"), F.hex(F.lit("ftyp")), F.hex(F.lit("qt  ")), F.lit("00000032"), F.hex(F.lit("moov")), head, user)
+    return v.files.select("id", containers.boxes(F.unhex(data)).alias("b")).select("id", F.col("b")["creation_time"].alias("created"), F.col("b")["make"].alias("make"))
+
+
+@query("SELECT id, 'M' || id % 10 AS make, CAST(id % 60000 AS VARCHAR) AS iso FROM files", "files")
+def exif_tags(v):
+    """A TIFF block with a text and a number, built here byte by byte."""
+    low, high = F.col("id") % 60000 % 256, F.floor(F.col("id") % 60000 / 256).cast("long")
+    number = F.concat(F.lpad(F.hex(low), 2, "0"), F.lpad(F.hex(high), 2, "0"))
+    text = F.hex(F.concat(F.lit("M"), (F.col("id") % 10).cast("string")))
+    data = F.concat(F.lit("49492A0008000000" + "0200" + "0F01020003000000"), text, F.lit("0000" + "2788030001000000"), number, F.lit("0000" + "00000000"))
+    return v.files.select("id", containers.exif(F.unhex(data)).alias("e")).select("id", F.col("e")["make"].alias("make"), F.col("e")["iso"].alias("iso"))
+
+
+# ------------------------------------------------------------------------- reports
+
+
+def _width(c: str) -> str:
+    return f"(length({c}) + len(regexp_extract_all({c}, '{S.wide_characters()}')))"
+
+
+@query(f"SELECT id, {_width('t')} AS width, t || repeat(' ', 30 - {_width('t')}) AS shown FROM (SELECT id, CASE WHEN id % 3 = 0 THEN '镜头ＡＢ' ELSE '' END || name AS t FROM files)", "files")
+def display_width(v):
+    """F21"""
+    t = F.concat(F.when(F.col("id") % 3 == 0, "镜头ＡＢ").otherwise(""), "name")
+    return v.files.select("id", S.display_width(t).alias("width"), S.padded(t, F.lit(30)).alias("shown"))
+
+
+_CELLS = (
+    "regexp_extract(destination, '[^/]*$')", "coalesce(date_taken, '')", _size("file_size"), "CASE WHEN make <> '' THEN trim(make || ' ' || model) ELSE '' END",
+    "concat_ws(' ', CASE WHEN ord % 2 = 0 THEN 'ISO100' END, CASE WHEN ord % 3 = 0 THEN 'f/2.8' END, '1/200s', CASE WHEN ord % 5 <> 0 THEN '50mm' END)", "lens", "coalesce(gps, '')", "source",
+)
+
+
+def _row(values) -> str:
+    return " || ' | ' || ".join(f"{v} || repeat(' ', w{k} - {_width(v)})" if k < 7 else v for k, v in enumerate(values))
+
+
+@query(f"""WITH r AS (SELECT regexp_extract(destination, '^(.*)/[^/]*$', 1) AS folder, {', '.join(f'{c} AS c{k}' for k, c in enumerate(_CELLS))} FROM recs WHERE status IN ('ok', 'dry_run') AND destination <> ''),
+  w AS (SELECT folder, count(*) AS n, {', '.join(f'greatest(max({_width(f"c{k}")}), {len(n)}) AS w{k}' for k, n in enumerate(reports.FILELIST))} FROM r GROUP BY folder),
+  h AS (SELECT folder, unnest(['# 文件列表 — 共 ' || n || ' 个文件', '# 目标目录: ' || folder, '# 列: {' | '.join(f'{a}({b})' for a, b in zip(reports.FILELIST_NAMES, reports.FILELIST, strict=True))}', '#',
+    {_row([f"'{n}'" for n in reports.FILELIST])}, {" || '-+-' || ".join(f"repeat('-', w{k})" for k in range(8))}]) AS line FROM w)
+  SELECT folder, 0 AS part, line FROM h UNION ALL SELECT folder, 1, {_row([f'c{k}' for k in range(8)])} FROM r JOIN w USING (folder)""", "recs")
+def filelist_lines(v):
+    """K04"""
+    return reports.filelist_lines(v.recs).select("folder", "part", "line")
+
+
+def _csv(c: str) -> str:
+    return f"(CASE WHEN regexp_matches({c}, '[\",\n]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END)"
+
+
+@query(f"""WITH n AS (SELECT *, row_number() OVER (ORDER BY source, destination) AS n FROM recs),
+  c AS (SELECT n::VARCHAR AS c0, source AS c1, destination AS c2, {_map_sql('device_type', dims.DEVICE_LABELS)} AS c3, CASE WHEN media_type = 'video' THEN '视频' ELSE '照片' END AS c4, make AS c5, model AS c6, coalesce(date_taken, '') AS c7,
+    file_size::VARCHAR AS c8, CASE WHEN has_exif_date THEN '是' ELSE '否' END AS c9, {_map_sql('status', dims.STATUS_LABELS)} AS c10, file_hash AS c11, coalesce(dup_of, '') AS c12, error_msg AS c13 FROM n)
+  SELECT 0 AS part, chr(65279) || '{",".join(reports.CSV)}' AS line UNION ALL SELECT 1, {" || ',' || ".join(_csv(f'c{k}') for k in range(14))} FROM c""", "recs")
+def csv_report(v):
+    """K06 W06"""
+    return reports.csv_lines(v.recs).select("part", "line")
+
+
+@query("""WITH f AS (SELECT regexp_extract(source, '^(.*)/[^/]*$', 1) AS path FROM recs), n AS (SELECT count(*) AS n FROM recs)
+  SELECT 0 AS part, 'head' AS section, 3 AS lines UNION ALL SELECT 2, 'foot', 2 UNION ALL SELECT 1, '0', 3 UNION ALL SELECT 1, '1', count(DISTINCT path) + 2 FROM f
+  UNION ALL SELECT 1, '2', count(*) + 2 FROM (SELECT DISTINCT make, model, device_type FROM recs) UNION ALL SELECT 1, '3', count(*) + 2 FROM recs WHERE status = 'skipped_dup'
+  UNION ALL SELECT 1, '4', n + 2 FROM n UNION ALL SELECT 1, '5', n + 1 FROM n""", "recs")
+def html_report(v):
+    """The lines of each section."""
+    section = F.when(F.col("part") == 0, "head").when(F.col("part") == 2, "foot").otherwise(F.substring("key", 1, 1))
+    return reports.html_lines(v.recs, "report").groupBy("part", section.alias("section")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("""SELECT path, total, camera, phone, unknown, copied, dup, not_target, '<tr><td>' || row_number() OVER (ORDER BY total DESC, path) || '</td><td>' || path || '</td><td>' || total || '</td>' AS line FROM (
+  SELECT regexp_extract(source, '^(.*)/[^/]*$', 1) AS path, count(*) AS total, count(*) FILTER (WHERE device_type = 'camera') AS camera, count(*) FILTER (WHERE device_type = 'phone') AS phone, count(*) FILTER (WHERE device_type = 'unknown') AS unknown,
+  count(*) FILTER (WHERE status IN ('ok', 'dry_run')) AS copied, count(*) FILTER (WHERE status = 'skipped_dup') AS dup, count(*) FILTER (WHERE status = 'skipped_not_target') AS not_target FROM recs GROUP BY 1)""", "recs")
+def report_folders(v):
+    """The counts of each folder and how its line on the page begins."""
+    lines = reports.html_lines(v.recs, "report").filter("part = 1 and startswith(key, '11')")
+    shown = lines.select(F.regexp_extract("line", "^(<tr><td>[0-9]+</td><td>([^<]*)</td><td>[0-9]+</td>)", 1).alias("line"), F.regexp_extract("line", "^<tr><td>[0-9]+</td><td>([^<]*)</td>", 1).alias("path"))
+    return reports.folder_summary(v.recs).drop("filtered").join(shown, "path")
+
+
+@query(f"""WITH {_PAIRS}, t AS (SELECT p.source, dest, s.size AS a, d.size AS b, CASE WHEN d.size IS NULL THEN 'dest_missing' WHEN s.size <> d.size THEN 'size_mismatch'
+    WHEN s.hash <> d.hash THEN 'hash_mismatch' ELSE 'verified' END AS o FROM p JOIN files s ON s.path = p.source LEFT JOIN files d ON d.path = dest),
+  l AS (SELECT *, regexp_extract(source, '^(.*)/[^/]*$', 1) AS folder FROM t),
+  g AS (SELECT folder, count(*) AS n, count(*) FILTER (WHERE o = 'verified') AS ok, coalesce(sum(a) FILTER (WHERE o = 'verified'), 0)::BIGINT AS bytes FROM l GROUP BY folder)
+  SELECT folder, 0 AS part, unnest(['# 源文件清理日志 (溯源记录) - 试运行(dry-run)', '# 生成时间: now', '# 源目录: ' || folder, '# 记录数: ' || n, '#', '# 格式: 状态 | 源文件 | 大小 | 目标文件', '{reports.RULE}']) AS line FROM g
+  UNION ALL SELECT folder, 1, CASE o WHEN 'verified' THEN '可删除(dry-run)' WHEN 'dest_missing' THEN '目标文件不存在' WHEN 'size_mismatch' THEN '大小不匹配(' || {_size('a')} || ' vs ' || {_size('b')} || ')' ELSE '哈希不匹配' END
+    || ' | ' || source || ' | ' || CASE WHEN o = 'dest_missing' THEN '-' ELSE {_size('a')} END || ' | ' || dest FROM l
+  UNION ALL SELECT folder, 2, unnest(['{reports.RULE}', '# 小计: 可删除 ' || ok || ' 个文件, 释放 ' || {_size('bytes')}]) FROM g""", "files")
+def cleanup_log(v):
+    """K08"""
+    b = v.files.select((F.col("id") - 1).alias("id"), F.concat("path", F.when(F.col("id") % 9 == 0, "x").otherwise("")).alias("dest"))
+    checked = C.verify_pairs(v.files.select("id", F.col("path").alias("source")).join(b, "id").select("source", "dest"), v.files, sizes=True)
+    return reports.cleanup_lines(checked, "now").select("folder", "part", "line")
+
+
+@query(f"""WITH o AS (SELECT hash, min(path) AS found FROM files WHERE id % 4 = 1 GROUP BY hash), m AS (SELECT path, hash, size, found FROM files LEFT JOIN o USING (hash)), g AS (SELECT count(found) AS ok, count(*) - count(found) AS lost FROM m)
+  SELECT 0 AS part, unnest(['# 恢复日志 - 试运行(dry-run)', '# 生成时间: now', '# 备份目录: /b', '# 来源目录: /o', '# 格式: 状态 | 恢复到 | 大小 | 复制自', '{reports.RULE}']) AS line
+  UNION ALL SELECT 1, CASE WHEN found IS NULL THEN '无来源(hash=' || substr(hash, 1, 12) || ')' ELSE '可恢复(dry-run)' END || ' | ' || path || ' | ' || {_size('size')} || ' | ' || coalesce(found, '-') FROM m
+  UNION ALL SELECT 2, unnest(['{reports.RULE}', '# 小计: 可恢复 ' || ok || ', 已存在 7, 无来源 ' || lost || ', 错误 0']) FROM g""", "files")
+def restore_log(v):
+    """K09"""
+    m = C.restore_matches(v.files.select("path", "hash", "size"), v.files.filter("id % 4 = 1"))
+    return reports.restore_lines(m, "/b", "/o", "now", 7).select("part", "line")
+
+
+@query("""SELECT 0 AS part, 0 AS n, unnest(['# NSFW 文件列表 (阈值 >= 0.50)', '# 共 ' || n || ' 个文件', '# 格式: 分数 | 文件路径', '']) AS line FROM (SELECT count(*) AS n FROM scores WHERE coarse >= 0.5)
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY coarse DESC, '/p/' || id), printf('%.4f', coarse) || ' | /p/' || id FROM scores WHERE coarse >= 0.5""", "scores")
+def score_list(v):
+    """K14 T02"""
+    lines = reports.score_list_lines(v.scores.select(F.col("coarse").alias("score"), F.concat(F.lit("/p/"), F.col("id").cast("string")).alias("path")), 0.5)
+    return lines.select("part", F.when(F.col("part") == 1, F.col("key").cast("long")).otherwise(0).alias("n"), "line")
 
 
 # ------------------------------------------------------------------------- plans
 
 
-@query("SELECT CASE WHEN n = 1 THEN CASE WHEN id % 2 = 0 THEN 'rename' ELSE 'copy' END ELSE 'skip' END AS action, path AS src FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY ord) AS n FROM files)", "files")
+@query("""WITH i AS (SELECT hash, min('/OLD/' || path) AS reuse FROM files WHERE id % 3 = 0 GROUP BY hash), r AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY ord) AS n FROM files)
+  SELECT path, CASE WHEN n > 1 OR id % 8 = 1 THEN 'skip' WHEN reuse IS NOT NULL AND NOT contains(reuse, '/src1/') THEN 'rename' ELSE 'copy' END AS action, CASE WHEN n = 1 THEN coalesce(reuse, path) ELSE path END AS src FROM r LEFT JOIN i USING (hash)""", "files")
 def copy_plan(v):
-    """Actions as rows; nothing is moved."""
-    t = C.ranked(v.files, ["hash"], [F.col("ord")])
-    return t.select(F.when(F.col("rn") > 1, "skip").when(F.col("id") % 2 == 0, "rename").otherwise("copy").alias("action"), F.col("path").alias("src"))
+    """Actions as rows; nothing is moved."""
+    index = v.files.filter("id % 3 = 0").select("hash", F.concat(F.lit("/OLD/"), "path").alias("path"))
+    files = C.deduplicate(v.files).withColumn("destination", F.concat(F.lit("/out"), "path")).withColumn("in_place", F.col("id") % 8 == 1)
+    return P.copy_plan(files, P.reused(v.files, index), ("/old//src/src1",)).select("path", "action", "src")
 
 
 @query(f"""SELECT dir || '/' || id AS source, CASE WHEN t <> 'unknown' OR has OR m IS NOT NULL THEN 'out/' || t || '/' || coalesce(year(d) || '-' || {_QUARTER}, '{dims.UNKNOWN_DATE}') ELSE '' END AS destination,
@@ -936,51 +1136,55 @@ def copy_records(v):
     return C.records(t.withColumn("destination", dest))
 
 
-@query("SELECT 'delete_dup' AS action, path FROM (SELECT path, row_number() OVER (PARTITION BY hash ORDER BY NOT contains(path, 'src1'), path) AS n FROM files) WHERE n > 1", "files")
+@query("SELECT CASE WHEN contains(path, '/src2/') THEN 'keep_protected' ELSE 'delete_dup' END AS action, path FROM (SELECT path, row_number() OVER (PARTITION BY hash ORDER BY NOT contains(path, 'src1'), path) AS n FROM files) WHERE n > 1", "files")
 def dup_delete_plan(v):
-    """K02"""
-    t = C.ranked(v.files, ["hash"], [~F.contains(F.col("path"), F.lit("src1")), F.col("path")])
-    return t.filter("rn > 1").select(F.lit("delete_dup").alias("action"), "path")
+    """K02 P13"""
+    return P.duplicate_plan(v.files, "src1", ("/SRC/src2/",)).select("action", "path")
 
 
-@query("SELECT dir FROM files WHERE id % 3 = 0 EXCEPT SELECT dir FROM files WHERE id % 3 = 1 AND media = 'photo' AND id < 400", "files")
+@query("""WITH f AS (SELECT dir || '/' || id % 11 AS dir, CASE WHEN id % 3 = 1 THEN 'Thumbs.db' ELSE name END AS name, id FROM files)
+  SELECT dir FROM f WHERE id % 2 = 0 EXCEPT SELECT dir FROM f WHERE id % 2 = 1 AND lower(name) NOT IN ('filelist.txt', 'thumbs.db', 'desktop.ini', '.ds_store')""", "files")
 def empty_dir_plan(v):
-    """K03"""
-    left = v.files.filter("id % 3 = 1 and media = 'photo' and id < 400").select("dir")
-    return v.files.filter("id % 3 = 0").select("dir").distinct().join(left, "dir", "left_anti")
+    """Half of the files go; folders where only junk stays go too."""
+    f = v.files.select(F.concat_ws("/", "dir", (F.col("id") % 11).cast("string")).alias("dir"), F.when(F.col("id") % 3 == 1, "Thumbs.db").otherwise(F.col("name")).alias("name"), "id")
+    return P.empty_folders(f.filter("id % 2 = 0"), f.filter("id % 2 = 1"))
 
 
-@query("SELECT f.id, CASE WHEN g.path IS NULL THEN 'rename' WHEN f.size = g.size AND f.hash = g.hash THEN 'delete' ELSE 'skip' END AS action FROM files f LEFT JOIN (SELECT id + 1 AS id, path, size, hash FROM files WHERE id % 4 <> 0) g USING (id)", "files")
+@query(r"""WITH f AS (SELECT id, '/r/' || id % 40 || CASE WHEN id % 3 = 0 THEN '' ELSE '_po' || (id % 7 + 1) || '_' || id || '_po1' END || '.jpg' AS path, id % 2 AS size, 'h' || id % 4 AS hash FROM files),
+  o AS (SELECT path, size, hash, regexp_replace(path, '_po[0-9]+(\.[^.]+)$', '\1') AS "natural" FROM f WHERE regexp_matches(path, '_po[0-9]+\.[^.]+$')),
+  n AS (SELECT *, EXISTS (SELECT 1 FROM f WHERE f.path = o."natural") AS there, row_number() OVER (PARTITION BY "natural" ORDER BY path) AS k FROM o)
+  SELECT path, "natural", CASE WHEN NOT there AND k = 1 THEN 'rename' WHEN EXISTS (SELECT 1 FROM f WHERE f.path = n."natural" AND f.size = n.size AND f.hash = n.hash) THEN 'delete' ELSE 'skip' END AS action FROM n""", "files")
 def po_repair_plan(v):
-    """K12"""
-    g = v.files.filter("id % 4 <> 0").select((F.col("id") + 1).alias("id"), F.col("path").alias("g"), F.col("size").alias("gs"), F.col("hash").alias("gh"))
-    action = F.when(F.col("g").isNull(), "rename").when((F.col("size") == F.col("gs")) & (F.col("hash") == F.col("gh")), "delete").otherwise("skip")
-    return v.files.join(g, "id", "left").select("id", action.alias("action"))
+    """K12 F42"""
+    i = F.col("id")
+    suffix = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("_po"), (i % 7 + 1).cast("string"), F.lit("_"), i.cast("string"), F.lit("_po1")))
+    f = v.files.select(F.concat(F.lit("/r/"), (i % 40).cast("string"), suffix, F.lit(".jpg")).alias("path"), (i % 2).alias("size"), F.concat(F.lit("h"), (i % 4).cast("string")).alias("hash"))
+    return P.repair_plan(f.distinct())
 
 
-@query("SELECT path FROM files WHERE media = 'photo' AND id NOT IN (SELECT id FROM files WHERE id % 7 = 0)", "files")
+@query("SELECT path, '/links/' || substr(path, 6) AS link, CASE WHEN id % 7 = 0 THEN 'skip' ELSE 'link' END AS action FROM files WHERE media = 'photo'", "files")
 def link_plan(v):
-    """K13"""
-    return v.files.filter("media = 'photo'").join(v.files.filter("id % 7 = 0").select("id"), "id", "left_anti").select("path")
+    """What is there already, in whatever case, is skipped."""
+    there = v.files.filter("id % 7 = 0").select(F.concat(F.lit("/LINKS/"), F.expr("substring(path, 6)")).alias("path"))
+    return P.link_plan(v.files.filter("media = 'photo'"), "/src", "/links", there)
 
 
-@query("SELECT DISTINCT dir FROM files f WHERE NOT EXISTS (SELECT 1 FROM files g WHERE g.dir = f.dir AND g.id % 11 = 0)", "files")
+@query("WITH f AS (SELECT dir || '/' || id % 11 AS dir, CASE WHEN id % 5 = 0 THEN 'filelist.txt' ELSE name END AS name FROM files) SELECT DISTINCT dir FROM f WHERE name <> 'filelist.txt' AND dir NOT IN (SELECT dir FROM f WHERE name = 'filelist.txt')", "files")
 def filelist_backfill(v):
     """K05"""
-    return v.files.select("dir").distinct().join(v.files.filter("id % 11 = 0").select("dir"), "dir", "left_anti")
+    f = v.files.select(F.concat_ws("/", "dir", (F.col("id") % 11).cast("string")).alias("dir"), F.when(F.col("id") % 5 == 0, "filelist.txt").otherwise(F.col("name")).alias("name"))
+    return P.unlisted(f)
 
 
-@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'fm' WHEN id % 3 = 0 THEN 'st' ELSE '' END AS make, 640 AS width FROM devices", "devices")
+@query("""SELECT id, CASE WHEN id % 5 = 0 THEN 'Canon' WHEN id % 2 = 0 THEN 'fm' WHEN id % 4 = 1 THEN '' WHEN id % 3 = 0 THEN 'st' ELSE '' END AS make, CASE WHEN id % 3 = 1 THEN 'm2' ELSE 'm1' END AS model, CASE WHEN id % 7 = 0 THEN 'enc' ELSE '' END AS app,
+  CASE WHEN id % 6 <> 0 THEN id % 1000 END AS width FROM devices""", "devices")
 def ffprobe_merge(v):
-    """Format tags win over stream tags; empty ones are filled."""
-    fmt = F.when(F.col("id") % 2 == 0, "fm").otherwise("")
-    stream = F.when(F.col("id") % 3 == 0, "st").otherwise("")
-    text = F.to_json(F.struct(F.struct(F.create_map(F.lit("MAKE"), fmt).alias("tags")).alias("format"), F.array(F.struct(F.lit("video").alias("codec_type"), F.lit(640).alias("width"), F.create_map(F.lit("make"), stream).alias("tags"))).alias("streams")))
-    j = F.from_json(text, "format struct<tags: map<string, string>>, streams array<struct<codec_type: string, width: int, tags: map<string, string>>>")
-
-    def low(m):
-        return F.transform_keys(m, lambda k, _: F.lower(k))
-
-    t = v.devices.select("id", j.alias("j")).withColumn("s", F.get(F.filter("j.streams", lambda s: s["codec_type"] == "video"), F.lit(0)))
-    make = F.coalesce(F.nullif(F.try_element_at(low(F.col("j.format.tags")), F.lit("make")), F.lit("")), F.try_element_at(low(F.col("s.tags")), F.lit("make")), F.lit(""))
-    return t.select("id", make.alias("make"), F.col("s.width").alias("width"))
+    """A key of the file hides the stream's, even if empty; brands tell a maker."""
+    i = F.col("id")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    own = F.when(i % 5 == 0, F.create_map(F.lit("Compatible_Brands"), F.lit("qt  CAEP"))).when(i % 2 == 0, F.create_map(F.lit("MAKE"), F.lit("fm"))).when(i % 4 == 1, F.create_map(F.lit("make"), F.lit(""))).otherwise(none)
+    stream = F.map_concat(F.when((i % 3 == 0) & (i % 5 != 0), F.create_map(F.lit("make"), F.lit("st"))).otherwise(none), F.when(i % 7 == 0, F.create_map(F.lit("Encoder"), F.lit("enc"))).otherwise(none))
+    audio = F.struct(F.lit("audio").alias("codec_type"), F.lit(None).cast("int").alias("width"), F.map_concat(F.create_map(F.lit("model"), F.lit("m1")), F.when(i % 3 == 1, F.create_map(F.lit("com.android.model"), F.lit("m2"))).otherwise(none)).alias("tags"))
+    video = F.struct(F.lit("video").alias("codec_type"), F.when(i % 6 != 0, (i % 1000).cast("int")).alias("width"), stream.alias("tags"))
+    text = F.to_json(F.struct(F.struct(own.alias("tags")).alias("format"), F.array(audio, video).alias("streams")))
+    return v.devices.select("id", records.probe(text).alias("p")).select("id", "p.make", "p.model", F.col("p.writing_application").alias("app"), "p.width")

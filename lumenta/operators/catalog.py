@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,39 @@ def label_devices(df: DataFrame, make: str, model: str, app: str | None = None)
     return df.drop("_mk", "_md", "_app", "_lo", "_key", "_drone", "_name", "_code", "_parts")
 
 
-def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rn") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+def with_first(df: DataFrame, by: list[str], order: str, *values: str) -> DataFrame:
+    """df with first, a struct of the order and values of the row that comes first in its group.
+    Groups are reduced before the shuffle; in the join back a hot one can be split."""
+    head = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.min(F.struct(order, *values)).alias("first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return df.join(head, reduce(lambda a, b: a & b, same)).drop(*[f"_by_{c}" for c in by])
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "n", rows_a_task: int = 1_000_000) -> DataFrame:
+    """Df with each row's number, from 1, in one order over all rows, which order must make
+    unique.  Many rows are dealt to ranges between sampled bounds; a row's number is its
+    place in its range after all rows of the ranges before.  Only bounds and the counts of the
+    ranges come to the driver, a few for each task."""
+    parts = -(-df.count() // rows_a_task)
+    if parts <= 1:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    keyed = df.withColumn("_key", F.struct(*order))
+    sample = [r["_key"] for r in keyed.sample(min(1.0, 20 / rows_a_task), seed=1).select("_key").orderBy("_key").collect()]
+    bounds = sample[len(sample) // parts :: max(1, len(sample) // parts)]
+    fields = keyed.schema["_key"].dataType.fields
+
+    def place(lo: int, hi: int) -> Column:
+        """How many of the bounds lo to hi lie at or below the key, plus lo: a search tree."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col("_key") < F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(bounds[mid], fields, strict=True)]), place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    keyed = keyed.withColumn("_range", place(0, len(bounds)))
+    counts = dict(keyed.groupBy("_range").count().collect())
+    before = [sum(counts.get(j, 0) for j in range(k)) for k in range(len(bounds) + 1)]
+    at = F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("_range"))
+    return keyed.withColumn(name, at + F.row_number().over(Window.partitionBy("_range").orderBy("_key"))).drop("_key", "_range")
 
 
 def majority(photos: DataFrame, key: list[str], value: list[str], order: str) -> DataFrame:
@@ -69,30 +102,38 @@ def infer_video_device(files: DataFrame) -> DataFrame:
 
 def spread_flag(files: DataFrame, flag: Column, key: str = "dir") -> DataFrame:
     """in_folder says if any file of the folder has the flag."""
-    return files.withColumn("in_folder", F.bool_or(flag).over(Window.partitionBy(key)))
+    found = files.groupBy(F.col(key).alias("_by")).agg(F.bool_or(flag).alias("in_folder"))
+    return files.join(found, F.col(key).eqNullSafe(F.col("_by"))).drop("_by")
 
 
-def deduplicate(files: DataFrame, index: DataFrame | None = None, in_place: Column | None = None) -> DataFrame:
-    """The first file of a hash is accepted unless the index (hash, existing) has
-    it; the others get dup_of.  Files in place are accepted as they are."""
+def deduplicate(files: DataFrame, index: DataFrame | None = None, in_place: Column | None = None, special: Column | None = None) -> DataFrame:
+    """The first file (smallest ord, which is unique) of a hash is accepted unless
+    the index (hash, existing) has it; the others get dup_of.  Files in place are accepted as
+    they are.  Files for which special holds are a world of their own: they are compared among
+    themselves, and an index entry stops them only if its column special says so."""
     in_place = F.lit(False) if in_place is None else in_place
-    order = Window.partitionBy("hash").orderBy("ord")
-    out = files.withColumn("_n", F.row_number().over(order)).withColumn("_first", F.first("path").over(order))
-    out = out.join(index, "hash", "left") if index is not None else out.withColumn("existing", F.lit(None).cast("string"))
-    original = F.coalesce(F.when(F.col("existing") != F.col("path"), F.col("existing")), F.when(F.col("_n") > 1, F.col("_first")))
+    own = F.lit(False) if special is None else F.coalesce(special, F.lit(False))
+    out = with_first(files.withColumn("_special", own), ["hash", "_special"], "ord", "path")
+    if index is not None:
+        known = index if "special" in index.columns else index.withColumn("special", F.lit(False))
+        known = known.groupBy(F.col("hash").alias("_hash"), F.col("special").alias("_known")).agg(F.min("existing").alias("existing"))
+        out = out.join(known, (F.col("hash") == F.col("_hash")) & (F.col("_special") == F.col("_known")), "left")
+    else:
+        out = out.withColumn("existing", F.lit(None).cast("string"))
+    original = F.coalesce(F.when(F.col("existing") != F.col("path"), F.col("existing")), F.when(F.col("ord") != F.col("first.ord"), F.col("first.path")))
     dup = F.when(~in_place, original)
-    return out.withColumn("dup_of", dup).withColumn("status", F.when(dup.isNull(), "ok").otherwise("skipped_dup")).drop("_n", "_first", "existing")
+    out = out.withColumn("dup_of", dup).withColumn("status", F.when(dup.isNull(), "ok").otherwise("skipped_dup"))
+    return out.select(*[F.col(f"`{c}`") for c in files.columns], "dup_of", "status")
 
 
 def upsert(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of both, those of new first."""
-    both = new.withColumn("_p", F.lit(0)).unionByName(old.withColumn("_p", F.lit(1)))
-    return ranked(both, key, [F.col("_p")], "_rn").filter("_rn = 1").drop("_p", "_rn")
+    """Rows of both, those of new first.  A key stands once in each."""
+    return new.unionByName(old.join(new.select(*key), key, "left_anti").select(*new.columns))
 
 
-def resolve_names(plan: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """The first file that wants a (case-folded) name gets it unless it is taken; the
-    others get _po<n> with the smallest free n, in order, past every name that is wanted by
+def resolve_names(plan: DataFrame, taken: DataFrame | None = None, mark: str = "_po") -> DataFrame:
+    """W03, W04 (mark "_f"): the first file that wants a (case-folded) name gets it unless it is
+    taken; the others get <mark><n> with the smallest free n, in order, past every name that is wanted by
     others or taken.  Two groups never generate one name, so each group is numbered alone."""
     parts = r"^(.*/)?([^/]*?)(\.[^./]*)?$"
     stem = F.concat(F.regexp_extract("dest", parts, 1), F.regexp_extract("dest", parts, 2))
@@ -105,7 +146,7 @@ def resolve_names(plan: DataFrame, taken: DataFrame | None = None) -> DataFrame:
         out = out.join(known, key == F.col("_d"), "left").withColumn("n", F.col("n") + F.coalesce("_t", F.lit(0))).drop("_d", "_t")
         used = used.union(taken.select("dest"))
     # a used name that is <stem>_po<k><ext> blocks k in the group of <stem><ext>
-    number = r"(?s)^(.*)_po([1-9][0-9]{0,17})$"
+    number = rf"(?s)^(.*){mark}([1-9][0-9]{{0,17}})$"
     blocked = used.select(key.alias("dest")).distinct().filter(stem.rlike(number))
     blocked = blocked.select(F.concat(F.regexp_extract(stem, number, 1), ext).alias("_k"), F.regexp_extract(stem, number, 2).cast("long").alias("_b"))
     # below the j-th blocked number b there are b - j free ones: it moves every n above that
@@ -113,7 +154,7 @@ def resolve_names(plan: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     blocked = blocked.select("_k", free.alias("_at"), F.lit(1).alias("_block"))
     both = out.withColumns({"_k": key, "_at": F.col("n").cast("long"), "_block": F.lit(0)}).unionByName(blocked, allowMissingColumns=True)
     before = Window.partitionBy("_k").orderBy("_at", "_block").rowsBetween(Window.unboundedPreceding, 0)
-    named = F.when(F.col("n") == 0, F.col("dest")).otherwise(F.concat(stem, F.lit("_po"), F.col("n").cast("string"), ext))
+    named = F.when(F.col("n") == 0, F.col("dest")).otherwise(F.concat(stem, F.lit(mark), F.col("n").cast("string"), ext))
     out = both.withColumn("n", F.col("n") + F.sum("_block").over(before)).filter("_block = 0")
     return out.select(*[F.col(f"`{c}`") for c in plan.columns], "n").withColumn("final", named)
 
@@ -124,8 +165,9 @@ def best_representative(files: DataFrame, hash_col: str = "hash", album: str = "
     return files.groupBy(hash_col).agg(F.min_by("path", order).alias("path"), F.count(F.lit(1)).alias("copies"))
 
 
-def verify_pairs(pairs: DataFrame, files: DataFrame) -> DataFrame:
-    """(source, dest) pairs against the files that are there."""
+def verify_pairs(pairs: DataFrame, files: DataFrame, sizes: bool = False) -> DataFrame:
+    """(source, dest) pairs against the files that are there, with s_size and d_size if
+    sizes are wanted."""
     s = files.select(F.col("path").alias("source"), F.col("size").alias("s_size"), F.col("hash").alias("s_hash"))
     d = files.select(F.col("path").alias("dest"), F.col("size").alias("d_size"), F.col("hash").alias("d_hash"))
     outcome = (
@@ -135,7 +177,7 @@ def verify_pairs(pairs: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("s_hash") != F.col("d_hash"), "hash_mismatch")
         .otherwise("verified")
     )
-    return pairs.join(s, "source", "left").join(d, "dest", "left").withColumn("outcome", outcome).select(*pairs.columns, "outcome")
+    return pairs.join(s, "source", "left").join(d, "dest", "left").withColumn("outcome", outcome).select(*pairs.columns, "outcome", *(("s_size", "d_size") if sizes else ()))
 
 
 def restore_matches(missing: DataFrame, organised: DataFrame) -> DataFrame:
@@ -152,6 +194,27 @@ def path_rollup(files: DataFrame, path_col: str = "dir") -> DataFrame:
     return files.select(F.explode(prefixes).alias("p")).groupBy("p.prefix", "p.depth").agg(F.count_if("p.own").alias("own_count"), F.count(F.lit(1)).alias("total_count"))
 
 
+def companions(accepted: DataFrame, files: DataFrame) -> DataFrame:
+    """Files that are no media and share folder and stem with an accepted file follow
+    it to its destination's folder, each once, with the first (smallest ord) of them; one that
+    stands there already stays.  accepted has source, destination, ord, make and model; files
+    has path and size.  Gives source, destination, ord, make, model and size; clashes of names are for resolve_names."""
+    parts = r"(?s)^(.*/)?([^/]+?)(\.[^./]*)?$"
+
+    def pieces(path: str) -> tuple[Column, Column]:
+        return F.regexp_extract(path, parts, 1), F.regexp_extract(path, parts, 2)
+
+    folder, stem = pieces("source")
+    a = accepted.select(folder.alias("_dir"), stem.alias("_stem"), "ord", F.regexp_extract("destination", r"(?s)^(.*/)?", 1).alias("_to"), "make", "model")
+    folder, stem = pieces("path")
+    other = files.filter(S.media_type(F.element_at(F.split("path", "/"), -1)).isNull())
+    other = other.select(F.col("path").alias("source"), folder.alias("_dir"), stem.alias("_stem"), "size")
+    met = other.join(a, ["_dir", "_stem"]).groupBy(F.lower("source")).agg(F.min(F.struct("ord", "source", "_to", "make", "model", "size")).alias("c")).select("c.*")
+    out = met.withColumn("destination", F.concat("_to", F.element_at(F.split("source", "/"), -1)))
+    out = out.withColumns({"make": F.coalesce(S.filled(F.col("make")), F.lit("DJI")), "model": F.coalesce("model", F.lit(""))})
+    return out.filter(F.lower("destination") != F.lower("source")).select("source", "destination", "ord", "make", "model", "size")
+
+
 def random_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """N rows at random.  The order is a hash of the key, so that a rerun gives the same
     rows; each task keeps its own first n, and only those are merged."""

@@ -1,4 +1,4 @@
-"""Scorers and the clustering of faces into people."""
+"""Scorers, faces, and the clustering of faces into people."""
 
 from __future__ import annotations
 
@@ -9,8 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors that one clustering may hold; its distances are taken row by row in one task.
-MAX_FACES = 50_000
+from .. import dims
+from ..functions import scalars as S
+from ..sources import containers
+from . import catalog
+
+#: Vectors that one task compares; more are dealt to blocks, each pair of which is one task.
+BLOCK = 8_192
+#: Forests that one task merges.
+FOREST = 16
+FACES = "hash string, faces array<struct<bbox: array<int>, embedding: string, score: double>>, no_face boolean"
 
 
 def scored(df: DataFrame, column: str, make_scorer: Callable[[], Callable[[pd.Series], pd.Series]], name: str) -> DataFrame:
@@ -33,32 +41,63 @@ def cascade(df: DataFrame, column: str, coarse, fine, threshold: float = 0.3) ->
     return suspects.unionByName(first.filter((F.col("coarse") < threshold) | F.col("coarse").isNull()).withColumn("score", F.lit(0.0)))
 
 
-def hdbscan(x: np.ndarray, min_size: int = 2) -> np.ndarray:
-    """Density clusters of unit vectors; -1 is noise.  Core distances reach to the
-    min_size-th point (itself included); the spanning tree of the mutual reachability is
-    condensed and the clusters with the largest excess of mass are taken.  Labels go by the
-    first member."""
-    n = len(x)
-    if n < max(2, min_size):
-        return np.full(n, -1)
+def _distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(((x - v) ** 2).sum(axis=1), 0))
 
-    def row(i: int) -> np.ndarray:
-        return np.sqrt(np.maximum(((x - x[i]) ** 2).sum(axis=1), 0))
 
-    core = np.array([np.partition(row(i), min(min_size, n) - 1)[min(min_size, n) - 1] for i in range(n)])
+def spanning_tree(x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
+    """Edges (distance, a, b) of a minimum spanning tree of the mutual reachability."""
+    n = len(x)
     near, parent, left = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
     at, edges = 0, []
     left[0] = False
     for _ in range(n - 1):
-        reach = np.maximum(np.maximum(row(at), core), core[at])
+        reach = np.maximum(np.maximum(_distances(x, x[at]), core), core[at])
         closer = left & (reach < near)
         near[closer], parent[closer] = reach[closer], at
         at = int(np.where(left, near, np.inf).argmin())
-        edges.append((near[at], parent[at], at))
+        edges.append((float(near[at]), int(parent[at]), at))
         left[at] = False
+    return edges
+
+
+def forest(edges: pd.DataFrame) -> pd.DataFrame:
+    """Of edges (a, b, d), those that a minimum spanning forest keeps."""
+    edges = edges.sort_values(["d", "a", "b"], kind="stable")
+    names = np.unique(edges[["a", "b"]].to_numpy())
+    up = np.arange(len(names))
+
+    def find(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    keep = np.zeros(len(edges), bool)
+    ends = np.searchsorted(names, edges[["a", "b"]].to_numpy())
+    for i, (a, b) in enumerate(ends.tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            up[a], keep[i] = b, True
+    return edges[keep]
+
 
+def hdbscan(x: np.ndarray, min_size: int = 2) -> np.ndarray:
+    """Density clusters of unit vectors; -1 is noise.  Core distances reach to the
+    min_size-th point (itself included); the spanning tree of the mutual reachability is
+    condensed and the clusters with the largest excess of mass are taken.  Labels go by the
+    first member."""
+    n = len(x)
+    if n < max(2, min_size):
+        return np.full(n, -1)
+    core = np.array([np.partition(_distances(x, v), min(min_size, n) - 1)[min(min_size, n) - 1] for v in x])
+    return condensed(n, spanning_tree(x, core), min_size)
+
+
+def condensed(n: int, edges: list[tuple[float, int, int]], min_size: int) -> np.ndarray:
+    """Labels of n points from a spanning tree of theirs."""
     # single linkage: node n + k joins two earlier nodes at edges[k]
-    edges.sort(key=lambda e: e[0])
+    edges = sorted(edges, key=lambda e: e[0])
     up, size = np.arange(2 * n - 1), np.r_[np.ones(n, int), np.zeros(n - 1, int)]
     kids: dict[int, tuple[int, int, float]] = {}
 
@@ -126,18 +165,156 @@ def hdbscan(x: np.ndarray, min_size: int = 2) -> np.ndarray:
     return labels
 
 
-def cluster_people(faces: DataFrame, id_col: str = "id", vector_col: str = "embedding", min_size: int = 2) -> DataFrame:
-    """(id, person), person null for noise.  One task holds the vectors, up to
-    MAX_FACES; more raise an error rather than being cut."""
+def _dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """Each row to the tasks of its block with every block; side says which of the two."""
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    tile = F.least("_own", "_other") * blocks + F.greatest("_own", "_other")
+    return rows.withColumn("tile", tile).withColumn("side", (F.col("_own") > F.col("_other")).cast("int")).drop("_own", "_other")
+
+
+def _unit(v: pd.Series) -> np.ndarray:
+    x = np.stack(v.to_numpy()).astype(float)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, 1)
+
+
+def _labelled(pdf: pd.DataFrame, labels: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"id": pdf["id"].to_numpy(), "person": [f"人物_{k + 1:03d}" if k >= 0 else None for k in labels]})
+
+
+def cluster_people(faces: DataFrame, id_col: str = "id", vector_col: str = "embedding", min_size: int = 2, block: int = BLOCK) -> DataFrame:
+    """(id, person), person null for noise; ids are unique and not null.
+
+    Up to block vectors are one task.  More are dealt to blocks.  Each pair of blocks gives the
+    nearest distances of its points, then a spanning tree of them; a spanning tree of all lies
+    in the union of these.  Trees are merged a few at a time, and the last task holds one edge
+    for each point, never a distance of each pair.
+    """
     rows = faces.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("v is not null")
-    if rows.count() > MAX_FACES:
-        raise ValueError(f"more than {MAX_FACES} faces; cluster them by album or year")
+    n = rows.count()
+    if n <= block:
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("id", kind="stable")
+            return _labelled(pdf, hdbscan(_unit(pdf["v"]), min_size))
+
+        return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(whole, "id long, person string")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    blocks = -(-n // block)
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, side = _unit(pdf["v"]), pdf["side"].to_numpy()
+        alone = side.min() == side.max() and pdf["tile"].iloc[0] % (blocks + 1) == 0  # a block with itself
+        found = [np.sort(_distances(x if alone else x[side != s], v))[:min_size] for v, s in zip(x, side, strict=True)]
+        return pd.DataFrame({"id": pdf["id"], "d": [f.tolist() for f in found]})
+
+    near = _dealt(rows, blocks).groupBy("tile").applyInPandas(nearest, "id long, d array<double>")
+    core = near.groupBy("id").agg(F.get(F.array_sort(F.flatten(F.collect_list("d"))), F.lit(min_size - 1)).alias("core"))
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        x = np.stack(pdf["v"].to_numpy()).astype(float)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        labels = hdbscan(x / np.where(norm > 0, norm, 1), min_size)
-        return pd.DataFrame({"id": pdf["id"], "person": [f"人物_{k + 1:03d}" if k >= 0 else None for k in labels]})
+        ids = pdf["id"].to_numpy()
+        edges = spanning_tree(_unit(pdf["v"]), pdf["core"].to_numpy())
+        return pd.DataFrame([(int(ids[a]), int(ids[b]), d) for d, a, b in edges], columns=["a", "b", "d"])
+
+    edges = _dealt(rows.join(core, "id"), blocks).groupBy("tile").applyInPandas(lambda k, p: tree(p).assign(part=k[0]), "a long, b long, d double, part long")
+    parts = blocks * blocks
+    while parts > FOREST:
+        parts = -(-parts // FOREST)
+        edges = edges.withColumn("part", F.pmod("part", F.lit(parts))).groupBy("part").applyInPandas(lambda k, p: forest(p).assign(part=k[0]), "a long, b long, d double, part long")
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = forest(pdf)
+        ids = np.unique(kept[["a", "b"]].to_numpy())
+        at = np.searchsorted(ids, kept[["a", "b"]].to_numpy()).tolist()
+        labels = condensed(len(ids), [(d, a, b) for d, (a, b) in zip(kept["d"].tolist(), at, strict=True)], min_size)
+        return _labelled(pd.DataFrame({"id": ids}), labels)
+
+    return edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(last, "id long, person string")
+
+
+# --------------------------------------------------------- records, reuse, albums
+
+
+def fingerprint(df: DataFrame, column: str = "hash", *settings: object) -> DataFrame:
+    """One row, fingerprint: 32 hex digits of the sorted set of a column's values and
+    the settings.  Values meet in groups by the head of their own digest, and the groups'
+    digests in one value, so no task holds the set."""
+    parts = df.select(F.col(column).cast("string").alias("v")).filter("v is not null").distinct()
+    parts = parts.groupBy(F.substring(F.sha2("v", 256), 1, 4).alias("head")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("v")), "\n"), 256).alias("digest"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("head", "digest"))), lambda x: x["digest"]), "\n")
+    return parts.agg(F.substring(F.sha2(F.concat_ws("|", text, *[F.lit(str(s)) for s in settings]), 256), 1, 32).alias("fingerprint"))
+
+
+def eligible_files(records: DataFrame, explicit_root: str = "") -> DataFrame:
+    """(hash, path) of the pictures whose faces are wanted: copied, with a hash and a
+    destination, of a picture kind, not under the explicit root; of a hash the last record
+    (largest ord) counts."""
+    name = F.lower(F.element_at(F.split("destination", "/"), -1))
+    own = records.filter(F.col("status").isin("ok", "dry_run") & (F.col("file_hash") != "") & (F.col("destination") != ""))
+    own = own.filter(S.extension(name).isin(*dims.FACE_EXTENSIONS))
+    if explicit_root:
+        own = own.filter(~F.startswith(F.lower("destination"), F.lit(explicit_root.lower() + "/")))
+    return own.groupBy(F.col("file_hash").alias("hash")).agg(F.max_by("destination", "ord").alias("path"))
+
+
+def face_records(files: DataFrame, cached: DataFrame, extract: Callable[[], Callable[[str], list[dict] | None]]) -> DataFrame:
+    """FACES rows for files (hash, path): those that are cached, and what extract finds in
+    the others.  extract is made once per worker; it takes a path and returns the faces (bbox,
+    embedding as float32 in base64, score), or None if the file can't be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        look = extract()
+        for batch in batches:
+            found = [look(p) or [] for p in batch["path"]]
+            yield pd.DataFrame({"hash": batch["hash"], "faces": found, "no_face": [not f for f in found]})
+
+    known = cached.join(files.select("hash"), "hash", "left_semi")
+    return known.unionByName(files.join(cached.select("hash"), "hash", "left_anti").select("hash", "path").mapInPandas(run, FACES))
+
+
+def good_faces(records: DataFrame, min_score: float = 0.5, min_side: int = 40) -> DataFrame:
+    """(hash, face, embedding) of each face that is sure and large enough; face is its place
+    among the file's faces."""
+    each = records.select("hash", F.posexplode("faces").alias("face", "f"))
+    box = F.col("f.bbox")
+    wide, high = F.get(box, F.lit(2)) - F.get(box, F.lit(0)), F.get(box, F.lit(3)) - F.get(box, F.lit(1))
+    return each.filter((F.col("f.score") >= min_score) & (wide >= min_side) & (high >= min_side) & F.col("f.embedding").isNotNull()).select("hash", "face", "f.embedding")
+
+
+def members(faces: DataFrame, min_size: int = 2, cached: DataFrame | None = None, cached_print: str | None = None) -> tuple[DataFrame, str]:
+    """(hash, face, person) of good_faces, and the fingerprint of the run.  The cached
+    result is taken if it was made of the same files with the same min_size."""
+    now = fingerprint(faces, "hash", min_size).first()["fingerprint"]
+    if cached is not None and cached_print == now:
+        return cached, now
+    keyed = faces.withColumn("id", F.xxhash64("hash", "face"))
+    found = cluster_people(keyed.withColumn("v", containers.vectors("embedding")), "id", "v", min_size)
+    return keyed.join(found, "id", "left").select("hash", "face", "person"), now
+
+
+def album(found: DataFrame, files: DataFrame, root: str, taken: DataFrame | None = None) -> DataFrame:
+    """(person, hash, path, link): one link for each file of a person, named
+    like the file in the person's folder, _f<n> where the name is taken.  A file counts once
+    for a person however many of its faces are; hashes without a file are left out."""
+    once = found.filter("person is not null").select("person", "hash").distinct().join(files.select("hash", "path"), "hash")
+    once = once.withColumn("ord", F.struct("path", "hash")).withColumn("dest", F.concat_ws("/", F.lit(root), "person", F.element_at(F.split("path", "/"), -1)))
+    return catalog.resolve_names(once, taken, "_f").select("person", "hash", "path", F.col("final").alias("link"))
+
+
+def outliers(found: DataFrame) -> DataFrame:
+    """Hashes all of whose faces are noise."""
+    return found.filter("person is null").select("hash").distinct().join(found.filter("person is not null").select("hash"), "hash", "left_anti")
+
 
-    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "id long, person string")
+def face_pipeline(records: DataFrame, extract, cached: DataFrame, root: str, explicit_root: str = "", min_size: int = 2, clusters: DataFrame | None = None, clusters_print: str | None = None, cache_only: bool = False) -> dict[str, DataFrame | str]:
+    """The tables of a run by name.  faces is the cache to keep; with cache_only that is
+    all.  Else members and print are the clustering to keep, album the links to make, outliers
+    the rest."""
+    files = eligible_files(records, explicit_root)
+    faces = face_records(files, cached, extract)
+    if cache_only:
+        return {"faces": faces}
+    found, now = members(good_faces(faces), min_size, clusters, clusters_print)
+    return {"faces": faces, "members": found, "print": now, "album": album(found, files, root), "outliers": outliers(found)}

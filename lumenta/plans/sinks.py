@@ -1,57 +1,26 @@
-"""K04, K06, K07 (one table), K11, K14: reports as text.  Lines are made in Spark; files are written one
-folder per destination, so that no task holds a whole report."""
+"""Sinks for reports: tables of lines as text files, and the index of people."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-COLUMNS = ("name", "type", "make_model", "date", "size", "params", "note", "source")
-
-
-def display_width(text: str) -> int:
-    """East Asian wide characters take two places."""
-    return sum(2 if unicodedata.east_asian_width(c) in "FW" else 1 for c in text)
-
 
-@F.pandas_udf(T.StringType())
-def padded(text: pd.Series, width: pd.Series) -> pd.Series:
-    return pd.Series([(t or "") + " " * max(0, w - display_width(t or "")) for t, w in zip(text, width, strict=True)])
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines (folder, part, key, line) as text under folder=..., in order.  Ranges of the order
+    go to tasks of their own, so a folder of any number of lines is written by many; its part files read in
+    the order of their names are the report."""
+    dealt = lines.repartitionByRange("folder", "part", "key").sortWithinPartitions("folder", "part", "key")
+    dealt.select("folder", "line").write.partitionBy("folder").text(path)
 
-def filelist_lines(records: DataFrame, width: int = 20) -> DataFrame:
-    """(dest_dir, line): the rows of COLUMNS, joined in columns by ' | ', sorted by name."""
-    cells = [padded(F.col(c).cast("string"), F.lit(width)) if c != COLUMNS[-1] else F.col(c).cast("string") for c in COLUMNS]
-    return records.select("dest_dir", "name", F.concat_ws(" | ", *cells).alias("line"))
 
-
-def write_filelists(records: DataFrame, path: str) -> None:
-    lines = filelist_lines(records)
-    lines.repartition("dest_dir").sortWithinPartitions("dest_dir", "name").select("dest_dir", "line").write.partitionBy("dest_dir").text(path)
-
-
-def write_csv_report(records: DataFrame, path: str) -> None:
-    """With a byte order mark in the header, as spreadsheets want it."""
-    first = records.columns[0]
-    records.withColumnRenamed(first, "﻿" + first).write.option("header", True).option("quoteAll", True).csv(path)
+def write_page(lines: DataFrame, path: str) -> None:
+    """A report of one folder as text, without a folder level."""
+    lines.repartitionByRange("part", "key").sortWithinPartitions("part", "key").select("line").write.text(path)
 
 
 def people_index(members: DataFrame) -> DataFrame:
-    """One JSON line per person, from (person, path)."""
+    """One JSON value a person, from (person, path), for people whose files fit into one;
+    reports.people_lines has no such bound."""
     people = members.filter("person is not null").groupBy("person").agg(F.count(F.lit(1)).alias("face_count"), F.array_sort(F.collect_set("path")).alias("files"))
     return people.select(F.to_json(F.struct("person", "face_count", F.size("files").alias("photo_count"), "files")).alias("value"))
-
-
-def html_table(summary: DataFrame, title: str, limit: int = 1000) -> str:
-    """A bounded summary as a page; one of more than limit rows is an error, not cut."""
-    rows = summary.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rows: write them as a table")
-    escape = lambda v: "" if v is None else str(v).replace("&", "&amp;").replace("<", "&lt;")
-    head = "".join(f"<th>{escape(c)}</th>" for c in summary.columns)
-    body = "".join("<tr>" + "".join(f"<td>{escape(v)}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<!DOCTYPE html><meta charset='utf-8'><title>{escape(title)}</title><table><tr>{head}</tr>{body}</table>"

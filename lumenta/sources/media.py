@@ -1,7 +1,8 @@
 """Directories as a table.
 
 A Python data source, since Spark's own file index drops names that begin with _ or a dot,
-which are ordinary photo names.  Each root's first-level folder is one partition.
+which are ordinary photo names.  Folders are opened level by level until there are enough
+for the tasks; each is then one partition.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import dims
+from .containers import file_facts
 
 SCHEMA = "path string, dir string, name string, ext string, size long, mtime timestamp"
+FACTS = ", hash string, tags map<string, string>"
 _MEDIA = frozenset(dims.IMAGE_EXTENSIONS + dims.VIDEO_EXTENSIONS)
 
 
@@ -38,20 +41,24 @@ class _Reader(DataSourceReader):
         self.no_exclude = options.get("noexclude", "false").lower() == "true"
         self.include_hidden = options.get("includehidden", "false").lower() == "true"
         self.every_file = options.get("everyfile", "false").lower() == "true"
+        self.facts = options.get("facts", "false").lower() == "true"
+        self.enough = int(options.get("folders", "256"))
 
     def partitions(self):
-        found: dict[tuple[str, bool], None] = {}  # a folder under two roots is read once
-        for root in self.roots:
-            if not os.path.isdir(root):
-                continue
-            if any(root != r and root.startswith(r + os.sep) for r in self.roots):
-                continue
-            found[root, False] = None
-            with os.scandir(root) as entries:
-                for e in sorted(entries, key=lambda e: e.name):
-                    if e.is_dir(follow_symlinks=False) and not skipped(e.name, self.no_exclude, self.include_hidden):
-                        found[e.path, True] = None
-        return [Folder(*k) for k in found]
+        # a folder under two roots is read once
+        level = [r for r in dict.fromkeys(self.roots) if os.path.isdir(r) and not any(r != o and r.startswith(o + os.sep) for o in self.roots)]
+        opened: list[str] = []
+        while level and len(opened) + len(level) < self.enough:
+            below = []
+            for folder in level:
+                try:
+                    with os.scandir(folder) as entries:
+                        below += [e.path for e in sorted(entries, key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and not skipped(e.name, self.no_exclude, self.include_hidden)]
+                except OSError:
+                    pass  # gone or closed to us: its task finds nothing
+            opened += level
+            level = below
+        return [Folder(f, False) for f in opened] + [Folder(f, True) for f in level]
 
     def read(self, partition) -> Iterator[tuple]:
         for top, folders, names in os.walk(partition.path):
@@ -65,7 +72,8 @@ class _Reader(DataSourceReader):
                     stat = os.stat(path)
                 except OSError:
                     continue  # gone since it was listed
-                yield path, top, name, ext, stat.st_size, datetime.fromtimestamp(stat.st_mtime, timezone.utc)
+                row = path, top, name, ext, stat.st_size, datetime.fromtimestamp(stat.st_mtime, timezone.utc)
+                yield (*row, *file_facts(path, stat.st_size, ext in dims.VIDEO_EXTENSIONS)) if self.facts else row
 
 
 class MediaSource(DataSource):
@@ -76,14 +84,16 @@ class MediaSource(DataSource):
         return "media"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + FACTS * (self.options.get("facts", "false").lower() == "true")
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
 
-def scan(spark: SparkSession, *roots: str, no_exclude: bool = False, include_hidden: bool = False, every_file: bool = False):
-    """Roots that are missing give no rows.  The folders must be visible to the executors."""
+def scan(spark: SparkSession, *roots: str, no_exclude: bool = False, include_hidden: bool = False, every_file: bool = False, facts: bool = False, folders: int = 256):
+    """Roots that are missing give no rows.  The folders must be visible to the executors.  facts
+    adds the sampled hash and the tags, for which the reader seeks in each file; folders says
+    how many to open into partitions at least, where there are so many."""
     spark.dataSource.register(MediaSource)
-    options = {"roots": os.pathsep.join(roots), "noExclude": str(no_exclude), "includeHidden": str(include_hidden), "everyFile": str(every_file)}
+    options = {"roots": os.pathsep.join(roots), "noExclude": str(no_exclude), "includeHidden": str(include_hidden), "everyFile": str(every_file), "facts": str(facts), "folders": str(folders)}
     return spark.read.format("media").options(**options).load()

@@ -1,9 +1,15 @@
 """Catalog queries against their SQL twins, scalar tables, sources and clustering."""
 
+import collections
+import csv
 import datetime as dt
+import html.parser
+import io
+import json
 import math
 import re
 import struct
+import unicodedata
 
 import duckdb
 import numpy as np
@@ -12,8 +18,8 @@ from pyspark.sql import functions as F
 
 from lumenta import harness
 from lumenta.functions import scalars as S
-from lumenta.operators import catalog, people
-from lumenta.plans import sinks
+from lumenta.operators import catalog, people, planning
+from lumenta.plans import reports, sinks
 from lumenta.sources import containers, filelists, media
 from lumenta.streaming import ingest
 
@@ -134,10 +140,85 @@ def test_conflict_chains(spark):
         assert len({x.lower() for x in [*out, *taken]}) == len(out) + len({x.lower() for x in taken})
 
 
-def test_html_table_is_whole(spark):
-    assert sinks.html_table(spark.range(3), "t", 3).count("<td>") == 3
-    with pytest.raises(ValueError):
-        sinks.html_table(spark.range(4), "t", 3)
+def test_numbered(spark):
+    """Ranges number like one window, whatever the ties of the first columns are."""
+    rng = np.random.default_rng(4)
+    rows = [(int(x), k, None if k % 7 == 0 else f"s{k % 5}") for k, x in enumerate(rng.integers(0, 6, 500))]
+    df = spark.createDataFrame(rows, "x int, k int, s string").repartition(5)
+    want = {r.k: r.n for r in catalog.numbered(df, [-F.col("x"), F.col("s"), F.col("k")]).collect()}
+    assert sorted(want.values()) == list(range(1, 501))
+    for size in (13, 100, 499):
+        got = catalog.numbered(df, [-F.col("x"), F.col("s"), F.col("k")], "n", size)
+        assert got.columns == [*df.columns, "n"] and {r.k: r.n for r in got.collect()} == want
+    assert catalog.numbered(df.limit(0), [F.col("k")]).count() == 0
+
+
+def test_deduplicate_against_index(spark):
+    files = spark.createDataFrame([(1, "/a", "h", False), (2, "/b", "h", True), (3, "/c", "g", False), (4, "/d", None, False), (5, "/e", None, False), (6, "/f", "i", False)], "ord int, path string, hash string, x boolean")
+    index = spark.createDataFrame([("g", "/old/c"), ("i", "/f")], "hash string, existing string")
+    got = {r.path: (r.status, r.dup_of) for r in catalog.deduplicate(files, index).collect()}
+    assert got == {"/a": ("ok", None), "/b": ("skipped_dup", "/a"), "/c": ("skipped_dup", "/old/c"), "/d": ("ok", None), "/e": ("skipped_dup", "/d"), "/f": ("ok", None)}
+    own = {r.path: r.status for r in catalog.deduplicate(files, index, special=F.col("x")).collect()}
+    assert own["/b"] == "ok" and own["/c"] == "skipped_dup"
+
+
+def test_companions(spark):
+    a = spark.createDataFrame([("/s/DJI_1.MP4", "/o/x/DJI_1.MP4", 1, "DJI", "FC"), ("/s/DJI_1.MOV", "/o/y/DJI_1.MOV", 2, None, None), ("/t/DJI_2.MP4", "/t/DJI_2.MP4", 3, "", "")], "source string, destination string, ord int, make string, model string")
+    files = spark.createDataFrame([(p, 1) for p in ("/s/DJI_1.SRT", "/s/DJI_1.jpg", "/s/dji_1.lrf", "/s/DJI_1", "/s/DJI_11.SRT", "/t/DJI_2.SRT", "/u/DJI_1.SRT", "/s/DJI_1.a.SRT")], "path string, size int")
+    got = sorted(tuple(r) for r in catalog.companions(a, files).select("source", "destination", "make").collect())
+    assert got == [("/s/DJI_1", "/o/x/DJI_1", "DJI"), ("/s/DJI_1.SRT", "/o/x/DJI_1.SRT", "DJI")]
+
+
+def record_rows(spark):
+    rows = [
+        (1, "/s/a.jpg", "/o/x/a.jpg", "camera", "photo", "Canon", "EOS", "2024-01-01 10:00:00", True, 2048, "ok", "", "h" * 20, None), (2, "/s/b.mp4", "", "phone", "video", "", "", None, False, 10, "skipped_dup", "", "h" * 20, "/s/a.jpg"),
+        (3, "/t/</script>.jpg", "/o/x/c.jpg", "unknown", "photo", "", "", None, False, 5, "error", 'bad "name", it is', "", None), (4, "/t/d.jpg", "/o/y/镜头.jpg", "phone", "photo", "Apple", "", "2024", True, 5, "dry_run", "", "g", None),
+    ]
+    names = "ord int, source string, destination string, device_type string, media_type string, make string, model string, date_taken string, has_exif_date boolean, file_size long, status string, error_msg string, file_hash string, dup_of string"
+    df = spark.createDataFrame(rows, names)
+    return df.withColumns({c: F.lit("") for c in ("iso", "aperture", "shutter", "focal_length", "lens", "gps")})
+
+
+def test_report_files(spark, tmp_path):
+    """What is written is read again: CSV by its reader, the page by a parser, lists by their lines."""
+    df = record_rows(spark)
+    sinks.write_page(reports.csv_lines(df), str(tmp_path / "csv"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "csv").glob("part-*")))
+    rows = list(csv.reader(io.StringIO(text.removeprefix("\ufeff"))))
+    assert rows[0] == list(reports.CSV) and [r[0] for r in rows[1:]] == ["1", "2", "3", "4"] and rows[3][-1] == 'bad "name", it is' and rows[2][12] == "/s/a.jpg"
+    sinks.write_page(reports.html_lines(df, "a report"), str(tmp_path / "html"))
+    page = "".join(p.read_text() for p in sorted((tmp_path / "html").glob("part-*")))
+    seen = collections.Counter()
+
+    class Reader(html.parser.HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            seen[tag] += 1
+
+    Reader().feed(page)
+    assert (seen["section"], seen["table"], seen["script"], seen["input"]) == (5, 4, 2, 9) and seen["tr"] == 5 + 2 + 4 + 1 + 4
+    data = [json.loads(x) for x in re.findall(r"^DATA\.push\((.*)\);$", page, re.M)]
+    assert [d[1] for d in data] == ["/s/a.jpg", "/s/b.mp4", "/t/</script>.jpg", "/t/d.jpg"]
+    sinks.write_lines(reports.filelist_lines(df), str(tmp_path / "lists"))
+    folders = sorted(p for p in (tmp_path / "lists").iterdir() if p.is_dir())
+    assert len(folders) == 2
+    lines = "".join(p.read_text() for p in sorted(folders[1].glob("part-*"))).splitlines()
+    assert lines[:4] == ["# 文件列表 — 共 1 个文件", "# 目标目录: /o/y", lines[2], "#"] and len(lines) == 7
+    assert {sum(2 if unicodedata.east_asian_width(c) in "FW" else 1 for c in x.split(" | ")[0]) for x in (lines[4], lines[6])} == {8}
+    assert spark.createDataFrame([(lines[6],)], "x string").select(filelists.pair(F.col("x"))).first()[0] == ("镜头.jpg", "/t/d.jpg")
+    empty = df.limit(0)
+    assert reports.filelist_lines(empty).count() == 0 and reports.csv_lines(empty).count() == 1 and reports.html_lines(empty, "t").count() > 10
+
+
+def test_wide_characters(spark):
+    texts = ["plain", "镜头", "ｗ", "é", "日本語 x", "", "😀a", "ﾊﾝ"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(S.display_width(F.col("t")).alias("w")).collect()
+    assert [r.w for r in got] == [sum(2 if unicodedata.east_asian_width(c) in "FW" else 1 for c in t) for t in texts]
+
+
+def test_repair_plan(spark):
+    files = [("/a/x.jpg", 1, "p"), ("/a/x_po1.jpg", 1, "p"), ("/a/X_PO2.jpg", 2, "p"), ("/a/y_po1.jpg", 3, "q"), ("/a/y_po2.jpg", 3, "q"), ("/a/y_po3.jpg", 4, "q"), ("/a/po.jpg", 5, "r")]
+    got = {r.path: r.action for r in planning.repair_plan(spark.createDataFrame(files, "path string, size int, hash string")).collect()}
+    assert got == {"/a/x_po1.jpg": "delete", "/a/X_PO2.jpg": "skip", "/a/y_po1.jpg": "rename", "/a/y_po2.jpg": "delete", "/a/y_po3.jpg": "skip"}
 
 
 def test_scan(spark, tmp_path):
@@ -147,6 +228,22 @@ def test_scan(spark, tmp_path):
     names = sorted(r.name for r in media.scan(spark, str(tmp_path), str(tmp_path / "x"), "/missing").collect())
     assert names == [".a.jpg", "_DSC1.JPG", "e.mp4"]
     assert media.scan(spark, str(tmp_path), no_exclude=True).count() == 5
+    for folders in (1, 2, 3, 1000):
+        assert sorted(r.name for r in media.scan(spark, str(tmp_path), folders=folders).collect()) == names
+
+
+def test_scan_facts(spark, tmp_path):
+    """Hash and tags of a file are those of its bytes, though only parts of it are read."""
+    user = box(b"udta", box(b"\xa9mak", struct.pack(">HH", 5, 0) + b"Maker"))
+    mvhd = box(b"mvhd", b"\0\0\0\0" + struct.pack(">I", 2082844800 + 1_700_000_000))
+    movie = box(b"ftyp", b"qt  ") + box(b"mdat", bytes(range(256)) * 400) + box(b"moov", mvhd + user)
+    tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 1) + struct.pack("<HHII", 0x010F, 2, 6, 40) + b"\0" * 4
+    photo = b"\xff\xd8\xff\xe1\0\x50Exif\0\0" + tiff.ljust(40, b"\0") + b"Canon\0" + b"x" * 50_000
+    for name, data in (("a.mp4", movie), ("b.jpg", photo), ("c.jpg", b"")):
+        (tmp_path / name).write_bytes(data)
+    got = {r.name: (r.hash, r.tags) for r in media.scan(spark, str(tmp_path), facts=True).collect()}
+    assert got["a.mp4"] == (containers.content_hash(movie), {"creation_time": "2023-11-14 22:13:20", "make": "Maker"})
+    assert got["b.jpg"] == (containers.content_hash(photo), {"make": "Canon"}) and got["c.jpg"][1] == {}
 
 
 def box(kind, body):
@@ -156,6 +253,8 @@ def box(kind, body):
 def test_containers():
     mvhd = box(b"mvhd", b"\0\0\0\0" + struct.pack(">I", 2082844800 + 1_700_000_000))
     data = box(b"ftyp", b"x") + box(b"moov", mvhd + box(b"udta", box(b"\xa9mak", struct.pack(">HH", 3, 0) + b"DJI")))
+    for body, want in ((struct.pack(">HH", 5, 0) + b"abcde", "abcde"), (struct.pack(">HH", 9, 0) + b"abcdefg", "abcde"), (struct.pack(">HHI", 0, 0, 0) + b"later", "later"), (b"ab", ""), (b"", "")):
+        assert containers.parse_boxes(box(b"udta", box(b"\xa9mod", body))) == ({"model": want} if want else {})
     assert containers.parse_boxes(data) == {"creation_time": "2023-11-14 22:13:20", "make": "DJI"}
     assert containers.parse_boxes(data + b"\0\0\0\3abcd") == containers.parse_boxes(data)
     tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 2) + struct.pack("<HHII", 0x010F, 2, 6, 40) + struct.pack("<HHII", 0x8827, 3, 1, 200) + b"\0\0\0\0"
@@ -220,6 +319,46 @@ def test_clusters(spark):
     assert people.cluster_people(df, min_size=4).filter("person is not null").select("person").distinct().count() == 3
 
 
+def test_clusters_in_blocks(spark):
+    """Dealt to blocks, the same clusters come out."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + rng.normal(0, 0.05, (30, 6)) for c in np.eye(6)[:4]] + [rng.normal(0, 1, (20, 6))])
+    df = spark.createDataFrame([(int(i) * 3, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(3)
+    want = {r.id: r.person for r in people.cluster_people(df, min_size=5).collect()}
+    assert len(set(want.values())) >= 4
+    for block in (23, 70):
+        assert {r.id: r.person for r in people.cluster_people(df, min_size=5, block=block).collect()} == want
+    assert people.cluster_people(df.limit(0)).count() == 0 and people.cluster_people(df.limit(1)).first().person is None
+
+
+def test_face_pipeline(spark):
+    """Only files without a cached record are looked at; the clustering is taken again as long as
+    the files are the same; links of one name get numbers."""
+    a, b = ([1.0, 0.0, 0.02], [0.0, 1.0, 0.02])
+
+    def face(v, score=0.9, side=50):
+        return {"bbox": [0, 0, side, side], "embedding": containers.vector_text(np.array(v)), "score": score}
+
+    seen = {"/o/x/1.jpg": [face(a)], "/o/y/1.jpg": [face(a), face(a)], "/o/x/2.jpg": [face(b)], "/o/x/3.jpg": [face(b), face(a, 0.2), face(a, side=20)], "/o/x/4.jpg": []}
+    rows = [(k, p, f"h{k}", "ok") for k, p in enumerate(seen)] + [(9, "/o/x/v.mp4", "h9", "ok"), (10, "/o/x/5.jpg", "h10", "error"), (11, "/o/nsfw/6.jpg", "h11", "ok")]
+    recs = spark.createDataFrame(rows, "ord int, destination string, file_hash string, status string")
+    cached = spark.createDataFrame([("h4", [], True), ("gone", [], True)], people.FACES)
+    extract = lambda: lambda path: seen[path]
+    only = people.face_pipeline(recs, extract, cached, "/all", "/O/nsfw", cache_only=True)
+    assert list(only) == ["faces"] and {r.hash: r.no_face for r in only["faces"].collect()} == {"h0": False, "h1": False, "h2": False, "h3": False, "h4": True}
+    run = people.face_pipeline(recs, extract, cached, "/all", "/O/nsfw")
+    found = collections.defaultdict(set)
+    for r in run["members"].collect():
+        found[r.person].add(r.hash)
+    assert sorted(map(sorted, found.values())) == [["h0", "h1"], ["h2", "h3"]]
+    links = sorted((r.person, r.path, r.link) for r in run["album"].collect())
+    assert [x[1] for x in links if x[1].endswith("1.jpg")] == ["/o/x/1.jpg", "/o/y/1.jpg"] and [x[2].rpartition("/")[2] for x in links if x[1].endswith("1.jpg")] == ["1.jpg", "1_f1.jpg"]
+    assert run["outliers"].count() == 0
+    again, now = people.members(people.good_faces(run["faces"]), 2, cached, run["print"])
+    assert again is cached and now == run["print"]
+    assert people.members(people.good_faces(run["faces"]), 3, cached, run["print"])[0] is not cached
+
+
 def test_cascade(spark):
     df = spark.createDataFrame([(k / 10,) for k in range(10)], "x double")
     out = {r.x: r.score for r in people.cascade(df, "x", lambda: lambda s: s, lambda: lambda s: s * 0 + 7).collect()}
