@@ -195,7 +195,7 @@ def test_report_files(spark, tmp_path):
             seen[tag] += 1
 
     Reader().feed(page)
-    assert (seen["section"], seen["table"], seen["script"], seen["input"]) == (5, 4, 2, 9) and seen["tr"] == 5 + 2 + 4 + 1 + 4
+    assert (seen["section"], seen["table"], seen["script"], seen["input"]) == (5, 4, 2, 9) and seen["tr"] == 5 + 3 + 4 + 1 + 4
     data = [json.loads(x) for x in re.findall(r"^DATA\.push\((.*)\);$", page, re.M)]
     assert [d[1] for d in data] == ["/s/a.jpg", "/s/b.mp4", "/t/</script>.jpg", "/t/d.jpg"]
     sinks.write_lines(reports.filelist_lines(df), str(tmp_path / "lists"))
