@@ -129,3 +129,35 @@ def query(spark, sf_dir: str) -> DataFrame:
         joined(F.col("spans")).alias("labels"),
         F.coalesce(F.array_max(F.transform("spans", lambda s: s["cover"])), F.lit(0.0)).alias("score"),
     )
+
+
+_ROWS = ", ".join(f"({k}, '{label}', {str(k < len(BASE)).lower()}, string_split('{phrase}', ' '))" for k, (phrase, label) in enumerate(BASE + NOTICES))
+ORACLE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+f(k, label, base, w) AS (VALUES {_ROWS}),
+t AS (SELECT k, label, base, len(w) - 1 AS size, unnest(range(1, len(w))) AS i, w FROM f),
+g AS (SELECT r, unnest(range(1, len(w))) AS i, w FROM d),
+v AS (
+  SELECT g.r, k, label, base, size, g.i - 1 AS p, t.i - 1 AS pos
+  FROM (SELECT r, i, w[i] AS a, w[i + 1] AS b FROM g) g JOIN (SELECT *, w[i] AS a, w[i + 1] AS b FROM t) t USING (a, b)),
+x AS (
+  SELECT r, k, label, base, size, p - pos AS diagonal, count(DISTINCT pos) AS n, min(pos) AS low, max(pos) AS high, min(p) AS s, max(p) + 2 AS e
+  FROM v GROUP BY ALL),
+y AS (
+  SELECT *, CASE WHEN s - lag(e) OVER o > {GAP} OR abs(diagonal - lag(diagonal) OVER o) > {NEAR} OR low <= lag(high) OVER o OR lag(e) OVER o IS NULL THEN 1 ELSE 0 END AS new
+  FROM x WHERE NOT base WINDOW o AS (PARTITION BY r, k ORDER BY s, diagonal)),
+z AS (SELECT *, sum(new) OVER (PARTITION BY r, k ORDER BY s, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM y),
+m AS (SELECT r, label, size, sum(n)::DOUBLE / size AS cover, min(s) AS s, max(e) AS e FROM z GROUP BY r, k, label, size, span),
+q AS (SELECT r, label, cover, s, e FROM m WHERE cover >= {MIN_COVER} AND e - s <= 2 * (size + 1)),
+a AS (
+  SELECT r, label, true AS base, s, 1.0::DOUBLE AS cover FROM x WHERE base AND n = size
+  UNION ALL
+  SELECT r, label, false, s, cover FROM q WHERE cover = 1 OR NOT EXISTS (SELECT 1 FROM q o WHERE o.r = q.r AND o.cover > q.cover AND o.s < q.e AND q.s < o.e))
+SELECT d.doc_id, any_value(len(d.w))::BIGINT AS n_words, count(*) FILTER (WHERE a.base)::BIGINT AS n_base,
+       min(a.s) FILTER (WHERE a.base)::BIGINT AS first_word, max(a.s) FILTER (WHERE a.base)::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(list_distinct(list(a.label) FILTER (WHERE a.base))), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list(a.label) FILTER (WHERE a.label IS NOT NULL))), ','), '') AS labels, coalesce(max(a.cover), 0) AS score
+FROM d LEFT JOIN a USING (r) GROUP BY d.r, d.doc_id
+"""

@@ -76,7 +76,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the text cut, and _lm_lines (lines before) and _lm_removed added.
 
     A null text stays null and has one (empty) line; a text whose lines all go becomes
-    empty.  Rows that repeat an id and text are the same document: one row does not remove
+    empty; a text of any length is cut whole, in one task.  No rows give no rows.  Extra
+    columns are kept, but for names that begin with _lm_, which the operator uses.  Rows that repeat an id and text are the same document: one row does not remove
     another's lines.  Rows that repeat an id with other text are documents of their own, in
     the order of a hash; so is each row without an id, and those sort last.
     """

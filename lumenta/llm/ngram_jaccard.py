@@ -489,4 +489,25 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return ngram_jaccard(table(spark, sf_dir, "documents"))
+    return ngram_jaccard(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: md5_number(array_to_string(w[i : i + 4], ' ')))
+                                 WHEN len(w) > 0 THEN [md5_number(array_to_string(w, ' '))] ELSE [] END) AS x FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+l AS (
+  SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.x = b.x AND a.r < b.r JOIN n p ON p.r = a.r JOIN n q ON q.r = b.r
+  WHERE 100 * least(p.n, q.n) >= 75 * greatest(p.n, q.n)
+  GROUP BY a.r, b.r HAVING 100 * count(*) >= 75 * (any_value(p.n) + any_value(q.n) - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT r, r AS o FROM d UNION SELECT c.r, e.b FROM c JOIN e ON e.a = c.o),
+m AS (SELECT r, min(o) AS o FROM c GROUP BY r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, f.doc_id AS component_id
+FROM d LEFT JOIN n USING (r) JOIN m USING (r) JOIN d f ON f.r = m.o
+"""

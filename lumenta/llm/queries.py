@@ -18,6 +18,9 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_url_filter": url_filter.ORACLE,
+    "op3_license_scan": license_scan.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op8_ngram_jaccard": ngram_jaccard.ORACLE,
     "op9_source_mixing": source_mixing.ORACLE,
+    "op10_suffix_dedup": suffix_dedup.ORACLE,
 }

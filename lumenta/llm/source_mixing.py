@@ -17,9 +17,11 @@ MAX_RATE = 3
 SEED = "mix-1"
 
 
-def draw(id_col: str, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the id; 48 bits of an MD5, so any engine can repeat it."""
-    key = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+def draw(id_col: str, text_col: str = "text", seed: str = SEED) -> Column:
+    """A number in [0, 1) from the id, or from the text where there is none; 48 bits of an MD5,
+    so any engine can repeat it."""
+    own = F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    key = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), own))
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
@@ -67,16 +69,18 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     per = durable(targets(sized.select(F.col(source_col).alias("source"), F.col("_lm_size").alias("size"))), "mix-targets")
     per = per.select(F.col("source").alias("_lm_s"), F.col("source_size").alias("_lm_source_size"), F.col("target").alias("_lm_target"), F.col("rate").alias("_lm_rate"))
     whole = F.floor("_lm_rate")
-    copies = whole + F.when(draw(id_col) < F.col("_lm_rate") - whole, 1).otherwise(0)
+    copies = whole + F.when(draw(id_col, text_col) < F.col("_lm_rate") - whole, 1).otherwise(0)
     return sized.join(per, F.col(source_col).eqNullSafe(F.col("_lm_s"))).withColumn("_lm_copies", copies.cast("long")).drop("_lm_s", "_lm_rate")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs, each row as often as the mix takes it (0 to 3 times), with its own columns.
 
-    A null text has size 0; sources are compared as they are, null is one of its own.  Rows
-    that repeat an id draw the same number.  No rows give no rows; a source without tokens
-    has target and rate 0 and is not taken.
+    A null text has size 0; a text of any length counts whole; sources are compared as they
+    are, null is one of its own.  Rows that repeat an id draw the same number; rows without an
+    id draw by their text, so that they do not all come or go together.  No rows give no rows;
+    a source without tokens has target and rate 0 and is not taken.  Extra columns are kept,
+    but for names that begin with _lm_, which the operator uses.
     """
     mixed = plan(docs, id_col, text_col, source_col)
     return mixed.withColumn("_lm_copy", F.explode(F.array_repeat(F.lit(0), F.col("_lm_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -91,7 +95,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = rf"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS own, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [1, 2, 3][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS weight
@@ -113,7 +117,7 @@ g AS (
 r AS (
   SELECT d.doc_id, d.size, g.source_size, g.target,
          CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS u
+         ('0x' || substr(md5('{SEED}:' || d.own), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS u
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
        (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken

@@ -337,3 +337,22 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, unnest(range(0, len(h) // 2 - 99)) AS i, h FROM d WHERE len(h) >= 200),
+x AS (
+  SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY r, i) AS n
+  FROM (SELECT r, i, md5_number(substr(h, 2 * i + 1, 200)) AS k FROM w)),
+c AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM x WHERE n > 1),
+g AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i - p > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM c),
+s AS (SELECT r, g, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY r, g),
+k AS (SELECT r, s.a, s.b, coalesce(lag(s.b) OVER (PARTITION BY r ORDER BY s.a), 0) AS f FROM s),
+t AS (
+  SELECT r, sum(b - a)::BIGINT AS n, count(*) AS m, max(b) AS z, string_agg(substr(d.h, 2 * f + 1, 2 * (a - f)::BIGINT), '' ORDER BY a) AS q
+  FROM k JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(m, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE q || substr(h, 2 * z + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""

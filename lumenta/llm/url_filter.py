@@ -162,7 +162,9 @@ def url_filter(pages: DataFrame, rules=RULES, blocked=BLOCKED_HOSTS, id_col: str
 
     A null url, or one without "://", has an empty host and path, no rule, and is allowed.
     The longest rule wins; of two of one length the one met first in the order of host
-    labels.  Repeated rows are judged alike.  Other columns of pages are not read.
+    labels.  A url of any length is judged whole.  Repeated rows are judged alike, a null
+    page_id stays null, and no rows give no rows.  Other columns of pages are not read,
+    whatever their names.
     """
     verdicts = {h + p: v for v, h, p in rules}
     lengths = sorted({len(p) for _, _, p in rules})
