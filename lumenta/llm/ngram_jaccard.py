@@ -4,7 +4,9 @@ Documents become sets of hashed word shingles; documents with equal sets are one
 Exact prefix filtering brings together the classes that can link at all: under one global
 order of shingles, two sets of Jaccard similarity t share a shingle among the first
 n - ceil(t n) + 1 of each.  The order puts shingles that many documents hold last, so a
-line that a third of the corpus repeats is no meeting point.
+line that a third of the corpus repeats is no meeting point.  Each set also knows how many
+of its shingles follow: no pair shares more from its first common shingle on, so most pairs
+that meet late in their orders need no comparison there.
 
 Each meeting shingle is one or more size-banded tiles.  A tile's members are sorted by
 set size; for each, only the band of sizes that the threshold allows is compared, by
@@ -24,8 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import NOT_WHITE, Bytes, discard, durable, from_key, grams, mix, row_keyed, signed, small_batches, table, text_slices
 from .components import connected
@@ -40,8 +44,10 @@ COMMON_IN_BATCH = 4
 COUNTED_TOGETHER = 2_000_000
 #: Members of a block and shingles in their sets; a larger group is dealt to several tiles.
 TILE, TILE_SHINGLES = 2048, 2_000_000
+#: Shingles in the sets whose signatures one task compares in one go.
+ROUTE_SHINGLES = 64_000_000
 #: Bits of the signature for each shingle, and the largest signature in 64-bit words.
-BITS_PER_SHINGLE, MAX_SIGNATURE_WORDS = 8, 2048
+BITS_PER_SHINGLE, MAX_SIGNATURE_WORDS = 4, 2048
 
 
 def shingle_sets(batch: pa.RecordBatch, column: str, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -155,7 +161,7 @@ def _prefixes(column: str, common, percent: int):
                 early = size - (before[cut[1:]] - before[cut[:-1]])
                 place = np.where(late, early[row] + late_before, np.arange(len(late)) - cut[:-1][row] - late_before)
                 chosen = place < keep[row]
-                yield pa.RecordBatch.from_arrays([signed(shingles[chosen]), pa.array(nodes[row[chosen]])], names=["token", "node"])
+                yield pa.RecordBatch.from_arrays([signed(shingles[chosen]), pa.array(nodes[row[chosen]]), pa.array((size[row] - place)[chosen].astype(np.int32))], names=["token", "node", "rest"])
 
     return run
 
@@ -244,10 +250,11 @@ def grow(arrays: list[np.ndarray], root: np.ndarray, percent: int) -> list[tuple
     return out
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Rows sorted by keys as one table a key; a key may span batches."""
+def _by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], at_least: int = 1) -> Iterator[pa.Table]:
+    """Rows sorted by keys as tables of whole keys, of one key each or, if at_least is given, of
+    as many as it takes to have so many rows; a key may span batches."""
     held: list[pa.RecordBatch] = []
-    last = None
+    last, rows = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -255,18 +262,74 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         new = np.zeros(batch.num_rows - 1, bool)
         for v in values:
             new |= v[1:] != v[:-1]
-        cuts = np.r_[0, np.flatnonzero(new) + 1, batch.num_rows].tolist()
-        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-            now = tuple(v[start] for v in values)
-            if held and now != last:
+        cuts = np.r_[0, np.flatnonzero(new) + 1, batch.num_rows]
+        if at_least > 1:  # the first key, all whole keys together, the last one
+            cuts = np.unique(np.r_[cuts[:2], cuts[-2:]])
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if held and tuple(v[start] for v in values) != last and rows >= at_least:
                 yield pa.Table.from_batches(held)
-                held = []
-            last = now
+                held, rows = [], 0
+            last = tuple(v[end - 1] for v in values)
             held.append(batch.slice(start, end - start))
+            rows += end - start
     if held:
         yield pa.Table.from_batches(held)
 
 
+def _fits(token: np.ndarray, tile: np.ndarray, n: np.ndarray, root: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows, sorted by tile and size, may have a partner in their tile."""
+    new = np.r_[True, (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])]
+    group = np.cumsum(new)
+    run = np.cumsum(np.r_[True, new[1:] | (root[1:] != root[:-1])]) - 1  # of one component in one tile
+    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    last = np.r_[first[1:], len(n)] - 1
+    # sizes that a partner may have if this is the first common shingle
+    least = -(-percent * n // 100)
+    most = np.minimum(100 * n // percent, rest.astype(np.int64) * (100 + percent) // percent - n)
+    # the nearest larger and the nearest smaller set of another component
+    after, before = np.minimum(last[run] + 1, len(n) - 1), np.maximum(first[run] - 1, 0)
+    fits = (group[after] == group) & (root[after] != root) & (n[after] <= most)
+    fits |= (group[before] == group) & (root[before] != root) & (n[before] >= least)
+    by_size = (group << np.int64(40)) + n
+    low = np.searchsorted(by_size, (group << np.int64(40)) + least)
+    high = np.searchsorted(by_size, (group << np.int64(40)) + np.maximum(most, 0), side="right")
+    return fits & (high - low > (n <= most))
+
+
+def _partners(percent: int, room: int):
+    """Of rows sorted by tile and size, those with a partner of another component in their band
+    of sizes; the others need no signature.  Adds the smallest node of the tile as its route:
+    tiles of much the same members have one route, where each member's signature is sent once.
+    A task gives a part of a route sets of `room` shingles, then begins another part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = (TaskContext.get().partitionId() + 1) << 32
+        used: dict[int, int] = {}
+        for t in _by_key(batches, ("token", "tile"), 20_000):
+            t = t.combine_chunks()
+            while t.num_rows:  # a row that goes may have been the last partner of another
+                fits = _fits(*(t.column(c).to_numpy() for c in ("token", "tile", "n", "root", "rest")), percent)
+                if fits.all():
+                    break
+                t = t.filter(pa.array(fits))
+            if not t.num_rows:
+                continue
+            token, tile, n = (t.column(c).to_numpy() for c in ("token", "tile", "n"))
+            start = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])])
+            routes = np.minimum.reduceat(t.column("node").to_numpy(), start)
+            parts = []
+            for route, size in zip(routes.tolist(), np.add.reduceat(n, start).tolist(), strict=True):
+                full = used.get(route, 0) // room
+                parts.append(task + full if full else 0)
+                used[route] = used.get(route, 0) + size
+            count = np.diff(np.r_[start, len(n)])
+            for name, column in (("route", routes), ("part", np.array(parts))):
+                t = t.append_column(name, pa.array(np.repeat(column, count)))
+            yield from t.to_batches()
+
+    return run
+
+
 def _links(percent: int):
     """Rows (cluster, node, root, shingles) sorted by cluster to links."""
 
@@ -289,8 +352,8 @@ def _clusters(group: dict[str, np.ndarray], percent: int) -> np.ndarray:
     """A label for each member of a tile: those that pairs of different components, which the
     signatures cannot rule out, connect have one label; -1 for a member of no such pair."""
     order = np.lexsort((group["node"], group["n"]))
-    n, root, side = (group[k][order] for k in ("n", "root", "side"))
-    marks = [np.frombuffer(group["mark"][i], np.uint64) for i in order]
+    n, root, side, rest = (group[k][order] for k in ("n", "root", "side", "rest"))
+    marks = [group["mark"][i] for i in order]
     split = bool(side.min() != side.max())
     label = np.arange(len(n))
     alone = np.ones(len(n), bool)
@@ -301,6 +364,7 @@ def _clusters(group: dict[str, np.ndarray], percent: int) -> np.ndarray:
             continue
         band = np.arange(i + 1, top)
         band = band[(root[band] != root[i]) & (label[band] != label[i])]
+        band = band[(100 + percent) * np.minimum(rest[band], rest[i]) >= percent * (n[band] + n[i])]
         if split:
             band = band[side[band] != side[i]]
         if not len(band):
@@ -321,29 +385,40 @@ def _clusters(group: dict[str, np.ndarray], percent: int) -> np.ndarray:
 
 
 def _tiles(percent: int):
-    """Rows sorted by tile to clusters (cluster, node, root); equal sets of members have one
-    cluster, so that tiles which find the same members can be told."""
+    """Rows sorted by route, the signatures (kind 0) before the tiles, to clusters (cluster,
+    node, root); equal sets of members have one cluster, so that tiles which find the same
+    members can be told."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_key(batches, ("token", "tile")):
-            if t.num_rows < 2:
-                continue
-            group = {k: t.column(k).to_numpy() for k in ("node", "n", "root", "side")} | {"mark": t.column("mark").to_pylist()}
-            label = _clusters(group, percent)
-            order = np.flatnonzero(label >= 0)
-            if not len(order):
-                continue
-            order = order[np.lexsort((group["node"][order], label[order]))]
-            cut = np.flatnonzero(np.r_[True, np.diff(label[order]) > 0])
-            node = group["node"][order]
-            cluster = np.repeat(nodes_of(node.view(np.uint64), np.r_[cut, len(order)]), np.diff(np.r_[cut, len(order)]))
-            yield pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(node), pa.array(group["root"][order])], names=["cluster", "node", "root"])
+        for t in _by_key(batches, ("route", "part")):
+            kind = t.column("kind").to_numpy()
+            sent = int(np.searchsorted(kind, 1))
+            known = t.column("node").to_numpy()[:sent]
+            order = np.argsort(known)
+            known = known[order]
+            marks = [np.frombuffer(m, np.uint64) for m in t.column("mark").slice(0, sent).to_pylist()]
+            rows = {k: t.column(k).to_numpy()[sent:] for k in ("token", "tile", "node", "n", "rest", "root", "side")}
+            cuts = np.flatnonzero(np.r_[True, (rows["token"][1:] != rows["token"][:-1]) | (rows["tile"][1:] != rows["tile"][:-1]), True])
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                group = {k: v[start:end] for k, v in rows.items()}
+                group["mark"] = [marks[i] for i in order[np.searchsorted(known, group["node"])].tolist()]
+                yield from _named(group, _clusters(group, percent))
+
+    def _named(group: dict, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.flatnonzero(label >= 0)
+        if not len(order):
+            return
+        order = order[np.lexsort((group["node"][order], label[order]))]
+        cut = np.r_[np.flatnonzero(np.r_[True, np.diff(label[order]) > 0]), len(order)]
+        node = group["node"][order]
+        cluster = np.repeat(nodes_of(node.view(np.uint64), cut), np.diff(cut))
+        yield pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(node), pa.array(group["root"][order])], names=["cluster", "node", "root"])
 
     return run
 
 
 def _dealt(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Rows (token, node, n, root) with their tiles.  A group of several blocks is dealt by its
+    """Rows (token, node, n, rest, root) with their tiles.  A group of several blocks is dealt by its
     largest component: its own members need not meet each other, so each block of them is
     one tile with each block of the others, and only those are paired among themselves."""
     rows = rows.join(tokens.select("token", F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).alias("blocks")), "token")
@@ -365,7 +440,7 @@ def _dealt(rows: DataFrame, tokens: DataFrame) -> DataFrame:
         .otherwise(first + F.col("own") * F.col("mine") + F.col("k") - F.col("others"))
     )
     side = F.when(F.col("major").isNull() | (~of_major & among & (F.col("own") == F.col("k"))), 0).when(of_major | (among & (F.col("own") < F.col("k"))), 1).otherwise(2)
-    return rows.select("token", tile.cast("long").alias("tile"), "node", "n", "root", side.cast("long").alias("side"))
+    return rows.select("token", tile.cast("long").alias("tile"), "node", "n", "rest", "root", side.cast("long").alias("side"))
 
 
 def linked(base: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -383,7 +458,7 @@ def linked(base: DataFrame, percent: int = PERCENT) -> DataFrame:
     ]  # at most COMMON_SHARE times the mean set size
     last = spark.sparkContext.broadcast(np.sort(np.array(common, np.int64).view(np.uint64)))
 
-    rows = durable(base.mapInArrow(_prefixes("_lm_text", last, percent), "token long, node long"), "jaccard-prefixes")
+    rows = durable(base.mapInArrow(_prefixes("_lm_text", last, percent), "token long, node long, rest int"), "jaccard-prefixes")
     meeting = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("token")
     meeting = durable(meeting, "jaccard-meeting")  # with an exchange on either side, hot shingles are split when joined
     meets = durable(rows.join(meeting, "token").distinct(), "jaccard-meets")
@@ -397,7 +472,7 @@ def linked(base: DataFrame, percent: int = PERCENT) -> DataFrame:
     def arrays_of(nodes: DataFrame, tag: str) -> DataFrame:
         """(node, shingles, mark): the exact sorted arrays of some classes."""
         wanted = nodes.distinct().join(classes, "node").select("node", F.col("doc").alias("_lm_doc"), F.col("row").alias("_lm_row"))
-        texts = base.join(wanted.hint("merge"), ["_lm_doc", "_lm_row"]).dropDuplicates(["_lm_doc", "_lm_row"])
+        texts = base.join(wanted, ["_lm_doc", "_lm_row"]).dropDuplicates(["_lm_doc", "_lm_row"])
         return durable(texts.select("node", "_lm_text").mapInArrow(_sets("_lm_text"), "node long, shingles binary, mark binary"), tag)
 
     ranked = meets.join(central.select("node", "n", "q"), "node")
@@ -418,24 +493,29 @@ def linked(base: DataFrame, percent: int = PERCENT) -> DataFrame:
     discard(stars, arrays)
     roots = durable(connected(links, "jaccard-roots"), "jaccard-roots")
 
-    open_rows = ranked.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+    open_rows = ranked.join(roots, "node", "left").select("token", "node", "n", "rest", F.coalesce("root", "node").alias("root"))
     open_tokens = (
         open_rows.groupBy("token")
         .agg(
             F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.min("n").alias("least"), F.max("n").alias("most"),
-            F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"), F.min("node").alias("first"), F.max("node").alias("last"),
+            F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"), F.min("node").alias("first"), F.max("node").alias("last"), F.sum("rest").alias("rest"),
         )
         .filter("lo != hi")
         .filter((F.col("members") > 2) | (100 * F.col("least") >= percent * F.col("most")))
-        .groupBy("members", "shingles", "one", "two", "first", "last")  # shingles that the same classes share are one tile
-        .agg(F.min("token").alias("token"))
+        .groupBy("members", "shingles", "one", "two", "first", "last")  # of shingles that the same classes share the first in order is the tile
+        .agg(F.max_by("token", "rest").alias("token"))
     )
     open_rows, open_tokens = durable(open_rows, "jaccard-open"), durable(open_tokens, "jaccard-open-tokens")
     discard(meets, central)
-    marks = seen.filter("not common").select("node", "mark").dropDuplicates(["node"])
-    tiles = durable(_dealt(open_rows, open_tokens), "jaccard-tiles")
+    tiles = _dealt(open_rows, open_tokens).repartition("token", "tile").sortWithinPartitions("token", "tile", "n")
+    room = max(1, ROUTE_SHINGLES // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tiles = durable(tiles.mapInArrow(_partners(percent, room), T.StructType([*tiles.schema.fields, T.StructField("route", T.LongType()), T.StructField("part", T.LongType())])), "jaccard-tiles")
     discard(open_rows, open_tokens)
-    dealt = tiles.join(marks.hint("merge"), "node").repartition("token", "tile").sortWithinPartitions("token", "tile")
+    marks = seen.filter("not common").select("node", "mark").join(tiles.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sent = tiles.select("route", "part", "node").distinct().join(marks, "node").withColumn("kind", F.lit(0))
+    both = tiles.withColumn("kind", F.lit(1)).unionByName(sent, allowMissingColumns=True)
+    dealt = both.repartition("route", "part").sortWithinPartitions("route", "part", "kind", "token", "tile")
+    dealt = dealt.select("route", "part", "kind", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("token", "tile", "node", "n", "rest", "root", "side")], "mark")
     clusters = durable(dealt.mapInArrow(_tiles(percent), "cluster long, node long, root long").distinct(), "jaccard-clusters")
     discard(tiles)
     arrays = arrays_of(clusters.select("node"), "jaccard-cluster-sets")

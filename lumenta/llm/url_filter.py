@@ -14,10 +14,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bytes, durable, mix, table, text_slices
+from .common import Bytes, discard, durable, mix, table, text_slices
 
 #: (verdict, host, path): fits the host and its subdomains where the path starts so.
 RULES = (
@@ -31,7 +32,7 @@ RULES = (
 BLOCKED_HOSTS = tuple(
     f"{name}.example.{top}" for name in ("spam-farm", "cheap-pills", "casino-win", "adult-x", "ads-track", "free-bets") for top in ("com", "net", "org")
 )
-#: Listed keys that a session may hold; the cascade takes about five bits for each.
+#: Listed keys that a cascade is made of, about five bits each; more hosts are joined instead.
 MAX_LISTED = 20_000_000
 
 
@@ -104,9 +105,6 @@ def _accepted(level):
 
 def build_cascade(universe: DataFrame, listed: Iterable[str]) -> Cascade:
     """universe: a column key, each key once."""
-    listed = list(listed)
-    if len(listed) > MAX_LISTED:
-        raise ValueError(f"more than {MAX_LISTED} listed keys; split the list")
     cascade = Cascade(listed)
     cascade.start(universe.count())
     level = universe.sparkSession.sparkContext.broadcast(cascade.levels[0])
@@ -131,46 +129,57 @@ def _suffixes(host: Column, labels: int) -> Column:
     return F.array_distinct(at_most)
 
 
-def _judge(rules, hosts, verdicts: dict[str, str]):
+def _judge(rules, blocking, hosts):
+    """Each page's longest rule, whether it blocks, and whether a host of it is listed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             keys, suffixes = batch.column("_lm_keys"), batch.column("_lm_hosts")
-            best: list[str | None] = [None] * n
-            member = rules.value.holds(_hashes(keys.flatten()))
-            row = np.repeat(np.arange(n), np.diff(keys.offsets.to_numpy()))
             text = keys.flatten()
-            for k in np.flatnonzero(member).tolist():
-                key = text[k].as_py()
-                if best[row[k]] is None or len(key) > len(best[row[k]]):
-                    best[row[k]] = key
-            listed = np.zeros(n, bool)
-            row = np.repeat(np.arange(n), np.diff(suffixes.offsets.to_numpy()))
-            listed[row[hosts.value.holds(_hashes(suffixes.flatten()))]] = True
-            verdict = [verdicts[b] if b is not None else "block" if listed[i] else "allow" for i, b in enumerate(best)]
+            row = np.repeat(np.arange(n), np.diff(keys.offsets.to_numpy()))
+            hashes = _hashes(text)
+            fits = np.flatnonzero(rules.value.holds(hashes))
+            length = pc.utf8_length(text.take(pa.array(fits))).to_numpy() if len(fits) else fits
+            fits = fits[np.lexsort((fits, -length, row[fits]))]
+            fits = fits[np.r_[True, row[fits][1:] != row[fits][:-1]]] if len(fits) else fits  # the longest of a row
+            best, blocks, listed = np.full(n, -1), np.zeros(n, bool), np.zeros(n, bool)
+            best[row[fits]] = fits
+            blocks[row[fits]] = blocking.value.holds(hashes[fits])
+            if hosts is not None:
+                row = np.repeat(np.arange(n), np.diff(suffixes.offsets.to_numpy()))
+                listed[row[hosts.value.holds(_hashes(suffixes.flatten()))]] = True
+            rule = text.take(pa.array(best, mask=best < 0)).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array(best, pa.string()), pa.array(verdict, pa.string()), pa.array(listed)],
-                names=["page_id", "host", "path", "rule", "verdict", "listed"],
+                [batch.column("page_id"), batch.column("host"), batch.column("path"), rule, pa.array(blocks), pa.array(listed)], names=["page_id", "host", "path", "rule", "blocks", "listed"]
             )
 
     return run
 
 
-def url_filter(pages: DataFrame, rules=RULES, blocked=BLOCKED_HOSTS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, blocked: Iterable[str] | DataFrame = BLOCKED_HOSTS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: page_id, host, path, rule (null if none fits), verdict and listed
     (the host or a parent is in the list).
 
-    A null url, or one without "://", has an empty host and path, no rule, and is allowed.
-    The longest rule wins; of two of one length the one met first in the order of host
+    blocked is a list of hosts, or a table with a column host; the hosts of a table of more
+    than MAX_LISTED are joined with the pages' different hosts instead of broadcast, with the
+    same result.  A null url, or one without "://", has an empty host and path, no rule, and is
+    allowed.  The longest rule wins; of two of one length the one met first in the order of host
     labels.  A url of any length is judged whole.  Repeated rows are judged alike, a null
     page_id stays null, and no rows give no rows.  Other columns of pages are not read,
     whatever their names.
     """
-    verdicts = {h + p: v for v, h, p in rules}
+    spark = pages.sparkSession
+    table = blocked.select(F.col("host").alias("_lm_listed")).filter("_lm_listed is not null").distinct() if isinstance(blocked, DataFrame) else None
+    joined = table is not None and table.count() > MAX_LISTED
+    if joined:
+        host_labels = table.agg(F.max(F.size(F.split("_lm_listed", r"\.")))).first()[0]
+    else:
+        blocked = [r[0] for r in table.toLocalIterator()] if table is not None else list(blocked)
+        host_labels = max([1, *(h.count(".") + 1 for h in blocked)])
     lengths = sorted({len(p) for _, _, p in rules})
     labels = max([1, *(h.count(".") + 1 for _, h, _ in rules)])
-    host_labels = max([1, *(h.count(".") + 1 for h in blocked)])
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_lm_url"))
+    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("_lm_url"))
     host, path = _parts(F.col("_lm_url"))
     base = base.select("page_id", host.alias("host"), path.alias("path"))
     keys = F.flatten(
@@ -180,14 +189,17 @@ def url_filter(pages: DataFrame, rules=RULES, blocked=BLOCKED_HOSTS, id_col: str
         )
     ) if lengths else F.array().cast("array<string>")
     base = base.withColumn("_lm_keys", keys).withColumn("_lm_hosts", _suffixes(F.col("host"), host_labels))
-    spark = pages.sparkSession
-    cascades = []
-    for column, listed in (("_lm_keys", verdicts), ("_lm_hosts", blocked)):
-        universe = durable(base.select(F.explode(column).alias("key")).distinct(), "url-keys")
-        cascades.append(spark.sparkContext.broadcast(build_cascade(universe, listed)))
-    schema = "page_id long, host string, path string, rule string, verdict string, listed boolean"
-    base = base.withColumn("page_id", F.col("page_id").cast("long"))
-    return base.mapInArrow(_judge(*cascades, verdicts), schema)
+    wanted = [("_lm_keys", [h + p for _, h, p in rules]), ("_lm_keys", [h + p for v, h, p in rules if v == "block"])]
+    universes = {c: durable(base.select(F.explode(c).alias("key")).distinct(), "url-keys") for c in ("_lm_keys", *([] if joined else ["_lm_hosts"]))}
+    cascades = [spark.sparkContext.broadcast(build_cascade(universes[c], listed)) for c, listed in wanted]
+    hosts = None if joined else spark.sparkContext.broadcast(build_cascade(universes["_lm_hosts"], blocked))
+    discard(*universes.values())
+    out = base.mapInArrow(_judge(*cascades, hosts), "page_id long, host string, path string, rule string, blocks boolean, listed boolean")
+    if joined:
+        found = base.select("host").distinct().select("host", F.explode(_suffixes(F.col("host"), host_labels)).alias("_lm_listed")).join(table, "_lm_listed").select("host").distinct()
+        out = out.drop("listed").join(found.withColumn("_lm_hit", F.lit(True)), "host", "left").withColumn("listed", F.coalesce("_lm_hit", F.lit(False)))
+    verdict = F.when(F.when(F.col("rule").isNull(), F.col("listed")).otherwise(F.col("blocks")), "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

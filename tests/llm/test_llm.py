@@ -182,9 +182,10 @@ def test_tiles_split(spark, monkeypatch):
     texts = [(k, " ".join(words[: 60 - k % 20] + [f"t{k}x{j}" for j in range(k % 20)])) for k in range(60)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     want = brute_components(dict(texts))
-    for size, shingles in ((2048, 2_000_000), (7, 2_000_000), (2048, 300)):
+    for size, shingles, route in ((2048, 2_000_000, 64_000_000), (7, 2_000_000, 64_000_000), (2048, 300, 64_000_000), (2048, 2_000_000, 400)):
         monkeypatch.setattr(ngram_jaccard, "TILE", size)
         monkeypatch.setattr(ngram_jaccard, "TILE_SHINGLES", shingles)
+        monkeypatch.setattr(ngram_jaccard, "ROUTE_SHINGLES", route)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard(df).collect()} == want
 
 
@@ -601,6 +602,31 @@ def test_urls(spark):
     assert url_filter.url_filter(df.limit(0)).count() == 0
 
 
+def test_urls_of_large_lists(spark, monkeypatch):
+    """Thousands of rules and listed hosts against a plain search, in a cascade and joined."""
+    rng = np.random.default_rng(9)
+    name = lambda: ".".join(f"h{x}" for x in rng.integers(0, 12, int(rng.integers(1, 5))))
+    rules = tuple({(h, p): (("allow", "block")[int(rng.integers(2))], h, p) for h, p in ((name(), f"/{rng.integers(0, 5)}" + "/" * int(rng.integers(2))) for _ in range(3000))}.values())
+    blocked = sorted({name() for _ in range(2000)})
+    urls = [f"http://{name()}/{rng.integers(0, 5)}/x" for _ in range(3000)]
+
+    def judge(url):
+        host, path = url[7:].split("/", 1)
+        path = "/" + path
+        fits = {h + p: v for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)}
+        most = max(map(len, fits), default=0)
+        listed = any(host == b or host.endswith("." + b) for b in own)
+        return {(k, fits[k], listed) for k in fits if len(k) == most} or {(None, "block" if listed else "allow", listed)}
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for most, given_hosts in ((10**6, blocked), (10**6, "table"), (0, "table")):
+        monkeypatch.setattr(url_filter, "MAX_LISTED", most)
+        own = set(blocked[:700])
+        listed = spark.createDataFrame([(b,) for b in [*own, None]], "host string") if given_hosts == "table" else list(own)
+        got = {r.page_id: (r.rule, r.verdict, r.listed) for r in url_filter.url_filter(df, rules, listed).collect()}
+        assert len(got) == len(urls) and all(got[k] in judge(u) for k, u in enumerate(urls[:600]))
+
+
 @given(st.sets(st.integers(0, 3000), max_size=400))
 @settings(max_examples=20, deadline=None)
 def test_cascade_is_exact(listed):
