@@ -17,7 +17,7 @@ from .operators import catalog as C
 from .operators import people
 from .operators import planning as P
 from .plans import reports
-from .sources import containers, filelists, records
+from .sources import containers, filelists, media, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -983,6 +983,19 @@ def vector_roundtrip(v):
     return v.faces.select("id", back.alias("v")).select("id", F.size("v").cast("long").alias("n"), F.round(total, 6).alias("total"))
 
 
+_FILES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder of the tables itself, through the folder source."""
+    found = media.scan(spark, sf_dir, every_file=True).filter(F.col("name").isin([f"{t}.parquet" for t in _FILES]))
+    return found.select("name", "ext", (F.col("size") > 0).alias("filled"), F.col("mtime").isNotNull().alias("dated"))
+
+
+QUERIES["folder_scan"] = folder_scan
+ORACLE_SQL["folder_scan"] = f"SELECT unnest([{', '.join(repr(t + '.parquet') for t in _FILES)}]) AS name, '.parquet' AS ext, true AS filled, true AS dated"
+
+
 # ---------------------------------------------------------------- container bytes
 
 
