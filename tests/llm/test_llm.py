@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenta.llm import (
-    chat_format, common, components, decontaminate, license_scan, line_dedup, ngram_jaccard, private_data, quality_rules, queries, source_mixing, suffix_dedup, url_filter,
+    chat_format, common, components, decontaminate, interleave, license_scan, line_dedup, ngram_jaccard, private_data, quality_rules, queries, source_mixing, suffix_dedup, url_filter,
 )
 
 DATA = "/root/testdata/sf0.001"
@@ -291,6 +291,19 @@ def test_suffix_periodic_and_pieces(spark, monkeypatch):
     assert (anchor >= start + windows - 1).all() and (anchor + 32 <= start + 100).all()
 
 
+def test_interleave():
+    """The named method of op10 finds what brute force finds, over several shards."""
+    rng = np.random.default_rng(11)
+    words = ["ab", "ba", "abc", "é", "x"]
+    texts = ["".join(rng.choice(words, int(rng.integers(0, 60)))) for _ in range(24)]
+    texts += [texts[3], texts[5] + texts[7], "", "a" * 50]
+    for length in (1, 7, 20):
+        want = brute_repeats({k: t.encode() for k, t in enumerate(texts)}, length)
+        shards = [[t.encode() for t in texts[a : a + 10]] for a in range(0, len(texts), 10)]
+        got = [c for part in interleave.covered(shards, length) for c in part]
+        assert len(got) == len(texts) and all((got[k] == want[k]).all() for k in want)
+
+
 def brute_lines(texts):
     def key(x):
         return x.strip(" \t\n\v\f\r")
@@ -665,6 +678,21 @@ def test_sql(spark, name):
     assert sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, DATA).select(*cols).collect()) == want
 
 
+def test_pipeline_stages_odd(spark, odd, none):
+    """Every stage takes odd rows and no rows, and passes extra columns on."""
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, DATA)
+        assert out.columns == odd.columns and stage(spark, none, DATA).count() == 0
+        assert out.count() <= (3 if stage is corpus_pipeline.mix else 1) * len(ODD)
+    near = collections.Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, odd, DATA).collect())
+    assert near == collections.Counter([1, 2, 3, 4, 6, 8, 9, 10, 11, 12])
+    kept = {r.doc_id for r in corpus_pipeline.lines(spark, odd, DATA).collect()}
+    assert kept == {1, 2, 3, None, 4, 5, 6, 7, 8, 10, 11, 12}
+    assert corpus_pipeline.benchmark(spark, odd, DATA).count() == len(ODD)
+    mixed = [r.doc_id for r in corpus_pipeline.mix(spark, odd, DATA).collect()]
+    assert not {2, 3, 4} & set(mixed)
+
+
 def test_pipeline(spark, rows):
     """run() against the stages done one by one in plain Python."""
     stats = quality_rules.statistics(common.table(spark, DATA, "documents"))
