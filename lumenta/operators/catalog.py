@@ -50,12 +50,14 @@ def with_first(df: DataFrame, by: list[str], order: str, *values: str) -> DataFr
     return df.join(head, reduce(lambda a, b: a & b, same)).drop(*[f"_by_{c}" for c in by])
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "n", rows_a_task: int = 1_000_000) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str = "n", rows_a_task: int | None = None) -> DataFrame:
     """Df with each row's number, from 1, in one order over all rows, which order must make
     unique.  Many rows are dealt to ranges between sampled bounds; a row's number is its
     place in its range after all rows of the ranges before.  Only bounds and the counts of the
-    ranges come to the driver, a few for each task."""
-    parts = -(-df.count() // rows_a_task)
+    ranges come to the driver, 20 bounds for each of 2000 ranges at most."""
+    total = df.count()
+    rows_a_task = rows_a_task or max(20_000, total // 2_000)
+    parts = -(-total // rows_a_task)
     if parts <= 1:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     keyed = df.withColumn("_key", F.struct(*order))
