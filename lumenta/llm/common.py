@@ -69,7 +69,8 @@ def discard(*frames: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold few texts at once between the JVM and Python; texts can be long."""
+    """Hold few texts at once between the JVM and Python; texts can be long.  Results are lazy, so
+    the setting stays with the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 

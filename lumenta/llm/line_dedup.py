@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_WHITE, Bytes, durable, grams, row_keyed, signed, small_batches, table, text_slices
+from .common import NOT_WHITE, Bytes, discard, durable, grams, row_keyed, signed, small_batches, table, text_slices
 
 WINDOW = 3
 
@@ -89,6 +89,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = durable(first, "line-first")  # with an exchange on either side, hot windows are split when joined
     later = windows.join(first.hint("merge"), "window").filter("doc != first.doc or row != first.row or line != first.line")
     hits = durable(later.groupBy(F.col("doc").alias("_lm_doc"), F.col("row").alias("_lm_row")).agg(F.collect_set("line").alias("_lm_hits")), "line-hits")
+    discard(windows, first)
     whole = keyed.join(hits.hint("merge"), ["_lm_doc", "_lm_row"], "left")
     schema = T.StructType([*docs.schema.fields, T.StructField("_lm_lines", T.LongType()), T.StructField("_lm_removed", T.LongType())])
     order = [F.col(f"`{c}`") for c in docs.columns]

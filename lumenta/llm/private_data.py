@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ JOIN, PLAIN = "\x01", "\x02"  # the marker; a marker in the text itself becomes
 BLOCK = 256
 CONTEXT_CHARS = 40
 MIN_SCORE = 0.5
+LOW = "_lm_low"  # the text in lower case, made once
 
 
 def _marked(text: Column, joint: str) -> Column:
@@ -76,6 +78,7 @@ class Kind:
 
 #: Names that stand before a secret, and secrets that are known by their form.
 SECRET_NAMES = "(?:auth[_-]?)?token|(?:client[_-]?)?secret|password|passwd|pwd|api[_-]?key|access[_-]?key"
+SECRET_CUES = ("token", "secret", "passw", "pwd", "key", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "xox", "aiza", "eyj")
 SECRET_FORMS = (
     r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+"
     r"|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
@@ -98,7 +101,7 @@ KINDS = (
     Kind("phone", True, lambda t: F.contains(t, F.lit("+")), r"\+[0-9][\x20().0-9-]+[0-9]", _phone, 0.7, "phone|call|tel|mobile|fax"),
     Kind("iban", False, lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _mod97, 0.8, "iban|account|bank"),
     Kind(
-        "secret", False, lambda t: t.rlike("(?i)token|secret|passw|pwd|key|akia|gh[pousr]_|github_pat_|sk-|xox|aiza|eyj"),
+        "secret", False, lambda t: reduce(lambda a, b: a | b, [F.contains(F.col(LOW), F.lit(x)) for x in SECRET_CUES]),
         rf"(?i)(?<![a-z0-9])(?:{SECRET_NAMES})[\"']?[\x20]{{0,2}}(?::=|=>|[:=])[\x20]{{0,2}}(?:\"[^\"\s]{{8,}}+\"|'[^'\s]{{8,}}+'|[A-Za-z0-9+/_=.~!@$%^&*-]{{8,}}+)|(?<![A-Za-z0-9])(?-i:{SECRET_FORMS})",
         lambda m: F.lit(True), 0.6, "auth|login|credential|secret|private", None,
         lambda m: m.rlike("(?i)^(?:" + SECRET_NAMES + ")") & ~m.rlike("[\"']$") & ~_value(m).rlike("[0-9]"),
@@ -158,6 +161,7 @@ def private_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     give no rows.  Other columns of docs are not read, whatever their names.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_lm_text"))
+    df = df.withColumn(LOW, F.lower("_lm_text"))
     for kind in KINDS:
         df = _found(df, kind, "_lm_text")
     named = [F.transform(f"_lm_{k.name}", _name(k.name)) for k in KINDS]
