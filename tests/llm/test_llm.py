@@ -186,10 +186,9 @@ def test_tiles_split(spark, monkeypatch):
     texts = [(k, " ".join(words[: 60 - k % 20] + [f"t{k}x{j}" for j in range(k % 20)])) for k in range(60)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     want = brute_components(dict(texts))
-    for size, shingles, route in ((2048, 2_000_000, 64_000_000), (7, 2_000_000, 64_000_000), (2048, 300, 64_000_000), (2048, 2_000_000, 400)):
+    for size, shingles in ((2048, 2_000_000), (7, 2_000_000), (2048, 300)):
         monkeypatch.setattr(ngram_jaccard, "TILE", size)
         monkeypatch.setattr(ngram_jaccard, "TILE_SHINGLES", shingles)
-        monkeypatch.setattr(ngram_jaccard, "ROUTE_SHINGLES", route)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard(df).collect()} == want
 
 
@@ -695,8 +694,8 @@ def test_pipeline_stages_odd(spark, odd, none):
     kept = {r.doc_id for r in corpus_pipeline.lines(spark, odd, DATA).collect()}
     assert kept == {1, 2, 3, None, 4, 5, 6, 7, 8, 10, 11, 12}
     assert corpus_pipeline.benchmark(spark, odd, DATA).count() == len(ODD)
-    mixed = [r.doc_id for r in corpus_pipeline.mix(spark, odd, DATA).collect()]
-    assert not {2, 3, 4} & set(mixed)
+    mixed = collections.Counter(r.doc_id for r in corpus_pipeline.mix(spark, odd, DATA).collect())
+    assert max(mixed.values()) <= 6 and mixed[5] % 2 == 0  # id 5 stands there twice
 
 
 def test_pipeline(spark, rows):
