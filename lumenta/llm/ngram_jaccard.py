@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,10 +41,9 @@ COMMON_SHARE = 1000
 COMMON_IN_BATCH = 4
 #: Shingles that one task holds together to count them.
 COUNTED_TOGETHER = 2_000_000
-#: Members of a block and shingles in their sets; a larger group is dealt to several tiles.
+#: Members of a block and shingles in their sets; a larger group is dealt to several tiles, and
+#: a route of more rows to several tasks.
 TILE, TILE_SHINGLES = 2048, 2_000_000
-#: Shingles in the sets whose signatures one task compares in one go.
-ROUTE_SHINGLES = 64_000_000
 #: Bits of the signature for each shingle, and the largest signature in 64-bit words.
 BITS_PER_SHINGLE, MAX_SIGNATURE_WORDS = 4, 2048
 
@@ -161,7 +159,7 @@ def _prefixes(column: str, common, percent: int):
                 early = size - (before[cut[1:]] - before[cut[:-1]])
                 place = np.where(late, early[row] + late_before, np.arange(len(late)) - cut[:-1][row] - late_before)
                 chosen = place < keep[row]
-                yield pa.RecordBatch.from_arrays([signed(shingles[chosen]), pa.array(nodes[row[chosen]]), pa.array((size[row] - place)[chosen].astype(np.int32))], names=["token", "node", "rest"])
+                yield pa.RecordBatch.from_arrays([signed(shingles[chosen]), pa.array(nodes[row[chosen]]), pa.array(size[row[chosen]].astype(np.int32)), pa.array((size[row] - place)[chosen].astype(np.int32))], names=["token", "node", "n", "rest"])
 
     return run
 
@@ -296,15 +294,32 @@ def _fits(token: np.ndarray, tile: np.ndarray, n: np.ndarray, root: np.ndarray,
     return fits & (high - low > (n <= most))
 
 
-def _partners(percent: int, room: int):
+def _meeting(percent: int):
+    """Of rows sorted by token, part and size, each class once and only if another can be its
+    partner there.  Parts of a token of many classes (0 and up) are kept whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_key(batches, ("token", "part"), 50_000):
+            t = t.combine_chunks()
+            key = [t.column(c).to_numpy() for c in ("token", "part", "node")]
+            t = t.filter(pa.array(np.r_[True, np.any([k[1:] != k[:-1] for k in key], axis=0)]))
+            while t.num_rows:
+                token, part, node, n, rest = (t.column(c).to_numpy() for c in ("token", "part", "node", "n", "rest"))
+                fits = _fits(token, part, n.astype(np.int64), node, rest, percent) | (part >= 0)
+                if fits.all():
+                    break
+                t = t.filter(pa.array(fits))
+            yield from t.select(["token", "node", "n", "rest"]).to_batches()
+
+    return run
+
+
+def _partners(percent: int):
     """Of rows sorted by tile and size, those with a partner of another component in their band
     of sizes; the others need no signature.  Adds the smallest node of the tile as its route:
-    tiles of much the same members have one route, where each member's signature is sent once.
-    A task gives a part of a route sets of `room` shingles, then begins another part."""
+    tiles of much the same members have one route, where each member's signature is sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = (TaskContext.get().partitionId() + 1) << 32
-        used: dict[int, int] = {}
         for t in _by_key(batches, ("token", "tile"), 20_000):
             t = t.combine_chunks()
             while t.num_rows:  # a row that goes may have been the last partner of another
@@ -314,17 +329,10 @@ def _partners(percent: int, room: int):
                 t = t.filter(pa.array(fits))
             if not t.num_rows:
                 continue
-            token, tile, n = (t.column(c).to_numpy() for c in ("token", "tile", "n"))
+            token, tile = (t.column(c).to_numpy() for c in ("token", "tile"))
             start = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])])
             routes = np.minimum.reduceat(t.column("node").to_numpy(), start)
-            parts = []
-            for route, size in zip(routes.tolist(), np.add.reduceat(n, start).tolist(), strict=True):
-                full = used.get(route, 0) // room
-                parts.append(task + full if full else 0)
-                used[route] = used.get(route, 0) + size
-            count = np.diff(np.r_[start, len(n)])
-            for name, column in (("route", routes), ("part", np.array(parts))):
-                t = t.append_column(name, pa.array(np.repeat(column, count)))
+            t = t.append_column("route", pa.array(np.repeat(routes, np.diff(np.r_[start, len(token)]))))
             yield from t.to_batches()
 
     return run
@@ -421,7 +429,7 @@ def _dealt(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     """Rows (token, node, n, rest, root) with their tiles.  A group of several blocks is dealt by its
     largest component: its own members need not meet each other, so each block of them is
     one tile with each block of the others, and only those are paired among themselves."""
-    rows = rows.join(tokens.select("token", F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).alias("blocks")), "token")
+    rows = rows.join(tokens.select("token", F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).alias("blocks")).hint("merge"), "token")
     shares = rows.filter("blocks > 1").groupBy("token", "root", "blocks").agg(F.count(F.lit(1)).alias("c"))
     shares = shares.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("members"), F.first("blocks").alias("blocks"))
     part = F.ceil(F.col("blocks") * F.col("most") / F.col("members"))
@@ -458,27 +466,33 @@ def linked(base: DataFrame, percent: int = PERCENT) -> DataFrame:
     ]  # at most COMMON_SHARE times the mean set size
     last = spark.sparkContext.broadcast(np.sort(np.array(common, np.int64).view(np.uint64)))
 
-    rows = durable(base.mapInArrow(_prefixes("_lm_text", last, percent), "token long, node long, rest int"), "jaccard-prefixes")
-    meeting = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("token")
+    rows = durable(base.mapInArrow(_prefixes("_lm_text", last, percent), "token long, node long, n int, rest int"), "jaccard-prefixes")
+    meeting = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("holders")).filter("lo != hi").select("token", "holders")
     meeting = durable(meeting, "jaccard-meeting")  # with an exchange on either side, hot shingles are split when joined
-    meets = durable(rows.join(meeting, "token").distinct(), "jaccard-meets")
+    part = F.when(F.col("holders") > TILE, F.pmod(F.xxhash64("node"), F.ceil(F.col("holders") / TILE))).otherwise(-1)
+    met = rows.join(meeting, "token").select("token", "node", "n", "rest", part.cast("long").alias("part"))
+    met = met.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node")
+    meets = durable(met.mapInArrow(_meeting(percent), "token long, node long, n int, rest int"), "jaccard-meets")
     discard(rows, meeting)
 
     classes = members.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc", "row")).alias("first"), F.max("n").alias("n"))
     classes = durable(classes.select("node", F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), "n"), "jaccard-classes")
-    central = meets.groupBy("node").agg(F.count(F.lit(1)).alias("shared")).join(classes, "node")
+    central = meets.groupBy("node").agg(F.count(F.lit(1)).alias("shared"), F.first("n").cast("long").alias("n"))
     central = durable(central.select("node", "n", (F.col("shared") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("q")), "jaccard-central")
 
-    def arrays_of(nodes: DataFrame, tag: str) -> DataFrame:
-        """(node, shingles, mark): the exact sorted arrays of some classes."""
+    def arrays_of(nodes: DataFrame, tag: str, few: bool = False) -> DataFrame:
+        """(node, shingles, mark): the exact sorted arrays of some classes; where they are few
+        they are written first, so that Spark knows their size and may broadcast them."""
         wanted = nodes.distinct().join(classes, "node").select("node", F.col("doc").alias("_lm_doc"), F.col("row").alias("_lm_row"))
+        wanted = durable(wanted, f"{tag}-wanted") if few else wanted.hint("merge")
         texts = base.join(wanted, ["_lm_doc", "_lm_row"]).dropDuplicates(["_lm_doc", "_lm_row"])
         return durable(texts.select("node", "_lm_text").mapInArrow(_sets("_lm_text"), "node long, shingles binary, mark binary"), tag)
 
-    ranked = meets.join(central.select("node", "n", "q"), "node")
+    # one kind of join at every size, so that the plan that is tested is the plan that runs
+    ranked = meets.drop("n").join(central.select("node", "n", "q").hint("merge"), "node")
     hub = ranked.groupBy("token").agg(F.max(F.struct("q", "node", "n")).alias("hub"))
     stars = (
-        ranked.join(hub, "token")
+        ranked.join(hub.hint("merge"), "token")
         .filter((F.col("node") != F.col("hub.node")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
         .groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b"))
         .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("n", "hub.n")).alias("n"))
@@ -493,7 +507,7 @@ def linked(base: DataFrame, percent: int = PERCENT) -> DataFrame:
     discard(stars, arrays)
     roots = durable(connected(links, "jaccard-roots"), "jaccard-roots")
 
-    open_rows = ranked.join(roots, "node", "left").select("token", "node", "n", "rest", F.coalesce("root", "node").alias("root"))
+    open_rows = ranked.join(roots.hint("merge"), "node", "left").select("token", "node", "n", "rest", F.coalesce("root", "node").alias("root"))
     open_tokens = (
         open_rows.groupBy("token")
         .agg(
@@ -508,17 +522,18 @@ def linked(base: DataFrame, percent: int = PERCENT) -> DataFrame:
     open_rows, open_tokens = durable(open_rows, "jaccard-open"), durable(open_tokens, "jaccard-open-tokens")
     discard(meets, central)
     tiles = _dealt(open_rows, open_tokens).repartition("token", "tile").sortWithinPartitions("token", "tile", "n")
-    room = max(1, ROUTE_SHINGLES // int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tiles = durable(tiles.mapInArrow(_partners(percent, room), T.StructType([*tiles.schema.fields, T.StructField("route", T.LongType()), T.StructField("part", T.LongType())])), "jaccard-tiles")
+    tiles = written = durable(tiles.mapInArrow(_partners(percent), T.StructType([*tiles.schema.fields, T.StructField("route", T.LongType())])), "jaccard-tiles")
     discard(open_rows, open_tokens)
+    full = tiles.groupBy("route").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts")).filter("parts > 1")
+    tiles = tiles.join(full, "route", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("token", "tile"), "parts"), F.lit(0))).drop("parts")
     marks = seen.filter("not common").select("node", "mark").join(tiles.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     sent = tiles.select("route", "part", "node").distinct().join(marks, "node").withColumn("kind", F.lit(0))
     both = tiles.withColumn("kind", F.lit(1)).unionByName(sent, allowMissingColumns=True)
     dealt = both.repartition("route", "part").sortWithinPartitions("route", "part", "kind", "token", "tile")
     dealt = dealt.select("route", "part", "kind", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("token", "tile", "node", "n", "rest", "root", "side")], "mark")
     clusters = durable(dealt.mapInArrow(_tiles(percent), "cluster long, node long, root long").distinct(), "jaccard-clusters")
-    discard(tiles)
-    arrays = arrays_of(clusters.select("node"), "jaccard-cluster-sets")
+    discard(written)
+    arrays = arrays_of(clusters.select("node"), "jaccard-cluster-sets", few=True)
     met = clusters.join(arrays.select("node", "shingles"), "node").repartition("cluster").sortWithinPartitions("cluster")
     more = durable(met.mapInArrow(_links(percent), "a long, b long"), "jaccard-more")
     discard(clusters, arrays, roots)
