@@ -35,8 +35,8 @@ VIEWS = {
         CASE WHEN doc_id % 8 IN (3, 4) THEN 'video' WHEN doc_id % 8 IN (6, 7) THEN 'companion' ELSE 'photo' END AS media,
         1704067200 + doc_id * 60 AS mtime_s FROM documents""",
     "devices": f"""SELECT p_partkey AS id, '/d' || CAST(p_partkey % 97 AS STRING) AS dir,
-        {_pick("p_partkey", "Canon", "NIKON CORPORATION", "SONY", "Sony Corporation", "Apple", "HUAWEI", "samsung", "Xiaomi", "DJI", "", "Sony Ericsson", "Acme")} AS make,
-        {_pick("(p_partkey * 7)", "EOS 700D", "NIKON D90", "ILCE-7RM2", "Xperia Z", "iPhone 8", "MT7-CL00", "GT-I9100", "23127PN0CC", "FC8582", "", "iphone10,3", "Canon EOS RP", "14")} AS model,
+        {_pick("p_partkey", "Canon", "NIKON CORPORATION", "SONY", "Sony Corporation", "Apple", "HUAWEI", "samsung", "Xiaomi", "DJI", "", "Sony Ericsson", "Acme", "Redmi", "poco")} AS make,
+        {_pick("(p_partkey * 7)", "EOS 700D", "NIKON D90", "ILCE-7RM2", "Xperia Z", "iPhone 8", "MT7-CL00", "GT-I9100", "23127PN0CC", "FC8582", "", "iphone10,3", "Canon EOS RP", "14", "Note 12 Pro", "X6 5G", "2203129G")} AS model,
         CASE WHEN p_partkey % 3 = 0 THEN 'video' ELSE 'photo' END AS media_type,
         CAST(p_size AS BIGINT) * 4096 AS size, CAST(p_size * 20 AS INT) AS width, CAST((p_partkey % 50) * 20 AS INT) AS height,
         {_pick("p_partkey", "", "DJI Flip 1.0", "other", "dji fly")} AS app FROM part""",
@@ -372,13 +372,17 @@ def _map_sql(key: str, names: dict[str, str]) -> str:
     return "CASE " + key + " " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in names.items()) + " END"
 
 
+#: A name's first code: of the codes of one name the first in the list.
+_FIRST_CODES = {name.lower(): code.upper() for code, name in reversed(dims.XIAOMI_NAMES.items())}
+
+
 @query(f"""WITH a AS (SELECT id, app, coalesce({_map_sql("lower(make)", dims.MAKE_NAMES)}, make) AS mk, model FROM devices),
   b AS (SELECT id, app, mk, CASE WHEN mk <> '' AND starts_with(lower(model), lower(mk)) THEN trim(substr(model, length(mk) + 1)) ELSE model END AS md FROM a),
   c AS (SELECT id, app, mk, coalesce({_map_sql("lower(md)", dims.MODEL_ALIASES)}, md) AS md FROM b),
-  e AS (SELECT id, mk, md, lower(mk) AS lo, CASE WHEN contains(lower(mk), 'dji') THEN NULL WHEN lower(mk) IN ('xiaomi') THEN {_map_sql("lower(md)", dims.XIAOMI_NAMES)}
+  e AS (SELECT id, mk, md, lower(mk) AS lo, CASE WHEN contains(lower(mk), 'dji') THEN NULL WHEN {_any("lower(mk)", ("xiaomi", "redmi", "poco"))} THEN {_map_sql("lower(md)", dims.XIAOMI_NAMES)}
     WHEN contains(lower(mk), 'huawei') THEN {_map_sql("lower(md)", dims.HUAWEI_NAMES)} WHEN contains(lower(mk), 'samsung') THEN {_map_sql("lower(md)", dims.SAMSUNG_NAMES)} END AS nm,
-    {_map_sql("lower(md)", dims.DRONE_MODELS)} AS dm, CASE WHEN contains(lower(app), 'dji flip') THEN 'DJI_FLIP_FC8582' END AS da,
-    CASE WHEN lower(mk) = 'xiaomi' AND lower(md) = '14' THEN '23127PN0CC' END AS code FROM c)
+    {_map_sql("lower(md)", dims.DRONE_MODELS)} AS dm, CASE {' '.join(f"WHEN contains(lower(app), '{k}') THEN '{x}'" for k, x in dims.DRONE_APPS.items())} END AS da,
+    CASE WHEN {_any("lower(mk)", ("xiaomi", "redmi", "poco"))} AND {_map_sql("lower(md)", dims.XIAOMI_NAMES)} IS NULL THEN {_map_sql("lower(trim(mk || ' ' || md))", _FIRST_CODES)} END AS code FROM c)
   SELECT id, CASE WHEN mk = '' AND md = '' THEN '{dims.UNKNOWN_MODEL}' WHEN contains(lo, 'dji') AND coalesce(dm, da) IS NOT NULL THEN coalesce(dm, da)
     WHEN code IS NOT NULL THEN mk || ' ' || md || ' ' || code WHEN nm IS NOT NULL AND starts_with(lower(nm), lo) THEN nm || ' ' || md
     WHEN nm IS NOT NULL THEN mk || ' ' || nm || ' ' || md ELSE trim(mk || ' ' || md) END AS label FROM e""", "devices")
