@@ -243,7 +243,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """
     keyed = row_keyed(docs, id_col, text_col, "clean-rows")
     found = _overlaps(keyed.select(F.col("_lm_doc").alias("doc"), F.col("_lm_row").alias("row"), F.col(text_col).alias("_lm_text")), benchmark, "item_id", "text")
-    gone = found.select(F.col("doc").alias("_lm_doc"), F.col("row").alias("_lm_row")).distinct()
+    # written, so that Spark knows its size and need not shuffle the documents where it is small
+    gone = durable(found.select(F.col("doc").alias("_lm_doc"), F.col("row").alias("_lm_row")).distinct(), "leak-documents")
     return keyed.join(gone, ["_lm_doc", "_lm_row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

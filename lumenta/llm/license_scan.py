@@ -32,6 +32,24 @@ NOTICES = (
     ("licensed under cc by sa 4 0", "cc-by-sa-4.0"),
     ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
     ("this work is dedicated to the public domain", "public-domain"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights", "cc0-1.0"),
+    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
+    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa-4.0"),
+    ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc-4.0"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("the software is provided as is without warranty of any kind express or implied", "mit"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license", "apache-2.0"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse", "bsd"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    ("licensed under the gnu affero general public license version 3", "agpl-3.0"),
+    ("under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software", "bsl-1.0"),
+    ("permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gfdl"),
+    ("is made available under the open database license", "odbl"),
+    ("no part of this publication may be reproduced distributed or transmitted in any form", "proprietary"),
+    ("unauthorized copying of this file via any medium is strictly prohibited", "proprietary"),
 )
 #: Share of a notice's word pairs that a span must cover.
 MIN_COVER = 0.75

@@ -43,7 +43,7 @@ COMMON_IN_BATCH = 4
 COUNTED_TOGETHER = 2_000_000
 #: Members of a block and shingles in their sets; a larger group is dealt to several tiles, and
 #: a route of more rows to several tasks.
-TILE, TILE_SHINGLES = 2048, 2_000_000
+TILE, TILE_SHINGLES = 512, 1_000_000
 #: Bits of the signature for each shingle, and the largest signature in 64-bit words.
 BITS_PER_SHINGLE, MAX_SIGNATURE_WORDS = 4, 2048
 
