@@ -300,6 +300,20 @@ def named_device(name: Column) -> Column:
     return F.when(F.startswith(low, F.lit("c360_")) | F.startswith(low, F.lit("http_imgload")), "Xiaomi")
 
 
+def short_name(name: Column) -> Column:
+    """a name of more than 50 characters with its middle left out; the extension stays."""
+    ext = F.regexp_extract(name, r"(?s).(\.[^./\\]*)$", 1)
+    stem = F.substring(name, F.lit(1), F.length(name) - F.length(ext))
+    return F.when(F.length(name) > 50, F.concat(F.substring(stem, F.lit(1), 46 - F.length(ext)), F.lit("..."), ext)).otherwise(name)
+
+
+def on_other_drive(path: Column, destinations) -> Column:
+    """A path that lies on no drive of the destinations; paths without a drive letter do."""
+    letters = sorted({d[0].upper() for d in destinations if len(d) >= 2 and d[1] == ":"})
+    letter = F.when(F.substring(path, 2, 1) == ":", F.upper(F.substring(path, 1, 1)))
+    return ~F.coalesce(letter.isin(*letters), F.lit(False)) if letters else F.lit(True)
+
+
 def natural_name(name: Column) -> Column:
     """without the suffix that conflict resolution adds."""
     return F.regexp_replace(name, r"(?i)_po([0-9]+)(\.[^.]+)$", "$2")

@@ -1039,6 +1039,22 @@ def display_width(v):
     return v.files.select("id", S.display_width(t).alias("width"), S.padded(t, F.lit(30)).alias("shown"))
 
 
+@query("""SELECT id, CASE WHEN length(t) > 50 THEN substr(t, 1, 46 - length(e) ) || '...' || e ELSE t END AS shown FROM (
+  SELECT id, t, regexp_extract(t, '.(\\.[^./]*)$', 1) AS e FROM (SELECT id, repeat(md5(hash), id % 4 + 1) || name AS t FROM files))""", "files")
+def short_names(v):
+    """F22"""
+    t = F.concat(F.expr("repeat(md5(hash), CAST(id % 4 + 1 AS INT))"), "name")
+    return v.files.select("id", S.short_name(t).alias("shown"))
+
+
+@query("SELECT id FROM files WHERE id % 4 NOT IN (1, 2)", "files")
+def other_drives(v):
+    """A07"""
+    i = F.col("id") % 4
+    path = F.concat(F.when(i == 0, "C:").when(i == 1, "d:").when(i == 2, "E:").otherwise(""), "path")
+    return v.files.filter(S.on_other_drive(path, ("D:/out", "e:/x", "/plain"))).select("id")
+
+
 _CELLS = (
     "regexp_extract(destination, '[^/]*$')", "coalesce(date_taken, '')", _size("file_size"), "CASE WHEN make <> '' THEN trim(make || ' ' || model) ELSE '' END",
     "concat_ws(' ', CASE WHEN ord % 2 = 0 THEN 'ISO100' END, CASE WHEN ord % 3 = 0 THEN 'f/2.8' END, '1/200s', CASE WHEN ord % 5 <> 0 THEN '50mm' END)", "lens", "coalesce(gps, '')", "source",

@@ -17,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenta import harness
+from lumenta.functions import images
 from lumenta.functions import scalars as S
 from lumenta.operators import catalog, people, planning
 from lumenta.plans import reports, sinks
@@ -215,6 +216,21 @@ def test_wide_characters(spark):
     assert [r.w for r in got] == [sum(2 if unicodedata.east_asian_width(c) in "FW" else 1 for c in t) for t in texts]
 
 
+def test_model_inputs():
+    """Constant pictures stay, a size of its own changes nothing, shrinking averages."""
+    rng = np.random.default_rng(7)
+    flat = np.full((37, 91, 3), (10, 20, 30), np.uint8)
+    assert (images.resized(flat, 224) == (10, 20, 30)).all()
+    own = rng.integers(0, 256, (224, 224, 3), dtype=np.uint8)
+    assert (images.resized(own, 224) == own).all()
+    assert abs(images.resized(rng.integers(0, 256, (640, 640, 3), dtype=np.uint8), 4).astype(float) - 127.5).max() < 6
+    x = images.tensor(flat, *images.COARSE)
+    assert x.shape == (3, 224, 224) and np.allclose(x[:, 0, 0], (np.array([10, 20, 30]) / 255 - 0.5) / 0.5, atol=1e-6)
+    a, b = images.ensemble_inputs(flat)
+    assert a.shape == (3, 224, 224) and b.shape == (320, 320, 3) and np.allclose(b, np.array([10, 20, 30]) / 255, atol=1e-6)
+    assert (images.pixels(flat.tobytes(), 91) == flat).all()
+
+
 def test_repair_plan(spark):
     files = [("/a/x.jpg", 1, "p"), ("/a/x_po1.jpg", 1, "p"), ("/a/X_PO2.jpg", 2, "p"), ("/a/y_po1.jpg", 3, "q"), ("/a/y_po2.jpg", 3, "q"), ("/a/y_po3.jpg", 4, "q"), ("/a/po.jpg", 5, "r")]
     got = {r.path: r.action for r in planning.repair_plan(spark.createDataFrame(files, "path string, size int, hash string")).collect()}
