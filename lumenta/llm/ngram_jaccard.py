@@ -525,6 +525,7 @@ def linked(base: DataFrame, percent: int = PERCENT) -> DataFrame:
     tiles = written = durable(tiles.mapInArrow(_partners(percent), T.StructType([*tiles.schema.fields, T.StructField("route", T.LongType())])), "jaccard-tiles")
     discard(open_rows, open_tokens)
     full = tiles.groupBy("route").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts")).filter("parts > 1")
+    full = durable(full, "jaccard-full")  # of a known size: a few routes are broadcast
     tiles = tiles.join(full, "route", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("token", "tile"), "parts"), F.lit(0))).drop("parts")
     marks = seen.filter("not common").select("node", "mark").join(tiles.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     sent = tiles.select("route", "part", "node").distinct().join(marks, "node").withColumn("kind", F.lit(0))
@@ -532,7 +533,7 @@ def linked(base: DataFrame, percent: int = PERCENT) -> DataFrame:
     dealt = both.repartition("route", "part").sortWithinPartitions("route", "part", "kind", "token", "tile")
     dealt = dealt.select("route", "part", "kind", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("token", "tile", "node", "n", "rest", "root", "side")], "mark")
     clusters = durable(dealt.mapInArrow(_tiles(percent), "cluster long, node long, root long").distinct(), "jaccard-clusters")
-    discard(written)
+    discard(written, full)
     arrays = arrays_of(clusters.select("node"), "jaccard-cluster-sets", few=True)
     met = clusters.join(arrays.select("node", "shingles"), "node").repartition("cluster").sortWithinPartitions("cluster")
     more = durable(met.mapInArrow(_links(percent), "a long, b long"), "jaccard-more")
