@@ -23,29 +23,34 @@ def _own(docs: DataFrame) -> list:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the learned rules reject go."""
+    """Rows that the learned rules reject go; so do null and blank texts, which have no words.
+    Rows without an id, or that repeat one, are judged one by one."""
     return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated three-line windows go; so does a document of which nothing is left."""
+    """Repeated three-line windows go; so does a document of which nothing is left.  A null or
+    empty text had nothing to lose and stays.  Rows that repeat an id and text keep their
+    lines; rows without an id, or with an id's other text, are documents of their own."""
     cut = line_dedup.line_dedup(docs)
     left = (F.col("_lm_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return cut.filter(left).select(*_own(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays, in one row."""
+    """Of each group of linked documents the one with the smallest id stays, in one row; rows
+    without an id come last.  Null and blank texts link with nothing and stay."""
     return ngram_jaccard.distinct_documents(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Rows whose text overlaps with a benchmark item go; null and blank texts overlap with none."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target asks for."""
+    """Every row as often as its source's target asks for, 0 to 3 times; null is a source too.
+    Rows that repeat an id come equally often; rows without one draw by their text."""
     return source_mixing.mix_sources(docs)
 
 
