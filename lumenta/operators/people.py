@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations_with_replacement, groupby, product
+from math import fsum
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,14 @@ from . import catalog
 
 #: Vectors that one task compares; more are dealt to blocks, each pair of which is one task.
 BLOCK = 8_192
+#: Of these, those on each side of a matrix of distances (32 MB).
+PIECE = 2_048
+#: Tasks at most that the pairs of blocks are dealt to.
+TASKS = 2_000
+#: Squared distances below this are taken from differences.
+CLOSE = 1e-6
+#: The distance of what has none.
+FAR = 1e300
 #: Forests that one task merges.
 FOREST = 16
 FACES = "hash string, faces array<struct<bbox: array<int>, embedding: string, score: double>>, no_face boolean"
@@ -41,24 +51,88 @@ def cascade(df: DataFrame, column: str, coarse, fine, threshold: float = 0.3) ->
     return suspects.unionByName(first.filter((F.col("coarse") < threshold) | F.col("coarse").isNull()).withColumn("score", F.lit(0.0)))
 
 
-def _distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((x - v) ** 2).sum(axis=1), 0))
-
-
-def spanning_tree(x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
-    """Edges (distance, a, b) of a minimum spanning tree of the mutual reachability."""
-    n = len(x)
-    near, parent, left = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
-    at, edges = 0, []
-    left[0] = False
-    for _ in range(n - 1):
-        reach = np.maximum(np.maximum(_distances(x, x[at]), core), core[at])
-        closer = left & (reach < near)
-        near[closer], parent[closer] = reach[closer], at
-        at = int(np.where(left, near, np.inf).argmin())
-        edges.append((float(near[at]), int(parent[at]), at))
-        left[at] = False
-    return edges
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - y) ** 2).sum(axis=-1))
+
+
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of each row of x from each of y by one product of matrices.  Its rounding
+    would hide small distances, so those are taken again from the differences."""
+    found = x @ y.T
+    found *= -2
+    found += (x * x).sum(axis=1)[:, None]
+    found += (y * y).sum(axis=1)
+    a, b = np.nonzero(found < CLOSE)
+    for k in range(0, len(a), PIECE):
+        i, j = a[k : k + PIECE], b[k : k + PIECE]
+        found[i, j] = ((x[i] - y[j]) ** 2).sum(axis=1)
+    return np.sqrt(found, out=found)
+
+
+def _meetings(side: np.ndarray, alone: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The rows of a tile by pairs of pieces: any two rows that it compares meet once, those of
+    one piece where that is given twice.  Alone, all rows are compared, else those of two sides."""
+
+    def pieces(at: np.ndarray) -> list[np.ndarray]:
+        return np.array_split(at, -(-len(at) // PIECE)) if len(at) else []
+
+    if alone:
+        return list(combinations_with_replacement(pieces(np.arange(len(side))), 2))
+    return list(product(pieces(np.flatnonzero(side == 0)), pieces(np.flatnonzero(side == 1))))
+
+
+def nearest(x: np.ndarray, meetings: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """The k smallest distances of each row from the rows that it meets, in order; infinite
+    where it meets fewer."""
+    best = np.full((len(x), k), np.inf)
+    for a, b in meetings:
+        gaps = _gaps(x[a], x[b])
+        for own, other, g in [(a, b, gaps)] if a is b else [(a, b, gaps), (b, a, np.ascontiguousarray(gaps.T))]:
+            m = min(k, len(other))
+            at = other[np.argpartition(g, m - 1, axis=1)[:, :m]]
+            found = [best[own], *(_distances(x[own], x[at[:, c]])[:, None] for c in range(m))]
+            best[own] = np.sort(np.concatenate(found, axis=1), axis=1)[:, :k]
+    return best
+
+
+def _prim(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each edge of a minimum spanning tree of rows and columns."""
+    m, n = w.shape
+    turned = np.ascontiguousarray(w.T)
+    near, least, parent = np.full(m + n, np.inf), np.full(m + n, np.inf), np.zeros(m + n, int)
+    at = 0
+    for _ in range(m + n - 1):
+        near[at], least[at] = np.inf, -np.inf  # in the tree: neither next nor closer
+        row, first = (w[at], m) if at < m else (turned[at - m], 0)
+        closer = np.flatnonzero(row < least[first : first + len(row)])
+        reach = row[closer]
+        closer += first
+        near[closer] = least[closer] = reach
+        parent[closer] = at
+        at = int(near.argmin())
+    node, parent = np.arange(1, m + n), parent[1:]
+    return np.minimum(node, parent), np.maximum(node, parent) - m
+
+
+def spanning_tree(x: np.ndarray, core: np.ndarray, meetings: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """Edges (a, b, d) of a minimum spanning forest of the mutual reachability of rows that
+    meet.  Each meeting has a tree of its own; the forest lies in the union of these.  A vector
+    that is no point, with a NaN or without bounds, is far from all."""
+    core = np.where(np.isnan(core), FAR, core)
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    for a, b in meetings:
+        w = _gaps(x[a], x[b])
+        np.fmax(w, core[a][:, None], out=w)
+        np.fmax(w, core[b], out=w)
+        if a is b:
+            np.fill_diagonal(w, -1)  # a row and itself, its column, are one point
+        i, j = _prim(w)
+        i, j = a[i], b[j]
+        i, j = np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
+        found.append((i, j, np.fmax(_distances(x[i], x[j]), np.maximum(core[i], core[j]))))
+    a, b, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    edges = pd.DataFrame({"a": a, "b": b, "d": d})
+    return forest(edges) if len(meetings) > 1 else edges
 
 
 def forest(edges: pd.DataFrame) -> pd.DataFrame:
@@ -90,16 +164,17 @@ def hdbscan(x: np.ndarray, min_size: int = 2) -> np.ndarray:
     n = len(x)
     if n < max(2, min_size):
         return np.full(n, -1)
-    core = np.array([np.partition(_distances(x, v), min(min_size, n) - 1)[min(min_size, n) - 1] for v in x])
-    return condensed(n, spanning_tree(x, core), min_size)
+    meetings = _meetings(np.zeros(n), True)
+    edges = spanning_tree(x, nearest(x, meetings, min(min_size, n))[:, -1], meetings)
+    return condensed(n, list(zip(edges["d"].tolist(), edges["a"].tolist(), edges["b"].tolist(), strict=True)), min_size)
 
 
 def condensed(n: int, edges: list[tuple[float, int, int]], min_size: int) -> np.ndarray:
-    """Labels of n points from a spanning tree of theirs."""
-    # single linkage: node n + k joins two earlier nodes at edges[k]
-    edges = sorted(edges, key=lambda e: e[0])
-    up, size = np.arange(2 * n - 1), np.r_[np.ones(n, int), np.zeros(n - 1, int)]
-    kids: dict[int, tuple[int, int, float]] = {}
+    """Labels of n points from a spanning tree of theirs.  Edges of one length join at once:
+    mutual reachability has many of them, and their order must not decide."""
+    # single linkage: a node from n on joins earlier nodes at one distance
+    up, top, size = list(range(n)), list(range(n)), [1] * n
+    kids: dict[int, tuple[list[int], float]] = {}
 
     def find(a: int) -> int:
         while up[a] != a:
@@ -107,11 +182,20 @@ def condensed(n: int, edges: list[tuple[float, int, int]], min_size: int) -> np.
             a = up[a]
         return a
 
-    for k, (d, a, b) in enumerate(edges, n):
-        a, b = find(a), find(b)
-        up[a] = up[b] = k
-        size[k] = size[a] + size[b]
-        kids[k] = (a, b, d)
+    for d, level in groupby(sorted(edges), key=lambda e: e[0]):
+        joined: dict[int, list[int]] = {}
+        for _, a, b in level:
+            a, b = find(a), find(b)
+            large, small = joined.pop(a, [top[a]]), joined.pop(b, [top[b]])
+            if len(large) < len(small):
+                a, b, large, small = b, a, small, large
+            up[b] = a
+            large.extend(small)
+            joined[a] = large
+        for a, nodes in joined.items():
+            top[a] = len(size)
+            kids[len(size)] = nodes, d
+            size.append(sum(size[k] for k in nodes))
 
     def points(a: int) -> list[int]:
         out, stack = [], [a]
@@ -120,35 +204,30 @@ def condensed(n: int, edges: list[tuple[float, int, int]], min_size: int) -> np.
             if a < n:
                 out.append(a)
             else:
-                stack.extend(kids[a][:2])
+                stack.extend(kids[a][0])
         return out
 
-    # condensed tree: cluster -> (birth, mass, members, children)
-    clusters, stack = [], [(2 * n - 2, 0.0, None)]
+    # condensed tree: cluster -> (mass, node, children)
+    clusters, stack = [], [(top[find(0)], 0.0, None)]
     while stack:
-        top, birth, above = stack.pop()
+        a, birth, above = stack.pop()
         me = len(clusters)
-        clusters.append({"birth": birth, "mass": 0.0, "members": points(top), "above": above, "below": []})
+        clusters.append({"mass": 0.0, "top": a, "below": []})
         if above is not None:
             clusters[above]["below"].append(me)
-        a = top
         while a >= n:
-            b, c, d = kids[a]
-            level = 1 / d if d > 0 else np.inf
-            level = min(level, 1e12)
-            if size[b] >= min_size and size[c] >= min_size:
+            nodes, d = kids[a]
+            level = min(1 / d if d > 0 else np.inf, 1e12)
+            large = [k for k in nodes if size[k] >= min_size]
+            if len(large) != 1:
                 clusters[me]["mass"] += size[a] * (level - birth)
-                stack += [(b, level, me), (c, level, me)]
+                stack += [(k, level, me) for k in large]
                 break
-            small, large = (b, c) if size[b] < size[c] else (c, b)
-            if size[large] < min_size:
-                clusters[me]["mass"] += size[a] * (level - birth)
-                break
-            clusters[me]["mass"] += size[small] * (level - birth)
-            a = large
+            clusters[me]["mass"] += (size[a] - size[large[0]]) * (level - birth)
+            a = large[0]
     best, chosen = [c["mass"] for c in clusters], [True] * len(clusters)
     for i in range(len(clusters) - 1, -1, -1):  # children come after their parents
-        below = sum(best[k] for k in clusters[i]["below"])
+        below = fsum(best[k] for k in clusters[i]["below"])
         if i == 0 or (clusters[i]["below"] and below > best[i]):
             best[i], chosen[i] = below if clusters[i]["below"] else best[i], False
     labels = np.full(n, -1)
@@ -157,7 +236,7 @@ def condensed(n: int, edges: list[tuple[float, int, int]], min_size: int) -> np.
     while order:
         i = order.pop()
         if chosen[i]:
-            picked.append(clusters[i]["members"])
+            picked.append(points(clusters[i]["top"]))
         else:
             order.extend(clusters[i]["below"])
     for k, members in enumerate(sorted(picked, key=min)):
@@ -187,9 +266,9 @@ def cluster_people(faces: DataFrame, id_col: str = "id", vector_col: str = "embe
     """(id, person), person null for noise; ids are unique and not null.
 
     Up to block vectors are one task.  More are dealt to blocks.  Each pair of blocks gives the
-    nearest distances of its points, then a spanning tree of them; a spanning tree of all lies
-    in the union of these.  Trees are merged a few at a time, and the last task holds one edge
-    for each point, never a distance of each pair.
+    nearest distances between its points, then a spanning tree of them; a spanning tree of all
+    lies in the union of these.  Trees are merged a few at a time, and the last task holds one
+    edge for each point, never a distance of each pair.
     """
     rows = faces.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("v is not null")
     n = rows.count()
@@ -201,24 +280,29 @@ def cluster_people(faces: DataFrame, id_col: str = "id", vector_col: str = "embe
 
         return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(whole, "id long, person string")
 
-    blocks = -(-n // block)
+    blocks, reach = -(-n // block), min(min_size, n)
+    tasks = min(blocks * (blocks + 1) // 2, TASKS)
+    dealt = _dealt(rows, blocks).repartition(tasks, "tile")
 
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, side = _unit(pdf["v"]), pdf["side"].to_numpy()
-        alone = side.min() == side.max() and pdf["tile"].iloc[0] % (blocks + 1) == 0  # a block with itself
-        found = [np.sort(_distances(x if alone else x[side != s], v))[:min_size] for v, s in zip(x, side, strict=True)]
-        return pd.DataFrame({"id": pdf["id"], "d": [f.tolist() for f in found]})
+    def tile(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        pdf = pdf.sort_values("id", kind="stable")
+        return pdf, _unit(pdf["v"]), _meetings(pdf["side"].to_numpy(), pdf["tile"].iloc[0] % (blocks + 1) == 0)  # a block with itself
 
-    near = _dealt(rows, blocks).groupBy("tile").applyInPandas(nearest, "id long, d array<double>")
-    core = near.groupBy("id").agg(F.get(F.array_sort(F.flatten(F.collect_list("d"))), F.lit(min_size - 1)).alias("core"))
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, x, meetings = tile(pdf)
+        return pd.DataFrame({"id": pdf["id"].to_numpy(), "d": list(nearest(x, meetings, reach))})
 
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
+    def tree(pdf: pd.DataFrame, cores: pd.DataFrame) -> pd.DataFrame:
+        pdf, x, meetings = tile(pdf)
         ids = pdf["id"].to_numpy()
-        edges = spanning_tree(_unit(pdf["v"]), pdf["core"].to_numpy())
-        return pd.DataFrame([(int(ids[a]), int(ids[b]), d) for d, a, b in edges], columns=["a", "b", "d"])
-
-    edges = _dealt(rows.join(core, "id"), blocks).groupBy("tile").applyInPandas(lambda k, p: tree(p).assign(part=k[0]), "a long, b long, d double, part long")
+        edges = spanning_tree(x, cores.sort_values("id", kind="stable")["core"].to_numpy(), meetings)
+        return pd.DataFrame({"a": ids[edges["a"]], "b": ids[edges["b"]], "d": edges["d"].to_numpy(), "part": pdf["tile"].iloc[0]})
+
+    core = dealt.groupBy("tile").applyInPandas(near, "id long, d array<double>")
+    core = core.groupBy("id").agg(F.get(F.array_sort(F.flatten(F.collect_list("d"))), F.lit(reach - 1)).alias("core"))
+    cores = _dealt(core, blocks).repartition(tasks, "tile")
+    # the vectors' shuffle is the one above
+    edges = dealt.groupBy("tile").cogroup(cores.groupBy("tile")).applyInPandas(tree, "a long, b long, d double, part long")
     parts = blocks * blocks
     while parts > FOREST:
         parts = -(-parts // FOREST)

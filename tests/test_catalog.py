@@ -1,5 +1,6 @@
 """Catalog queries against their SQL twins, scalar tables, sources and clustering."""
 
+import bisect
 import collections
 import csv
 import datetime as dt
@@ -13,6 +14,7 @@ import unicodedata
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,6 +349,76 @@ def test_clusters_in_blocks(spark):
     assert people.cluster_people(df.limit(0)).count() == 0 and people.cluster_people(df.limit(1)).first().person is None
 
 
+def plain_clusters(x, min_size):
+    """Density clusters straight from their definition, one threshold after the other."""
+    gaps = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    core = np.sort(gaps, axis=1)[:, min_size - 1]
+    reach = np.maximum(gaps, np.maximum(core[:, None], core))
+
+    def parts(members, below):
+        left, found = set(members), []
+        while left:
+            stack = [left.pop()]
+            found.append(set(stack))
+            while stack:
+                near = {k for k in left if reach[stack[-1], k] < below}
+                stack.pop()
+                stack += near
+                found[-1] |= near
+                left -= near
+        return found
+
+    def walk(members, birth):  # the mass chosen, and the clusters
+        whole, mass = members, 0.0
+        while True:
+            ids = sorted(members)
+            steps = np.unique(reach[np.ix_(ids, ids)][np.triu_indices(len(ids), 1)])
+            d = steps[bisect.bisect_left(steps, True, key=lambda s: len(parts(ids, s)) == 1) - 1]  # noqa: B023
+            level = min(1 / d if d > 0 else np.inf, 1e12)
+            large = [p for p in parts(ids, d) if len(p) >= min_size]
+            mass += (len(ids) - (len(large[0]) if len(large) == 1 else 0)) * (level - birth)
+            if len(large) != 1:
+                break
+            members = large[0]
+        below = [walk(p, level) for p in large]
+        total = sum(m for m, _ in below)
+        if below and (total > mass or whole == set(range(len(x)))):
+            return total, [c for _, found in below for c in found]
+        return mass, [whole]
+
+    _, found = walk(set(range(len(x))), 0.0)
+    return {frozenset(c) for c in found if len(c) < len(x)}
+
+
+def test_clusters_with_ties(spark):
+    """Mutual reachability is full of ties: neither the order of ids nor the blocks decide."""
+    rng = np.random.default_rng(8)
+    x = people._unit(pd.Series(list(np.concatenate([c + rng.normal(0, 0.3, (14, 5)) for c in np.eye(5)[:3]]))))
+    x = np.concatenate([x, x[:3], x[:1], x[20:22], x[20:22], x[20:22] + 1e-9])
+    for size in (3, 4):
+        want = plain_clusters(x, size)
+        for order in (np.arange(len(x)), rng.permutation(len(x))):
+            labels = people.hdbscan(x[order], size)
+            assert {frozenset(order[labels == k].tolist()) for k in set(labels) - {-1}} == want
+            df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x[order])], "id long, embedding array<double>")
+            for block in (1000, 17, 30):
+                got = people.cluster_people(df, min_size=size, block=block).groupBy("person").agg(F.collect_set("id").alias("ids")).filter("person is not null").collect()
+                assert {frozenset(order[r.ids].tolist()) for r in got} == want
+    x = np.concatenate([x, x[:1] * np.nan])
+    labels = people.hdbscan(x, 4)
+    assert {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels) - {-1}} == want
+
+
+def test_clusters_take_few_distances_one_by_one(monkeypatch):
+    """Products of matrices do the bulk; differences are taken for what is chosen, or very close."""
+    x = people._unit(pd.Series(list(np.random.default_rng(4).normal(0, 1, (900, 16)))))
+    monkeypatch.setattr(people, "PIECE", 250, raising=False)
+    taken, plain = [], people._distances
+    monkeypatch.setattr(people, "_distances", lambda a, b: taken.append(max(len(a), len(b))) or plain(a, b))
+    people.hdbscan(x, 4)
+    assert sum(taken) < len(x) ** 2 / 10
+
+
 def test_face_pipeline(spark):
     """Only files without a cached record are looked at; the clustering is taken again as long as
     the files are the same; links of one name get numbers."""
