@@ -991,9 +991,13 @@ _FILES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The folder of the tables itself, through the folder source."""
-    found = media.scan(spark, sf_dir, every_file=True).filter(F.col("name").isin([f"{t}.parquet" for t in _FILES]))
-    return found.select("name", "ext", (F.col("size") > 0).alias("filled"), F.col("mtime").isNotNull().alias("dated"))
+    """The folder of the tables itself, through the folder source.  A table is a
+    file or a folder of part files, which are not counted one by one, nor what Spark passes over
+    in it."""
+    below = F.col("path").substr(F.lit(len(media.normal(sf_dir)) + 2), F.length("path"))
+    found = media.scan(spark, sf_dir, every_file=True).withColumn("below", below).filter(~F.col("below").rlike("(^|/)[_.]"))
+    tables = found.groupBy(F.substring_index("below", "/", 1).alias("name")).agg((F.max("size") > 0).alias("filled"), F.bool_or(F.col("mtime").isNotNull()).alias("dated"))
+    return tables.filter(F.col("name").isin([f"{t}.parquet" for t in _FILES])).select("name", S.extension(F.col("name")).alias("ext"), "filled", "dated")
 
 
 QUERIES["folder_scan"] = folder_scan

@@ -250,6 +250,39 @@ def test_scan(spark, tmp_path):
         assert sorted(r.name for r in media.scan(spark, str(tmp_path), folders=folders).collect()) == names
 
 
+def test_scan_store(spark, tmp_path):
+    """A root with a scheme is listed by its own file system, and gives what the folder gives."""
+    for p in ("_DSC1.JPG", "x/.a.jpg", "x/b.txt", ".git/c.jpg", "Windows/d.jpg", "x/y/e 1%.mp4"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b"12")
+    store = f"file://{tmp_path}"
+    for more in ({}, {"every_file": True}, {"no_exclude": True}):
+        want = sorted((r.path, r.dir, r.name, r.ext, r.size) for r in media.scan(spark, str(tmp_path), **more).collect())
+        got = media.scan(spark, store + "/", f"{store}/x", f"{store}/missing", **more).collect()
+        assert sorted((r.path.removeprefix("file://"), r.dir.removeprefix("file://"), r.name, r.ext, r.size) for r in got) == want
+        assert media.scan(spark, store, str(tmp_path / "x"), **more).count() > len(got)
+    assert all(abs(r.mtime.timestamp() - (tmp_path / "_DSC1.JPG").stat().st_mtime) < 60 for r in got)
+    with pytest.raises(ValueError, match="facts"):
+        media.scan(spark, store, facts=True)
+
+
+def test_folder_scan_of_tables_in_parts(spark, tmp_path):
+    """A table may be a folder of files, and in a store."""
+    for k, t in enumerate(TABLES):
+        table = tmp_path / f"{t}.parquet"
+        if k % 3 == 0:
+            table.write_bytes(b"PAR1")
+            continue
+        for part in ("part-0.parquet", "part-1.parquet", "_SUCCESS", "lang=en/part-2.snappy.parquet")[: k % 3 * 2]:
+            (table / part).parent.mkdir(parents=True, exist_ok=True)
+            (table / part).write_bytes(b"" if part == "_SUCCESS" else b"PAR1")
+    (tmp_path / "old" / "region.parquet").mkdir(parents=True)
+    (tmp_path / "old" / "region.parquet" / "nation.parquet").write_bytes(b"PAR1")
+    want = sorted(duckdb.sql(harness.ORACLE_SQL["folder_scan"]).fetchall())
+    for root in (str(tmp_path), f"{tmp_path}//", f"file://{tmp_path}", f"file://{tmp_path}/"):
+        assert sorted(tuple(r) for r in harness.QUERIES["folder_scan"](spark, root).collect()) == want
+
+
 def test_scan_facts(spark, tmp_path):
     """Hash and tags of a file are those of its bytes, though only parts of it are read."""
     user = box(b"udta", box(b"\xa9mak", struct.pack(">HH", 5, 0) + b"Maker"))
